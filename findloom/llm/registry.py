@@ -1,6 +1,14 @@
 """Queries of the training-data operators and their DuckDB counterparts."""
 
-from findloom.llm import quality
+from findloom.llm import mixing, quality, urls
 
-QUERIES = {"op10_quality_rules": quality.op10_quality_rules}
-ORACLES = {"op10_quality_rules": quality.ORACLE}
+QUERIES = {
+    "op2_mixing_sources": mixing.op2_mixing_sources,
+    "op3_url_filters": urls.op3_url_filters,
+    "op10_quality_rules": quality.op10_quality_rules,
+}
+ORACLES = {
+    "op2_mixing_sources": mixing.ORACLE,
+    "op3_url_filters": urls.ORACLE,
+    "op10_quality_rules": quality.ORACLE,
+}
