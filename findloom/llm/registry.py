@@ -1,10 +1,13 @@
 """Queries of the training-data operators and their DuckDB counterparts."""
 
-from findloom.llm import mixing, quality, urls
+from findloom.llm import bpe, mixing, pii, quality, tokenfiles, urls
 
 QUERIES = {
+    "op1_token_ids": tokenfiles.op1_token_ids,
     "op2_mixing_sources": mixing.op2_mixing_sources,
     "op3_url_filters": urls.op3_url_filters,
+    "op6_bpe": bpe.op6_bpe,
+    "op9_pii": pii.op9_pii,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLES = {
