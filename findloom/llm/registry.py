@@ -1,11 +1,12 @@
 """Queries of the training-data operators and their DuckDB counterparts."""
 
-from findloom.llm import bpe, mixing, pii, quality, tokenfiles, urls
+from findloom.llm import bpe, mixing, neardup, pii, quality, tokenfiles, urls
 
 QUERIES = {
     "op1_token_ids": tokenfiles.op1_token_ids,
     "op2_mixing_sources": mixing.op2_mixing_sources,
     "op3_url_filters": urls.op3_url_filters,
+    "op5_minhash": neardup.op5_minhash,
     "op6_bpe": bpe.op6_bpe,
     "op9_pii": pii.op9_pii,
     "op10_quality_rules": quality.op10_quality_rules,
