@@ -1,6 +1,6 @@
 """Queries of the training-data operators and their DuckDB counterparts."""
 
-from findloom.llm import bpe, mixing, neardup, pii, quality, tokenfiles, urls
+from findloom.llm import bpe, mixing, neardup, pii, quality, tokenfiles, urls, vectors
 
 QUERIES = {
     "op1_token_ids": tokenfiles.op1_token_ids,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_url_filters": urls.op3_url_filters,
     "op5_minhash": neardup.op5_minhash,
     "op6_bpe": bpe.op6_bpe,
+    "op7_vectors": vectors.op7_vectors,
     "op9_pii": pii.op9_pii,
     "op10_quality_rules": quality.op10_quality_rules,
 }
