@@ -1,11 +1,12 @@
 """Queries of the training-data operators and their DuckDB counterparts."""
 
-from findloom.llm import bpe, mixing, neardup, pii, quality, tokenfiles, urls, vectors
+from findloom.llm import bpe, licenses, mixing, neardup, pii, quality, tokenfiles, urls, vectors
 
 QUERIES = {
     "op1_token_ids": tokenfiles.op1_token_ids,
     "op2_mixing_sources": mixing.op2_mixing_sources,
     "op3_url_filters": urls.op3_url_filters,
+    "op4_license_scan": licenses.op4_license_scan,
     "op5_minhash": neardup.op5_minhash,
     "op6_bpe": bpe.op6_bpe,
     "op7_vectors": vectors.op7_vectors,
