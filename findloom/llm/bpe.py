@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from findloom.llm.common import fresh, table
-from findloom.llm.tokens import Encoder, tokenizer
+from findloom.llm.tokens import encoder, id_lists, tokenizer
 
 #: Texts of more characters than this are encoded in pieces of so many.
 PIECE = 1 << 16
@@ -85,10 +85,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", pie
     d = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c.lower() != ids.lower() or c == text]).withColumn(n, F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0)))
 
     def whole(texts: pa.Array) -> pa.Array:
-        encoder, out = Encoder(path), []
-        for at in range(0, len(texts), 256):
-            out += encoder.encode(texts[at : at + 256].to_pylist())
-        return pa.array(out, pa.list_(pa.int32()))
+        return id_lists(encoder(path).encode(texts.to_pylist()))
 
     kind = T.ArrayType(T.IntegerType())
     short = d.where(F.col(n) <= piece).withColumn(ids, F.arrow_udf(whole, kind)(F.col(f"`{text}`").cast("string"))).drop(n)

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from findloom.llm.common import saved, scratch, table
-from findloom.llm.tokens import Encoder
+from findloom.llm.tokens import encoder
 
 #: Ids in a sequence, and sequences in a batch.
 LENGTH, BATCH = 2048, 256
@@ -100,9 +100,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_
     id_type = pa.string() if dict(key.dtypes)["doc_id"] == "string" else pa.int64()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, context = Encoder(tokenizer), TaskContext.get()
-        dtype = np.uint16 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        encode, context = encoder(tokenizer), TaskContext.get()
+        dtype = np.uint16 if encode.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         name = f"{path}/part-{context.partitionId():06d}-{context.taskAttemptId()}"
+        last = end_id.to_bytes(4, "little")
         out = rows = None
         n_docs = n_ids = 0
         for batch in batches:
@@ -114,9 +115,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_
                 rows = pa.ipc.new_stream(file := fs.open_output_stream(at), rows_schema(id_type))
             counts = []
             for at in range(0, batch.num_rows, 256):
-                for ids in encoder.encode(batch.column(1)[at : at + 256].to_pylist()):
-                    out.add(np.array([*ids, end_id], dtype))
-                    counts.append(len(ids) + 1)
+                for ids in encode.encode(batch.column(1)[at : at + 256].to_pylist()):
+                    out.add(np.frombuffer(ids + last, "<u4").astype(dtype))
+                    counts.append(len(ids) // 4 + 1)
             rows.write_batch(pa.record_batch([batch.column(0).cast(id_type), pa.array(counts, pa.int64())], schema=rows_schema(id_type)))
             n_docs, n_ids = n_docs + len(counts), n_ids + sum(counts)
         if out is not None:

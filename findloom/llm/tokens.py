@@ -6,16 +6,19 @@ import os
 import re
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
+
 #: Texts made of these only are split here; the library splits and encodes all others. In these ranges all rules of the two files' patterns,
 #: case and NFC are the same in Python and in the library.
 PLAIN = re.compile("[^\t\n\r\x20-\x7eÀ-įı-ɏЀ-ҁҊ-ԯ‐-‧€ぁ-ゖァ-ヺ一-龥가-힣]")
 #: The split patterns of the two files.
 SPLITS = {
-    "byte_bpe": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"),
-    "word_bpe": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"),
+    "byte_bpe": re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"),
+    "word_bpe": re.compile(r"[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d|\d|(?:[^\s\w]|_)+"),
 }
 #: Pre-tokens that a task remembers, and the longest of them.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 500_000, 64
 
 
 @cache
@@ -31,37 +34,59 @@ def tokenizer(path: str):
 
 
 class Encoder:
-    """ids of whole texts, equal to the library's encode(text, add_special_tokens=False)."""
+    """ids of whole texts, equal to the library's encode(text, add_special_tokens=False), as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         self.tokenizer, kind = tokenizer(path), os.path.basename(path)[:8]
-        self.split, self.lower, self.ids = SPLITS.get(kind), kind == "word_bpe", {}
-
-    def _learn(self, words: set[str]) -> None:
-        words = list(words)
-        got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        out: list[list[int]] = [[] for _ in words]
-        for i, w in zip(got.ids, got.word_ids, strict=True):
-            out[w].append(i)
-        self.ids.update(zip(words, map(tuple, out), strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """A list for each text (null: empty)."""
-        out: list = [None] * len(texts)
-        for at in range(0, len(texts), 64):
-            part = [x or "" for x in texts[at : at + 64]]
-            plain = [bool(self.split) and "<|" not in x and not PLAIN.search(x) for x in part]
-            words = [self.split.findall(x.lower() if self.lower else x) if p else () for x, p in zip(part, plain, strict=True)]
-            new = set().union(*words).difference(self.ids)
-            if len(self.ids) + len(new) > REMEMBERED:
-                self.ids.clear()
-                new = set().union(*words)
-            long = {w for w in new if len(w) > LONGEST}
-            if new:
-                self._learn(new)
+        self.split, self.lower = SPLITS.get(kind), kind == "word_bpe"
+        self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        # plain words are split again where they stand when they're put together, which costs less than a call for each
+        plain = [w for w in words if (w.isalpha() if self.lower else w[0] == " " and w[1:].isalpha()) and len(w) <= LONGEST]
+        other = list(set(words).difference(plain))
+        for part, got in ((plain, self.tokenizer.encode((" " if self.lower else "").join(plain), add_special_tokens=False)), (other, self.tokenizer.encode(other, is_pretokenized=True, add_special_tokens=False))):
+            counts = np.bincount(np.array(got.word_ids, np.int64), minlength=len(part))
+            assert len(counts) == len(part)
+            flat, at = np.array(got.ids, "<u4").tobytes(), 0
+            for w, end in zip(part, (4 * np.cumsum(counts)).tolist(), strict=True):
+                self.ids[w] = flat[at:end]
+                at = end
+
+    def _need(self, words: set[str]) -> list[str]:
+        """Has the ids of all words at hand; returns those too long to remember. When REMEMBERED are held, only those used since the last time stay."""
+        if len(self.ids) > REMEMBERED:
+            self.ids, self.older = {}, self.ids
+        new = words.difference(self.ids)
+        kept = {w: self.older[w] for w in new if w in self.older}
+        self.ids.update(kept)
+        if new := list(new.difference(kept)):
+            self._learn(new)
+        return [w for w in new if len(w) > LONGEST]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text (null: none)."""
+        out: list[bytes] = []
+        for at in range(0, len(texts), 256):
+            part = [x or "" for x in texts[at : at + 256]]
+            words = [self.split.findall(x.lower() if self.lower else x) if self.split and "<|" not in x and not PLAIN.search(x) else None for x in part]
+            long = self._need(set().union(*filter(None, words)))
             get = self.ids.__getitem__
-            for k, (x, p) in enumerate(zip(part, plain, strict=True)):
-                out[at + k] = [i for w in map(get, words[k]) for i in w] if p else self.tokenizer.encode(x, add_special_tokens=False).ids
+            out += [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() if w is None else b"".join(map(get, w)) for x, w in zip(part, words, strict=True)]
             for w in long:
                 del self.ids[w]
         return out
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that tasks go on with what it has learnt."""
+    return Encoder(path)
+
+
+def id_lists(ids: list[bytes]) -> pa.Array:
+    """What encode() returns as an Arrow array of int32 lists."""
+    offsets = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
