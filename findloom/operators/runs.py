@@ -17,9 +17,9 @@ def start(reports: DataFrame, runs: DataFrame) -> DataFrame:
 
 def complete(runs: DataFrame, findings: DataFrame, finished_at) -> DataFrame:
     """runs as completed, with their finding counts; a report without findings counts 0."""
-    counts = findings.groupBy("import_run_id").agg(F.count("*").alias("n"))
+    counts = findings.groupBy("import_run_id").agg(F.count("*").alias("__n"))
     out = runs.join(counts, "import_run_id", "left")
-    return out.withColumns({"status": F.lit("completed"), "finished_at": F.lit(finished_at), "finding_count": F.coalesce("n", F.lit(0))}).drop("n")
+    return out.withColumns({"status": F.lit("completed"), "finished_at": F.lit(finished_at), "finding_count": F.coalesce("__n", F.lit(0))}).drop("__n")
 
 
 def fail(runs: DataFrame, reasons: DataFrame) -> DataFrame:

@@ -123,7 +123,7 @@ def runs_to_publish(spark, sf_dir):
 def _trivy_reports(spark, sf_dir):
     f = views.derived(spark, sf_dir).where("tool = 'trivy'")
     vuln = F.struct(F.col("vuln_id_raw").alias("VulnerabilityID"), F.col("p_name").alias("PkgName"), F.concat(F.lit("1."), F.col("p_size").cast("string")).alias("InstalledVersion"), F.col("severity_raw").alias("Severity"), F.array("cwe_raw", F.lit("other")).alias("CweIDs"), F.struct(F.col("purl_raw").alias("PURL")).alias("PkgIdentifier"),
-                    F.expr(f"map('redhat', named_struct('V2Vector', {views.V2_VECTOR}), 'nvd', named_struct('V2Vector', cast(null as string)))").alias("CVSS"), F.col("finding_id").alias("Title"))
+                    F.expr(f"named_struct('redhat', named_struct('V2Vector', {views.V2_VECTOR}), 'nvd', named_struct('V2Vector', cast(null as string)))").alias("CVSS"), F.col("finding_id").alias("Title"))
     results = f.groupBy("import_run_id", "target").agg(F.sort_array(F.collect_list(vuln)).alias("Vulnerabilities"))
     doc = F.to_json(F.struct(F.lit(2).alias("SchemaVersion"), F.struct(F.lit("0.5").alias("Version")).alias("Trivy"), F.sort_array(F.collect_list(F.struct(F.col("target").alias("Target"), F.lit("npm").alias("Type"), "Vulnerabilities"))).alias("Results")))
     return results.groupBy("import_run_id").agg(doc.alias("content"))

@@ -63,7 +63,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def derived(spark: SparkSession, sf_dir: str, sql: str = FINDINGS) -> DataFrame:
-    names = [n for n in ("lineitem", "orders", "customer", "part") if n in sql]
+    names = [n for n in ("lineitem", "orders", "customer", "part") if f" {n} " in sql or f" {n}\n" in sql]
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for n in names:
         sql = sql.replace(f" {n} ", f" {{{n}}} ").replace(f" {n}\n", f" {{{n}}}\n")
     return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
