@@ -1,6 +1,6 @@
 """Queries of the training-data operators and their DuckDB counterparts."""
 
-from findloom.llm import bpe, licenses, mixing, neardup, pii, quality, tokenfiles, urls, vectors
+from findloom.llm import bpe, licenses, mixing, neardup, pii, quality, substrings, tokenfiles, urls, vectors
 
 QUERIES = {
     "op1_token_ids": tokenfiles.op1_token_ids,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_minhash": neardup.op5_minhash,
     "op6_bpe": bpe.op6_bpe,
     "op7_vectors": vectors.op7_vectors,
+    "op8_substrings": substrings.op8_substrings,
     "op9_pii": pii.op9_pii,
     "op10_quality_rules": quality.op10_quality_rules,
 }
