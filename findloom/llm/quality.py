@@ -56,7 +56,7 @@ def _repeat_words(words: Column) -> Column:
         covered = F.flatten(F.transform(_let(pairs, again), lambda i: F.array(i, i + 1, i + 2)))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(F.size(F.array_distinct(covered)))
 
-    return _let(windows(words), marked)
+    return _let(_let(words, windows), marked)
 
 
 def quality(docs: DataFrame, text: str = "text", min_words: int = 50, max_repeat: int = 50, max_lost: int = 50) -> DataFrame:
@@ -83,11 +83,12 @@ def quality(docs: DataFrame, text: str = "text", min_words: int = 50, max_repeat
         "n_repeat_words": _repeat_words(F.col(words)).cast("long"),
         "n_lines": F.size(lines).cast("long"),
         "n_removed_lines": F.size(F.filter(fails, lambda x: x)).cast("long"),
-        "clean_text": F.array_join(F.filter(lines, lambda _, i: ~F.get(fails, i)), "\n"),
+        "clean_text": F.array_join(_let(F.col(fails), lambda f: F.filter(lines, lambda _, i: ~F.get(f, i))), "\n"),
     })
     d = d.withColumn("removed_chars", F.col("word_chars") - word_chars(F.col("clean_text")))
     d = d.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words")))
-    d = d.withColumn("kept", ~F.col("base_failed") & (100 * F.col("removed_chars") <= max_lost * F.col("word_chars")))
+    # rand() is never negative: it keeps a filter on the verdict from being pushed into the lambdas, where all words would be split again for each word
+    d = d.withColumn("kept", ~F.col("base_failed") & (100 * F.col("removed_chars") <= max_lost * F.col("word_chars")) & (F.rand(0) >= 0))
     return d.drop(t, words, lines, fails)
 
 
