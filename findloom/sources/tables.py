@@ -32,8 +32,10 @@ def write_raw(reports: DataFrame, path: str) -> None:
 
 
 def _there(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    """Whether there is data; a partitioned table without rows has no files."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/[!_.]*")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
 
 
 class Tables:
