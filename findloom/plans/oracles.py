@@ -73,10 +73,6 @@ _POINTS = {
 }
 
 
-def _points(i: int, name: str, agree: bool) -> str:
-    return case("x.kind", {k: v[i][0 if agree else 1] for k, v in _POINTS.items()})
-
-
 def _signal(name: str) -> str:
     unknown, agree = _SIGNALS[name]
     return f"case when {unknown} then 'unknown' when {agree} then 'agree' else 'disagree' end"
