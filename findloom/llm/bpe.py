@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 import pyarrow as pa
@@ -15,6 +16,8 @@ from findloom.llm.tokens import encoder, id_lists, tokenizer
 
 #: Texts of more characters than this are encoded in pieces of so many.
 PIECE = 1 << 16
+#: Pre-tokens that a worker remembers; the workers that decode need room beside it.
+REMEMBERED = 150_000
 #: Characters on either side of a join that are encoded anew at first.
 FIRST_WINDOW = 64
 
@@ -85,7 +88,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", pie
     d = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c.lower() != ids.lower() or c == text]).withColumn(n, F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0)))
 
     def whole(texts: pa.Array) -> pa.Array:
-        return id_lists(encoder(path).encode(texts.to_pylist()))
+        encode, out = encoder(path, REMEMBERED).encode, []
+        for at in range(0, len(texts), 256):
+            out += encode(texts[at : at + 256].to_pylist())
+        return id_lists(out)
 
     kind = T.ArrayType(T.IntegerType())
     short = d.where(F.col(n) <= piece).withColumn(ids, F.arrow_udf(whole, kind)(F.col(f"`{text}`").cast("string"))).drop(n)
@@ -113,12 +119,21 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", pie
     return short.unionByName(joined)
 
 
+@cache
+def pieces(path: str) -> list[str] | None:
+    """The text of each id where a file has no decoder (decode() then puts a space between tokens); None where it has one."""
+    t = tokenizer(path)
+    return None if t.decoder is not None else [t.id_to_token(i) or "" for i in range(t.get_vocab_size())]
+
+
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """docs with `text`, the library's decode of each list of ids with special tokens kept (null and empty: an empty text)."""
     def texts(lists: pa.Array) -> pa.Array:
         t, out = tokenizer(path), []
+        words = pieces(path)
         for at in range(0, len(lists), 256):
-            out += t.decode_batch([x or [] for x in lists[at : at + 256].to_pylist()], skip_special_tokens=False)
+            ids = [x or () for x in lists[at : at + 256].to_pylist()]
+            out += [" ".join([words[i] for i in x]) for x in ids] if words else t.decode_batch(ids, skip_special_tokens=False)
         return pa.array(out, pa.string())
 
     return docs.withColumn(text, F.arrow_udf(texts, T.StringType())(ids))

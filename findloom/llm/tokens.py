@@ -36,7 +36,8 @@ def tokenizer(path: str):
 class Encoder:
     """ids of whole texts, equal to the library's encode(text, add_special_tokens=False), as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.tokenizer, kind = tokenizer(path), os.path.basename(path)[:8]
         self.split, self.lower = SPLITS.get(kind), kind == "word_bpe"
         self.ids: dict[str, bytes] = {}
@@ -55,8 +56,8 @@ class Encoder:
                 at = end
 
     def _need(self, words: set[str]) -> list[str]:
-        """Has the ids of all words at hand; returns those too long to remember. When REMEMBERED are held, only those used since the last time stay."""
-        if len(self.ids) > REMEMBERED:
+        """Has the ids of all words at hand; returns those too long to remember. When `remembered` are held, only those used since the last time stay."""
+        if len(self.ids) > self.remembered:
             self.ids, self.older = {}, self.ids
         new = words.difference(self.ids)
         kept = {w: self.older[w] for w in new if w in self.older}
@@ -80,9 +81,9 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """One for each worker process, so that tasks go on with what it has learnt."""
-    return Encoder(path)
+    return Encoder(path, remembered)
 
 
 def id_lists(ids: list[bytes]) -> pa.Array:
