@@ -1,4 +1,4 @@
-"""Near-duplicate vectors: a robust-pruned flat graph on overlapping cluster shards, searched from medoids with a range-expanding greedy search."""
+"""Near-duplicate vectors: overlapping cluster shards, each compared exactly, and an audit of what no shard joins."""
 
 from __future__ import annotations
 
@@ -16,89 +16,30 @@ from findloom.llm.graph import components
 SHARD, OVERLAP, MAX_PIVOTS, PIVOT_BYTES = 500, 3, 4096, 32 << 20
 #: A shard of more than 2 * BLOCK vectors is searched by pairs of blocks of about BLOCK.
 BLOCK = 500
-#: Edges of a node, candidates that are pruned to them, the pruning's slack, and the width of the search.
-DEGREE, CANDIDATES, ALPHA, BEAM = 24, 48, 1.2, 24
 #: Queries of the recall audit, and the recall below which shards overlap twice as much.
 AUDIT, LEAST_RECALL = 200, 0.98
 
 
-def robust_prune(x: np.ndarray) -> np.ndarray:
-    """The adjacency matrix of a flat graph over unit vectors: each node's nearest candidates, without those that an edge chosen before
-    reaches ALPHA times as closely; edges go both ways, and what the medoid can't reach is tied to it."""
-    n = len(x)
-    c = min(CANDIDATES, n - 1)
-    edges = np.zeros((n, n), bool)
-    for at in range(0, n, 128):
-        rows = np.arange(at, min(n, at + 128))
-        sims = x[rows] @ x.T
-        sims[np.arange(len(rows)), rows] = -2
-        near = np.argsort(-sims, 1, kind="stable")[:, :c]
-        to_node = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(sims, near, 1)))
-        between = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ncd,ned->nce", x[near], x[near])))
-        alive, k = np.ones(near.shape, bool), np.arange(len(rows))
-        for _ in range(min(DEGREE, c)):
-            pick = alive.argmax(1)
-            some = alive[k, pick]
-            edges[rows[some], near[k, pick][some]] = True
-            alive &= ~(ALPHA * between[k, pick] <= to_node)
-            alive[k, pick] = False
-            alive &= some[:, None]
-            if not alive.any():
-                break
-    edges |= edges.T
-    start = medoid(x)
-    reached = np.zeros(n, bool)
-    reached[start], front = True, np.array([start])
-    while len(front):
-        front = np.flatnonzero(edges[front].any(0) & ~reached)
-        reached[front] = True
-    edges[start, ~reached] = edges[~reached, start] = True
-    return edges
-
-
-def medoid(x: np.ndarray) -> int:
-    return int((x @ x.mean(0)).argmax())
-
-
-def range_search(x: np.ndarray, edges: np.ndarray, least: float) -> np.ndarray:
-    """For every vector as a query, the nodes found at a cosine of `least` or more (n x n, itself left out).
-
-    A greedy search from the medoid expands the best BEAM nodes it knows; then every node in range is expanded until no new one turns up.
-    """
-    n = len(x)
-    known, done = np.full((n, n), -2.0), np.zeros((n, n), bool)
-
-    def see(q: np.ndarray, new: np.ndarray) -> None:
-        i, j = np.nonzero(new)
-        for at in range(0, len(i), 1 << 16):
-            a, b = q[i[at : at + (1 << 16)]], j[at : at + (1 << 16)]
-            known[a, b] = np.einsum("ij,ij->i", x[a], x[b])
-
-    everyone, start = np.arange(n), medoid(x)
-    known[:, start] = x @ x[start]
-    q = everyone
-    while len(q):
-        sims = known[q]
-        bound = -np.partition(-sims, min(BEAM, n) - 1, 1)[:, min(BEAM, n) - 1]
-        sims[done[q]] = -2
-        best = sims.argmax(1)
-        value = sims[np.arange(len(q)), best]
-        going = (value > -2) & (value >= bound)
-        q, best = q[going], best[going]
-        done[q, best] = True
-        see(q, edges[best] & (known[q] == -2))
-    steps = edges.astype(np.float32)
-    while True:
-        front = (known >= least) & ~done
-        q = np.flatnonzero(front.any(1))
-        if not len(q):
-            break
-        done |= front
-        see(q, (front[q].astype(np.float32) @ steps > 0) & (known[q] == -2))
-    found = known >= least
-    found |= found.T  # either end's search will do
-    found[everyone, everyone] = False
-    return found
+def close(x: np.ndarray, rows: np.ndarray, least: float) -> np.ndarray:
+    """Which of all unit vectors have a cosine of `least` or more with those rows, themselves left out. Cosines so near `least` that the order
+    of a sum decides are summed in one order, so a pair is judged alike in every shard."""
+    sims = x[rows] @ x.T
+    near = sims >= least
+    i, j = np.nonzero(np.abs(sims - least) < 1e-12)
+    near[i, j] = np.einsum("ij,ij->i", x[rows[i]], x[j]) >= least
+    near[np.arange(len(rows)), rows] = False
+    return near
+
+
+def roots(hits: np.ndarray) -> np.ndarray:
+    """For each node the first one that the symmetric matrix of links connects it with."""
+    root = np.where(hits.any(1), -1, np.arange(len(hits)))
+    for start in range(len(hits)):
+        front = np.array([start] if root[start] < 0 else [], np.int64)
+        while len(front):
+            root[front] = start
+            front = np.flatnonzero(hits[front].any(0) & (root < 0))
+    return root
 
 
 def _valid(v: Column) -> Column:
@@ -148,20 +89,17 @@ def _search(spark: SparkSession, nodes: DataFrame, least: float, overlap: int) -
         node, weight, block = (table.column(c).to_numpy() for c in ("node", "weight", "block"))
         shards = np.array(table.column("shards").to_pylist())
         x = _unit(table.column("vector").combine_chunks())
-        hits = range_search(x, robust_prune(x), least)
-        a, b = np.nonzero(hits & (block[:, None] != block[None, :]) if cross else hits)
-        # a pair that meets in several shards counts in the first of them
-        same = shards[a][:, :, None] == shards[b][:, None, :]
-        first = np.where(same.any(2), shards[a], np.iinfo(np.int32).max).min(1)
-        a, b = a[first == shard], b[first == shard]
-        links = np.bincount(a, weight[b].astype(np.float64), len(node)).astype(np.int64)
-        root = np.arange(len(node))
-        while True:
-            low = np.minimum(root, np.where(hits, root[None, :], len(root)).min(1, initial=len(root)))
-            if (low == root).all():
-                break
-            root = low
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links), pa.array(node[root])], schema=out)
+        hits, links = np.zeros((len(x), len(x)), bool), np.zeros(len(x), np.int64)
+        for at in range(0, len(x), 128):
+            rows = np.arange(at, min(len(x), at + 128))
+            hits[rows] = close(x, rows, least)
+            a, b = np.nonzero(hits[rows] & (block[rows][:, None] != block[None, :]) if cross else hits[rows])
+            # a pair that meets in several shards counts in the first of them; all of them find it
+            same = shards[rows[a]][:, :, None] == shards[b][:, None, :]
+            first = np.where(same.any(2), shards[rows[a]], np.iinfo(np.int32).max).min(1, initial=np.iinfo(np.int32).max)
+            a, b = a[first == shard], b[first == shard]
+            links[rows] += np.bincount(a, weight[b].astype(np.float64), len(rows)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links), pa.array(node[roots(hits)])], schema=out)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
@@ -218,8 +156,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     """A row for each row of vectors: vec_id, n_links, component_id, kept.
 
     Equal vectors of a label are one node with a weight, so a common vector costs one row. Nodes go to the shards of their nearest pivots, a bounded
-    sample; each shard gets a robust-pruned graph, every node is searched for in all its shards, and the lists are united, a pair counting in the
-    first shard that its ends share. Pairs are links by their cosine in doubles. Large shards are split into pairs of blocks, so no task
+    sample; each shard compares all its vectors, so any shard that two ends share finds their link, and it counts in the first of them. Pairs are links by their cosine in doubles. Large shards are split into pairs of blocks, so no task
     holds more than about 2 * BLOCK vectors. Recall is audited against brute force, and shards overlap more until it is LEAST_RECALL.
     Null labels, and vectors that are null, empty, zero or hold null, NaN or infinite components, have no links; vectors of different lengths aren't
     compared. component_id is the smallest vec_id connected; repeated rows count as other vectors, and rows that share the smallest

@@ -151,6 +151,18 @@ def test_vectors(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def test_vectors_of_a_shard(spark):
+    """Two dense groups at about the least cosine and a bridge out of range: every pair that shares a shard is a link."""
+    r, e = np.random.default_rng(1), np.eye(16)
+    one, two = e[0], 0.93 * e[0] + (1 - 0.93**2) ** 0.5 * e[1]
+    bridge = 0.8 * (one + two) / np.linalg.norm(one + two) + 0.6 * e[2]
+    x = np.concatenate([c + r.normal(size=(k, 16)) * 0.002 for c, k in ((one, 100), (two, 100), (bridge, 10))])
+    got = vectors.near_vectors(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hit = x @ x.T >= 0.93
+    assert {g["vec_id"]: g["n_links"] for g in got} == dict(enumerate((hit.sum(1) - 1).tolist()))
+
+
 def test_substrings(spark):
     r = random.Random(4)
     passage = "".join(r.choice("abcde fghij") for _ in range(130))
