@@ -16,8 +16,10 @@ from findloom.llm.graph import components
 SHARD, OVERLAP, MAX_PIVOTS, PIVOT_BYTES = 500, 3, 4096, 32 << 20
 #: A shard of more than 2 * BLOCK vectors is searched by pairs of blocks of about BLOCK.
 BLOCK = 500
-#: Queries of the recall audit, and the recall below which shards overlap twice as much.
-AUDIT, LEAST_RECALL = 200, 0.98
+#: The recall audit wants so many nodes with true links; those with more than HOT of them are judged apart, as are copies. Below LEAST_RECALL shards overlap twice as much.
+AUDIT, HOT, LEAST_RECALL = 200, 16, 0.98
+#: Blocks of the exact comparison.
+EXACT = 2048
 
 
 def close(x: np.ndarray, rows: np.ndarray, least: float) -> np.ndarray:
@@ -53,43 +55,29 @@ def _unit(lists: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _search(spark: SparkSession, nodes: DataFrame, least: float, overlap: int) -> tuple[DataFrame, DataFrame]:
-    """(node, links by weight) and (a, b) edges that connect what the links connect."""
-    total, dim = nodes.agg(F.count("*"), F.max("dim")).first()
-    k = min(MAX_PIVOTS, PIVOT_BYTES // (8 * (dim or 1)), -(-total * overlap // SHARD))
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(k).select("label", "dim", "vector").toArrow()
-    pivots: dict = {}
-    for at, key in enumerate(zip(*(sample.column(c).to_pylist() for c in ("label", "dim")), strict=True)):
-        pivots.setdefault(key, []).append(at)
-    pivots = {key: (np.array(at), _unit(sample.column("vector").take(at))) for key, at in pivots.items()}
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("label", "dim")), strict=True))
-            shards: list = [[-1]] * len(keys)
-            for key in set(keys) & pivots.keys():
-                rows, (ids, p) = np.array([i for i, x in enumerate(keys) if x == key]), pivots[key]
-                near = np.argsort(-(_unit(batch.column("vector").take(pa.array(rows))) @ p.T), 1, kind="stable")[:, :overlap]
-                for i, own in zip(rows, np.sort(ids[near], 1).tolist(), strict=True):
-                    shards[i] = own
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shards, pa.list_(pa.int32()))], [*batch.schema.names, "shards"])
-
+def _search(spark: SparkSession, nodes: DataFrame, least: float, overlap: int | None) -> tuple[DataFrame, DataFrame]:
+    """(node, links by weight, links to distinct nodes) and (a, b) edges that connect what the links connect; without an overlap a label is one
+    shard, so the links are all there are."""
     shape = "node long, label long, dim int, vector array<double>, weight long"
-    assigned = saved(nodes.select("node", "label", "dim", "vector", "weight").mapInArrow(assign, f"{shape}, shards array<int>"), "shards")
+    size = BLOCK if overlap else EXACT
+    if overlap:
+        assigned = _shards(nodes, overlap, shape)
+    else:
+        assigned = nodes.select("node", "label", "dim", "vector", "weight").withColumn("shards", F.array(F.lit(0)))
     rows = assigned.select("*", F.explode("shards").alias("shard"))
     sizes = rows.groupBy("label", "dim", "shard").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = sizes.select("label", "dim", "shard", F.when(F.col("n") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int").alias("blocks"))
+    blocks = sizes.select("label", "dim", "shard", F.when(F.col("n") <= 2 * size, 1).otherwise(F.ceil(F.col("n") / size)).cast("int").alias("blocks"))
     rows = rows.join(blocks, ["label", "dim", "shard"]).withColumn("block", F.pmod(F.xxhash64("node", "shard"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = ["label", "dim", "shard", "i", "j"]
     rows = rows.select("label", "dim", "shard", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "weight", "shards", "vector")
-    out = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+    out = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("others", pa.int64()), ("root", pa.int64())])
 
     def found(table: pa.Table, shard: int, cross: bool) -> pa.RecordBatch:
         node, weight, block = (table.column(c).to_numpy() for c in ("node", "weight", "block"))
         shards = np.array(table.column("shards").to_pylist())
         x = _unit(table.column("vector").combine_chunks())
-        hits, links = np.zeros((len(x), len(x)), bool), np.zeros(len(x), np.int64)
+        hits, links, others = np.zeros((len(x), len(x)), bool), np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
         for at in range(0, len(x), 128):
             rows = np.arange(at, min(len(x), at + 128))
             hits[rows] = close(x, rows, least)
@@ -99,7 +87,8 @@ def _search(spark: SparkSession, nodes: DataFrame, least: float, overlap: int) -
             first = np.where(same.any(2), shards[rows[a]], np.iinfo(np.int32).max).min(1, initial=np.iinfo(np.int32).max)
             a, b = a[first == shard], b[first == shard]
             links[rows] += np.bincount(a, weight[b].astype(np.float64), len(rows)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links), pa.array(node[roots(hits)])], schema=out)
+            others[rows] += np.bincount(a, minlength=len(rows))
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links), pa.array(others), pa.array(node[roots(hits)])], schema=out)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
@@ -122,34 +111,81 @@ def _search(spark: SparkSession, nodes: DataFrame, least: float, overlap: int) -
         if t.num_rows > 1:
             yield found(t, at[2], at[3] != at[4])
 
-    got = saved(rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(search, "node long, links long, root long"), "links")
-    return got.groupBy("node").agg(F.sum("links").alias("links")), got.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    got = saved(rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(search, "node long, links long, others long, root long"), "links")
+    return got.groupBy("node").agg(F.sum("links").alias("links"), F.sum("others").alias("others")), got.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def _shards(nodes: DataFrame, overlap: int, shape: str) -> DataFrame:
+    """nodes with the shards of their nearest pivots."""
+    total, dim = nodes.agg(F.count("*"), F.max("dim")).first()
+    k = min(MAX_PIVOTS, PIVOT_BYTES // (8 * (dim or 1)), -(-total * overlap // SHARD))
+    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(k).select("label", "dim", "vector").toArrow()
+    pivots: dict = {}
+    for at, key in enumerate(zip(*(sample.column(c).to_pylist() for c in ("label", "dim")), strict=True)):
+        pivots.setdefault(key, []).append(at)
+    pivots = {key: (np.array(at), _unit(sample.column("vector").take(at))) for key, at in pivots.items()}
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("label", "dim")), strict=True))
+            shards: list = [[-1]] * len(keys)
+            for key in set(keys) & pivots.keys():
+                rows, (ids, p) = np.array([i for i, x in enumerate(keys) if x == key]), pivots[key]
+                near = np.argsort(-(_unit(batch.column("vector").take(pa.array(rows))) @ p.T), 1, kind="stable")[:, :overlap]
+                for i, own in zip(rows, np.sort(ids[near], 1).tolist(), strict=True):
+                    shards[i] = own
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shards, pa.list_(pa.int32()))], [*batch.schema.names, "shards"])
+
+    return saved(nodes.select("node", "label", "dim", "vector", "weight").mapInArrow(assign, f"{shape}, shards array<int>"), "shards")
 
 
-def audit(nodes: DataFrame, links: DataFrame, least: float) -> float:
-    """The share of links found, over AUDIT nodes (chosen by hash) compared with all nodes by brute force."""
-    sample = nodes.orderBy(F.xxhash64(F.lit("audit"), "node"), "node").limit(AUDIT).select("node", "label", "dim", "vector").toArrow()
-    if not sample.num_rows:
-        return 1.0
+def _truth(nodes: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+    """(node, weight, true links to distinct nodes) of those queries that have any, compared with all nodes by brute force."""
+    sample = queries.select("node", "label", "dim", "weight", "vector").toArrow()
     by: dict = {}
     for at, key in enumerate(zip(*(sample.column(c).to_pylist() for c in ("label", "dim")), strict=True)):
         by.setdefault(key, []).append(at)
-    queries = {key: (np.array(sample.column("node").take(at).to_pylist()), _unit(sample.column("vector").take(at))) for key, at in by.items()}
+    queries = {key: (*(np.array(sample.column(c).take(at).to_pylist()) for c in ("node", "weight")), _unit(sample.column("vector").take(at))) for key, at in by.items()}
+    out = pa.schema([("node", pa.int64()), ("weight", pa.int64()), ("truth", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, out = list(zip(*(batch.column(c).to_pylist() for c in ("label", "dim")), strict=True)), {}
-            node, weight = batch.column("node").to_numpy(), batch.column("weight").to_numpy()
+            keys, node = list(zip(*(batch.column(c).to_pylist() for c in ("label", "dim")), strict=True)), batch.column("node").to_numpy()
             for key in set(keys) & queries.keys():
-                rows, (ids, q) = np.array([i for i, x in enumerate(keys) if x == key]), queries[key]
-                hit = (_unit(batch.column("vector").take(pa.array(rows))) @ q.T >= least) & (node[rows][:, None] != ids[None, :])
-                for i, n in zip(ids.tolist(), (hit * weight[rows][:, None]).sum(0).tolist(), strict=True):
-                    out[i] = out.get(i, 0) + n
-            yield pa.RecordBatch.from_pydict({"node": list(out), "truth": list(out.values())}, pa.schema([("node", pa.int64()), ("truth", pa.int64())]))
+                rows, (ids, weight, q) = np.array([i for i, x in enumerate(keys) if x == key]), queries[key]
+                x, n = _unit(batch.column("vector").take(pa.array(rows))), np.zeros(len(ids), np.int64)
+                for at in range(0, len(rows), 128):
+                    part = np.concatenate([x[at : at + 128], q])
+                    k = len(part) - len(q)
+                    n += (close(part, np.arange(k), least)[:, k:] & (node[rows[at : at + 128]][:, None] != ids[None, :])).sum(0)
+                some = n > 0
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(weight[some]), pa.array(n[some])], schema=out)
+
+    found = nodes.select("node", "label", "dim", "vector").mapInArrow(compare, "node long, weight long, truth long")
+    return saved(found.groupBy("node").agg(F.first("weight").alias("weight"), F.sum("truth").alias("truth")), "truth")
+
+
+def audited(nodes: DataFrame, least: float) -> DataFrame | None:
+    """The true links of nodes taken by hash, at least AUDIT of which are single vectors with 1 to HOT links; None if that takes a quarter of
+    all nodes, when comparing everything costs little more. Queries go in growing blocks of about PIVOT_BYTES at most."""
+    total, dim = nodes.agg(F.count("*"), F.max("dim")).first()
+    spot, most = F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(1 << 30)), max(AUDIT, PIVOT_BYTES // (8 * (dim or 1)))
+    truth, seen, size = None, 0, AUDIT
+    while 4 * (seen + size) <= total:
+        queries = nodes.where((spot >= (seen << 30) // total) & (spot < (seen + size << 30) // total))
+        new = _truth(nodes, queries, least)
+        truth, seen = new if truth is None else truth.unionByName(new), seen + size
+        if truth.where((F.col("truth") <= HOT) & (F.col("weight") == 1)).count() >= AUDIT:
+            return truth
+        size = min(2 * size, most)
+    return None
+
 
-    truth = nodes.select("node", "label", "dim", "vector", "weight").mapInArrow(compare, "node long, truth long").groupBy("node").agg(F.sum("truth").alias("truth"))
-    both = truth.join(links, "node", "left").agg(F.sum("truth"), F.sum(F.least("truth", F.coalesce("links", F.lit(0))))).first()
-    return 1.0 if not both[0] else both[1] / both[0]
+def audit(truth: DataFrame, links: DataFrame) -> float:
+    """The least recall among groups of audited nodes: single vectors with few links, with many, and copies; each node counts once."""
+    share = F.least(F.lit(1.0), F.coalesce("others", F.lit(0)) / F.col("truth"))
+    kinds = truth.join(links, "node", "left").groupBy(F.col("truth") > HOT, F.col("weight") > 1).agg(F.avg(share).alias("recall"))
+    return kinds.agg(F.min("recall")).first()[0]
 
 
 def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93) -> DataFrame:
@@ -157,7 +193,8 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embe
 
     Equal vectors of a label are one node with a weight, so a common vector costs one row. Nodes go to the shards of their nearest pivots, a bounded
     sample; each shard compares all its vectors, so any shard that two ends share finds their link, and it counts in the first of them. Pairs are links by their cosine in doubles. Large shards are split into pairs of blocks, so no task
-    holds more than about 2 * BLOCK vectors. Recall is audited against brute force, and shards overlap more until it is LEAST_RECALL.
+    holds more than about 2 * BLOCK vectors. Recall is audited against brute force, and shards overlap more until it is LEAST_RECALL for nodes with
+    few links, for nodes with many and for copies; where it isn't, or an audit takes too many nodes, blocks of each label are compared exactly.
     Null labels, and vectors that are null, empty, zero or hold null, NaN or infinite components, have no links; vectors of different lengths aren't
     compared. component_id is the smallest vec_id connected; repeated rows count as other vectors, and rows that share the smallest
     vec_id are all kept. Other columns are ignored; an empty table gives an empty result.
@@ -167,12 +204,12 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     ident = F.conv(F.substring(F.md5(F.concat_ws(",", F.col("label").cast("string"), F.array_join(F.col("vector").cast("array<string>"), ","))), 1, 15), 16, 10).cast("long")
     v = v.withColumn("node", F.when(F.col("label").isNotNull() & _valid(F.col("vector")), ident))
     nodes = saved(v.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count("*").alias("weight"), F.min("vec_id").alias("least")).withColumn("dim", F.size("vector")), "vectors")
-    overlap = OVERLAP
+    overlap, truth = OVERLAP, audited(nodes, least)
     while True:
-        links, edges = _search(spark, nodes, least, overlap)
-        if overlap >= 8 * OVERLAP or audit(nodes, links, least) >= LEAST_RECALL:
+        links, edges = _search(spark, nodes, least, overlap if truth is not None else None)
+        if truth is None or audit(truth, links) >= LEAST_RECALL:
             break
-        overlap *= 2
+        overlap, truth = 2 * overlap, truth if overlap < 8 * OVERLAP else None
     named = nodes.select("node", "weight", "least").join(components(edges), "node", "left").join(links, "node", "left")
     named = named.select("node", "least", F.coalesce("component", "node").alias("component"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n"))
     named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "n", "component_id")

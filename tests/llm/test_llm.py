@@ -163,6 +163,23 @@ def test_vectors_of_a_shard(spark):
     assert {g["vec_id"]: g["n_links"] for g in got} == dict(enumerate((hit.sum(1) - 1).tolist()))
 
 
+def test_vectors_of_sparse_pairs(spark):
+    """A hot group and few pairs in random directions, in more shards than they overlap: neither group's recall stands for the other's."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(2200, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:1000] = x[0] + r.normal(size=(1000, 64)) * 0.005
+    x[2000:] = 0.94 * x[1000:1200] + 0.34 * x[1200:1400]
+    old, vectors.SHARD = vectors.SHARD, 20
+    got = vectors.near_vectors(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()
+    vectors.SHARD = old
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    truth, links = (x @ x.T >= 0.93).sum(1) - 1, {g["vec_id"]: g["n_links"] for g in got}
+    assert truth[1000:].sum() > 300
+    for part in (range(1000), range(1000, 2200)):
+        assert sum(links[i] for i in part) >= 0.98 * truth[part].sum()
+
+
 def test_substrings(spark):
     r = random.Random(4)
     passage = "".join(r.choice("abcde fghij") for _ in range(130))
