@@ -24,10 +24,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id, and of rows that share it the smallest text."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    first = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return first.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d")).select("doc_id", "d.*").select(*COLUMNS)
+    """One document of each group: the one with the smallest doc_id, and of rows that share it the smallest text. Texts without words are in no
+    group and all stay."""
+    kept = neardup.verdicts(docs).where("kept and component is not null").select("doc_id", "content", "component").distinct()
+    content = F.md5(F.col("text").cast("binary"))
+    first = docs.join(kept, (content == kept["content"]) & docs["doc_id"].eqNullSafe(kept["doc_id"])).select("component", *[docs[c] for c in COLUMNS])
+    first = first.groupBy("component").agg(F.min(F.struct(*COLUMNS)).alias("d")).select("d.*")
+    return first.unionByName(docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).select(*COLUMNS))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

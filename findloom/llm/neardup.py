@@ -141,8 +141,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows connected, null only where all their doc_ids are. Repeated rows are copies of each other: those with the smallest doc_id are all
     kept. Other columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    d = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
+    return verdicts(docs, doc_id, text, words, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """near_duplicates with `content`, the MD5 of a text, and `component`, a number for the rows connected (null for texts without words).
+    Rows that agree in doc_id and content agree in everything; neither a null nor a shared doc_id names a row."""
+    d = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text")).withColumn("content", F.md5("text"))
     id_type = dict(d.dtypes)["doc_id"]
     id_arrow = d.limit(0).select("doc_id").toArrow().schema.field(0).type
 
@@ -152,12 +157,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).cast(id_arrow), pa.array([len(s) for s in sets], pa.int64()),
+                batch.column(0).cast(id_arrow), batch.column(2).cast(pa.string()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                 pa.array([bands(registers(s)).tolist() if len(s) else None for s in sets], pa.list_(pa.int64())),
-            ], ["doc_id", "n_shingles", "digest", "bands"])
+            ], ["doc_id", "content", "n_shingles", "digest", "bands"])
 
-    scanned = saved(d.mapInArrow(signed, f"doc_id {id_type}, n_shingles long, digest binary, bands array<long>"), "signed")
+    scanned = saved(d.mapInArrow(signed, f"doc_id {id_type}, content string, n_shingles long, digest binary, bands array<long>"), "signed")
     # a class is named by a number that follows the digest, so null doc_ids do no harm
     classes = scanned.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
     node = F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")
@@ -170,10 +175,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     blocks = F.when(F.col("size") <= GROUP, 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int")
     placed = coarse.join(sizes.where("size > 1"), "component").select("node", "component", blocks.alias("blocks"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # one row of documents stands for its class: the first by doc_id of those with the digest
-    chosen = scanned.where("digest is not null").select(node.alias("node"), "digest", "doc_id").groupBy("node", "digest").agg(F.min("doc_id").alias("doc_id"))
-    wanted = placed.join(chosen, "node").select("node", "component", "block", "blocks", "doc_id")
-    texts = d.join(wanted, d["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "component", "block", "blocks", "text")
+    # one text stands for its class: the first by doc_id of those with the digest; rows that repeat it bring it once
+    chosen = scanned.where("digest is not null").groupBy(node.alias("node"), "digest").agg(F.min(F.struct("doc_id", "content")).alias("row"))
+    wanted = placed.join(chosen, "node").select("node", "component", "block", "blocks", "row.*")
+    texts = d.join(wanted, (d["content"] == wanted["content"]) & d["doc_id"].eqNullSafe(wanted["doc_id"]))
+    texts = texts.groupBy("node", "component", "block", "blocks").agg(F.first("text").alias("text"))
     texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     texts = texts.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "text")
 
@@ -202,10 +208,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     linked = components(edges)
     names = classes.select(node.alias("node"), "digest", "least").join(linked, "node", "left")
     names = names.select("digest", "least", F.coalesce("component", "node").alias("component"))
-    named = names.join(names.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("digest", "component_id")
-    out = scanned.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    named = names.join(names.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("digest", "component", "component_id")
+    out = scanned.select("doc_id", "content", "n_shingles", "digest").join(named, "digest", "left")
     own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    return out.select("doc_id", "content", "n_shingles", "component", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,3 +24,15 @@ def test_stages(spark):
     texts = {r["doc_id"]: r["text"] for r in out["mixing sources"]}
     assert all(list(r["ids"]) == t.encode(texts[r["doc_id"]], add_special_tokens=False).ids for r in out["BPE encoding"])
     assert len(out["BPE encoding"]) == len(out["mixing sources"])
+
+
+def test_neardup_stage_by_text(spark):
+    """Null and shared doc_ids name no document: distinct texts stay, copies go, and each is compared on its own text."""
+    import corpus_pipeline as cp
+
+    a, b, c, e, f = (" ".join(f"{x}{i}" for i in range(80)) for x in "abcef")
+    near = lambda t: t + " end"
+    rows = [(None, a), (None, b), (None, near(b)), (3, c), (7, near(c)), (7, e), (7, f), (7, f), (9, None), (9, " "), (8, near(e))]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in cp.neardup_stage(spark, d, "").collect()]
+    assert sorted(got, key=str) == sorted([(None, a), (None, b), (3, c), (7, e), (7, f), (9, None), (9, " ")], key=str)
