@@ -24,8 +24,14 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOGIN = re.compile(r"[^\s/?#@:]+(?::[^\s/?#@]*)?@[A-Za-z0-9.-]+")
 SECRET = re.compile(r"[\"']?[\x20\t]*[:=][\x20\t]*[\"']?(?P<value>[A-Za-z0-9_./+=-]{8,})")
-ACCOUNT = re.compile(r"(?:[\x20]?(?:no|nr|num|number)\b\.?)?[\x20\t]*[:#=]?[\x20\t]*(?P<value>[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{6,18})(?![A-Za-z0-9])")
+ACCOUNT = re.compile(r"(?:[\x20]?(?i:no|nr|num|number)\b\.?)?[\x20\t]*[:#=]?[\x20\t]*(?P<value>[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{6,18})(?![A-Za-z0-9])")
 SECRET_CUES = ("password", "passwd", "token", "secret", "api_key", "api-key", "apikey")
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {c: n for n, codes in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for c in codes.split()}
 ACCOUNT_CUES = ("iban", "account", "acct", "ssn", "konto", "compte", "cuenta")
 
 
@@ -56,6 +62,21 @@ def iban(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
 
 
+def account_end(value: str) -> int:
+    """Where the account number at the start of a matched value ends; 0 if an IBAN is invalid. An IBAN is as long as its country's, so words
+    in capitals after it are left out; in countries not listed it ends at any space."""
+    if not value[:2].isalpha():
+        return len(value)
+    ends, n = [len(value)], IBAN_LENGTHS.get(value[:2])
+    if n:
+        at = [i for i, c in enumerate(value) if c != " "]
+        if n <= len(at) and (n == len(at) or value[at[n - 1] + 1] == " "):
+            ends.insert(0, at[n - 1] + 1)
+    else:
+        ends += [i for i in range(len(value) - 1, 14, -1) if value[i] == " "]
+    return next((e for e in ends if iban(value[:e])), 0)
+
+
 def spans_of(text: str | None) -> list[tuple[str, int, int]]:
     """All spans of a text, by kind as listed and then start; code points, end exclusive."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
@@ -69,7 +90,7 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
                 parts = m[0].split(".") if m.end() - at >= 7 else ()
                 for k in range(0, len(parts) - 3, 4):
                     start = at + sum(len(p) + 1 for p in parts[:k]) if k else at
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts[k : k + 4]):
+                    if all(len(q := p.lstrip("0")) <= 3 and int(q or 0) <= 255 for p in parts[k : k + 4]):
                         found["ip"].append((start, start + sum(len(p) + 1 for p in parts[k : k + 4]) - 1))
             if at >= done["card"]:
                 m = CARD.match(text, at)
@@ -100,9 +121,10 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
                 done["login"] = m.end()
         elif at >= done[what] and not (at and (text[at - 1].isalnum())) and (m := (SECRET if what == "secret" else ACCOUNT).match(text, last + 1)):
             value = m["value"]
-            if any(c.isdigit() for c in value) and (what == "secret" or not value[:2].isalpha() or iban(value)):
-                found[what].append(m.span("value"))
-                done[what] = m.end("value")
+            if any(c.isdigit() for c in value) and (n := len(value) if what == "secret" else account_end(value)):
+                start = m.start("value")
+                found[what].append((start, start + n))
+                done[what] = start + n
     return [(k, *s) for k in KINDS for s in found[k]]
 
 

@@ -222,6 +222,18 @@ def test_pii(spark):
     assert pii.mask_pii(docs(spark, TEXTS)).where("doc_id = 6").first()["text"].startswith("é日本 mail [EMAIL], [PHONE]")
 
 
+def test_pii_account_forms():
+    """Qualifiers in any case, words in capitals after an IBAN, and dotted chains of very many zeros."""
+    for cue in ("Account Number: ", "Account No. ", "ACCOUNT NUMBER: ", "account number: "):
+        assert pii.spans_of(cue + "12345678") == [("account", len(cue), len(cue) + 8)]
+    value = "DE89 3704 0044 0532 0130 00"
+    for after in ("", " BIC: X", " BIC COBADEFFXXX", " or so", "."):
+        assert pii.spans_of(f"IBAN: {value}{after}") == [("account", 6, 6 + len(value))]
+    for wrong in ("IBAN: DE88 3704 0044 0532 0130 00 BIC: X", f"IBAN: {value}X"):
+        assert pii.spans_of(wrong) == []
+    assert pii.spans_of("0" * 5000 + "1.2.3.4") == [("ip", 0, 5007)] and pii.spans_of("1.2.3.000256") == []
+
+
 def test_licenses(spark):
     texts = TEXTS + [(30, "a\nReleased under the MIT License.\nb"), (31, "Released under the MIX License."), (32, "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,\nprovided that the copyright notice and this permission notice appear in all copies.")]
     rows = {x["doc_id"]: [(s["license"], s["differences"]) for s in x["licenses"]] for x in licenses.scan_licenses(docs(spark, texts)).collect()}
