@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import collections
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,15 +11,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findloom.llm.common import saved, table
+from findloom.llm.common import saved, shared_dir, table
 
 #: Bytes of the grams whose least hash, in every stretch of the minimum length, names the shard of the stretch.
 GRAM = 16
 #: Bytes of text that are worked on at once in a document, and in a shard's transform.
 SEGMENT, BLOCK = 8 << 20, 1 << 20
+#: A gram in more rows than this is hot: its stretches are split by a second gram, and equal ones are one before they meet.
+HOT = 10_000
+#: Symbols that the first sort of a transform compares: seven of nine bits each.
+FIRST = 7
 _rng = np.random.default_rng(50)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_STEP = [np.uint64(x) for x in (_rng.integers(1, 1 << 62, 5) * 2 + 1)]
+_STEP = [np.uint64(x) for x in (_rng.integers(1, 1 << 62, 6) * 2 + 1)]
+_PLACE = np.uint64((1 << 24) - 1)
+_NEVER = (1 << 63) - 1
 
 
 def _grams(b: np.ndarray) -> np.ndarray:
@@ -30,10 +38,30 @@ def _grams(b: np.ndarray) -> np.ndarray:
     return h * _STEP[4]
 
 
-def stretches(text: bytes, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(gram hash, first start, number of starts) of the runs of starts whose `least` bytes have their least gram in one place.
+def _least(h: np.ndarray, span: int) -> np.ndarray:
+    """The place of the least of each `span` hashes; of equal ones the first."""
+    low, size = h & ~_PLACE | np.arange(len(h), dtype=np.uint64), 1
+    while 2 * size <= span:
+        low, size = np.minimum(low[:-size], low[size:]), 2 * size
+    if span > size:
+        low = np.minimum(low[: -(span - size)], low[span - size :])
+    return (low & _PLACE).astype(np.int64)
 
-    Equal strings have their least gram in the same place inside, so they meet under one hash.
+
+def _marks(h: np.ndarray, at: np.ndarray, half: int) -> np.ndarray:
+    """Two bytes for grams: what stands on the `half` bytes before each one, and on those after it; 0 where the text is too short for that."""
+    left, right = at >= half, at + half < len(h)
+    far = np.clip(np.stack([at - half, at + half]), 0, len(h) - 1)
+    near = np.clip(np.stack([at - half // 2, at + half // 2]), 0, len(h) - 1)
+    m = ((h[far] * _STEP[0] + h[near]) * _STEP[1] >> np.uint64(40)) % np.uint64(255) + np.uint64(1)
+    return np.where(left, m[0], 0) << np.uint64(8) | np.where(right, m[1], 0)
+
+
+def stretches(text: bytes, least: int, second: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(gram, marks or second gram, first start, number of starts) of the runs of starts whose `least` bytes have their least gram, and with
+    `second` their least one by another order too, in one place. A gram is 48 bits of its hash.
+
+    Equal strings have their least gram in the same place inside, so they meet under one gram.
     """
     span = least - GRAM + 1
     for base in range(0, max(1, len(text) - least + 1), SEGMENT):
@@ -41,54 +69,62 @@ def stretches(text: bytes, least: int) -> Iterator[tuple[np.ndarray, np.ndarray,
         if len(b) < least:
             return
         h = _grams(b)
-        key = h >> np.uint64(24) << np.uint64(24) | np.arange(len(h), dtype=np.uint64)
-        low, size = key, 1
-        while 2 * size <= span:
-            low, size = np.minimum(low[:-size], low[size:]), 2 * size
-        if span > size:
-            low = np.minimum(low[: -(span - size)], low[span - size :])
-        at = (low & np.uint64((1 << 24) - 1)).astype(np.int64)
-        first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-        yield h[at[first]].astype(np.int64), first + base, np.diff(np.append(first, len(at)))
-
-
-def transform(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix order, Burrows-Wheeler transform), suffixes being ordered by their first 2**k >= least symbols."""
-    rank, size = text.astype(np.int64), 1
+        at = _least(h, span)
+        new = at[1:] != at[:-1]
+        if second:
+            other = _least(h * _STEP[5], span)
+            new |= other[1:] != other[:-1]
+        first = np.concatenate([[0], np.flatnonzero(new) + 1])
+        extra = h[other[first]] if second else _marks(h, at[first], (least - GRAM + 1) // 2)
+        yield (h[at[first]] >> np.uint64(16)).astype(np.int64), extra.astype(np.int64), first + base, np.diff(np.append(first, len(at)))
+
+
+def transform(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix order, Burrows-Wheeler transform, where suffixes differ from the one before in FIRST symbols); suffixes are ordered by `least` symbols or more."""
+    padded = np.concatenate([text.astype(np.int64), np.zeros(FIRST, np.int64)])
+    key = padded[: len(text)].copy()
+    for k in range(1, FIRST):
+        key = key << 9 | padded[k : k + len(text)]
+    _, rank = np.unique(key, return_inverse=True)
+    size = FIRST
     while size < least:
         after = np.zeros_like(rank)
         after[:-size] = rank[size:] + 1
         _, rank = np.unique(rank * (int(rank.max()) + 2) + after, return_inverse=True)
         size *= 2
     order = np.argsort(rank, kind="stable")
-    return order, text[order - 1]
+    return order, text[order - 1], np.concatenate([[True], np.diff(key[order]) != 0])
 
 
-def common_prefixes(text: np.ndarray, bwt: np.ndarray, least: int) -> np.ndarray:
-    """Where neighbours in suffix order share fewer than `least` symbols: the number that they share, else -1.
+def common_prefixes(text: np.ndarray, bwt: np.ndarray, differ: np.ndarray, least: int) -> np.ndarray:
+    """Where neighbours in suffix order share fewer than `least` symbols: about how many (a bound), else -1.
 
-    Intervals of the suffixes that begin with one string are extended backwards by every symbol, all strings of a length together. An end that no shorter string
-    had gets the length as its common prefix and goes on; others stop. Lengths up to `least` are enough.
+    Intervals of the suffixes that begin with one string, at first of FIRST symbols, are extended backwards by every symbol, all strings of a length together. An
+    end that no shorter string had gets the length as its common prefix and goes on; others stop. Lengths up to `least` are enough.
     """
     n = len(text)
     column = np.sort(text)
     last_to_first = np.empty(n, np.int64)
     last_to_first[np.argsort(bwt, kind="stable")] = np.arange(n)
+    low = np.flatnonzero(differ)
+    high = np.append(low[1:], n)
     shared = np.full(n + 1, -1, np.int64)
-    shared[0] = shared[n] = 0
-    low, high = np.array([0]), np.array([n])
+    shared[low] = shared[high] = 0
     new_symbol = np.concatenate([[True], column[1:] != column[:-1]])
-    for length in range(least):
+    owner = np.full(n + 1, -1, np.int64)
+    for length in range(FIRST, least):
         sizes = high - low
         source = np.repeat(np.arange(len(low)), sizes)
-        at = np.arange(len(source)) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
-        owner = np.full(n + 1, -1, np.int64)
-        owner[last_to_first[at]] = source
-        edge = np.concatenate([[True], owner[1:n] != owner[: n - 1]]) | new_symbol
+        at = last_to_first[np.arange(len(source)) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)]
+        owner[at] = source
+        at.sort()
+        mine = owner[at]
+        edge = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (mine[1:] != mine[:-1]) | new_symbol[at[1:]]])
+        owner[at] = -1
         starts = np.flatnonzero(edge)
-        ends = np.append(starts[1:], n)
-        keep = (owner[starts] >= 0) & (shared[ends] < 0)
-        low, high = starts[keep], ends[keep]
+        ends = at[np.append(starts[1:], len(at)) - 1] + 1
+        keep = shared[ends] < 0
+        low, high = at[starts[keep]], ends[keep]
         shared[high] = length
         if not len(low):
             break
@@ -97,100 +133,199 @@ def common_prefixes(text: np.ndarray, bwt: np.ndarray, least: int) -> np.ndarray
 
 def first_holders(contexts: list[bytes], holders: np.ndarray, least: int) -> list[np.ndarray]:
     """For each context, by start: the least holder of any context that has the same `least` bytes."""
-    parts, starts, at = [], [], 0
-    for c in contexts:
-        parts += [np.frombuffer(c, np.uint8).astype(np.uint16) + 2, np.ones(1, np.uint16)]
-        starts.append(at)
-        at += len(c) + 1
-    text = np.concatenate([*parts, np.zeros(1, np.uint16)])
-    order, bwt = transform(text, least)
-    group = np.cumsum(common_prefixes(text, bwt, least) >= 0) - 1
-    none = np.iinfo(np.int64).max
-    holder = np.full(len(text), none)
-    for s, c, h in zip(starts, contexts, holders.tolist(), strict=True):
-        holder[s : s + len(c) - least + 1] = h
+    sizes = np.array([len(c) for c in contexts])
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    text = np.frombuffer(b"\0".join(contexts) + b"\0\0", np.uint8).astype(np.uint16) + 2
+    text[starts + sizes] = 1
+    text[-1] = 0
+    order, bwt, differ = transform(text, least)
+    group = np.cumsum(common_prefixes(text, bwt, differ, least) >= 0) - 1
+    n = sizes - least + 1
+    begins = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    holder = np.full(len(text), _NEVER)
+    holder[begins] = np.repeat(holders, n)
     least_of = np.minimum.reduceat(holder[order], np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1]))
     out = np.empty(len(text), np.int64)
     out[order] = least_of[group]
-    return [out[s : s + len(c) - least + 1] for s, c in zip(starts, contexts, strict=True)]
-
-
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 50) -> DataFrame:
-    """A row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept (binary).
+    return np.split(out[begins], np.cumsum(n)[:-1])
+
+
+def _shared_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, 2 * gram + hot) of sorted (gram and marks, row) ones whose gram another row has with what's before or after it. Of a gram in more
+    than HOT rows all are hot; they pass as they come, so no gram is held whole."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    hot = None
+
+    def told(row: np.ndarray, gram: np.ndarray, flag: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(gram * 2 + flag)], ["row", "tag"])
+
+    def judged(key: np.ndarray, row: np.ndarray) -> Iterator[pa.RecordBatch]:
+        gram, fine = key >> 16, np.zeros(len(key), bool)
+        counts = np.diff(np.append(np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])), len(gram)))
+        many = np.repeat(counts > HOT, counts)
+        for mark in (key >> 8 & 255, key & 255):
+            k = gram << 8 | mark
+            order = np.argsort(k, kind="stable")
+            cut = np.flatnonzero(np.concatenate([[True], np.diff(k[order]) != 0]))
+            some = np.minimum.reduceat(row[order], cut) < np.maximum.reduceat(row[order], cut)
+            fine[order] |= np.repeat(some, np.diff(np.append(cut, len(k)))) & (mark[order] > 0)
+        for flag, rows in ((0, fine & ~many), (1, many)):
+            if rows.any():
+                yield told(row[rows], gram[rows], flag)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        last = held[-1][0][-1] >> 16
+        if hot is None and sum(len(k) for k, _ in held) < 1 << 18:
+            continue
+        key, row = (np.concatenate(x) for x in zip(*held))
+        if hot is not None:
+            n = np.searchsorted(key >> 16, hot, "right")
+            if n:
+                yield told(row[:n], key[:n] >> 16, 1)
+            key, row, hot = key[n:], row[n:], hot if last == hot else None
+        n = np.searchsorted(key >> 16, last) if len(key) else 0
+        if n:
+            yield from judged(key[:n], row[:n])
+        if len(key) - n > HOT:
+            yield told(row[n:], key[n:] >> 16, 1)
+            n, hot = len(key), last
+        held = [(key[n:], row[n:])] if len(key) > n else []
+    if held:
+        yield from judged(*(np.concatenate(x) for x in zip(*held)))
+
+
+def _judge(least: int, every: bool = False):
+    """Rows (shard, who, rank, first, context), sorted by shard, to the runs of starts whose strings a smaller rank has in the shard (all runs with
+    `every`): who, rank, first start, starts, the least rank. Equal contexts are one; those that stand alone in their shard need no transform."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size, last, seen, kind = 0, None, set(), None
 
-    Removed is each byte inside a string of `least` bytes that also starts in a document with a smaller doc_id; strings are judged on the input and never
-    cross documents. Stretches are named by their least gram; only grams of two or more documents go on, equal stretches are one row with their first
-    holder, and shards of whole grams get a transform each. Null texts count as empty, null doc_ids as larger than all; rows that share a doc_id and a text
-    are equal and share their spans. A text shorter than `least` loses nothing. Other columns are ignored; an empty table gives an empty result.
-    """
-    largest = F.lit((1 << 63) - 1)
-    d = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
-    keyed = d.select(F.coalesce(F.col("doc_id").cast("long"), largest).alias("id"), "text")
+        def done() -> pa.RecordBatch:
+            holder: dict[tuple, int] = {}
+            for s, _, rank, _, c in rows:
+                holder[s, c] = min(rank, holder.get((s, c), rank))
+            number = collections.Counter(s for s, _ in holder)
+            several = [k for k in holder if number[k[0]] > 1]
+            found = dict(zip(several, first_holders([c for _, c in several], np.array([holder[k] for k in several]), least))) if several else {}
+            out: list[tuple] = []
+            for s, who, rank, first, c in rows:
+                h = found.get((s, c))
+                if h is None:
+                    h = np.array([holder[s, c]])
+                    cut = [0, len(c) - least + 1]
+                else:
+                    cut = [0, *(np.flatnonzero(np.diff(h)) + 1).tolist(), len(h)]
+                out += [(who, rank, first + i, j - i, int(h[i])) for i, j in zip(cut, cut[1:]) if every or h[i] < rank]
+            cols = list(zip(*out)) or [[], [], [], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (kind, *[pa.int64()] * 4))], ["who", "rank", "first", "n", "holder"])
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = np.unique(np.concatenate([np.empty(0, np.int64), *[x[0] for x in stretches(t, least)]]))
-                if len(h):
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), i))], ["gram", "id"])
+            kind = batch.column(1).type
+            for r in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if r[0] != last:
+                    if size >= BLOCK:
+                        yield done()
+                        rows, size = [], 0
+                    last, seen = r[0], set()
+                rows.append(r)
+                size += 16 if r[4] in seen else len(r[4]) + 1
+                seen.add(r[4])
+        if rows:
+            yield done()
 
-    shared = keyed.mapInArrow(grams, "gram long, id long").groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("gram")
-    shared = saved(shared, "grams")
+    return judge
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for h, first, n in stretches(t, least):
-                    ctx = [t[a : a + k + least - 1] for a, k in zip(first.tolist(), n.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), i)), pa.array(first), pa.array(ctx, pa.binary())], ["gram", "id", "first", "context"])
 
-    found = keyed.mapInArrow(cut, "gram long, id long, first long, context binary").join(shared, "gram", "left_semi")
-    found = saved(found.withColumn("key", F.md5("context")), "stretches")
-    holders = found.groupBy("gram", "key").agg(F.min("id").alias("holder"), F.first("context").alias("context"))
+def _by_row(d: DataFrame, name: str) -> DataFrame:
+    """d as a table that is bucketed by `row` in the shared folder, so that joins by row move the texts only once."""
+    spark = d.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{name}_{uuid.uuid4().hex}"
+    d.repartition(n, "row").write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, "row").saveAsTable(name)
+    return spark.table(name)
 
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, contexts, ids, size, last = [], [], [], 0, None
 
-        def done() -> pa.RecordBatch:
-            lists = first_holders(contexts, np.array(ids), least)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array([x.tolist() for x in lists], pa.list_(pa.int64()))], ["key", "holders"])
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 50) -> DataFrame:
+    """A row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept (binary).
 
-        for batch in batches:
-            for g, k, h, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if size >= BLOCK and g != last:
-                    yield done()
-                    keys, contexts, ids, size = [], [], [], 0
-                last = g
-                keys.append(k)
-                contexts.append(c)
-                ids.append(h)
-                size += len(c) + 1
-        if keys:
-            yield done()
+    Removed is each byte inside a string of `least` bytes that also starts in a document with a smaller doc_id; strings are judged on the input and never
+    cross documents. Rows go by doc_id and a digest of the text, so a shared or null doc_id mixes nothing. Of equal texts only those with the least doc_id are
+    searched; the others lose all if they're long enough. Stretches are named by their least gram. Only grams and rows are shuffled to find which grams
+    rows share; then each such stretch goes to its gram's shard, and shards of whole grams get a transform each. Stretches of grams in more than HOT rows are split by a
+    second gram, and equal ones are one before they're compared. Null texts count as empty, null doc_ids as larger than all and as one
+    another's equals; rows that share a doc_id and a text are equal. A text shorter than `least` loses nothing. doc_id is a number. Other columns
+    are ignored; an empty table gives an empty result.
+    """
+    assert least >= 2 * GRAM
+    kind = docs.select(F.col(f"`{doc_id}`").alias("x")).dtypes[0][1]
+    d = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary").alias("text"))
+    d = d.withColumns({"rank": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NEVER)), "content": F.md5("text")})
+    name = lambda rank: F.xxhash64(rank, "content")
+    d = _by_row(d.withColumn("row", name("rank")), "texts")
+    classes = d.groupBy("content").agg(F.min("rank").alias("least"))
+    firsts = saved(classes.select(name("least").alias("row"), "content", "least"), "firsts")
+    own = firsts.select("row", F.col("content").alias("c"))
+    searched = d.join(own, "row").where("content = c").select("row", "rank", "text")
 
-    judged = saved(holders.select("gram", "key", "holder", "context").repartition("gram").sortWithinPartitions("gram").mapInArrow(shard, "key string, holders array<long>"), "holders")
-    hits = found.select("id", "first", "key").join(judged, "key")
-    runs = F.filter(F.transform("holders", lambda h, i: F.when(h < F.col("id"), F.col("first") + i)), lambda x: x.isNotNull())
-    hits = hits.select("id", F.explode(runs).alias("at")).groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("at"))
-    own = F.coalesce(F.col("doc_id").cast("long"), largest)
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for g, marks, _, _ in stretches(t, least):
+                    keys.append(np.unique(g << 16 | marks))
+                    rows.append(np.full(len(keys[-1]), r))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(rows))], ["key", "row"])
+
+    def cutter(hot: bool):
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cols: list[list] = [[], [], [], [], []]
+                for r, k, t, tags in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    for g, extra, first, n in stretches(t, least, hot):
+                        at = np.flatnonzero(np.isin(g, tags))
+                        shard = (g[at] * 31 ^ extra[at]) if hot else g[at]
+                        a, b = first[at].tolist(), (first[at] + n[at] + least - 1).tolist()
+                        for c, x in zip(cols, (shard.tolist(), [r] * len(at), [k] * len(at), a, [t[i:j] for i, j in zip(a, b)])):
+                            c += x
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (*[pa.int64()] * 4, pa.binary()))], ["shard", "row", "rank", "first", "context"])
+
+        tagged = searched.join(tags.where(F.col("tag") % 2 == int(hot)).groupBy("row").agg(F.collect_set(F.shiftright("tag", 1)).alias("tags")), "row")
+        return tagged.select("row", "rank", "text", "tags").mapInArrow(cut, "shard long, row long, rank long, first long, context binary")
+
+    found = "rank long, first long, n long, holder long"
+    whole = lambda x, every, who: x.repartition("shard").sortWithinPartitions("shard").mapInArrow(_judge(least, every), f"who {who}, {found}")
+    held = searched.select("row", "text").mapInArrow(grams, "key long, row long")
+    tags = saved(held.repartition(F.shiftright("key", 16)).sortWithinPartitions("key").mapInArrow(_shared_grams, "row long, tag long"), "tags")
+    cold = whole(cutter(False), False, "long").select(F.col("who").alias("row"), "rank", "first", "n")
+    many = saved(cutter(True).withColumn("key", F.md5(F.concat(F.col("shard").cast("string").cast("binary"), "context"))), "stretches")
+    one = many.groupBy("key", "shard").agg(F.min("rank").alias("rank"), F.first("context").alias("context"))
+    judged = whole(one.select("shard", "key", "rank", F.lit(0).cast("long").alias("first"), "context"), True, "string").select("who", F.col("first").alias("after"), "n", "holder")
+    hot = many.select("row", "rank", "first", "key").join(judged, F.col("key") == F.col("who")).where("holder < rank").select("row", "rank", (F.col("first") + F.col("after")).alias("first"), "n")
+    copies = d.select("row", "rank", "content").join(firsts.select("content", "least"), "content").where("rank > least").select("row", "rank", F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("n"))
+    spans = cold.unionByName(hot).unionByName(copies.distinct()).groupBy("row").agg(F.collect_list(F.struct("rank", "first", "n")).alias("spans"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for t, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                a = np.array(at or [], np.int64)
-                a = a[a + least <= len(t)]
+            for rank, t, spans in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 step = np.zeros(len(t) + 1, np.int64)
-                np.add.at(step, a, 1)
-                np.add.at(step, a + least, -1)
+                for s in spans or ():
+                    end = (len(t) if s["n"] < 0 else s["first"] + s["n"] + least - 1) if s["rank"] == rank else 0
+                    if least <= end <= len(t):
+                        step[s["first"]] += 1
+                        step[end] -= 1
                 gone = np.cumsum(step[:-1]) > 0
-                spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and gone[0]))
-                rows.append((len(t), int(gone.sum()), spans, np.frombuffer(t, np.uint8)[~gone].tobytes()))
+                n = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and gone[0]))
+                rows.append((len(t), int(gone.sum()), n, np.frombuffer(t, np.uint8)[~gone].tobytes()))
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    kind = dict(d.dtypes)["doc_id"]
-    return d.join(hits, own == hits["id"], "left").select("doc_id", "text", "at").mapInArrow(strip, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return d.join(spans, "row", "left").select("doc_id", "rank", "text", "spans").mapInArrow(strip, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,22 +180,39 @@ def test_vectors_of_sparse_pairs(spark):
         assert sum(links[i] for i in part) >= 0.98 * truth[part].sum()
 
 
-def test_substrings(spark):
-    r = random.Random(4)
-    passage = "".join(r.choice("abcde fghij") for _ in range(130))
-    texts = TEXTS + [(20 + k, f"{r.random()} {passage[: r.randint(40, 130)]} {r.random()}") for k in range(12)]
-    got = sorted((x["doc_id"], x["n_bytes"], x["n_removed"], hashlib.sha256(bytes(x["kept"])).hexdigest()) for x in substrings.remove_repeats(docs(spark, texts)).collect())
-    first, want = {}, []
+def brute_repeats(texts):
+    none, first, want = 1 << 62, {}, []
     for d, t in texts:
         b = (t or "").encode()
         for j in range(len(b) - 49):
-            first[b[j : j + 50]] = min(first.get(b[j : j + 50], 1 << 60), d)
+            first[b[j : j + 50]] = min(first.get(b[j : j + 50], none), none if d is None else d)
     for d, t in texts:
         b = (t or "").encode()
-        gone = {j + k for j in range(len(b) - 49) if first[b[j : j + 50]] < d for k in range(50)}
-        want.append((d, len(b), len(gone), hashlib.sha256(bytes(c for j, c in enumerate(b) if j not in gone)).hexdigest()))
-    assert got == sorted(want)
+        gone = {j + k for j in range(len(b) - 49) if first[b[j : j + 50]] < (none if d is None else d) for k in range(50)}
+        want.append((d, len(b), len(gone), sum(j - 1 not in gone for j in gone), hashlib.sha256(bytes(c for j, c in enumerate(b) if j not in gone)).hexdigest()))
+    return sorted(want, key=str)
+
+
+@pytest.mark.parametrize("hot", [10_000, 3])
+def test_substrings(spark, hot, monkeypatch):
+    """Shared and null doc_ids, copies, long runs of one letter; grams that are hot and such that aren't."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    r = random.Random(4)
+    passages = ["".join(r.choice("abcde fghij") for _ in range(130)) for _ in range(3)]
+    texts = TEXTS + [(7, "yy" + "x" * 60), (2, passages[0] + "Y" * 3), (2, "unrelated text that no other document has at all, more than fifty bytes")]
+    for k in range(40):
+        p, a = r.choice(passages), r.randint(0, 60)
+        texts.append((r.choice([None, None, 5, 9, 20 + k]), f"{r.random()} {p[a : a + r.randint(40, 70)]} {r.random()} {r.choice(passages)[: r.randint(0, 130)]}"))
+    texts += [texts[-1], (1000, texts[-3][1]), (None, texts[-4][1])]
+    got = [(x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], hashlib.sha256(bytes(x["kept"])).hexdigest()) for x in substrings.remove_repeats(docs(spark, texts)).collect()]
+    assert sorted(got, key=str) == brute_repeats(texts)
+
+
+def test_substrings_of_nothing(spark):
     assert substrings.remove_repeats(docs(spark, [])).count() == 0
+    text = ("one two three " + "x" * 80).encode()
+    found = substrings.first_holders([text, text[5:]], np.array([7, 3]), 50)
+    assert found[0].tolist() == [7] * 5 + [3] * (len(text) - 54) and set(found[1].tolist()) == {3}
 
 
 BASE = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
