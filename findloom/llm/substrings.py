@@ -269,8 +269,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     d = _by_row(d.withColumn("row", name("rank")), "texts")
     classes = d.groupBy("content").agg(F.min("rank").alias("least"))
     firsts = saved(classes.select(name("least").alias("row"), "content", "least"), "firsts")
-    own = firsts.select("row", F.col("content").alias("c"))
-    searched = d.join(own, "row").where("content = c").select("row", "rank", "text")
+    own = firsts.groupBy("row").agg(F.collect_set("content").alias("own"))  # an array, so that the join stays one by row and moves no text
+    searched = d.join(own, "row").where(F.array_contains("own", F.col("content"))).select("row", "rank", "text")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
