@@ -25,12 +25,12 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 class SequenceWriter:
-    """Packs ids into sequences of `length` and writes `batch` of them at a time; the last sequence is padded with 0 under a false mask."""
+    """Packs ids into sequences of `length` and writes `batch` of them at a time; the last sequence is padded with 0 under a mask of 0. Masks are bytes, 1 for an id, so they too are read in place."""
 
     def __init__(self, path: str, length: int = LENGTH, batch: int = BATCH, dtype=np.uint16):
         self.fs, self.path = _open(path)
         self.length, self.batch, self.dtype = length, batch, np.dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.dtype), length)), ("mask", pa.list_(pa.uint8(), length))])
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.file = self.fs.open_output_stream(self.path)
         self.out = pa.ipc.new_stream(self.file, self.schema)
@@ -50,8 +50,8 @@ class SequenceWriter:
 
     def _write(self, ids: np.ndarray, n: int) -> None:
         rows = -(-n // self.length)
-        flat, mask = np.zeros(rows * self.length, self.dtype), np.zeros(rows * self.length, bool)
-        flat[:n], mask[:n] = ids, True
+        flat, mask = np.zeros(rows * self.length, self.dtype), np.zeros(rows * self.length, np.uint8)
+        flat[:n], mask[:n] = ids, 1
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=self.schema.field(i).type) for i, x in enumerate((flat, mask))]
         self.out.write_batch(pa.record_batch(lists, schema=self.schema))
 
@@ -63,18 +63,19 @@ class SequenceWriter:
 
 
 def read_sequences(path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, mask) of each batch, as arrays of sequences; ids are views of the file's memory where it can be mapped."""
+    """(ids, mask) of each batch, as arrays of sequences; both are views of the file's memory where it can be mapped."""
     fs, at = _open(path)
     source = pa.memory_map(at) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(at)
     with pa.ipc.open_stream(source) as stream:
         for batch in stream:
             ids, mask = batch.column(0), batch.column(1)
             length = ids.type.list_size
-            yield ids.flatten().to_numpy(zero_copy_only=True).reshape(-1, length), mask.flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
+            yield ids.flatten().to_numpy(zero_copy_only=True).reshape(-1, length), mask.flatten().to_numpy(zero_copy_only=True).reshape(-1, length)
 
 
 class Sequences:
-    """Random access to a mapped stream file: every batch but the last has as many rows, so a sequence's place is arithmetic."""
+    """Random access to a mapped stream file: every batch but the last has as many rows, so a sequence's place is arithmetic. Opening it reads the batches'
+    headers alone; ids and masks are views, paged in when they're used."""
 
     def __init__(self, path: str):
         self.batches = list(read_sequences(path))
@@ -91,8 +92,8 @@ class Sequences:
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, length: int = LENGTH) -> DataFrame:
     """Writes ids of docs, in ascending doc_id order over files in the order of `file`, and returns the manifest: file, path, n_docs, n_ids.
 
-    Each text is encoded whole (null and empty: no ids) and end_id follows it. Rows with one doc_id stand in the order of their texts, null doc_ids
-    first. Rows are dealt by ranges of doc_id and a task writes one data file and one file of (doc_id, n_ids) rows under names of its own attempt, so a
+    Each text is encoded whole (null and empty: no ids) and end_id follows it. Rows with one doc_id stand in the order of a hash of their texts, null doc_ids
+    first. Rows are dealt by ranges of doc_id and that hash, so rows that share a doc_id, or have none, spread too, and a task writes one data file and one file of (doc_id, n_ids) rows under names of its own attempt, so a
     task that runs again never disturbs a file; the manifest, written once, names the files that count. An empty table gives an
     empty manifest. Only doc_id and text are read, whatever else docs has. A task holds one Arrow batch and one batch of sequences.
     """
@@ -126,7 +127,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_
             file.close()
             yield pa.RecordBatch.from_pydict({"file": [context.partitionId()], "path": [name], "n_docs": [n_docs], "n_ids": [n_ids]}, pa.schema([("file", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    dealt = key.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    dealt = key.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     return saved(dealt.mapInArrow(write, "file int, path string, n_docs long, n_ids long"), "manifest")
 
 

@@ -33,8 +33,17 @@ def tokenizer(path: str):
     return t
 
 
+#: White space that doesn't stand alone, or at a text's end more than once: such texts are split by the whole pattern.
+RUNS = re.compile(r"[\t\r]|  | \n|\n |\n\n\n|\n\n$| $")
+#: Stands for the lack of a space before what follows.
+BARE = "\x01"
+
+
 class Encoder:
-    """ids of whole texts, equal to the library's encode(text, add_special_tokens=False), as little-endian unsigned 32-bit integers."""
+    """ids of whole texts, equal to the library's encode(text, add_special_tokens=False), as little-endian unsigned 32-bit integers.
+
+    Texts are cut at white space, where pre-tokens always end, and the library encodes each new piece; what it says is remembered.
+    """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.remembered = remembered
@@ -42,41 +51,79 @@ class Encoder:
         self.split, self.lower = SPLITS.get(kind), kind == "word_bpe"
         self.ids: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        # plain words are split again where they stand when they're put together, which costs less than a call for each
-        plain = [w for w in words if (w.isalpha() if self.lower else w[0] == " " and w[1:].isalpha()) and len(w) <= LONGEST]
-        other = list(set(words).difference(plain))
-        for part, got in ((plain, self.tokenizer.encode((" " if self.lower else "").join(plain), add_special_tokens=False)), (other, self.tokenizer.encode(other, is_pretokenized=True, add_special_tokens=False))):
+        self.long: list[str] = []
+
+    def pieces(self, text: str) -> list[str] | None:
+        """A text's pieces; None for a text that the library has to take whole. In the byte files a piece has a space before it unless it starts with BARE; one of
+        single white space stands alone."""
+        if not self.split or "<|" in text or PLAIN.search(text):
+            return None
+        if self.lower:
+            return text.lower().split()
+        if RUNS.search(text):
+            return [x[1:] if x[0] == " " and x != " " else BARE + x for x in self.split.findall(text)]
+        return (BARE + text.replace("\n", f" {BARE}\n {BARE}")).split(" ")
+
+    def _learn(self, pieces: set[str]) -> None:
+        words, several = set(), []
+        for x in pieces:
+            if x.isalpha():
+                words.add(x)
+                continue
+            own = self.split.findall(self._text(x))
+            if not self.lower:
+                own = [w[1:] if w[0] == " " and w != " " else BARE + w for w in own]
+            if own == [x]:
+                words.add(x)
+            else:
+                several.append((x, own))
+                words.update(w for w in own if w not in self.ids)
+        self._words(words)
+        for x, own in several:
+            self.ids[x] = b"".join(map(self.ids.__getitem__, own))
+
+    def _text(self, piece: str) -> str:
+        return piece if self.lower else piece[1:] if piece[:1] == BARE else " " + piece
+
+    def _words(self, words: set[str]) -> None:
+        """Remembers pre-tokens. Plain words are split again where they stand when they're put together, which costs less than a call for each."""
+        plain = [w for w in words if w.isalpha() and len(w) <= LONGEST]
+        other = list(words.difference(plain))
+        joined = " ".join(plain) if self.lower else "".join([" " + w for w in plain])
+        for part, got in ((plain, self.tokenizer.encode(joined, add_special_tokens=False)), (other, self.tokenizer.encode([self._text(w) for w in other], is_pretokenized=True, add_special_tokens=False))):
             counts = np.bincount(np.array(got.word_ids, np.int64), minlength=len(part))
             assert len(counts) == len(part)
             flat, at = np.array(got.ids, "<u4").tobytes(), 0
             for w, end in zip(part, (4 * np.cumsum(counts)).tolist(), strict=True):
                 self.ids[w] = flat[at:end]
                 at = end
+        self.long += [w for w in words if len(w) > LONGEST]
 
-    def _need(self, words: set[str]) -> list[str]:
-        """Has the ids of all words at hand; returns those too long to remember. When `remembered` are held, only those used since the last time stay."""
+    def _need(self, pieces: set[str]) -> None:
+        """Has the ids of all pieces at hand. When `remembered` are held, only those used since the last time stay."""
         if len(self.ids) > self.remembered:
             self.ids, self.older = {}, self.ids
-        new = words.difference(self.ids)
-        kept = {w: self.older[w] for w in new if w in self.older}
-        self.ids.update(kept)
-        if new := list(new.difference(kept)):
+        new = pieces.difference(self.ids)
+        if self.older:
+            kept = {w: self.older[w] for w in new if w in self.older}
+            self.ids.update(kept)
+            new.difference_update(kept)
+        if new:
+            self.long = [w for w in new if len(w) > LONGEST]
             self._learn(new)
-        return [w for w in new if len(w) > LONGEST]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (null: none)."""
         out: list[bytes] = []
         for at in range(0, len(texts), 256):
             part = [x or "" for x in texts[at : at + 256]]
-            words = [self.split.findall(x.lower() if self.lower else x) if self.split and "<|" not in x and not PLAIN.search(x) else None for x in part]
-            long = self._need(set().union(*filter(None, words)))
+            pieces = [self.pieces(x) for x in part]
+            self._need(set().union(*filter(None, pieces)))
             get = self.ids.__getitem__
-            out += [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() if w is None else b"".join(map(get, w)) for x, w in zip(part, words, strict=True)]
-            for w in long:
-                del self.ids[w]
+            out += [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() if w is None else b"".join(map(get, w)) for x, w in zip(part, pieces, strict=True)]
+            for w in self.long:  # used once, not remembered
+                self.ids.pop(w, None)
+            self.long = []
         return out
 
 

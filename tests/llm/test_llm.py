@@ -65,29 +65,51 @@ def test_encoder_equals_the_library(name):
 
 
 def test_bpe_tree_and_decode(spark):
+    """Encode, decode and digests against the library: long texts with and without spaces, null and shared doc_ids, a clashing ids column, an empty table."""
     path = tok.path("word_bpe_49k.json")
     t = tokens.tokenizer(path)
-    texts = TEXTS + [(10, "abetter" * 400 + " don't 's é"), (11, "a b" * 999)]
-    got = bpe.decode(bpe.encode(docs(spark, texts), path, piece=300), path).collect()
-    assert len(got) == len(texts)
-    want = {i: t.encode(x or "", add_special_tokens=False).ids for i, x in texts}
-    for r in got:
-        assert list(r["ids"]) == want[r["doc_id"]] and r["decoded"] == t.decode(want[r["doc_id"]], skip_special_tokens=False)
+    r = random.Random(5)
+    texts = TEXTS + [(10, "abetter" * 400 + " don't 's é"), (11, "a b" * 999), (11, "a b" * 999), (None, "".join(r.choice("abcde") for _ in range(3000))), (None, "9" * 2000)]
+    d = spark.createDataFrame([(i, x, "clash", "clash") for i, x in texts], "doc_id long, text string, ids string, decoded string")
+    want = [(i, t.encode(x or "", add_special_tokens=False).ids) for i, x in texts]
+    got = bpe.decode(bpe.encode(d, path, piece=300), path).collect()
+    told = lambda ids: t.decode(ids, skip_special_tokens=False)
+    assert sorted(((x["doc_id"], list(x["ids"]), x["decoded"]) for x in got), key=str) == sorted(((i, ids, told(ids)) for i, ids in want), key=str)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = [tuple(x) for x in bpe.digests(d, path, piece=300).collect()]
+    assert sorted(rows, key=str) == sorted(((i, len(ids), sha(" ".join(map(str, ids))), sha(told(ids))) for i, ids in want), key=str)
+    assert bpe.digests(d.limit(0), path).count() == bpe.encode(d.limit(0), path).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_bpe_joins_inside_a_run(name):
+    """Halves of long runs of letters or digits, joined by windows that start and end inside them."""
+    path, r, inside = tok.path(name), random.Random(8), 0
+    t = tokens.tokenizer(path)
+    ids = lambda x: t.encode(x, add_special_tokens=False).ids
+    for k in range(300):
+        x = "".join(r.choice("0123456789" if k % 4 == 0 else "abcdefghijklmnopqrstuvwxyz"[: r.choice([2, 5, 26])]) for _ in range(r.randint(150, 500)))
+        at = r.randint(1, len(x) - 1)
+        assert bpe.join(path, x[:at], ids(x[:at]), x[at:], ids(x[at:]), 8) == ids(x)
+        inside += bpe.join_inside(path, x[:at], ids(x[:at]), x[at:], ids(x[at:]), 32) is not None
+    assert inside > 150
 
 
 def test_token_files(spark, tmp_path):
     path = tok.path("byte_bpe_50k.json")
     t = tokens.tokenizer(path)
-    m = tokenfiles.write_tokens(docs(spark, TEXTS), path, f"file://{tmp_path}/t", length=64)
+    texts = TEXTS + [(None, "no id"), (None, "none either, but longer"), (None, None), (4, "the same id")]
+    m = tokenfiles.write_tokens(docs(spark, texts), path, f"file://{tmp_path}/t", length=64)
     got = [tuple(r) for r in tokenfiles.read_tokens(m).orderBy("start").collect()]
-    want, start = [], 0
-    for i, x in sorted(TEXTS, key=lambda r: (r[0], r[1] or "")):
+    starts, keys, want = [r[1] for r in got], [-1 if r[0] is None else r[0] for r in got], []
+    for i, x in texts:
         ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
-        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        start += len(ids)
-    assert got == want
+        want.append((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    assert keys == sorted(keys) and starts == np.cumsum([0, *[r[2] for r in got[:-1]]]).tolist()
+    assert sorted(((r[0], r[2], r[3]) for r in got), key=str) == sorted(want, key=str)
     s = tokenfiles.Sequences(m.orderBy("file").first()["path"] + ".arrows")
-    assert s[0][0].shape == (64,) and not s[0][0].flags.owndata and len(s) > 0
+    ids, mask = s[0]
+    assert ids.shape == mask.shape == (64,) and not ids.flags.owndata and not mask.flags.owndata and not ids.flags.writeable and mask[0] == 1 and len(s) > 0
     assert tokenfiles.read_tokens(tokenfiles.write_tokens(docs(spark, []), path, f"file://{tmp_path}/e")).count() == 0
 
 
