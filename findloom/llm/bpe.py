@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from findloom.llm.common import fresh, table
+from findloom.llm.common import fresh, saved, table, without
 from findloom.llm.tokens import encoder, id_lists, tokenizer
 
 #: Texts of more characters than this are encoded in pieces of so many.
-PIECE = 1 << 16
+PIECE = 1 << 14
 #: Pre-tokens that a worker remembers; the workers that decode need room beside it.
 REMEMBERED = 150_000
 #: Characters on either side of a join that are encoded anew at first.
@@ -33,9 +36,12 @@ def join(path: str, left: str, left_ids: list[int], right: str, right_ids: list[
     A window around the join starts and ends at white space and is encoded anew, as are its own halves within left and right. When
     the window begins with what left ends with, up to a token before the join, and ends with what right begins with, from
     a token after the join, the rest of either side can't change and the middle is replaced. Otherwise it grows; a window over all of both is exact.
+    Where all of a window is one run of letters, or of digits, it may start and end inside it (see join_inside).
     """
     size = first
     while True:
+        if (ids := join_inside(path, left, left_ids, right, right_ids, size)) is not None:
+            return ids
         a, b = _space_before(left, len(left) - size), _space_after(right, size)
         whole = a == 0 and b == len(right)
         ids, spans = _offsets(path, left[a:] + right[:b])
@@ -53,6 +59,42 @@ def join(path: str, left: str, left_ids: list[int], right: str, right_ids: list[
         size *= 2
 
 
+def join_inside(path: str, left: str, left_ids: list[int], right: str, right_ids: list[int], size: int) -> list[int] | None:
+    """join within one run of ASCII letters or digits that has no white space near; None where the window's sides don't agree.
+
+    In a run a list of tokens is what the whole run gives when each two neighbours are what their own text gives. So one token that the window shares with left,
+    and a later one that it shares with right, carry both sides' proofs over the join. Tokens at the edges that a cut made are passed over.
+    """
+    tail, head = left[-size:], right[:size]
+    run = tail + head
+    if len(tail) < size or len(head) < size or not (run.isascii() and (run.isalpha() or run.isdigit())):
+        return None
+    (t_ids, t_spans), (h_ids, h_spans), (ids, spans) = (_offsets(path, x) for x in (tail, head, run))
+    at = dict(zip(spans, range(len(ids))))
+    same_tail = _same(reversed(t_ids), reversed(left_ids))
+    same_head = _same(h_ids, right_ids)
+    for i in range(max(1, len(t_ids) - same_tail + 1), len(t_ids) - 1):
+        k = at.get(t_spans[i])
+        if k is None or ids[k] != t_ids[i]:
+            continue
+        for j in range(1, same_head - 1):
+            m = at.get((h_spans[j][0] + size, h_spans[j][1] + size))
+            if m is not None and m > k and ids[m] == h_ids[j]:
+                return [*left_ids[: len(left_ids) - (len(t_ids) - i)], *ids[k:m], *right_ids[j:]]
+        return None
+    return None
+
+
+def _same(a, b) -> int:
+    """How many items two sequences share from their start."""
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            return n
+        n += 1
+    return n
+
+
 def _agree(a, b, inside) -> Iterator[int]:
     for (i, s), (j, t) in zip(a, b):
         if i != j or s != t or not inside(s):
@@ -84,8 +126,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", pie
     in parallel; neighbours are then joined two by two, one shuffle a level, so 2**k pieces take k levels. Repeated rows share one
     result; an empty table gives an empty one; other columns pass through and an input column named as `ids` is replaced.
     """
-    n, key = fresh(docs, "n"), fresh(docs, "key")
-    d = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c.lower() != ids.lower() or c == text]).withColumn(n, F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0)))
+    own = fresh(docs, "text")
+    d = without(docs.withColumn(own, F.col(f"`{text}`").cast("string")), *([ids] if ids.lower() != text.lower() else []))
+    short, long = _by_length(d, piece, own)
 
     def whole(texts: pa.Array) -> pa.Array:
         encode, out = encoder(path, REMEMBERED).encode, []
@@ -93,16 +136,31 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", pie
             out += encode(texts[at : at + 256].to_pylist())
         return id_lists(out)
 
-    kind = T.ArrayType(T.IntegerType())
-    short = d.where(F.col(n) <= piece).withColumn(ids, F.arrow_udf(whole, kind)(F.col(f"`{text}`").cast("string"))).drop(n)
-    long = d.where(F.col(n) > piece).withColumn(key, F.sha2(F.col(f"`{text}`"), 256))
-    most = long.agg(F.max(n)).first()[0]
-    if most is None:
-        return short
-    different = long.select(F.col(key).alias("key"), F.col(f"`{text}`").alias("text"), F.col(n).alias("n")).dropDuplicates(["key"])
-    pieces = different.select("key", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / piece).cast("int"))).alias("at"), "text")
-    pieces = pieces.select("key", "at", F.expr(f"substring(text, at * {piece} + 1, {piece})").alias("text"))
-    tree = pieces.repartition("key", "at").withColumn("ids", F.arrow_udf(whole, kind)("text"))
+    short = short.withColumn(ids, F.arrow_udf(whole, T.ArrayType(T.IntegerType()))(own))
+    return short.unionByName(_tree(long, path, ids, piece, own)).drop(own)
+
+
+def _by_length(d: DataFrame, piece: int, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The rows whose texts are encoded where they are, and the others."""
+    long = F.coalesce(F.length(text), F.lit(0)) > piece
+    return d.where(~long), d.where(long)
+
+
+def _tree(long: DataFrame, path: str, ids: str, piece: int, text: str = "text") -> DataFrame:
+    """Long rows with `ids`, from pieces joined two by two until a text has one."""
+    key = fresh(long, "key")
+    long = long.withColumn(key, F.sha2(text, 256))
+    different = long.select(F.col(key).alias("key"), F.col(text).alias("text")).dropDuplicates(["key"])
+    last = F.floor((F.length("text") - 1) / piece).cast("int")
+    cut = different.select("key", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("at"), "text")
+    cut = cut.select("key", "at", "last", F.expr(f"substring(text, at * {piece} + 1, {piece})").alias("text"))
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path, REMEMBERED).encode
+        for batch in batches:
+            for at in range(0, batch.num_rows, 16):
+                part = batch.slice(at, 16)
+                yield pa.RecordBatch.from_arrays([*part.columns, id_lists(encode(part.column(3).to_pylist()))], [*part.schema.names, "ids"])
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at")
@@ -110,38 +168,77 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", pie
         got, text = list(row["ids"]), row["text"]
         if len(pdf) == 2:
             got, text = join(path, text, got, pdf.iloc[1]["text"], list(pdf.iloc[1]["ids"])), text + pdf.iloc[1]["text"]
-        return pd.DataFrame({"key": [row["key"]], "at": [row["at"] // 2], "text": [text], "ids": [got]})
+        return pd.DataFrame({"key": [row["key"]], "at": [row["at"] // 2], "last": [row["last"] // 2], "text": [text], "ids": [got]})
 
-    for _ in range(((most - 1) // piece).bit_length()):
-        tree = tree.groupBy("key", F.floor(F.col("at") / 2).alias("half")).applyInPandas(pair, "key string, at int, text string, ids array<int>")
-    tree = tree.select(F.col("key").alias(key), F.col("ids").alias(ids))
-    joined = long.drop(n).join(tree, key).drop(key)
-    return short.unionByName(joined)
+    shape = "key string, at int, last int, text string, ids array<int>"
+    tree = saved(cut.repartition("key", "at").mapInArrow(encoded, shape), "pieces")
+    levels = int(tree.agg(F.max("last")).first()[0] or 0).bit_length()
+    for _ in range(levels):
+        tree = tree.groupBy("key", F.floor(F.col("at") / 2).alias("half")).applyInPandas(pair, shape)
+    return long.join(tree.select(F.col("key").alias(key), F.col("ids").alias(ids)), key).drop(key)
 
 
 @cache
-def pieces(path: str) -> list[str] | None:
+def pieces(path: str) -> pa.Array | None:
     """The text of each id where a file has no decoder (decode() then puts a space between tokens); None where it has one."""
     t = tokenizer(path)
-    return None if t.decoder is not None else [t.id_to_token(i) or "" for i in range(t.get_vocab_size())]
+    return None if t.decoder is not None else pa.array([t.id_to_token(i) or "" for i in range(t.get_vocab_size())])
+
+
+def _joined(words: pa.Array, ids: pa.ListArray) -> pa.Array:
+    """The words of each list of ids with a space between two."""
+    flat = words.take(ids.flatten())
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))]), pa.int32()), flat), " ")
+
+
+def _decoded(path: str, ids: pa.ListArray) -> pa.Array:
+    words = pieces(path)
+    if words is not None:
+        return _joined(words, ids)
+    return pa.array(tokenizer(path).decode_batch([x or [] for x in ids.to_pylist()], skip_special_tokens=False), pa.string())
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """docs with `text`, the library's decode of each list of ids with special tokens kept (null and empty: an empty text)."""
+    """docs with `text`, the library's decode of each list of ids with special tokens kept (null and empty: an empty text). An input column named as `text` is replaced."""
     def texts(lists: pa.Array) -> pa.Array:
-        t, out = tokenizer(path), []
-        words = pieces(path)
-        for at in range(0, len(lists), 256):
-            ids = [x or () for x in lists[at : at + 256].to_pylist()]
-            out += [" ".join([words[i] for i in x]) for x in ids] if words else t.decode_batch(ids, skip_special_tokens=False)
-        return pa.array(out, pa.string())
+        parts = [_decoded(path, lists[at : at + 256]) for at in range(0, len(lists), 256)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return docs.withColumn(text, F.arrow_udf(texts, T.StringType())(ids))
 
 
-def digests(docs: DataFrame, path: str, doc_id: str = "doc_id") -> DataFrame:
-    out = decode(encode(docs.select(doc_id, "text"), path).select(doc_id, "ids"), path)
-    return out.select(doc_id, F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+@cache
+def _numbers(size: int) -> pa.Array:
+    return pa.array(range(size)).cast(pa.string())
+
+
+def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", piece: int = PIECE) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of decimal ids with a space between two), decoded_sha256 of each row. Texts are encoded, decoded and digested in one
+    pass, long ones as in encode()."""
+    kind = docs.select(F.col(f"`{doc_id}`").alias("doc_id")).dtypes[0][1]
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+    def told(keys: pa.Array, ids: pa.ListArray) -> pa.RecordBatch:
+        numbers = _joined(_numbers(tokenizer(path).get_vocab_size()), ids)
+        shas = [pa.array([hashlib.sha256(x.as_buffer() if x.is_valid else b"").hexdigest() for x in text.cast(pa.binary())]) for text in (numbers, _decoded(path, ids))]
+        return pa.RecordBatch.from_arrays([keys, pc.fill_null(pc.list_value_length(ids), 0).cast(pa.int64()), *shas], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path, REMEMBERED).encode
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield told(part.column(0), id_lists(encode(part.column(1).to_pylist())))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                yield told(batch.column(0).slice(at, 64), batch.column(1).slice(at, 64))
+
+    d = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    short, long = _by_length(d, piece)
+    out = short.mapInArrow(whole, schema)
+    return out.unionByName(_tree(long, path, "ids", piece).select("doc_id", "ids").mapInArrow(listed, schema))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
