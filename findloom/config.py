@@ -93,7 +93,7 @@ class ToolSpec:
     name: str
     flatten: str | Callable
     steps: tuple[str, ...]
-    severity: SeverityPolicy | None = None
+    severity: SeverityPolicy | Callable | None = None
     path_fields: tuple[str, ...] = ()
     strategies: tuple[Strategy, ...] = (L0,)
 
@@ -108,7 +108,8 @@ class ToolSpec:
     @property
     def lineage(self) -> str:
         """Names and versions of parser and steps."""
-        steps = [f"{s}@{STEP_VERSIONS[s]}" + (f"({self.severity.lineage})" if s == "severity" else "") for s in self.steps]
+        policy = getattr(self.severity, "lineage", None) or getattr(self.severity, "__name__", "custom")
+        steps = [f"{s}@{STEP_VERSIONS[s]}" + (f"({policy})" if s == "severity" else "") for s in self.steps]
         return f"{self.name}@1/{'+'.join(steps)}"
 
     @property

@@ -12,8 +12,7 @@ from findloom.functions.text import let, lookup, or_empty, trimmed
 
 def label_severity(label: Column, scales=(GENERAL_SCALE,)) -> Column:
     """The first scale's severity of a label, in any case; null if none has it."""
-    own = F.lower(trimmed(or_empty(label)))
-    return F.coalesce(*[lookup(own, s) for s in scales])
+    return let(F.lower(trimmed(or_empty(label))), lambda own: F.coalesce(*[lookup(own, s) for s in scales]))
 
 
 def score_severity(score: Column) -> Column:
@@ -37,8 +36,8 @@ def picked_cvss(cvss: Column, order=()) -> Column:
 
 def policy_severity(policy: SeverityPolicy, label: Column, score: Column, cvss: Column) -> Column:
     """The first source that resolves; null if none does."""
-    one = picked_cvss(cvss, policy.cvss_order)
-    by = {"label": label_severity(label, policy.scales), "score": score_severity(score), "cvss": F.when(one.isNotNull(), band(one["version"], one["score"]))}
+    by_cvss = let(picked_cvss(cvss, policy.cvss_order), lambda one: F.when(one.isNotNull(), band(one["version"], one["score"])))
+    by = {"label": label_severity(label, policy.scales), "score": score_severity(score), "cvss": by_cvss}
     return F.coalesce(*[by[s] for s in policy.sources])
 
 

@@ -40,57 +40,68 @@ def _metrics(body: Column) -> Column:
 
 
 def _known(pairs: Column, weights: dict, ignored: tuple[str, ...]) -> Column:
-    own = F.filter(pairs, lambda p: ~p["k"].isin(*ignored) | p["v"].isNull())
     allowed = [f"{k}:{v}" for k, vs in weights.items() for v in vs]
-    fine = F.forall(own, lambda p: p["v"].isNotNull() & F.concat(p["k"], F.lit(":"), p["v"]).isin(*allowed))
-    keys = F.transform(own, lambda p: p["k"])
-    return fine & (F.size(own) == len(weights)) & (F.size(F.array_distinct(keys)) == len(weights))
 
+    def fine(own: Column) -> Column:
+        keys = F.transform(own, lambda p: p["k"])
+        known = F.forall(own, lambda p: p["v"].isNotNull() & F.concat(p["k"], F.lit(":"), p["v"]).isin(*allowed))
+        return (F.size(own) == len(weights)) & known & (F.size(F.array_distinct(keys)) == len(weights))
 
-def _value(pairs: Column, key: str) -> Column:
-    return F.get(F.filter(pairs, lambda p: p["k"] == key), F.lit(0))["v"]
+    return let(F.filter(pairs, lambda p: ~p["k"].isin(*ignored) | p["v"].isNull()), fine)
 
 
-def _joined(pairs: Column, weights: dict, names: dict) -> Column:
-    return F.concat_ws("/", *[F.concat(F.lit(f"{names.get(k, k)}:"), _value(pairs, k)) for k in weights])
+def _letters(pairs: Column, weights: dict) -> Column:
+    """A struct of the metrics' letters."""
+    letter = lambda k: F.get(F.filter(pairs, lambda p: p["k"] == k), F.lit(0))["v"]
+    return F.struct(*[letter(k).alias(k) for k in weights])
+
+
+def _joined(letters: Column, weights: dict, names: dict) -> Column:
+    return F.concat_ws("/", *[F.concat(F.lit(f"{names.get(k, k)}:"), letters[k]) for k in weights])
 
 
 def base_v2(metric) -> Column:
     """The score from metric(name) -> weight."""
-    impact = 10.41 * (1 - (1 - metric("C")) * (1 - metric("I")) * (1 - metric("A")))
     ease = 20 * metric("AV") * metric("AC") * metric("AU")
-    raw = (0.6 * impact + 0.4 * ease - 1.5) * F.when(impact == 0, F.lit(0.0)).otherwise(F.lit(1.176))
-    return F.round(raw * 10 + 1e-9) / 10 + 0.0
+
+    def of(impact: Column) -> Column:
+        raw = (0.6 * impact + 0.4 * ease - 1.5) * F.when(impact == 0, F.lit(0.0)).otherwise(F.lit(1.176))
+        return F.round(raw * 10 + 1e-9) / 10 + 0.0
+
+    return let(10.41 * (1 - (1 - metric("C")) * (1 - metric("I")) * (1 - metric("A"))), of)
 
 
 def base_v3(metric, changed: Column, v30: Column) -> Column:
     """The score from metric(name) -> weight (PR by scope), whether the scope changes and whether 3.0's plain rounding up holds."""
-    iss = 1 - (1 - metric("C")) * (1 - metric("I")) * (1 - metric("A"))
     ease = 8.22 * metric("AV") * metric("AC") * metric("PR") * metric("UI")
-    impact = F.when(changed, 7.52 * (iss - 0.029) - 3.25 * F.pow(iss - 0.02, F.lit(15.0))).otherwise(6.42 * iss)
-    total = F.least(F.when(changed, 1.08 * (impact + ease)).otherwise(impact + ease), F.lit(10.0))
-    scaled = F.round(total * 100_000).cast("long")
-    up = F.when(scaled % 10_000 == 0, scaled / 100_000.0).otherwise((F.floor(scaled / 10_000) + 1) / 10.0)
-    return F.when(impact <= 0, F.lit(0.0)).when(v30, F.ceil(total * 10) / 10.0).otherwise(up)
+    up = lambda scaled: F.when(scaled % 10_000 == 0, scaled / 100_000.0).otherwise((F.floor(scaled / 10_000) + 1) / 10.0)
+    rounded = lambda total: F.when(v30, F.ceil(total * 10) / 10.0).otherwise(let(F.round(total * 100_000).cast("long"), up))
+    sum_of = lambda impact: F.least((impact + ease) * F.when(changed, F.lit(1.08)).otherwise(F.lit(1.0)), F.lit(10.0))
+    of = lambda impact: F.when(impact <= 0, F.lit(0.0)).otherwise(let(sum_of(impact), rounded))
+    impact = lambda iss: F.when(changed, 7.52 * (iss - 0.029) - 3.25 * F.pow(iss - 0.02, F.lit(15.0))).otherwise(6.42 * iss)
+    return let(1 - (1 - metric("C")) * (1 - metric("I")) * (1 - metric("A")), lambda iss: let(impact(iss), of))
 
 
 def score_vector(vector: Column) -> Column:
     """(version, canonical vector, base_score) of a version 2 or 3 vector, null if it isn't a valid one."""
     def scored(v: Column) -> Column:
-        three = F.upper(v).startswith("CVSS:3.")
-        v30, v31 = F.upper(v).startswith("CVSS:3.0/"), F.upper(v).startswith("CVSS:3.1/")
+        head = F.upper(F.substring(v, 1, 9))
+        v30, v31 = head == "CVSS:3.0/", head == "CVSS:3.1/"
 
-        def two_of(p: Column) -> Column:
-            return F.when(_known(p, V2, IGNORED_V2), F.struct(F.lit("2.0").alias("version"), _joined(p, V2, {"AU": "Au"}).alias("vector"), base_v2(lambda k: lookup(_value(p, k), V2[k])).alias("base_score")))
+        def two_of(m: Column) -> Column:
+            score = base_v2(lambda k: lookup(m[k], V2[k]))
+            return F.struct(F.lit("2.0").alias("version"), _joined(m, V2, {"AU": "Au"}).alias("vector"), score.alias("base_score"))
 
-        def three_of(p: Column) -> Column:
-            changed = _value(p, "S") == "C"
-            weight = lambda k: F.when(changed, lookup(_value(p, k), CHANGED_PR)).otherwise(lookup(_value(p, k), V3[k])) if k == "PR" else lookup(_value(p, k), V3[k])
+        def three_of(m: Column) -> Column:
+            changed = m["S"] == "C"
+            weight = lambda k: F.when(changed, lookup(m[k], CHANGED_PR)).otherwise(lookup(m[k], V3[k])) if k == "PR" else lookup(m[k], V3[k])
             version = F.when(v30, F.lit("3.0")).otherwise(F.lit("3.1"))
-            vector = F.concat(F.lit("CVSS:"), version, F.lit("/"), _joined(p, V3, {}))
-            return F.when(_known(p, V3, IGNORED_V3), F.struct(version.alias("version"), vector.alias("vector"), base_v3(weight, changed, v30).alias("base_score")))
+            vector = F.concat(F.lit("CVSS:"), version, F.lit("/"), _joined(m, V3, {}))
+            return F.struct(version.alias("version"), vector.alias("vector"), base_v3(weight, changed, v30).alias("base_score"))
 
-        return F.when(v30 | v31, let(_metrics(F.substring(v, F.lit(10), F.length(v))), three_of)).when(~three & ~F.upper(v).startswith("CVSS:"), let(_metrics(v), two_of))
+        three = let(_metrics(F.substring(v, F.lit(10), F.length(v))), lambda p: F.when(_known(p, V3, IGNORED_V3), let(_letters(p, V3), three_of)))
+        two = let(_metrics(v), lambda p: F.when(_known(p, V2, IGNORED_V2), let(_letters(p, V2), two_of)))
+        return F.when(v30 | v31, three).when(~head.startswith("CVSS:"), two)
 
     return let(trimmed(F.coalesce(vector, F.lit(""))), scored).cast(RESULT)
 

@@ -31,12 +31,7 @@ def let(value: Column, body) -> Column:
 
 
 def lookup(c: Column, table: dict) -> Column:
-    """The table's value of c, or null."""
-    out = F.lit(None)
-    pairs = list(table.items())
-    if not pairs:
-        return out
-    out = F.when(c == pairs[0][0], F.lit(pairs[0][1]))
-    for k, v in pairs[1:]:
-        out = out.when(c == k, F.lit(v))
-    return out
+    """The table's value of c, or null; c is computed once."""
+    if not table:
+        return F.lit(None)
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), c)

@@ -52,9 +52,14 @@ def _typed(v: Column, path: str, *kinds: str) -> Column:
     return x.isNull() | F.is_variant_null(x) | F.schema_of_variant(x).rlike("^(" + "|".join(kinds) + ")")
 
 
+def _ordinal(outer: str, inner: Column) -> Column:
+    """A finding's place in its report: 32 bits for its place in a run or target, where sections come after all findings."""
+    return (F.shiftleft(F.col(outer).cast("long"), 32) + inner).alias("ordinal")
+
+
 def _unknown_format(reports: DataFrame, keep: list[str]) -> DataFrame:
     d = _diagnostics(_diagnostic(F.lit(True), "unknown_format", "report format isn't known"))
-    return reports.select(*keep, F.lit(0).alias("ordinal"), *_finding(tool_finding_id=F.lit(""), kind=F.lit("unknown"), title=F.lit("unparsed report"), raw=F.lit("{}"), diagnostics=d))
+    return reports.select(*keep, F.lit(0).cast("long").alias("ordinal"), *_finding(tool_finding_id=F.lit(""), kind=F.lit("unknown"), title=F.lit("unparsed report"), raw=F.lit("{}"), diagnostics=d))
 
 
 def sarif(reports: DataFrame, content: str = "content") -> DataFrame:
@@ -95,7 +100,7 @@ def sarif(reports: DataFrame, content: str = "content") -> DataFrame:
         raw=F.to_json(x), diagnostics=_diagnostics(version, _diagnostic(uri.startswith("/"), "absolute_path", "path is absolute")),
     )
     unparsed = _finding(tool_finding_id=F.lit(""), kind=F.lit("sast"), title=F.lit("unparsed result"), tool_version=text(F.col("dv"), F.col("sv")), raw=F.to_json(x), diagnostics=_diagnostics(version, _diagnostic(F.lit(True), "invalid_result", "result can't be read")))
-    ordinal = (F.col("run_no") * 1_000_000 + F.col("no")).alias("ordinal")
+    ordinal = _ordinal("run_no", F.col("no"))
     ok = results.withColumn("fine", F.coalesce(fine, F.lit(False)))
     return ok.where("fine").select(*keep, ordinal, *good).unionByName(ok.where("not fine").select(*keep, ordinal, *unparsed)).unionByName(bad)
 
@@ -128,7 +133,7 @@ def trivy(reports: DataFrame, content: str = "content") -> DataFrame:
         raw=F.to_json(x), diagnostics=_diagnostics(version, absolute),
     )
     unparsed = _finding(tool_finding_id=F.lit(""), kind=F.lit("sca"), title=F.lit("unparsed vulnerability"), tool_version=F.col("tv"), raw=F.to_json(x), diagnostics=_diagnostics(version, _diagnostic(F.lit(True), "invalid_vulnerability", "vulnerability can't be read")))
-    ordinal = (F.col("t_no") * 1_000_000 + F.col("no")).alias("ordinal")
+    ordinal = _ordinal("t_no", F.col("no"))
     ok = vulns.withColumn("fine", F.coalesce(fine, F.lit(False)))
     sections = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("k"), F.coalesce(F.size(f"t.{s}"), F.lit(0)).alias("n")) for k, (n, s) in enumerate((("misconfigurations", "Misconfigurations"), ("secrets", "Secrets")))])
     rest = targets.select(*keep, "v", "tv", "t_no", "target", F.inline(sections)).where("n > 0")
@@ -138,7 +143,7 @@ def trivy(reports: DataFrame, content: str = "content") -> DataFrame:
     )
     return (
         ok.where("fine").select(*keep, ordinal, *good).unionByName(ok.where("not fine").select(*keep, ordinal, *unparsed))
-        .unionByName(rest.select(*keep, (F.col("t_no") * 1_000_000 + 900_000 + F.col("k")).alias("ordinal"), *summary)).unionByName(bad)
+        .unionByName(rest.select(*keep, _ordinal("t_no", F.lit(1 << 31) + F.col("k")), *summary)).unionByName(bad)
     )
 
 
@@ -147,7 +152,7 @@ def generic(reports: DataFrame, content: str = "content") -> DataFrame:
     keep = [c for c in reports.columns if c != content]
     text = F.col(content).cast("string")
     raw = F.coalesce(F.to_json(F.try_parse_json(text)), F.concat(F.lit('{"bytes":'), F.coalesce(F.octet_length(content), F.lit(0)).cast("string"), F.lit("}")))
-    return reports.select(*keep, F.lit(0).alias("ordinal"), *_finding(tool_finding_id=F.lit(""), kind=F.lit("unknown"), title=F.lit("unparsed report"), raw=raw))
+    return reports.select(*keep, F.lit(0).cast("long").alias("ordinal"), *_finding(tool_finding_id=F.lit(""), kind=F.lit("unknown"), title=F.lit("unparsed report"), raw=raw))
 
 
 FORMATS = {"sarif": sarif, "trivy": trivy, "generic": generic}

@@ -9,81 +9,87 @@ from findloom.config import FALLBACK, ToolSpec, standard_tools
 from findloom.functions import normal
 from findloom.functions.cvss4 import score_v4
 from findloom.functions.scores import score_vector
-from findloom.functions.text import or_empty
+from findloom.functions.text import or_empty, trimmed
 
 CVSS = "array<struct<source:string,version:string,vector:string,base_score:double>>"
 COMPONENT = "struct<purl:string,type:string,namespace:string,name:string,version:string>"
 
 
-def with_code(diagnostics: Column, when: Column, code: str, message: str) -> Column:
-    """diagnostics with a warning added where it holds and isn't there."""
-    new = F.array(F.struct(F.lit("warn").alias("level"), F.lit(code).alias("code"), F.lit(message).alias("message")))
-    return F.when(when & ~F.exists(diagnostics, lambda d: d["code"] == code), F.concat(diagnostics, new)).otherwise(diagnostics)
+EMPTY = "array<struct<source:string,s:struct<version:string,vector:string,base_score:double>,vector:string>>"
+#: The warnings of each step, in its own order, with the columns that say where they hold.
+WARNINGS = {
+    "cvss": (("__bad_cvss", "invalid_cvss", "a CVSS vector is invalid"),),
+    "severity": (("__bad_score", "invalid_score", "scanner score is outside 0..10"), ("__unknown", "unknown_severity", "no source gives a severity")),
+    "vulnid": (("__bad_id", "unknown_vuln_id_format", "id format isn't known"),),
+    "component": (("__bad_purl", "invalid_purl", "package URL is invalid"),),
+    "cwe": (("__bad_cwe", "invalid_cwe", "an entry has no CWE number"),),
+}
 
 
-def score_cvss(findings: DataFrame, macro_scores: dict[str, float] | None = None) -> DataFrame:
-    """findings with cvss, in the order of cvss_raw; invalid vectors are left out under one invalid_cvss. Version 4 vectors need macro_scores (see cvss4).
+def score_cvss(findings: DataFrame, macro_scores: dict[str, float] | None = None, on: Column | None = None) -> DataFrame:
+    """findings with cvss, in the order of cvss_raw, and __bad_cvss: whether a vector is invalid (those are left out); only where `on` holds. Version 4 vectors need
+    macro_scores (see cvss4).
 
     Versions 2 and 3 are expressions on the row. Version 4 is scored once for each distinct vector.
     """
     rows = F.transform("cvss_raw", lambda c: F.struct(c["source"].alias("source"), score_vector(c["vector"]).alias("s"), c["vector"].alias("vector")))
-    f = findings.withColumn("__scored", F.coalesce(rows, F.array().cast("array<struct<source:string,s:struct<version:string,vector:string,base_score:double>,vector:string>>")))
+    f = findings.withColumn("__scored", F.coalesce(rows if on is None else F.when(on, rows), F.array().cast(EMPTY)))
     if macro_scores:
         v4 = f.select(F.explode("__scored").alias("x")).where("upper(x.vector) like '%CVSS:4.0/%'").select(F.col("x.vector").alias("vector")).distinct()
         v4 = score_v4(v4, macro_scores).where("s4 is not null").select("vector", "s4")
         used = f.select("finding_id", F.posexplode("__scored").alias("no", "x")).join(v4, F.col("x.vector") == F.col("vector"))
-        found = used.groupBy("finding_id").agg(F.map_from_entries(F.collect_list(F.struct("no", "s4"))).alias("__v4"))
+        found = used.groupBy("finding_id").agg(F.map_from_entries(F.collect_set(F.struct("no", "s4"))).alias("__v4"))
         f = f.join(found, "finding_id", "left")
         f = f.withColumn("__scored", F.transform("__scored", lambda x, i: x.withField("s", F.coalesce(x["s"], F.element_at("__v4", i))))).drop("__v4")
     good = F.filter("__scored", lambda x: x["s"].isNotNull())
     flat = F.transform(good, lambda x: F.struct(x["source"].alias("source"), x["s"]["version"].alias("version"), x["s"]["vector"].alias("vector"), x["s"]["base_score"].alias("base_score"))).cast(CVSS)
-    bad = F.exists("__scored", lambda x: x["s"].isNull())
-    return f.withColumns({"cvss": flat, "diagnostics": with_code(F.col("diagnostics"), bad, "invalid_cvss", "a CVSS vector is invalid")}).drop("__scored")
+    return f.withColumns({"cvss": flat, "__bad_cvss": F.exists("__scored", lambda x: x["s"].isNull())}).drop("__scored")
 
 
-def severity(findings: DataFrame, policy) -> DataFrame:
-    """findings with severity; policy is a SeverityPolicy or any function from a row's columns to a severity column (null: unresolved)."""
+def severity_of(tool: ToolSpec) -> tuple[Column, Column]:
+    """(severity or null, whether the score is out of range and was asked for it) by a tool's policy: a SeverityPolicy, or a function without arguments that
+    gives a column."""
+    policy = tool.severity
     if callable(policy):
-        value, bad = policy(), F.lit(False)
-    else:
-        value = normal.policy_severity(policy, F.col("severity_raw"), F.col("scanner_score"), F.col("cvss"))
-        before = policy.sources[: policy.sources.index("score")] if "score" in policy.sources else ()
-        tried = normal.policy_severity(type(policy)(before, policy.scales, policy.cvss_order), F.col("severity_raw"), F.col("scanner_score"), F.col("cvss")).isNull() if before else F.lit("score" in policy.sources)
-        bad = F.coalesce(tried & normal.score_is_bad(F.col("scanner_score")), F.lit(False))
-    d = with_code(F.col("diagnostics"), bad, "invalid_score", "scanner score is outside 0..10")
-    f = findings.withColumns({"severity": value, "diagnostics": d})
-    return f.withColumns({"diagnostics": with_code(F.col("diagnostics"), F.col("severity").isNull(), "unknown_severity", "no source gives a severity"), "severity": F.coalesce("severity", F.lit("unknown"))})
-
-
-def chain(findings: DataFrame, tool: ToolSpec, macro_scores: dict[str, float] | None = None) -> DataFrame:
-    """One tool's steps; fields of steps that it lacks stay empty. A step run twice changes nothing more."""
-    f = findings.withColumns({"cvss": F.array().cast(CVSS), "severity": F.lit("unknown"), "vuln_source": F.lit(""), "vuln_id": F.lit(""), "component": F.lit(None).cast(COMPONENT), "cwe": F.array().cast("array<string>")})
-    d = F.col("diagnostics")
-    for step in tool.steps:
-        if step == "cvss":
-            f = score_cvss(f, macro_scores)
-        elif step == "severity":
-            f = severity(f, tool.severity)
-        elif step == "vulnid":
-            f = f.withColumn("__v", normal.vuln_id(F.col("vuln_id_raw")))
-            f = f.withColumns({"vuln_source": or_empty("__v.source"), "vuln_id": or_empty("__v.value"), "diagnostics": with_code(d, F.coalesce(F.col("__v.source") == "unknown", F.lit(False)), "unknown_vuln_id_format", "id format isn't known")}).drop("__v")
-        elif step == "component":
-            f = f.withColumns({"component": normal.purl(F.col("purl_raw")).cast(COMPONENT), "diagnostics": with_code(d, normal.purl_is_bad(F.col("purl_raw")), "invalid_purl", "package URL is invalid")})
-        elif step == "cwe":
-            f = f.withColumns({"cwe": normal.cwe_names(F.col("cwe_raw")), "diagnostics": with_code(d, normal.cwe_is_bad(F.col("cwe_raw")), "invalid_cwe", "an entry has no CWE number")})
-        elif step == "path":
-            loc = F.col("location")
-            for name in tool.path_fields:
-                loc = loc.withField(name, normal.clean_path(F.col(f"location.{name}")))
-            f = f.withColumn("location", loc)
-    return f.withColumn("severity_rank", normal.severity_rank(F.col("severity")))
+        return policy(), F.lit(False)
+    early = "cvss" not in tool.steps or tool.steps.index("cvss") > tool.steps.index("severity")  # its scores aren't there yet
+    of = lambda p: normal.policy_severity(p, F.col("severity_raw"), F.col("scanner_score"), F.array().cast(CVSS) if early else F.col("cvss"))
+    before = policy.sources[: policy.sources.index("score")] if "score" in policy.sources else ()
+    tried = of(type(policy)(before, policy.scales, policy.cvss_order)).isNull() if before else F.lit("score" in policy.sources)
+    return of(policy), F.coalesce(tried & normal.score_is_bad(F.col("scanner_score")), F.lit(False))
 
 
 def normalize(findings: DataFrame, tools: dict[str, ToolSpec] | None = None, macro_scores: dict[str, float] | None = None) -> DataFrame:
-    """Every finding through the chain of its adapter."""
+    """Every finding through the steps of its adapter, all in one pass; fields of steps that a tool lacks stay empty. Warnings stand in the order of the tool's
+    steps, none twice; a second run changes nothing more."""
     tools = tools or standard_tools()
-    out = None
-    for name, t in tools.items():
-        own = chain(findings.where(F.col("adapter") == name if name != FALLBACK else ~F.coalesce(F.col("adapter").isin(*[n for n in tools if n != FALLBACK]), F.lit(False))), t, macro_scores)
-        out = own if out is None else out.unionByName(own)
-    return out
+    adapter = F.when(F.col("adapter").isin(*[n for n in tools if n != FALLBACK]), F.col("adapter")).otherwise(FALLBACK)
+    f = findings.withColumn("__tool", adapter)
+
+    def own(step: str) -> Column:
+        return F.col("__tool").isin(*[n for n, t in tools.items() if step in t.steps])
+
+    def by_tool(step: str, of) -> Column:
+        cases = [(n, of(t)) for n, t in tools.items() if step in t.steps]
+        return F.coalesce(*[F.when(F.col("__tool") == n, c) for n, c in cases]) if cases else F.lit(None)
+
+    f = score_cvss(f, macro_scores, own("cvss"))
+    severities = {n: severity_of(t) for n, t in tools.items() if "severity" in t.steps}
+    f = f.withColumns({
+        "severity": by_tool("severity", lambda t: severities[t.name][0]).cast("string"), "__bad_score": by_tool("severity", lambda t: severities[t.name][1]),
+        "__v": F.when(own("vulnid"), normal.vuln_id(F.col("vuln_id_raw"))), "component": F.when(own("component"), normal.purl(F.col("purl_raw"))).cast(COMPONENT),
+        "cwe": F.coalesce(F.when(own("cwe"), normal.cwe_names(F.col("cwe_raw"))), F.array().cast("array<string>")), "__bad_cwe": own("cwe") & normal.cwe_is_bad(F.col("cwe_raw")),
+    })
+    f = f.withColumns({
+        "__unknown": F.col("severity").isNull(), "severity": F.coalesce("severity", F.lit("unknown")), "vuln_source": or_empty("__v.source"), "vuln_id": or_empty("__v.value"), "__bad_id": F.col("__v.source") == "unknown",
+        "__bad_purl": F.col("component").isNull() & (trimmed(or_empty("purl_raw")) != ""),
+    })
+    loc = F.col("location")
+    for name in sorted({x for t in tools.values() for x in t.path_fields}):
+        cleaned = F.col("__tool").isin(*[n for n, t in tools.items() if name in t.path_fields])
+        loc = loc.withField(name, F.when(cleaned, normal.clean_path(F.col(f"location.{name}"))).otherwise(F.col(f"location.{name}")))
+    told = lambda x: F.when(F.col(x[0]), F.struct(F.lit("warn").alias("level"), F.lit(x[1]).alias("code"), F.lit(x[2]).alias("message")))
+    warnings = F.coalesce(*[F.when(F.col("__tool") == n, F.array_compact(F.array(*[told(x) for s in t.steps for x in WARNINGS.get(s, ())]))) for n, t in tools.items() if set(t.steps) & WARNINGS.keys()], F.array())
+    new = F.filter(warnings, lambda w: ~F.exists("diagnostics", lambda d: d["code"] == w["code"]))
+    f = f.withColumns({"location": F.when(F.col("location").isNotNull(), loc), "diagnostics": F.concat("diagnostics", new), "severity_rank": normal.severity_rank(F.col("severity"))})
+    return f.drop("__tool", "__v", *[x[0] for w in WARNINGS.values() for x in w])

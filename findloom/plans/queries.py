@@ -363,7 +363,8 @@ def findings_by_component(spark, sf_dir):
 
 
 def run_summary(spark, sf_dir):
-    f = normalized(spark, sf_dir)
+    f = normalized(spark, sf_dir).select("tenant_id", "finding_id", "import_run_id", "component_id", "tool_version", "rule_id", "location", "cvss", "tool", "scanner_score", "cwe")
+    f = checkpointed(f)  # three parts read it
     return reports.run_summary(f, dims.ratings(f), dims.finding_cwes(f))
 
 
