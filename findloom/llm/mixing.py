@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from findloom.llm.common import fresh, saved, table, without
 
-#: Up to this many sources the rates are broadcast; beyond, they're joined by a salted shuffle.
-BROADCAST_SOURCES = 10_000
+#: Distributions up to this many bytes are broadcast; more are joined by a salted shuffle.
+BROADCAST_BYTES = 32 << 20
 SALTS = 32
 
 
@@ -17,18 +18,29 @@ def uniform(*parts) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long") / F.lit(2.0**52)
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """P(X <= 0), P(X <= 1), ... of a Poisson variable, up to where 1 is reached in doubles; logarithms keep large rates exact."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    logs = lambda k: F.when(k == 0, F.lit(0.0)).otherwise(F.ln(F.when(k == 0, F.lit(1.0)).otherwise(rate / k)))
-    zero = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("c"), F.array().cast("array<double>").alias("all"))
+def _first(rate: Column) -> Column:
+    """Counts below this one have no weight in doubles."""
+    return F.greatest(F.floor(rate - 12 * F.sqrt(rate) - 30), F.lit(0)).cast("long")
 
-    def step(acc: Column, k: Column) -> Column:
-        p = acc["p"] + logs(k)
-        c = acc["c"] + F.exp(p - rate)
-        return F.struct(p.alias("p"), c.alias("c"), F.concat(acc["all"], F.array(c)).alias("all"))
 
-    return F.aggregate(F.sequence(F.lit(0), last), zero, step, lambda acc: acc["all"])
+def _last(rate: Column) -> Column:
+    return F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("long")
+
+
+def poisson_cdf(rates: DataFrame) -> DataFrame:
+    """rates (source, rate above 0) with `first`, the least count that matters, and `cdf`: P(X <= first), P(X <= first + 1), ... up to where 1 is reached in doubles.
+
+    A row for each count, about 24 square roots of the rate, and two running sums: of the logarithms' steps, then of the weights. What the first
+    logarithm lacks in exactness (Stirling's series) falls out when sums are divided by the last one.
+    """
+    k, x = F.col("k").cast("double"), F.col("first") + F.lit(1.0)
+    log_factorial = F.when(F.col("first") == 0, F.lit(0.0)).otherwise((x - 0.5) * F.ln(x) - x + 0.918938533204672742 + 1 / (12 * x) - 1 / (360 * x * x * x))
+    rows = rates.withColumn("first", _first(F.col("rate"))).withColumn("k", F.explode(F.sequence("first", _last(F.col("rate")))))
+    step = F.when(F.col("k") == F.col("first"), F.col("first") * F.ln("rate") - F.col("rate") - log_factorial).otherwise(F.ln(F.col("rate") / k))
+    w = W.partitionBy("source").orderBy("k").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("weight", F.exp(F.sum(step).over(w))).withColumn("c", F.sum("weight").over(w))
+    sums = rows.groupBy("source").agg(F.first("first").alias("first"), F.sort_array(F.collect_list("c")).alias("cdf"))
+    return sums.withColumn("cdf", F.transform("cdf", lambda c: c / F.element_at("cdf", -1)))
 
 
 def source_rates(docs: DataFrame, weights: DataFrame | None = None, temperature: float = 0.5, epochs: float = 1.0, source: str = "source", text: str = "text") -> DataFrame:
@@ -55,23 +67,26 @@ def mix(docs: DataFrame, rates: DataFrame, seed: str = "mix", doc_id: str = "doc
 
     The count inverts the distribution at a number hashed from seed and doc_id, so reruns agree and rows with one doc_id get one count;
     a null doc_id hashes as `null`. Sources without a rate, and rate 0, give no rows. Input columns named copy or shuffle_key are replaced.
-    Rates are one row a source: up to BROADCAST_SOURCES are broadcast, more are joined by (source, salt), so that a hot source spreads over tasks.
+    Distributions are one row a source: up to BROADCAST_BYTES are broadcast, more are joined by (source, salt), so that a hot source spreads over tasks.
+    A row looks at about 24 square roots of its rate, which is less than its copies where rates are large.
     Copies go to partitions by a hash of the key, which is even whatever the sources are, and each partition is sorted: a global shuffle.
     """
-    key, u, cdf, salt = (fresh(docs, x) for x in ("source", "u", "cdf", "salt"))
+    key, u, cdf, first, salt = (fresh(docs, x) for x in ("source", "u", "cdf", "first", "salt"))
     ident = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("null"))
     d = without(docs, "copy", "shuffle_key").withColumn(u, uniform(F.lit(seed), ident))
-    r = rates.select(F.col("source").alias(key), poisson_cdf(F.col("rate")).alias(cdf), "rate").where("rate > 0").drop("rate")
+    own = rates.where("rate > 0").select("source", F.col("rate").cast("double").alias("rate"))
+    size = own.agg(F.sum(8.0 * (_last(F.col("rate")) - _first(F.col("rate"))) + 64)).first()[0] or 0
+    r = poisson_cdf(own).select(F.col("source").alias(key), F.col("first").alias(first), F.col("cdf").alias(cdf))
     on = d[f"`{source}`"].eqNullSafe(r[key])
-    if rates.count() <= BROADCAST_SOURCES:
+    if size <= BROADCAST_BYTES:
         r = F.broadcast(r)
     else:
         d = d.withColumn(salt, F.pmod(F.xxhash64(ident), F.lit(SALTS)).cast("int"))
         r = r.withColumn(f"{salt}r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         on = on & (d[salt] == r[f"{salt}r"])
-    n = F.size(F.filter(F.col(cdf), lambda c: c <= F.col(u)))
+    n = F.col(first) + F.size(F.filter(F.col(cdf), lambda c: c <= F.col(u)))
     out = d.join(r, on).withColumn(salt, n).where(F.col(salt) > 0)
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(salt)))).drop(salt, f"{salt}r", key, u, cdf)
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(salt).cast("int")))).drop(salt, f"{salt}r", key, u, cdf, first)
     out = out.withColumn("shuffle_key", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), ident, "copy")), 1, 15), 16, 10).cast("long"))
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key") if shuffle else out
 

@@ -75,21 +75,21 @@ def quality(docs: DataFrame, text: str = "text", min_words: int = 50, max_repeat
     d = d.withColumn(fails, F.transform(lines, lambda x: line_fails(x)))
     word_chars = lambda c: F.length(F.translate(c, " \t\n\x0b\x0c\r", ""))
     wordy = F.filter(lines, lambda x: word_chars(x) > 0)
-    d = d.withColumns({
-        "n_words": F.size(words).cast("long"),
-        "word_chars": word_chars(F.col(t)).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": _let(wordy, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": _repeat_words(F.col(words)).cast("long"),
-        "n_lines": F.size(lines).cast("long"),
-        "n_removed_lines": F.size(F.filter(fails, lambda x: x)).cast("long"),
-        "clean_text": F.array_join(_let(F.col(fails), lambda f: F.filter(lines, lambda _, i: ~F.get(f, i))), "\n"),
-    })
+    counts = F.struct(
+        F.size(words).cast("long").alias("n_words"),
+        word_chars(F.col(t)).cast("long").alias("word_chars"),
+        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        _let(wordy, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        _repeat_words(F.col(words)).cast("long").alias("n_repeat_words"),
+        F.size(lines).cast("long").alias("n_lines"),
+        F.size(F.filter(fails, lambda x: x)).cast("long").alias("n_removed_lines"),
+        F.array_join(_let(F.col(fails), lambda f: F.filter(lines, lambda _, i: ~F.get(f, i))), "\n").alias("clean_text"),
+    )
+    # a generator: a filter on what it gives isn't pushed below it, where all words would be split again
+    d = d.select(*[d[f"`{c}`"] for c in d.columns if c not in (words, lines, fails)], F.inline(F.array(counts)))
     d = d.withColumn("removed_chars", F.col("word_chars") - word_chars(F.col("clean_text")))
     d = d.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words")))
-    # rand() is never negative: it keeps a filter on the verdict from being pushed into the lambdas, where all words would be split again for each word
-    d = d.withColumn("kept", ~F.col("base_failed") & (100 * F.col("removed_chars") <= max_lost * F.col("word_chars")) & (F.rand(0) >= 0))
-    return d.drop(t, words, lines, fails)
+    return d.withColumn("kept", ~F.col("base_failed") & (100 * F.col("removed_chars") <= max_lost * F.col("word_chars"))).drop(t)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

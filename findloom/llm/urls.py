@@ -26,7 +26,8 @@ def url_path(url: Column) -> Column:
 
 def rule_table(spark: SparkSession, rules) -> DataFrame:
     """Rules given as (host/path, verdict) pairs, as a table of host, path, verdict."""
-    df = spark.createDataFrame(list(rules), "rule string, verdict string")
+    rows = [F.struct(F.lit(r).cast("string").alias("rule"), F.lit(v).cast("string").alias("verdict")) for r, v in rules]
+    df = spark.range(1).select(F.inline(F.array(*rows) if rows else F.array().cast("array<struct<rule:string,verdict:string>>")))
     cut = F.regexp_extract("rule", "(?s)^([^/]*)(.*)$", 1)
     return df.select(ascii_lower(cut).alias("host"), F.regexp_extract("rule", "(?s)^([^/]*)(.*)$", 2).alias("path"), "verdict")
 
@@ -50,7 +51,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     A rule fits its host and all subdomains when the URL's path starts with the rule's path. The longest rule wins; of rules as long,
     the one with the longer host, then block before allow. Each distinct (host, path) is expanded only to the (labels, slashes) depths
     that rules have, so no URL is cut short; paths are keyed up to their last slash and confirmed in full after the digests agree.
-    Null and malformed URLs have empty host and path, and only a rule for any host fits them. Repeated rows all get their verdict; empty tables
+    Null and malformed URLs have empty host and path, and only a rule for any host fits them; they're joined with that one row where they are. Repeated rows all get their verdict; empty tables
     are allowed on either side; rules with a null host or path count as empty there, and a null verdict is dropped; input columns named
     host, path, rule or verdict are replaced. Up to BROADCAST_RULES rules are broadcast; beyond, both sides are salted.
     """
@@ -63,7 +64,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     base = without(pages.withColumn(src, F.col(f"`{url}`")), "host", "path", "rule", "verdict", "url" if url in ("host", "path") else "rule")
     base = base.withColumns({"host": url_host(F.col(src)), "path": url_path(F.col(src))}).drop(src)
 
-    keys = base.select("host", "path").distinct()
+    keys = base.where("host <> '' or path <> ''").select("host", "path").distinct()
+    blank = spark.range(1).select(F.lit("").alias("host"), F.lit("").alias("path"))
+    keys = keys.unionByName(blank)  # URLs without a host are one key, and aren't shuffled
     hosts, slashes = _depths(F.col("host"), F.col("path"))
     key_of = lambda h, p, m: F.when(F.lit(m) == 0, F.lit("")).otherwise(F.concat(F.substring_index(p, "/", m), F.lit("/")))
     def expression(n: int, m: int) -> Column:
@@ -85,7 +88,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     found = exprs.join(right, on).where((F.col("digest") == F.col("rule_digest")) & F.col("path").startswith(F.col("rule_path")))
     rank = F.struct(F.length("rule"), "rule_host", (F.col("verdict") == "block").alias("b"), "verdict", "rule")
     best = saved(found.groupBy("host", "path").agg(F.max(rank).alias("best")).select("host", "path", "best.rule", "best.verdict"), "urls")
-    return base.join(best, ["host", "path"], "left").select(*[base[c] for c in base.columns], best["rule"], F.coalesce(best["verdict"], F.lit(default)).alias("verdict"))
+    named = lambda d, b: d.join(b, ["host", "path"], "left").select(*[d[f"`{c}`"] for c in d.columns], b["rule"], F.coalesce(b["verdict"], F.lit(default)).alias("verdict"))
+    full, empty = base.where("host <> '' or path <> ''"), base.where("host = '' and path = ''")
+    return named(full, best).unionByName(named(empty, F.broadcast(best.where("host = '' and path = ''"))))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -50,12 +51,23 @@ def test_mixing(spark):
     n = {r["source"]: r["count"] for r in out.groupBy("source").count().collect()}
     assert abs(n["big"] - 1500) < 200 and abs(n["small"] - 1500) < 200 and set(n) == {"big", "small"}
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, mixing.mix(d.repartition(7), rates).collect()))
-    old, mixing.BROADCAST_SOURCES = mixing.BROADCAST_SOURCES, 0
+    old, mixing.BROADCAST_BYTES = mixing.BROADCAST_BYTES, 0
     assert out.count() == mixing.mix(d, rates).count()
-    mixing.BROADCAST_SOURCES = old
+    mixing.BROADCAST_BYTES = old
     assert mixing.mix(d.limit(0), mixing.source_rates(d.limit(0))).count() == 0
 
 
+def test_poisson_cdf(spark):
+    """Small and very large rates against sums of exact weights."""
+    rates = {"a": 0.01, "b": 1.0, "c": 7.5, "d": 250.0, "e": 40_000.0}
+    got = {r["source"]: r for r in mixing.poisson_cdf(spark.createDataFrame(list(rates.items()), "source string, rate double")).collect()}
+    for source, rate in rates.items():
+        first, cdf = got[source]["first"], got[source]["cdf"]
+        k = range(max(0, first - 50), first + len(cdf))
+        want = np.cumsum([math.exp(i * math.log(rate) - rate - math.lgamma(i + 1)) for i in k])[first - k[0] :]
+        assert len(cdf) < 24 * rate**0.5 + 70 and np.abs(np.array(cdf) - want).max() < 1e-7 and cdf[-1] == 1.0
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_library(name):
     r = random.Random(1)
