@@ -19,8 +19,8 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, without the lines that fail."""
-    return _documents(quality.quality(docs).where("kept").withColumn("text", F.col("clean_text")))
+    """Documents that the quality rules keep, without the lines that fail. Short documents are judged by their lines alone: one word is enough here."""
+    return _documents(quality.quality(docs, min_words=1).where("kept").withColumn("text", F.col("clean_text")))
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
