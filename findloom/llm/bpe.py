@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from findloom.llm.common import fresh, saved, table, without
-from findloom.llm.tokens import encoder, id_lists, tokenizer
+from findloom.llm.tokens import chunks, encoder, tokenizer
 
 #: Texts of more characters than this are encoded in pieces of so many.
 PIECE = 1 << 14
@@ -131,10 +131,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", pie
     short, long = _by_length(d, piece, own)
 
     def whole(texts: pa.Array) -> pa.Array:
-        encode, out = encoder(path, REMEMBERED).encode, []
-        for at in range(0, len(texts), 256):
-            out += encode(texts[at : at + 256].to_pylist())
-        return id_lists(out)
+        out = [encoder(path, REMEMBERED).encode(part) for _, part in chunks(texts)]
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
     short = short.withColumn(ids, F.arrow_udf(whole, T.ArrayType(T.IntegerType()))(own))
     return short.unionByName(_tree(long, path, ids, piece, own)).drop(own)
@@ -158,9 +156,8 @@ def _tree(long: DataFrame, path: str, ids: str, piece: int, text: str = "text")
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, REMEMBERED).encode
         for batch in batches:
-            for at in range(0, batch.num_rows, 16):
-                part = batch.slice(at, 16)
-                yield pa.RecordBatch.from_arrays([*part.columns, id_lists(encode(part.column(3).to_pylist()))], [*part.schema.names, "ids"])
+            for at, part in chunks(batch.column(3)):
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(part)).columns, encode(part)], [*batch.schema.names, "ids"])
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at")
@@ -226,9 +223,8 @@ def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", piece: int = PIE
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, REMEMBERED).encode
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield told(part.column(0), id_lists(encode(part.column(1).to_pylist())))
+            for at, part in chunks(batch.column(1)):
+                yield told(batch.column(0).slice(at, len(part)), encode(part))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

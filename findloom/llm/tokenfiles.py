@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from findloom.llm.common import saved, scratch, table
-from findloom.llm.tokens import encoder
+from findloom.llm.tokens import chunks, encoder
 
 #: Ids in a sequence, and sequences in a batch.
 LENGTH, BATCH = 2048, 256
@@ -25,12 +25,13 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 class SequenceWriter:
-    """Packs ids into sequences of `length` and writes `batch` of them at a time; the last sequence is padded with 0 under a mask of 0. Masks are bytes, 1 for an id, so they too are read in place."""
+    """Packs ids into sequences of `length` and writes `batch` of them at a time; the last sequence is padded with 0 under a mask of 0. A mask is a list of bytes too, a bit for each id from the lowest up, so it is read in place; unmasked() spreads it."""
 
     def __init__(self, path: str, length: int = LENGTH, batch: int = BATCH, dtype=np.uint16):
         self.fs, self.path = _open(path)
+        assert length % 8 == 0
         self.length, self.batch, self.dtype = length, batch, np.dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.dtype), length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.dtype), length)), ("mask", pa.list_(pa.uint8(), length // 8))])
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.file = self.fs.open_output_stream(self.path)
         self.out = pa.ipc.new_stream(self.file, self.schema)
@@ -52,7 +53,7 @@ class SequenceWriter:
         rows = -(-n // self.length)
         flat, mask = np.zeros(rows * self.length, self.dtype), np.zeros(rows * self.length, np.uint8)
         flat[:n], mask[:n] = ids, 1
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=self.schema.field(i).type) for i, x in enumerate((flat, mask))]
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=self.schema.field(i).type) for i, x in enumerate((flat, np.packbits(mask, bitorder="little")))]
         self.out.write_batch(pa.record_batch(lists, schema=self.schema))
 
     def close(self) -> None:
@@ -68,9 +69,12 @@ def read_sequences(path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     source = pa.memory_map(at) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(at)
     with pa.ipc.open_stream(source) as stream:
         for batch in stream:
-            ids, mask = batch.column(0), batch.column(1)
-            length = ids.type.list_size
-            yield ids.flatten().to_numpy(zero_copy_only=True).reshape(-1, length), mask.flatten().to_numpy(zero_copy_only=True).reshape(-1, length)
+            yield tuple(c.flatten().to_numpy(zero_copy_only=True).reshape(-1, c.type.list_size) for c in batch.columns)
+
+
+def unmasked(mask: np.ndarray) -> np.ndarray:
+    """A bool for each id of masks as they're stored."""
+    return np.unpackbits(mask, axis=-1, bitorder="little").astype(bool)
 
 
 class Sequences:
@@ -104,7 +108,6 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_
         encode, context = encoder(tokenizer), TaskContext.get()
         dtype = np.uint16 if encode.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         name = f"{path}/part-{context.partitionId():06d}-{context.taskAttemptId()}"
-        last = end_id.to_bytes(4, "little")
         out = rows = None
         n_docs = n_ids = 0
         for batch in batches:
@@ -115,12 +118,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_
                 fs, at = _open(f"{name}.docs.arrows")
                 rows = pa.ipc.new_stream(file := fs.open_output_stream(at), rows_schema(id_type))
             counts = []
-            for at in range(0, batch.num_rows, 256):
-                for ids in encode.encode(batch.column(1)[at : at + 256].to_pylist()):
-                    out.add(np.frombuffer(ids + last, "<u4").astype(dtype))
-                    counts.append(len(ids) // 4 + 1)
+            for _, part in chunks(batch.column(1)):
+                ids = encode.encode(part)
+                ends = ids.offsets.to_numpy()
+                out.add(np.insert(ids.values.to_numpy().astype(dtype), ends[1:], end_id))
+                counts.append(np.diff(ends) + 1)
+            counts = np.concatenate(counts).astype(np.int64)
             rows.write_batch(pa.record_batch([batch.column(0).cast(id_type), pa.array(counts, pa.int64())], schema=rows_schema(id_type)))
-            n_docs, n_ids = n_docs + len(counts), n_ids + sum(counts)
+            n_docs, n_ids = n_docs + len(counts), n_ids + int(counts.sum())
         if out is not None:
             out.close()
             rows.close()
@@ -151,7 +156,7 @@ def read_tokens(manifest: DataFrame, doc_type: str = "long") -> DataFrame:
 
 
 def _documents(path: str, start: int) -> Iterator[pa.RecordBatch]:
-    flat = (ids.reshape(-1)[: int(mask.sum())] for ids, mask in read_sequences(f"{path}.arrows"))
+    flat = (ids.reshape(-1)[: int(unmasked(mask).sum())] for ids, mask in read_sequences(f"{path}.arrows"))
     held = np.empty(0, np.uint16)
     fs, at = _open(f"{path}.docs.arrows")
     with fs.open_input_file(at) as source, pa.ipc.open_stream(source) as docs:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Texts made of these only are split here; the library splits and encodes all others. In these ranges all rules of the two files' patterns,
-#: case and NFC are the same in Python and in the library.
-PLAIN = re.compile("[^\t\n\r\x20-\x7eÀ-įı-ɏЀ-ҁҊ-ԯ‐-‧€ぁ-ゖァ-ヺ一-龥가-힣]")
+#: case and NFC are the same in Python, in Arrow and in the library.
+PLAIN = "\t\n\r\x20-\x7eÀ-įı-ɏЀ-ҁҊ-ԯ‐-‧€ぁ-ゖァ-ヺ一-龥가-힣"
 #: The split patterns of the two files.
 SPLITS = {
     "byte_bpe": re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"),
@@ -34,15 +36,18 @@ def tokenizer(path: str):
 
 
 #: White space that doesn't stand alone, or at a text's end more than once: such texts are split by the whole pattern.
-RUNS = re.compile(r"[\t\r]|  | \n|\n |\n\n\n|\n\n$| $")
+RUNS = r"[\t\r]|  | \n|\n |\n\n\n|\n\n$| $"
 #: Stands for the lack of a space before what follows.
 BARE = "\x01"
+#: Bytes of texts that are encoded at once.
+CHUNK = 4 << 20
 
 
 class Encoder:
-    """ids of whole texts, equal to the library's encode(text, add_special_tokens=False), as little-endian unsigned 32-bit integers.
+    """ids of whole texts, equal to the library's encode(text, add_special_tokens=False).
 
-    Texts are cut at white space, where pre-tokens always end, and the library encodes each new piece; what it says is remembered.
+    Texts are cut at white space, where pre-tokens always end; the different pieces of many texts are looked up together. The library encodes each new piece; what
+    it says is remembered. In the byte files a piece has a space before it unless it starts with BARE.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -53,16 +58,68 @@ class Encoder:
         self.older: dict[str, bytes] = {}
         self.long: list[str] = []
 
-    def pieces(self, text: str) -> list[str] | None:
-        """A text's pieces; None for a text that the library has to take whole. In the byte files a piece has a space before it unless it starts with BARE; one of
-        single white space stands alone."""
-        if not self.split or "<|" in text or PLAIN.search(text):
-            return None
+    def _cut(self, texts: pa.Array) -> pa.ListArray:
+        """The pieces of plain texts without RUNS."""
         if self.lower:
-            return text.lower().split()
-        if RUNS.search(text):
-            return [x[1:] if x[0] == " " and x != " " else BARE + x for x in self.split.findall(text)]
-        return (BARE + text.replace("\n", f" {BARE}\n {BARE}")).split(" ")
+            return pc.utf8_split_whitespace(pc.utf8_lower(texts))
+        marked = pc.replace_substring(texts, "\n", f" {BARE}\n {BARE}")
+        return pc.split_pattern(pc.binary_join_element_wise(pa.scalar(BARE, pa.large_string()), marked, pa.scalar("", pa.large_string())), " ")
+
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of each text (null: none) as int32 lists."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.or_(pc.match_substring_regex(texts, f"[^{PLAIN}]"), pc.match_substring(texts, "<|"))
+        if not self.split:
+            odd = pa.array(np.ones(len(texts), bool))
+        runs = pa.array(np.zeros(len(texts), bool)) if self.lower else pc.match_substring_regex(texts, RUNS)
+        odd, runs = (x.to_numpy(zero_copy_only=False) for x in (odd, runs))
+        alone = {i: self._alone(texts[i].as_py(), bool(odd[i])) for i in np.flatnonzero(odd | runs).tolist()}
+        flat, ends = self._together(texts if not alone else texts.filter(pa.array(~(odd | runs))))
+        if alone:
+            counts = np.zeros(len(texts), np.int64)
+            counts[~(odd | runs)] = np.diff(ends)
+            for i, ids in alone.items():
+                counts[i] = len(ids)
+            offsets = np.concatenate([[0], np.cumsum(counts)])
+            out = np.empty(offsets[-1], np.int32)
+            own = counts[~(odd | runs)]
+            out[np.repeat(offsets[:-1][~(odd | runs)] - ends[:-1], own) + np.arange(len(flat))] = flat
+            for i, ids in alone.items():
+                out[offsets[i] : offsets[i + 1]] = ids
+            flat, ends = out, offsets
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+
+    def _alone(self, text: str, odd: bool) -> np.ndarray:
+        """ids of one text: by the library, or by the whole pattern where only its white space is odd."""
+        if odd:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+        pieces = [x[1:] if x[0] == " " and x != " " else BARE + x for x in self.split.findall(text)]
+        self._need(set(pieces))
+        out = np.frombuffer(b"".join(map(self.ids.__getitem__, pieces)), "<i4")
+        self._forget()
+        return out
+
+    def _together(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's end) of texts that can be cut."""
+        cut = self._cut(texts)
+        coded = cut.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._need(set(pieces))
+        found = list(map(self.ids.__getitem__, pieces))
+        self._forget()
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        known = np.frombuffer(b"".join(found), "<i4")
+        which = coded.indices.to_numpy()
+        n = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        flat = known[np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], n) + np.arange(ends[-1])]
+        offsets = cut.offsets.to_numpy()
+        return flat, ends[offsets - offsets[0]]
+
+    def _forget(self) -> None:
+        for w in self.long:  # used once
+            self.ids.pop(w, None)
+        self.long = []
 
     def _learn(self, pieces: set[str]) -> None:
         words, several = set(), []
@@ -112,20 +169,6 @@ class Encoder:
             self.long = [w for w in new if len(w) > LONGEST]
             self._learn(new)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text (null: none)."""
-        out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            part = [x or "" for x in texts[at : at + 256]]
-            pieces = [self.pieces(x) for x in part]
-            self._need(set().union(*filter(None, pieces)))
-            get = self.ids.__getitem__
-            out += [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() if w is None else b"".join(map(get, w)) for x, w in zip(part, pieces, strict=True)]
-            for w in self.long:  # used once, not remembered
-                self.ids.pop(w, None)
-            self.long = []
-        return out
-
 
 @cache
 def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
@@ -133,8 +176,11 @@ def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     return Encoder(path, remembered)
 
 
-def id_lists(ids: list[bytes]) -> pa.Array:
-    """What encode() returns as an Arrow array of int32 lists."""
-    offsets = np.zeros(len(ids) + 1, np.int32)
-    np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, pa.Array]]:
+    """(start, slice) of a column of texts, of about `size` bytes each; a longer text stands alone."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    at = np.cumsum(lengths) // size
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(column)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield a, column.slice(a, b - a)
