@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +17,7 @@ from findloom.llm.common import fresh, saved, table, without
 from findloom.llm.tokens import chunks, encoder, tokenizer
 
 #: Texts of more characters than this are encoded in pieces of so many.
-PIECE = 1 << 14
+PIECE = 1 << 15
 #: Pre-tokens that a worker remembers; the workers that decode need room beside it.
 REMEMBERED = 150_000
 #: Characters on either side of a join that are encoded anew at first.
@@ -30,7 +29,7 @@ def _offsets(path: str, text: str) -> tuple[list[int], list[tuple[int, int]]]:
     return got.ids, got.offsets
 
 
-def join(path: str, left: str, left_ids: list[int], right: str, right_ids: list[int], first: int = FIRST_WINDOW) -> list[int]:
+def join(path: str, left: str, left_ids: np.ndarray, right: str, right_ids: np.ndarray, first: int = FIRST_WINDOW) -> np.ndarray:
     """ids of left + right from those of both sides.
 
     A window around the join starts and ends at white space and is encoded anew, as are its own halves within left and right. When
@@ -46,20 +45,20 @@ def join(path: str, left: str, left_ids: list[int], right: str, right_ids: list[
         whole = a == 0 and b == len(right)
         ids, spans = _offsets(path, left[a:] + right[:b])
         if whole:
-            return ids
+            return np.array(ids, np.int32)
         tail, tail_spans = _offsets(path, left[a:])
         head, head_spans = _offsets(path, right[:b])
         cut = len(left) - a
         same_left = sum(1 for _ in _agree(zip(ids, spans), zip(tail, tail_spans), lambda s: s[1] < cut))
         shifted = [(i, (s + cut, e + cut)) for i, (s, e) in zip(head, head_spans)]
         same_right = sum(1 for _ in _agree(zip(reversed(ids), reversed(spans)), reversed(shifted), lambda s: s[0] > cut))
-        sides = (a == 0 or (same_left and left_ids[len(left_ids) - len(tail) :] == tail)) and (b == len(right) or (same_right and right_ids[: len(head)] == head))
+        sides = (a == 0 or (same_left and np.array_equal(left_ids[max(0, len(left_ids) - len(tail)) :], tail))) and (b == len(right) or (same_right and np.array_equal(right_ids[: len(head)], head)))
         if sides and same_left + same_right <= len(ids):
-            return [*left_ids[: len(left_ids) - len(tail)], *ids, *right_ids[len(head) :]]
+            return np.concatenate([left_ids[: len(left_ids) - len(tail)], ids, right_ids[len(head) :]]).astype(np.int32)
         size *= 2
 
 
-def join_inside(path: str, left: str, left_ids: list[int], right: str, right_ids: list[int], size: int) -> list[int] | None:
+def join_inside(path: str, left: str, left_ids: np.ndarray, right: str, right_ids: np.ndarray, size: int) -> np.ndarray | None:
     """join within one run of ASCII letters or digits that has no white space near; None where the window's sides don't agree.
 
     In a run a list of tokens is what the whole run gives when each two neighbours are what their own text gives. So one token that the window shares with left,
@@ -71,8 +70,8 @@ def join_inside(path: str, left: str, left_ids: list[int], right: str, right_ids
         return None
     (t_ids, t_spans), (h_ids, h_spans), (ids, spans) = (_offsets(path, x) for x in (tail, head, run))
     at = dict(zip(spans, range(len(ids))))
-    same_tail = _same(reversed(t_ids), reversed(left_ids))
-    same_head = _same(h_ids, right_ids)
+    same_tail = _same(reversed(t_ids), left_ids[-len(t_ids) :][::-1].tolist())
+    same_head = _same(h_ids, right_ids[: len(h_ids)].tolist())
     for i in range(max(1, len(t_ids) - same_tail + 1), len(t_ids) - 1):
         k = at.get(t_spans[i])
         if k is None or ids[k] != t_ids[i]:
@@ -80,7 +79,7 @@ def join_inside(path: str, left: str, left_ids: list[int], right: str, right_ids
         for j in range(1, same_head - 1):
             m = at.get((h_spans[j][0] + size, h_spans[j][1] + size))
             if m is not None and m > k and ids[m] == h_ids[j]:
-                return [*left_ids[: len(left_ids) - (len(t_ids) - i)], *ids[k:m], *right_ids[j:]]
+                return np.concatenate([left_ids[: len(left_ids) - (len(t_ids) - i)], ids[k:m], right_ids[j:]]).astype(np.int32)
         return None
     return None
 
@@ -159,19 +158,39 @@ def _tree(long: DataFrame, path: str, ids: str, piece: int, text: str = "text")
             for at, part in chunks(batch.column(3)):
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, len(part)).columns, encode(part)], [*batch.schema.names, "ids"])
 
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        row = pdf.iloc[0]
-        got, text = list(row["ids"]), row["text"]
-        if len(pdf) == 2:
-            got, text = join(path, text, got, pdf.iloc[1]["text"], list(pdf.iloc[1]["ids"])), text + pdf.iloc[1]["text"]
-        return pd.DataFrame({"key": [row["key"]], "at": [row["at"] // 2], "last": [row["last"] // 2], "text": [text], "ids": [got]})
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, out = None, []
+
+        def told() -> pa.RecordBatch:
+            keys, places, lasts, texts, ids = zip(*out)
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(places, pa.int32()), pa.array(lasts, pa.int32()), pa.array(texts), lists], ["key", "at", "last", "text", "ids"])
+
+        for batch in batches:
+            for i, row in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True)):
+                ids = batch.column(4)[i].values.to_numpy()
+                key, at, last, text = row
+                if held and held[0] == key and held[1] == at - 1 and at % 2:
+                    out.append((key, at // 2, last // 2, held[3] + text, join(path, held[3], held[4], text, ids)))
+                    held = None
+                else:
+                    if held:
+                        out.append((held[0], held[1] // 2, held[2] // 2, *held[3:]))
+                    held = (*row, ids)
+                if len(out) >= 64:
+                    yield told()
+        if held:
+            out.append((held[0], held[1] // 2, held[2] // 2, *held[3:]))
+        if out:
+            yield told()
 
     shape = "key string, at int, last int, text string, ids array<int>"
     tree = saved(cut.repartition("key", "at").mapInArrow(encoded, shape), "pieces")
     levels = int(tree.agg(F.max("last")).first()[0] or 0).bit_length()
     for _ in range(levels):
-        tree = tree.groupBy("key", F.floor(F.col("at") / 2).alias("half")).applyInPandas(pair, shape)
+        tree = tree.repartition("key", F.floor(F.col("at") / 2)).sortWithinPartitions("key", "at").mapInArrow(paired, shape)
     return long.join(tree.select(F.col("key").alias(key), F.col("ids").alias(ids)), key).drop(key)
 
 
