@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,15 +13,42 @@ from pyspark.sql import types as T
 
 from findloom.llm.common import fresh, table, without
 
-#: Short notices and the openings of permissive licences, as their publishers word them.
+#: Short notices, file headers and full texts of licences, as their publishers word them.
 TEMPLATES = {
+    "AGPL-3.0": (
+        "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 '
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
+        "See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    "BSD-2-Clause": (
+        "Released under the BSD 2-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     ),
     "BSD-3-Clause": (
         "Released under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    "BSL-1.0": (
+        "Distributed under the Boost Software License, Version 1.0.",
+        'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, '
+        "and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
     ),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
@@ -28,87 +56,136 @@ TEMPLATES = {
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
     "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
-    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    "LGPL-2.1": ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",),
+    "LGPL-3.0": ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "MIT": (
+        "Released under the MIT License.",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, '
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",),
     "Proprietary": ("All rights reserved.",),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "3. This notice may not be removed or altered from any source distribution.",
+    ),
 }
-#: A line with one of these may hold a licence; each template has one.
-CUES = re.compile(r"licen[cs]e|copyright|all rights reserved|redistribution and use|permission|public domain|creative commons|cc0|cc by", re.IGNORECASE)
+#: A notice has a word with one of these near it; each template has one.
+CUES = re.compile(r"licen[cs]e|copyright|rights[\W_]+reserved|redistribut|permi[ts]|granted|binary|warrant|public[\W_]+domain|creative[\W_]+commons|cc0|cc[\W_]+by", re.IGNORECASE)
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
-#: The best RANKED reductions of a window are compared word by word.
-RANKED = 3
+#: A template is confirmed in a block where it saves this share of the bytes that it takes itself.
+FLOOR = 0.2
 SPAN = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("license", T.StringType()), ("start", T.LongType()), ("end", T.LongType()), ("reduction", T.DoubleType()), ("differences", T.LongType()))]))
 _ARROW = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("reduction", pa.float64()), ("differences", pa.int64())]))
+_STEP = 1 << 32
 
 
 @cache
 def _compressors():
-    """Templates with their words and a compressor for each; and a plain compressor."""
+    """Templates with their words, a compressor for each and their own compressed size; and a plain compressor."""
     import zstandard as z
 
-    out = []
+    out, plain = [], z.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
     for name, texts in TEMPLATES.items():
         for text in texts:
             words = tuple(w.lower() for w in WORD.findall(text))
-            raw = z.ZstdCompressionDict(" ".join(words).encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
-            out.append((name, words, z.ZstdCompressor(level=3, dict_data=raw, write_content_size=False, write_checksum=False)))
-    return out, z.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
+            raw = " ".join(words).encode()
+            press = z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
+            out.append((name, words, press, len(plain.compress(raw))))
+    return out, plain
+
 
+def laid(template: np.ndarray, block: np.ndarray, most: int) -> list[tuple[int, int, int]]:
+    """(differences, start, end) of the stretches of a block that become the template when at most `most` words are put in, taken out or replaced; of those
+    that overlap the one with the fewest, then the first.
 
-def differences(a: tuple[str, ...], b: tuple[str, ...], most: int) -> int:
-    """The least number of words put in, taken out or replaced that turns a into b, or most + 1 if there are more."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        if min(row) > most:
-            return most + 1
-    return min(row[-1], most + 1)
+    The table of least differences is filled row by row for all ends at once; a cell carries the latest start that has its number.
+    """
+    n = len(block)
+    places = np.arange(n + 1, dtype=np.int64)
+    row = _STEP - 1 - places  # nothing of the template yet: every start is free
+    for word in template:
+        best = row + _STEP
+        best[1:] = np.minimum(best[1:], row[:-1] + np.where(block == word, 0, _STEP))
+        row = np.minimum.accumulate(best - places * _STEP) + places * _STEP
+    cost, start = row // _STEP, _STEP - 1 - row % _STEP
+    out: list[tuple[int, int, int]] = []
+    for c, a, b in sorted((int(cost[e]), int(start[e]), int(e)) for e in np.flatnonzero(cost <= most) if start[e] < e):
+        if all(b <= x or a >= y for _, x, y in out):
+            out.append((c, a, b))
+    return out
 
 
 def license_spans(text: str | None, slack: float = 0.1) -> list[tuple[str, int, int, float, int]]:
     """(license, start, end, reduction, differences) of each notice, by start; code points, end exclusive.
 
-    A block is a line with a cue and the two lines after it, so wrapped notices stay whole. In it each template is laid on the windows of its own length that begin with its first word
-    (or are the first in the block); the windows' reductions by each template are ranked and the best RANKED are confirmed when at most `slack` of
-    the template's words differ, none in a template of ten words or fewer. Of overlapping spans the one of more words stays, then of fewer differences, then the first by name.
+    For each template the words near cues, as many before and after as the template has, form blocks; long ones are cut into overlapping blocks of about four
+    times its length, so neither line breaks nor comment signs matter. A block is compressed with the template as its dictionary; where that saves at least FLOOR of what
+    the template takes itself, the template is confirmed where at most `slack` of its words differ, none in a template of ten words or fewer. All templates
+    above the floor are tried, best reduction first. Of overlapping spans the one of more words stays, then of fewer differences, then of the better reduction, then the
+    first by name. A notice none of whose cue words is left isn't found. Work is linear in the text.
     """
+    text = text or ""
+    cues = [m.start() for m in CUES.finditer(text)]
+    if not cues:
+        return []
+    words = [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text)]
+    if not words:
+        return []
+    starts = np.array([w[1] for w in words])
+    near = np.unique(np.maximum(np.searchsorted(starts, cues, "right") - 1, 0))
     templates, plain = _compressors()
-    found: dict[tuple[int, int], tuple[str, int, int, float, int]] = {}
-    lines = list(re.finditer(r"[^\n]+", text or ""))
-    for k, line in enumerate(lines):
-        if not CUES.search(line[0]):
-            continue
-        stop = lines[min(k + 2, len(lines) - 1)].end()
-        first_end = line.end()
-        words = [(m[0].lower(), m.start() + line.start(), m.end() + line.start()) for m in WORD.finditer(text[line.start() : stop])]
-        ranked = []
-        for name, t, press in templates:
-            for at in range(len(words)):
-                if words[at][1] >= first_end:
-                    break
-                if words[at][0] == t[0] and len(words) - at >= len(t) * (1 - slack):
-                    block = " ".join(w for w, _, _ in words[at : at + len(t)]).encode()
-                    size = len(plain.compress(block))
-                    ranked.append(((size - len(press.compress(block))) / size, name, t, at))
-        best: dict[int, list] = {}
-        for x in sorted(ranked, key=lambda x: (-x[0], x[1])):
-            best.setdefault(x[3], []).append(x)
-        for at, own in best.items():
-            for reduction, name, t, _ in own[:RANKED]:
-                most = 0 if len(t) <= 10 else int(slack * len(t))
-                window = words[at : at + len(t)]
-                n = differences(tuple(w for w, _, _ in window), t, most)
-                if n <= most:
-                    s = (name, window[0][1], window[-1][2], reduction, n)
-                    found[s[1:3]] = min(found.get(s[1:3], s), s, key=lambda x: (x[4], x[0]))
+    numbers: dict[str, int] = {}
+    coded = np.array([numbers.setdefault(w, len(numbers)) for w, _, _ in words])
+    found: dict[tuple[int, int], tuple] = {}
+    for name, t, press, own in templates:
+        m = len(t)
+        most = 0 if m <= 10 else int(slack * m)
+        reach = m + most
+        for a, b in _blocks(near, reach, len(words)):
+            block = " ".join([w for w, _, _ in words[a:b]]).encode()
+            saved = len(plain.compress(block)) - len(press.compress(block))
+            if saved < FLOOR * own:
+                continue
+            for n, i, j in laid(np.array([numbers.get(w, -1) for w in t]), coded[a:b], most):
+                s = (-m, n, -saved / own, name, words[a + i][1], words[a + j - 1][2])
+                found[s[4:]] = min(found.get(s[4:], s), s)
     out: list = []
-    for s in sorted(found.values(), key=lambda s: (-(s[2] - s[1]), s[4], s[0], s[1])):
-        if all(s[2] <= o[1] or s[1] >= o[2] for o in out):
+    for s in sorted(found.values()):
+        if all(s[5] <= o[4] or s[4] >= o[5] for o in out):
             out.append(s)
-    return sorted(out, key=lambda s: s[1])
+    return sorted(((name, a, b, -r, n) for _, n, r, name, a, b in out), key=lambda s: s[1])
+
+
+def _blocks(near: np.ndarray, reach: int, n: int) -> list[tuple[int, int]]:
+    """Stretches of words within `reach` of cues, those of more than four times it cut so that any `reach` words stand together in one."""
+    low, high = np.maximum(near - reach, 0), np.minimum(near + reach + 1, n)
+    cut = np.flatnonzero(low[1:] > high[:-1]) + 1
+    out = []
+    for a, b in zip(low[np.concatenate([[0], cut])].tolist(), high[np.concatenate([cut - 1, [len(near) - 1]])].tolist()):
+        while b - a > 4 * reach:
+            out.append((a, a + 4 * reach))
+            a += 3 * reach
+        out.append((a, b))
+    return out
 
 
 def _spans(text: pa.Array) -> pa.Array:
@@ -119,7 +196,7 @@ def _spans(text: pa.Array) -> pa.Array:
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `licenses`, an array of (license, start, end, reduction, differences).
 
-    Null and empty texts have none. Each row is judged alone, block by block, so very long texts, ties and repeated rows need nothing
+    Null and empty texts have none, nor have texts without a cue. Each row is judged alone, block by block, so very long texts, ties and repeated rows need nothing
     special; an empty table gives an empty result; an input column named licenses is replaced, after its use if it's the text.
     """
     own = fresh(docs, "text")

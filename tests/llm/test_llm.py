@@ -288,6 +288,49 @@ def test_pii_account_forms():
 
 
 def test_licenses(spark):
-    texts = TEXTS + [(30, "a\nReleased under the MIT License.\nb"), (31, "Released under the MIX License."), (32, "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,\nprovided that the copyright notice and this permission notice appear in all copies.")]
-    rows = {x["doc_id"]: [(s["license"], s["differences"]) for s in x["licenses"]] for x in licenses.scan_licenses(docs(spark, texts)).collect()}
-    assert rows[30] == [("MIT", 0)] and rows[31] == [] and rows[32] == [("ISC", 1)] and rows[0] == []
+    texts = TEXTS + [(30, "a\nReleased under the MIT License.\nb"), (31, "Released under the MIX License."), (32, "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,\nprovided that the copyright notice and this permission notice appear in all copies."), (None, "All rights reserved.")]
+    d = docs(spark, texts).withColumn("licenses", F.lit("clash"))
+    rows = {x["doc_id"]: [(s["license"], s["differences"]) for s in x["licenses"]] for x in licenses.scan_licenses(d).collect()}
+    assert rows[30] == [("MIT", 0)] and rows[31] == [] and rows[32] == [("ISC", 1)] and rows[0] == [] and rows[None] == [("Proprietary", 0)]
+    assert licenses.scan_licenses(d.limit(0)).count() == 0
+
+
+def test_licenses_by_brute_force():
+    """Notices with changed words, wrapped as comments, in noise: every template on every stretch, without cues, blocks or compression."""
+    r = random.Random(9)
+    templates = [(name, [w.lower() for w in licenses.WORD.findall(t)], t) for name, ts in licenses.TEMPLATES.items() for t in ts]
+    assert all(licenses.CUES.search(t) for _, _, t in templates)
+
+    def least(a, block):
+        row = [0] * (len(block) + 1)
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(block, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return min(row)
+
+    for k in range(60):
+        name, words, text = templates[k % len(templates)]
+        parts = text.split()
+        changes = r.randint(0, int(0.12 * len(words))) if len(words) > 10 else r.randint(0, 1)
+        for _ in range(changes):
+            parts[r.randrange(len(parts))] = f"new{r.randint(0, 99)}"
+        noise = [" ".join(f"n{r.randint(0, 300)}" for _ in range(r.randint(0, 60))) for _ in range(2)]
+        lines, width = [], r.choice([30, 60, 79, 1000])
+        for w in [*noise[0].split(), *parts, *noise[1].split()]:
+            if lines and len(lines[-1]) + len(w) < width:
+                lines[-1] += " " + w
+            else:
+                lines.append(r.choice(["# ", " * ", "// "]) + w)
+        whole = "\n".join(lines)
+        block = [w.lower() for w in licenses.WORD.findall(whole)]
+        fits = {}
+        for other, own, _ in templates:
+            n = least(own, block)
+            if n <= (0 if len(own) <= 10 else int(0.1 * len(own))):
+                fits.setdefault(len(own), set()).add((other, n))
+        got = licenses.license_spans(whole)
+        assert bool(got) == bool(fits and licenses.CUES.search(whole))
+        if got:
+            fewest = min(n for _, n in fits[max(fits)])
+            assert any((s[0], s[4]) in fits[max(fits)] and s[4] == fewest for s in got)
