@@ -1,4 +1,4 @@
-"""Near-duplicate vectors: overlapping cluster shards, each compared exactly, and an audit of what no shard joins."""
+"""Near-duplicate vectors: a robust-pruned flat graph from overlapping shards, searched greedily from medoids and onwards within range, and an audit of its recall."""
 
 from __future__ import annotations
 
@@ -12,12 +12,17 @@ from pyspark.sql import functions as F
 from findloom.llm.common import saved, table
 from findloom.llm.graph import components
 
-#: Shards hold about SHARD vectors; a vector is in its OVERLAP nearest ones. Pivots are a hash sample of at most MAX_PIVOTS vectors or PIVOT_BYTES.
-SHARD, OVERLAP, MAX_PIVOTS, PIVOT_BYTES = 500, 3, 4096, 32 << 20
-#: A shard of more than 2 * BLOCK vectors is searched by pairs of blocks of about BLOCK.
-BLOCK = 500
-#: The recall audit wants so many nodes with true links; those with more than HOT of them are judged apart, as are copies. Below LEAST_RECALL shards overlap twice as much.
-AUDIT, HOT, LEAST_RECALL = 200, 16, 0.98
+#: A flat graph holds about CELL vectors of a label; larger labels are split by FAN pivots again and again, a vector going to its two nearest cells.
+CELL, FAN, NEAREST = 8192, 64, 2
+#: A cell's graph is built in shards of about SHARD vectors; a vector is in its OVERLAP nearest ones.
+SHARD, OVERLAP = 512, 3
+#: Candidates and random others that a vector's neighbours are pruned from, how many neighbours stay, and how much nearer one has to be to shadow another.
+CANDIDATES, OTHERS, DEGREE, ALPHA = 48, 8, 24, 1.2
+#: Searches go on from the best BEAM vectors and from all within range less SLACK; so many queries at once, so many steps of each.
+BEAM, SLACK, QUERIES, STEPS = 24, 0.02, 128, 6
+#: The recall audit wants so many nodes with true links; those with more than HOT of them are judged apart, as are copies. Below LEAST_RECALL shards overlap twice
+#: as much. Bytes of an audit's queries.
+AUDIT, HOT, LEAST_RECALL, AUDIT_BYTES = 200, 16, 0.98, 32 << 20
 #: Blocks of the exact comparison.
 EXACT = 2048
 
@@ -55,88 +60,208 @@ def _unit(lists: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _search(spark: SparkSession, nodes: DataFrame, least: float, overlap: int | None) -> tuple[DataFrame, DataFrame]:
-    """(node, links by weight, links to distinct nodes) and (a, b) edges that connect what the links connect; without an overlap a label is one
-    shard, so the links are all there are."""
-    shape = "node long, label long, dim int, vector array<double>, weight long"
-    size = BLOCK if overlap else EXACT
-    if overlap:
-        assigned = _shards(nodes, overlap, shape)
+def pruned(sims: np.ndarray, degree: int, rng: np.random.Generator) -> np.ndarray:
+    """The neighbours of each vector of a shard, -1 where there are fewer than `degree`: from its nearest ones and some others the nearest is taken again and again, and
+    candidates that are ALPHA times nearer to it than to the vector are passed over."""
+    n = len(sims)
+    own = sims.copy()
+    np.fill_diagonal(own, -np.inf)
+    k = min(CANDIDATES, n - 1)
+    near = np.argpartition(-own, k - 1, 1)[:, :k] if k < n - 1 else np.argsort(-own, 1)[:, :k]
+    cand = np.concatenate([near, rng.integers(0, n, (n, OTHERS))], 1)
+    row = np.arange(n)[:, None]
+    alive = np.where(cand == row, -np.inf, own[row, cand])
+    far = 1 - alive
+    out = np.full((n, degree), -1)
+    for step in range(degree):
+        at = alive.argmax(1)
+        good = np.isfinite(alive[row[:, 0], at])
+        if not good.any():
+            break
+        best = cand[row[:, 0], at]
+        out[good, step] = best[good]
+        shadowed = ALPHA * (1 - sims[best[:, None], cand]) <= far
+        alive[shadowed | (cand == best[:, None])] = -np.inf
+    return out
+
+
+def flat_graph(x: np.ndarray, overlap: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each node's neighbours begin, neighbours, medoids): the lists of all shards, and their reverses, united."""
+    n = len(x)
+    if n <= SHARD:
+        shards = [np.arange(n)]
     else:
-        assigned = nodes.select("node", "label", "dim", "vector", "weight").withColumn("shards", F.array(F.lit(0)))
-    rows = assigned.select("*", F.explode("shards").alias("shard"))
-    sizes = rows.groupBy("label", "dim", "shard").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = sizes.select("label", "dim", "shard", F.when(F.col("n") <= 2 * size, 1).otherwise(F.ceil(F.col("n") / size)).cast("int").alias("blocks"))
-    rows = rows.join(blocks, ["label", "dim", "shard"]).withColumn("block", F.pmod(F.xxhash64("node", "shard"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    key = ["label", "dim", "shard", "i", "j"]
-    rows = rows.select("label", "dim", "shard", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "weight", "shards", "vector")
-    out = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("others", pa.int64()), ("root", pa.int64())])
-
-    def found(table: pa.Table, shard: int, cross: bool) -> pa.RecordBatch:
-        node, weight, block = (table.column(c).to_numpy() for c in ("node", "weight", "block"))
-        shards = np.array(table.column("shards").to_pylist())
-        x = _unit(table.column("vector").combine_chunks())
-        hits, links, others = np.zeros((len(x), len(x)), bool), np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
-        for at in range(0, len(x), 128):
-            rows = np.arange(at, min(len(x), at + 128))
-            hits[rows] = close(x, rows, least)
-            a, b = np.nonzero(hits[rows] & (block[rows][:, None] != block[None, :]) if cross else hits[rows])
-            # a pair that meets in several shards counts in the first of them; all of them find it
-            same = shards[rows[a]][:, :, None] == shards[b][:, None, :]
-            first = np.where(same.any(2), shards[rows[a]], np.iinfo(np.int32).max).min(1, initial=np.iinfo(np.int32).max)
-            a, b = a[first == shard], b[first == shard]
-            links[rows] += np.bincount(a, weight[b].astype(np.float64), len(rows)).astype(np.int64)
-            others[rows] += np.bincount(a, minlength=len(rows))
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links), pa.array(others), pa.array(node[roots(hits)])], schema=out)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = list(zip(*(batch.column(c).to_pylist() for c in key), strict=True))
-            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
-            for a, b in zip(cuts, cuts[1:]):
-                if keys[a] != at and held:
-                    yield from group(held, at)
-                    held = []
-                at = keys[a]
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from group(held, at)
-
-    def group(held: list[pa.RecordBatch], at: tuple) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held)
-        if t.num_rows > 1:
-            yield found(t, at[2], at[3] != at[4])
-
-    got = saved(rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(search, "node long, links long, others long, root long"), "links")
+        pivots = rng.choice(n, -(-n * overlap // SHARD), replace=False)
+        mine = np.argsort(-(x @ x[pivots].T), 1, kind="stable")[:, :overlap]
+        shards = [np.flatnonzero((mine == k).any(1)) for k in range(len(pivots))]
+    ends, medoids = [], []
+    for rows in shards:
+        for part in np.array_split(rows, max(1, -(-len(rows) // (4 * SHARD)))):  # a shard that is much too large is cut
+            if len(part) > 1:
+                sims = x[part] @ x[part].T
+                medoids.append(part[sims.sum(1).argmax()])
+                near = pruned(sims, DEGREE, rng)
+                a, b = np.repeat(part, DEGREE)[near.reshape(-1) >= 0], part[near.reshape(-1)[near.reshape(-1) >= 0]]
+                ends += [a * n + b, b * n + a]
+            else:
+                medoids += part.tolist()
+    edges = np.unique(np.concatenate(ends)) if ends else np.empty(0, np.int64)
+    return np.searchsorted(edges, np.arange(n + 1) * n), edges % n, np.unique(medoids)
+
+
+def range_search(x: np.ndarray, graph: tuple[np.ndarray, np.ndarray, np.ndarray], least: float, beam: int) -> np.ndarray:
+    """Pairs of vectors with a cosine of `least` or more that searches find, as a symmetric matrix.
+
+    Each vector is a query. It begins at the medoids and goes on from the best `beam` vectors seen and from every one within range less SLACK, until all of
+    these have been expanded; so the search widens with what it finds. Pairs that either end finds count.
+    """
+    n = len(x)
+    begin, near, medoids = graph
+    hits = np.zeros((n, n), bool)
+    for base in range(0, n, QUERIES):
+        q = x[base : base + QUERIES]
+        k = np.arange(len(q))
+        sims = np.full((len(q), n), -2.0)
+        open_ = np.full((len(q), n), -2.0)  # seen and not yet expanded
+        sims[:, medoids] = open_[:, medoids] = q @ x[medoids].T
+        while True:
+            floor = np.minimum(np.partition(sims, n - beam, 1)[:, n - beam], least - SLACK) if n > beam else np.full(len(q), -1.5)
+            step = min(STEPS, n)
+            best = np.argpartition(-open_, step - 1, 1)[:, :step]
+            rows, cols = np.nonzero(np.take_along_axis(open_, best, 1) >= np.maximum(floor, -1.5)[:, None])
+            if not len(rows):
+                break
+            node = best[rows, cols]
+            open_[rows, node] = -2.0
+            size = begin[node + 1] - begin[node]
+            who = np.repeat(rows, size)
+            to = near[np.arange(size.sum()) + np.repeat(begin[node] - (np.cumsum(size) - size), size)]
+            new = sims[who, to] == -2.0
+            pairs = np.unique(who[new] * n + to[new])
+            who, to = pairs // n, pairs % n
+            for at in range(0, len(who), 1 << 16):
+                i, j = who[at : at + (1 << 16)], to[at : at + (1 << 16)]
+                sims[i, j] = open_[i, j] = np.einsum("ij,ij->i", q[i], x[j])
+        hits[base + k] = sims >= least
+    hits |= hits.T
+    np.fill_diagonal(hits, False)
+    return hits
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Runs of rows with one key of a sorted stream."""
+    held, at = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = list(zip(*(batch.column(c).to_pylist() for c in key), strict=True))
+        cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+        for a, b in zip(cuts, cuts[1:]):
+            if keys[a] != at and held:
+                yield at, pa.Table.from_batches(held)
+                held = []
+            at = keys[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield at, pa.Table.from_batches(held)
+
+
+_FOUND = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("others", pa.int64()), ("root", pa.int64())])
+
+
+def _told(got: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, links by weight, links to distinct nodes) and (a, b) edges that connect what the links connect."""
+    got = saved(got, "links")
     return got.groupBy("node").agg(F.sum("links").alias("links"), F.sum("others").alias("others")), got.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
-def _shards(nodes: DataFrame, overlap: int, shape: str) -> DataFrame:
-    """nodes with the shards of their nearest pivots."""
-    total, dim = nodes.agg(F.count("*"), F.max("dim")).first()
-    k = min(MAX_PIVOTS, PIVOT_BYTES // (8 * (dim or 1)), -(-total * overlap // SHARD))
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(k).select("label", "dim", "vector").toArrow()
-    pivots: dict = {}
-    for at, key in enumerate(zip(*(sample.column(c).to_pylist() for c in ("label", "dim")), strict=True)):
-        pivots.setdefault(key, []).append(at)
-    pivots = {key: (np.array(at), _unit(sample.column("vector").take(at))) for key, at in pivots.items()}
+def _graph_search(nodes: DataFrame, least: float, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """Links found by searches of each cell's flat graph. Pairs that share a cell are counted in the first one they share; those that share several are
+    compared exactly, so all their cells agree."""
+    rows = _cells(nodes)
+    cells = rows.groupBy("node").agg(F.sort_array(F.collect_list("cell")).alias("cells"))
+    key = ["label", "dim", "cell"]
+    rows = rows.join(cells, "node").select(*key, "node", "weight", "cells", "vector")
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("label", "dim")), strict=True))
-            shards: list = [[-1]] * len(keys)
-            for key in set(keys) & pivots.keys():
-                rows, (ids, p) = np.array([i for i, x in enumerate(keys) if x == key]), pivots[key]
-                near = np.argsort(-(_unit(batch.column("vector").take(pa.array(rows))) @ p.T), 1, kind="stable")[:, :overlap]
-                for i, own in zip(rows, np.sort(ids[near], 1).tolist(), strict=True):
-                    shards[i] = own
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shards, pa.list_(pa.int32()))], [*batch.schema.names, "shards"])
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, _, cell), t in _groups(batches, key):
+            node, weight = (t.column(c).to_numpy() for c in ("node", "weight"))
+            x = _unit(t.column("vector").combine_chunks())
+            rng = np.random.default_rng(len(x))
+            hits = range_search(x, flat_graph(x, overlap, rng), least, BEAM * overlap // OVERLAP) if len(x) > 1 else np.zeros((1, 1), bool)
+            counted = hits.copy()
+            both: dict[str, list[int]] = {}
+            for i, own in enumerate(t.column("cells").to_pylist()):
+                for other in own if len(own) > 1 else ():
+                    if other != cell:
+                        both.setdefault(other, []).append(i)
+            for other, own in both.items():
+                for at in range(0, len(own), 128):
+                    part = np.array(own[at : at + 128])
+                    hits[np.ix_(part, own)] = counted[np.ix_(part, own)] = close(x[own], np.arange(at, at + len(part)), least)
+            for other, own in both.items():
+                if other < cell:
+                    counted[np.ix_(own, own)] = False
+            n = counted.astype(np.float64) @ weight.astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n.astype(np.int64)), pa.array(counted.sum(1)), pa.array(node[roots(hits)])], schema=_FOUND)
+
+    return _told(rows.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(search, "node long, links long, others long, root long"))
+
+
+def _cells(nodes: DataFrame) -> DataFrame:
+    """nodes with `cell`, once for each of theirs: a label of up to CELL vectors is one. A larger cell gets FAN pivots, a hash sample of its vectors, and each vector
+    goes to the NEAREST of them, level by level until none is too large or a split no longer helps."""
+    shape = "node long, label long, dim int, vector array<double>, weight long, cell string"
+    rows, key, before = nodes.select("node", "label", "dim", "vector", "weight").withColumn("cell", F.lit("")), ["label", "dim", "cell"], None
+    for level in range(12):
+        sizes = rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > CELL)
+        now = sizes.agg(F.max("n")).first()[0]
+        if now is None or now == before:
+            break
+        before = now
+        large = rows.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, key)
+        spot = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 30))
+        few = large.where(spot < F.lit(4.0 * FAN * (1 << 30)) / F.col("n")).withColumn("spot", spot)
+        pivots = few.groupBy(*key).agg(F.slice(F.sort_array(F.collect_list(F.struct("spot", "node", "vector"))), 1, FAN).alias("pivots"))
+        pivots = saved(pivots.select(*key, F.transform("pivots", lambda p: p["vector"]).alias("pivots")), "pivots")
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, t in _groups(batches, key):
+                p = _unit(t.column("pivots")[0].values)
+                x = _unit(t.column("vector").combine_chunks())
+                near = np.sort(np.argsort(-(x @ p.T), 1, kind="stable")[:, :NEAREST], 1)
+                cells, own = [f"{c}/{k:02d}" for c, ks in zip(t.column("cell").to_pylist(), near.tolist()) for k in ks], np.repeat(np.arange(len(x)), near.shape[1])
+                yield from t.drop_columns(["pivots", "cell"]).take(pa.array(own)).append_column("cell", pa.array(cells)).combine_chunks().to_batches()
+
+        split = large.drop("n").join(pivots, key).sortWithinPartitions(*key).select("node", "label", "dim", "vector", "weight", "cell", "pivots").mapInArrow(assign, shape)
+        rest = rows.join(sizes.drop("n"), key, "left_anti").select(*[c.split(" ")[0] for c in shape.split(", ")])
+        rows = saved(split.unionByName(rest).dropDuplicates(["node", "label", "dim", "cell"]), "cells")
+    return rows
+
+
+def _exact_search(nodes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """All links there are, by pairs of blocks of each label."""
+    sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = sizes.select("label", "dim", F.when(F.col("n") <= 2 * EXACT, 1).otherwise(F.ceil(F.col("n") / EXACT)).cast("int").alias("blocks"))
+    rows = nodes.select("node", "label", "dim", "vector", "weight").join(blocks, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = ["label", "dim", "i", "j"]
+    rows = rows.select("label", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "weight", "vector")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, _, i, j), t in _groups(batches, key):
+            node, weight, block = (t.column(c).to_numpy() for c in ("node", "weight", "block"))
+            x = _unit(t.column("vector").combine_chunks())
+            hits = np.zeros((len(x), len(x)), bool)
+            for at in range(0, len(x), 128):
+                part = np.arange(at, min(len(x), at + 128))
+                hits[part] = close(x, part, least)
+                if i != j:
+                    hits[part] &= block[part][:, None] != block[None, :]
+            n = hits.astype(np.float64) @ weight.astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n.astype(np.int64)), pa.array(hits.sum(1)), pa.array(node[roots(hits)])], schema=_FOUND)
 
-    return saved(nodes.select("node", "label", "dim", "vector", "weight").mapInArrow(assign, f"{shape}, shards array<int>"), "shards")
+    return _told(rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(search, "node long, links long, others long, root long"))
 
 
 def _truth(nodes: DataFrame, queries: DataFrame, least: float) -> DataFrame:
@@ -167,9 +292,9 @@ def _truth(nodes: DataFrame, queries: DataFrame, least: float) -> DataFrame:
 
 def audited(nodes: DataFrame, least: float) -> DataFrame | None:
     """The true links of nodes taken by hash, at least AUDIT of which are single vectors with 1 to HOT links; None if that takes a quarter of
-    all nodes, when comparing everything costs little more. Queries go in growing blocks of about PIVOT_BYTES at most."""
+    all nodes, when comparing everything costs little more. Queries go in growing blocks of about AUDIT_BYTES at most."""
     total, dim = nodes.agg(F.count("*"), F.max("dim")).first()
-    spot, most = F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(1 << 30)), max(AUDIT, PIVOT_BYTES // (8 * (dim or 1)))
+    spot, most = F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(1 << 30)), max(AUDIT, AUDIT_BYTES // (8 * (dim or 1)))
     truth, seen, size = None, 0, AUDIT
     while 4 * (seen + size) <= total:
         queries = nodes.where((spot >= (seen << 30) // total) & (spot < (seen + size << 30) // total))
@@ -191,30 +316,34 @@ def audit(truth: DataFrame, links: DataFrame) -> float:
 def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93) -> DataFrame:
     """A row for each row of vectors: vec_id, n_links, component_id, kept.
 
-    Equal vectors of a label are one node with a weight, so a common vector costs one row. Nodes go to the shards of their nearest pivots, a bounded
-    sample; each shard compares all its vectors, so any shard that two ends share finds their link, and it counts in the first of them. Pairs are links by their cosine in doubles. Large shards are split into pairs of blocks, so no task
-    holds more than about 2 * BLOCK vectors. Recall is audited against brute force, and shards overlap more until it is LEAST_RECALL for nodes with
-    few links, for nodes with many and for copies; where it isn't, or an audit takes too many nodes, blocks of each label are compared exactly.
+    Equal vectors of a label are one node with a weight, so a common vector costs one row. Each cell of a label gets a graph: overlapping shards, robust pruning in each,
+    the lists united. Every vector searches it from the medoids and onwards within range; pairs found are links by their cosine in doubles. No task
+    holds more than about CELL vectors. Recall is audited against brute force, and shards overlap and beams widen twice as much until it is LEAST_RECALL for nodes with
+    few links, for nodes with many and for copies; where it isn't in the end, or an audit takes too many nodes, blocks of each label are compared exactly.
     Null labels, and vectors that are null, empty, zero or hold null, NaN or infinite components, have no links; vectors of different lengths aren't
     compared. component_id is the smallest vec_id connected; repeated rows count as other vectors, and rows that share the smallest
     vec_id are all kept. Other columns are ignored; an empty table gives an empty result.
     """
-    spark = vectors.sparkSession
-    v = vectors.select(F.col(f"`{vec_id}`").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("vector"), F.col(f"`{label}`").cast("long").alias("label"))
-    ident = F.conv(F.substring(F.md5(F.concat_ws(",", F.col("label").cast("string"), F.array_join(F.col("vector").cast("array<string>"), ","))), 1, 15), 16, 10).cast("long")
-    v = v.withColumn("node", F.when(F.col("label").isNotNull() & _valid(F.col("vector")), ident))
-    nodes = saved(v.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count("*").alias("weight"), F.min("vec_id").alias("least")).withColumn("dim", F.size("vector")), "vectors")
+    v = vectors.select(F.col(f"`{vec_id}`").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("vector"), F.col(f"`{label}`").alias("label"))
+    fine = F.col("label").isNotNull() & _valid(F.col("vector"))
+    same = F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.array_join(F.col("vector").cast("array<string>"), ",")), 256)
+    v = v.withColumn("same", F.when(fine, same))
+    # numbers that the written table keeps: unlike hashes no two nodes, and no two labels, can share one
+    nodes = v.where("same is not null").groupBy("same").agg(F.first("label").alias("own"), F.first("vector").alias("vector"), F.count("*").alias("weight"), F.min("vec_id").alias("least"))
+    nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("vector")), "vectors")
+    labels = saved(nodes.select("own").distinct().withColumn("label", F.monotonically_increasing_id()), "labels")
+    nodes = saved(nodes.join(labels, "own").drop("own"), "nodes")
     overlap, truth = OVERLAP, audited(nodes, least)
     while True:
-        links, edges = _search(spark, nodes, least, overlap if truth is not None else None)
+        links, edges = _exact_search(nodes, least) if truth is None else _graph_search(nodes, least, overlap)
         if truth is None or audit(truth, links) >= LEAST_RECALL:
             break
         overlap, truth = 2 * overlap, truth if overlap < 8 * OVERLAP else None
-    named = nodes.select("node", "weight", "least").join(components(edges), "node", "left").join(links, "node", "left")
-    named = named.select("node", "least", F.coalesce("component", "node").alias("component"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n"))
-    named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "n", "component_id")
-    own = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return v.select("vec_id", "node").join(named, "node", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))
+    named = nodes.select("node", "same", "weight", "least").join(components(edges), "node", "left").join(links, "node", "left")
+    named = named.select("same", "least", F.coalesce("component", "node").alias("component"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n"))
+    named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("same", "n", "component_id")
+    own = F.when(F.col("same").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return v.select("vec_id", "same").join(named, "same", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))
 
 
 def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,35 +187,51 @@ def test_vectors(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
-def test_vectors_of_a_shard(spark):
-    """Two dense groups at about the least cosine and a bridge out of range: every pair that shares a shard is a link."""
+def test_vectors_at_the_threshold(spark):
+    """Two dense groups at about the least cosine and a bridge out of range: every pair is judged by its cosine alone; text labels."""
     r, e = np.random.default_rng(1), np.eye(16)
     one, two = e[0], 0.93 * e[0] + (1 - 0.93**2) ** 0.5 * e[1]
     bridge = 0.8 * (one + two) / np.linalg.norm(one + two) + 0.6 * e[2]
     x = np.concatenate([c + r.normal(size=(k, 16)) * 0.002 for c, k in ((one, 100), (two, 100), (bridge, 10))])
-    got = vectors.near_vectors(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()
+    got = vectors.near_vectors(spark.createDataFrame([(i, v.tolist(), "a label") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")).collect()
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     hit = x @ x.T >= 0.93
     assert {g["vec_id"]: g["n_links"] for g in got} == dict(enumerate((hit.sum(1) - 1).tolist()))
 
 
-def test_vectors_of_sparse_pairs(spark):
-    """A hot group and few pairs in random directions, in more shards than they overlap: neither group's recall stands for the other's."""
+@pytest.mark.parametrize("cell", [8192, 400])
+def test_vectors_of_sparse_pairs(spark, cell, monkeypatch):
+    """A hot group and few pairs in random directions, in many shards, and in cells that overlap: neither group's recall stands for the other's."""
+    monkeypatch.setattr(vectors, "SHARD", 128)
+    monkeypatch.setattr(vectors, "CELL", cell)
+    monkeypatch.setattr(vectors, "FAN", 8)
     r = np.random.default_rng(5)
     x = r.normal(size=(2200, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     x[:1000] = x[0] + r.normal(size=(1000, 64)) * 0.005
     x[2000:] = 0.94 * x[1000:1200] + 0.34 * x[1200:1400]
-    old, vectors.SHARD = vectors.SHARD, 20
     got = vectors.near_vectors(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()
-    vectors.SHARD = old
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     truth, links = (x @ x.T >= 0.93).sum(1) - 1, {g["vec_id"]: g["n_links"] for g in got}
-    assert truth[1000:].sum() > 300
+    assert truth[1000:].sum() > 300 and all(links[i] <= truth[i] for i in range(2200))
     for part in (range(1000), range(1000, 2200)):
         assert sum(links[i] for i in part) >= 0.98 * truth[part].sum()
 
 
+def test_flat_graph():
+    """One graph over overlapping shards finds neighbours beyond a query's own shards, and searches go on through a group larger than the beam."""
+    r = np.random.default_rng(7)
+    x = r.normal(size=(150, 32))[r.integers(0, 150, 3000)] + r.normal(size=(3000, 32)) * 0.2
+    x[:400] = x[0] + r.normal(size=(400, 32)) * 0.05
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = vectors.flat_graph(x, 3, np.random.default_rng(0))
+    begin, near, medoids = graph
+    assert len(medoids) > 4 and (np.diff(begin) > 0).all() and np.diff(begin).mean() < 200
+    hits, truth = vectors.range_search(x, graph, 0.93, vectors.BEAM), x @ x.T >= 0.93
+    np.fill_diagonal(truth, False)
+    assert not (hits & ~truth).any() and (hits & truth).sum() >= 0.97 * truth.sum() and (hits == hits.T).all()
+
+
 def brute_repeats(texts):
     none, first, want = 1 << 62, {}, []
     for d, t in texts:
