@@ -17,9 +17,9 @@ from findloom.llm.common import fresh, saved, table, without
 from findloom.llm.tokens import chunks, encoder, tokenizer
 
 #: Texts of more characters than this are encoded in pieces of so many.
-PIECE = 1 << 15
+PIECE = 1 << 16
 #: Pre-tokens that a worker remembers; the workers that decode need room beside it.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 #: Characters on either side of a join that are encoded anew at first.
 FIRST_WINDOW = 64
 

@@ -40,7 +40,7 @@ RUNS = r"[\t\r]|  | \n|\n |\n\n\n|\n\n$| $"
 #: Stands for the lack of a space before what follows.
 BARE = "\x01"
 #: Bytes of texts that are encoded at once.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 class Encoder:
