@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from findloom.llm.common import saved
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+#: A node with more neighbours than this, and than a 100,000th of all edges, is a hub: there are at most 100,000, so their smallest neighbours are broadcast.
+HUB = 1000
+
+
+def _star(edges: DataFrame, large: bool, hub: int) -> DataFrame:
     """One step over edges (u > v): large links a node's larger neighbours to its smallest one, small its smaller neighbours and itself."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select("u", "v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")) if large else both.groupBy("u").agg(F.min("v").alias("m"))
-    near = both.join(least, "u").select("u", "v", "m")
+    least = F.least(F.min("v"), F.first("u")) if large else F.min("v")
+    least = both.groupBy("u").agg(least.alias("m"), F.count("*").alias("n"))
+    hubs, others = F.broadcast(least.where(F.col("n") > hub).drop("n")), least.where(F.col("n") <= hub).drop("n")
+    near = both.join(hubs, "u").unionByName(both.join(hubs, "u", "left_anti").join(others, "u"))
     if large:
         out = near.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -24,15 +30,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge, the component being its smallest node.
 
     Loops, repeated edges and either direction are fine, as are nulls, which are dropped; no edges give no rows. Every round is written to the
-    shared folder; a node with many neighbours is one aggregate and one join whose skew Spark can split, never a list.
+    shared folder; a node with many neighbours is never a list: its edges stay where they are and its smallest neighbour comes to them.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     e, state = saved(e, "edges"), None
+    size = e.count()
     while True:
-        e = saved(_star(_star(e, True), False), "edges")
+        hub = max(HUB, 2 * size // 100_000)
+        e = saved(_star(_star(e, True, hub), False, hub), "edges")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state or not now[0]:
             break
-        state = now
+        state, size = now, now[0]
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -16,8 +16,9 @@ from findloom.llm.graph import components
 BUCKETS, MANTISSA, BANDS, ROWS = 256, 10, 42, 6
 #: Two different minima have one register with about this chance: a third for the zeros, 2**-10 for the mantissa.
 COLLISION = 1 / 3 / (1 << MANTISSA)
-#: Candidate groups of up to GROUP sets are compared in one task; larger ones in pairs of blocks of about BLOCK sets.
-GROUP, BLOCK = 256, 128
+#: A band key's sets are first compared with two of them, REACH to a task. What that leaves apart is compared in groups: up to GROUP sets in one task, more by
+#: pairs of blocks of about BLOCK sets.
+REACH, GROUP, BLOCK = 512, 256, 128
 #: Estimates this far below the threshold are still verified: six standard errors of 252 registers.
 MARGIN = 0.15
 
@@ -96,47 +97,58 @@ def estimate(a: np.ndarray, many: np.ndarray) -> np.ndarray:
     return (m - COLLISION) / (1 - COLLISION)
 
 
-def links(sets: list[np.ndarray], side: list[int], percent: int) -> list[tuple[int, int]]:
+def _near(a: np.ndarray, many: np.ndarray, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(estimates, whether they call for full sets); with few hashes the estimate is coarse."""
+    e = estimate(a, many)
+    return e, (e >= percent / 100 - MARGIN) | (size < BUCKETS)
+
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def links(sets: list[np.ndarray], side: list[int], percent: int, joined: list[int] | None = None) -> list[tuple[int, int]]:
     """Pairs (i, j), confirmed on full sets, that connect what all links between the sides connect (within the one side if there's only one).
 
-    Pairs are tried from the highest estimate down; one whose ends are connected already needs no proof.
+    Sets with one number in `joined` are connected from the start. Pairs are tried from the highest estimate down; one whose ends are connected already needs no proof.
     """
     n = len(sets)
-    root = list(range(n))
+    known: dict[int, int] = {}
+    root = [known.setdefault(k, i) for i, k in enumerate(joined if joined is not None else range(n))]
 
     def find(i: int) -> int:
         while root[i] != i:
             root[i] = i = root[root[i]]
         return i
 
-    sizes, sides = np.array([len(s) for s in sets]), np.array(side)
+    sizes, sides, first = np.array([len(s) for s in sets]), np.array(side), np.array(root)
     regs = np.stack([registers(s) for s in sets])
     one = (sides == sides[0]).all()
     tried = []
     for i in range(n - 1):
         j = np.arange(i + 1, n)
         low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-        j = j[(100 * low >= percent * high) & (one | (sides[j] != sides[i]))]
+        j = j[(100 * low >= percent * high) & (one | (sides[j] != sides[i])) & (first[j] != first[i])]
         if len(j):
-            e = estimate(regs[i], regs[j])
-            near = (e >= percent / 100 - MARGIN) | (sizes[i] < BUCKETS)  # few hashes: the estimate is coarse
+            e, near = _near(regs[i], regs[j], sizes[i], percent)
             tried += zip(e[near], [i] * int(near.sum()), j[near].tolist())
     out = []
     for _, i, j in sorted(tried, key=lambda x: (-x[0], x[1], x[2])):
-        if (a := find(i)) != (b := find(j)):
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= percent * (sizes[i] + sizes[j] - both):
-                root[a] = b
-                out.append((i, j))
+        if (a := find(i)) != (b := find(j)) and _linked(sets[i], sets[j], percent):
+            root[a] = b
+            out.append((i, j))
     return out
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id, kept.
 
-    Texts with equal shingle sets are one class. Classes that share a band key form candidate groups (components over a star for each key, so
-    no pairs are written); each group's sets are compared in one task, or, beyond GROUP, block by block in many, and every possible link between
-    different components is tried on full sets. What is returned is connected by links of at least `percent`; a link escapes only if its sets share none of the BANDS keys.
+    Texts with equal shingle sets are one class. Classes that share a band key are compared with two of the key's classes, so groups of near copies are connected by
+    a row or two each. Only keys whose classes are still apart form groups (components over a star for each key, so no pairs are written); a group's sets are compared in one
+    task, or, beyond GROUP, by blocks in many: those outside the largest connected part with all others. Every possible link between classes that aren't
+    connected is tried on full sets. What is returned is connected by links of at least `percent`; a link escapes only if its sets share none of the BANDS keys, or if
+    its estimate is more than MARGIN too low, both with a chance of a few in a million at the threshold.
     Null and empty texts, and texts without words, have no shingles and are linked with nothing. component_id is the smallest doc_id of the
     rows connected, null only where all their doc_ids are. Repeated rows are copies of each other: those with the smallest doc_id are all
     kept. Other columns are ignored; an empty table gives an empty result.
@@ -163,50 +175,80 @@ def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
             ], ["doc_id", "content", "n_shingles", "digest", "bands"])
 
     scanned = saved(d.mapInArrow(signed, f"doc_id {id_type}, content string, n_shingles long, digest binary, bands array<long>"), "signed")
-    # a class is named by a number that follows the digest, so null doc_ids do no harm
-    classes = scanned.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
-    node = F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")
-    keyed = classes.select(node.alias("node"), F.explode("bands").alias("key"))
-    first = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    star = keyed.join(first, "key").where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    coarse = components(star)
-
-    sizes = coarse.groupBy("component").agg(F.count("*").alias("size"))
-    blocks = F.when(F.col("size") <= GROUP, 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int")
-    placed = coarse.join(sizes.where("size > 1"), "component").select("node", "component", blocks.alias("blocks"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # classes are numbered in a written table: unlike hashes no two share a number, and null doc_ids do no harm
+    classes = scanned.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "content")).alias("row"), F.first("bands").alias("bands"))
+    classes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    keyed = classes.select("node", F.explode("bands").alias("key"))
+    several = keyed.groupBy("key").agg(F.min("node").alias("first"), F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("second"), F.count("*").alias("n")).where("n > 1")
+    shared = saved(keyed.join(several, "key"), "shared")
     # one text stands for its class: the first by doc_id of those with the digest; rows that repeat it bring it once
-    chosen = scanned.where("digest is not null").groupBy(node.alias("node"), "digest").agg(F.min(F.struct("doc_id", "content")).alias("row"))
-    wanted = placed.join(chosen, "node").select("node", "component", "block", "blocks", "row.*")
+    wanted = classes.join(shared.select("node").distinct(), "node").select("node", "row.*")
     texts = d.join(wanted, (d["content"] == wanted["content"]) & d["doc_id"].eqNullSafe(wanted["doc_id"]))
-    texts = texts.groupBy("node", "component", "block", "blocks").agg(F.first("text").alias("text"))
-    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    texts = texts.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "text")
+    texts = saved(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+    pairs = shared.select(F.explode(F.array("first", "second")).alias("star"), "node").where("star <> node").distinct()
+    blocks = pairs.groupBy("star").agg(F.ceil(F.count("*") / REACH).cast("int").alias("blocks"))
+    placed = pairs.join(blocks, "star").select("star", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node")
+    centres = blocks.select("star", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("star").alias("node"))
+    rows = placed.unionByName(centres).join(texts, "node").select("star", "block", (F.col("star") != F.col("node")).alias("other"), "node", "text")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = regs = None
+        for batch in batches:
+            a, b = [], []
+            for s, _, other, n, t in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                mine = shingles(t, words)
+                if not other:
+                    own, regs = mine, registers(mine)
+                elif 100 * min(len(own), len(mine)) >= percent * max(len(own), len(mine)):
+                    _, near = _near(regs, registers(mine)[None], min(len(own), len(mine)), percent)
+                    if near[0] and _linked(own, mine, percent):
+                        a.append(s)
+                        b.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+
+    order = ["star", "block", "other"]
+    stars = saved(rows.repartition("star", "block").sortWithinPartitions(*order).mapInArrow(star, "a long, b long"), "stars")
+    joined = components(stars).withColumnRenamed("component", "part")
+    left = shared.where("n > 2").select("key", "node").join(joined, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    apart = left.groupBy("key").agg(F.min("node").alias("first"), (F.min("part") < F.max("part")).alias("apart")).where("apart")
+    left = saved(left.join(apart.drop("apart"), "key").select("first", "node", "part"), "left")
+    coarse = components(left.select(F.col("first").alias("a"), F.col("node").alias("b"))).join(left.select("node", "part").distinct(), "node")
+
+    parts = coarse.groupBy("component", "part").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("component").agg(F.sum("n").alias("size"), F.max(F.struct("n", "part")).alias("main"))
+    sizes = sizes.select("component", "size", F.col("main.part").alias("main"), F.ceil(F.col("main.n") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("size") - F.col("main.n")) / BLOCK).cast("int").alias("rest"))
+    spot, small = F.xxhash64("node"), F.col("size") <= GROUP
+    dealt = coarse.join(sizes, "component").withColumn("block", F.when(small, 0).when(F.col("part") == F.col("main"), F.col("rest") + F.pmod(spot, "mains")).otherwise(F.pmod(spot, "rest")).cast("int"))
+    meets = F.when(small, F.array(F.lit(0))).when(F.col("block") < F.col("rest"), F.sequence(F.lit(0), F.col("rest") + F.col("mains") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") - 1))
+    dealt = dealt.join(texts, "node").withColumn("with", F.explode(meets))
+    dealt = dealt.select("component", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "part", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        key, nodes, side, sets = None, [], [], []
+        key, nodes, side, parts, sets = None, [], [], [], []
 
         def done() -> pa.RecordBatch:
             mixed = key[1] != key[2]
-            found = links(sets, side if mixed else [0] * len(sets), percent) if len(sets) > 1 and (not mixed or len(set(side)) > 1) else []
-            return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], schema=out)
+            found = links(sets, side if mixed else [0] * len(sets), percent, parts) if len(set(parts)) > 1 and (not mixed or len(set(side)) > 1) else []
+            return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], schema=schema)
 
         for batch in batches:
-            for c, i, j, b, n, t in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for c, i, j, b, n, p, t in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if (c, i, j) != key:
                     if key:
                         yield done()
-                    key, nodes, side, sets = (c, i, j), [], [], []
+                    key, nodes, side, parts, sets = (c, i, j), [], [], [], []
                 nodes.append(n)
                 side.append(b)
+                parts.append(p)
                 sets.append(shingles(t, words))
         if key:
             yield done()
 
-    edges = texts.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node").mapInArrow(compare, "a long, b long")
-    linked = components(edges)
-    names = classes.select(node.alias("node"), "digest", "least").join(linked, "node", "left")
+    edges = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node").mapInArrow(compare, "a long, b long")
+    linked = components(stars.unionByName(edges))
+    names = classes.select("node", "digest", "least").join(linked, "node", "left")
     names = names.select("digest", "least", F.coalesce("component", "node").alias("component"))
     named = names.join(names.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("digest", "component", "component_id")
     out = scanned.select("doc_id", "content", "n_shingles", "digest").join(named, "digest", "left")

@@ -137,11 +137,12 @@ def test_near_duplicates(spark):
             texts.append((100 + len(texts), " ".join(base)))
             base = list(base)
             base[r.randrange(len(base))] = "new" + str(len(texts))
-    old = neardup.GROUP, neardup.BLOCK
-    for neardup.GROUP, neardup.BLOCK in (old, (4, 3)):  # whole groups, and groups in blocks
-        got = sorted((x["doc_id"], x["n_shingles"], x["component_id"], x["kept"]) for x in neardup.near_duplicates(docs(spark, texts), words=4).collect())
-        assert got == sorted(brute_groups(texts))
-    neardup.GROUP, neardup.BLOCK = old
+    texts += [(None, None), (None, "a null id"), (7, "another text under a shared id"), (None, texts[-1][1] + " more")]
+    old = neardup.REACH, neardup.GROUP, neardup.BLOCK
+    for neardup.REACH, neardup.GROUP, neardup.BLOCK in (old, (2, 4, 3)):  # whole groups, and groups in blocks
+        got = [(x["doc_id"], x["n_shingles"], x["component_id"], x["kept"]) for x in neardup.near_duplicates(docs(spark, texts), words=4).collect()]
+        assert sorted(got, key=str) == sorted(brute_groups(texts), key=str)
+    neardup.REACH, neardup.GROUP, neardup.BLOCK = old
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
 
 
@@ -158,8 +159,9 @@ def brute_groups(texts):
                 root[find(i)] = find(j)
     least = collections.defaultdict(lambda: 1 << 60)
     for i, (d, _) in enumerate(texts):
-        least[find(i)] = min(least[find(i)], d)
-    return [(d, len(sets[i]), least[find(i)], d == least[find(i)]) for i, (d, _) in enumerate(texts)]
+        least[find(i)] = min(least[find(i)], 1 << 60 if d is None or not sets[i] else d)
+    name = lambda i, d: d if not sets[i] or least[find(i)] == 1 << 60 else least[find(i)]
+    return [(d, len(sets[i]), name(i, d), d == name(i, d)) for i, (d, _) in enumerate(texts)]
 
 
 def test_collision_correction():
