@@ -24,6 +24,13 @@ def candidates(subjects: DataFrame, index: DataFrame) -> DataFrame:
     return pairs.groupBy("finding_id", "candidate_id").agg(F.sort_array(F.collect_set(F.concat_ws("=", "level", "value"))).alias("keys"))
 
 
+def pairs(prints: DataFrame) -> DataFrame:
+    """(a, b) with a < b, each once, of findings of one index that share a key in the scope: half of the rows that candidates() has, and no lists."""
+    x = block_keys(prints)
+    y = x.withColumnRenamed("finding_id", "b")
+    return x.withColumnRenamed("finding_id", "a").join(y, KEY).where("a < b").select("a", "b").distinct()
+
+
 def candidate_counts(subjects: DataFrame, index: DataFrame) -> DataFrame:
     """(finding_id, n_candidates) with zeros, without pairs: by inclusion and exclusion over the two levels a finding may have."""
     i = block_keys(index)

@@ -92,13 +92,46 @@ def shared_members(members: DataFrame, findings: DataFrame, run_id: str) -> Data
     return shared.agg(F.count("*").alias("members"), F.count("seen").alias("shared"))
 
 
+def shared_by_run(members: DataFrame, findings: DataFrame) -> DataFrame:
+    """shared_members of every run at once."""
+    m = members.select("finding_id", "cluster_id").join(findings.select("finding_id", "import_run_id"), "finding_id")
+    several = m.groupBy("cluster_id").agg((F.min("import_run_id") < F.max("import_run_id")).alias("several"))
+    return m.join(several, "cluster_id").groupBy("import_run_id").agg(F.count("*").alias("members"), F.count_if("several").alias("shared"))
+
+
 def by_tool(counters: DataFrame, known=("trivy", "semgrep")) -> DataFrame:
     """Sums of all number columns by tool; tools that aren't registered are `other`."""
-    tool = F.when(F.col("run_tool").isin(*known), F.col("run_tool")).otherwise("other")
+    tool = _tool(known)
     numbers = [c for c, t in counters.dtypes if t in ("int", "bigint") and c != "run_tool"]
     return counters.groupBy(tool.alias("tool")).agg(*[F.sum(c).cast("long").alias(c) for c in numbers])
 
 
+def verdicts_by_tool(edges: DataFrame, findings: DataFrame, known=("trivy", "semgrep")) -> DataFrame:
+    """Pairs of each verdict by the tool of their first finding."""
+    of = findings.select(F.col("finding_id").alias("a"), "run_tool")
+    counts = [F.count_if(F.col("verdict") == v).alias(v) for v in ("merge", "review", "separate")]
+    return edges.join(of, "a").groupBy("run_tool").agg(*counts).select(_tool(known).alias("tool"), "merge", "review", "separate").groupBy("tool").agg(*[F.sum(v).cast("long").alias(v) for v in ("merge", "review", "separate")])
+
+
+def clusters_by_tool(assignments: DataFrame, review: DataFrame, findings: DataFrame, unclustered: DataFrame | None = None, known=("trivy", "semgrep")) -> DataFrame:
+    """Findings, clusters created (by the tool of the seed), findings that joined clusters, review pairs (by the first finding) and candidates without a cluster, by tool."""
+    of = findings.select("finding_id", "run_tool")
+    parts = [
+        assignments.select("finding_id", F.lit(1).alias("findings"), (F.col("is_new") & (F.col("finding_id") == F.col("seed"))).cast("int").alias("created"), (~F.col("is_new")).cast("int").alias("joined"), F.lit(0).alias("review"), F.lit(0).alias("unclustered")),
+        review.select(F.col("a").alias("finding_id"), F.lit(0).alias("findings"), F.lit(0).alias("created"), F.lit(0).alias("joined"), F.lit(1).alias("review"), F.lit(0).alias("unclustered")),
+    ]
+    if unclustered is not None:
+        parts.append(unclustered.select("finding_id", F.lit(0).alias("findings"), F.lit(0).alias("created"), F.lit(0).alias("joined"), F.lit(0).alias("review"), F.lit(1).alias("unclustered")))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return by_tool(rows.join(of, "finding_id").drop("finding_id"), known)
+
+
+def _tool(known) -> Column:
+    return F.when(F.col("run_tool").isin(*known), F.col("run_tool")).otherwise("other")
+
+
 def histogram(values: DataFrame, column: str, bounds=CANDIDATE_BOUNDS) -> DataFrame:
     """Rows (le, n): values up to each bound, cumulative, `+Inf` last, with sum and count on every row."""
     marks = [*[(F.lit(str(b)), F.count_if(F.col(column) <= b)) for b in bounds], (F.lit("+Inf"), F.count(column))]

@@ -35,7 +35,7 @@ BASE = f"with f as ({FINDINGS})"
 #: Findings with what normalising gives.
 NORM = f"""{BASE}, n as (
  select f.*, sha256(tenant_id || '/' || product_id || '/' || context_id) scope_key, v3, v2,
-  case tool when 'trivy' then vuln_id_raw || '|' || p_name || '|1.' || p_size || '|' || target when 'semgrep' then rule_id || '|' || uri || '|' || start_line || '|0' else finding_id end tool_finding_id,
+  case tool when 'trivy' then vuln_id_raw || '|' || p_name || '|1.' || p_size || '|' || target when 'semgrep' then rule_id || '|' || uri || '|' || start_line || '|0' else custom_id end tool_finding_id,
   case tool when 'trivy' then {band('v3')} when 'semgrep' then coalesce(case when scanner_score <= 10 then {band('scanner_score')} end, {SARIF}) else 'unknown' end severity,
   case when tool = 'trivy' then case l_partkey % 5 when 0 then 'cve' when 1 then 'cve' when 2 then 'ghsa' when 3 then 'nswg' else 'unknown' end else '' end vuln_source,
   case when tool <> 'trivy' then '' when l_partkey % 5 = 2 and length(l_partkey::varchar) <= 4 then 'GHSA-' || lower(substr(vuln_id_raw, 6)) when l_partkey % 5 = 4 then vuln_id_raw else upper(trim(vuln_id_raw)) end vuln_id,
@@ -43,22 +43,22 @@ NORM = f"""{BASE}, n as (
   case when tool = 'trivy' then ['@scope', '', 'github.com/foo', 'org.Apache', 'debian'][p_size % 5 + 1] end cspace,
   case when tool = 'trivy' then case p_size % 5 when 0 then lower(replace(p_name, ' ', '_')) when 1 then replace(lower(replace(p_name, ' ', '_')), '_', '-') when 3 then replace(p_name, ' ', '_') else lower(replace(p_name, ' ', '_')) end end cname,
   case tool when 'trivy' then case when l_partkey % 40 = 0 then [] else ['CWE-' || (l_partkey % 40)] end when 'semgrep' then case when l_partkey % 40 in (0, 79) then ['CWE-79'] else ['CWE-' || (l_partkey % 40), 'CWE-79'] end else [] end cwe,
-  case tool when 'trivy' then 'package-lock.json' when 'semgrep' then case l_partkey % 4 when 0 then 'src/f' when 1 then 'src/f' when 2 then 'lib/f' else '/opt/x/f' end || l_partkey || '.js' else '' end path,
+  case tool when 'trivy' then 'package-lock.json' when 'semgrep' then case l_partkey % 4 when 0 then 'src/f' when 1 then 'src/f' when 2 then 'lib/f' else '/opt/x/f' end || l_partkey || '.js' else uri end path,
   replace(snippet, ' ', '') code, start_line line
  from f join {V3_SCORE} using (cvss3_code) join {V2_SCORE} using (cvss3_code)),
 c as (select *, case when tool = 'trivy' then 'pkg:' || ctype || '/' || case when cspace = '' then '' else replace(cspace, '@', '%40') || '/' end || cname || '@1.' || p_size || case when p_size % 5 = 4 then '?arch=amd64&distro=debian-12' else '' end end purl from n),
-g as (select *, case when purl is not null then sha256(tenant_id || '|' || purl) end component_id from c)"""
+g as materialized (select *, case when purl is not null then sha256(tenant_id || '|' || purl) end component_id from c)"""
 
 
 def _digest(level: str, *fields: str) -> str:
     return f"'v1:{level}:sha256:' || sha256({' || '.join(f"strlen({f}) || ':' || {f}" for f in fields)})"
 
 
-PRINTS = f"""{NORM}, p as (
- select finding_id, tenant_id, scope_key, import_run_id, tool, 'l0' as level, 'tool-uid' strategy, 1 version_, {_digest('l0', 'tool', 'scope_key', 'tool_finding_id')} as value from g
+PRINTS = f"""{NORM}, p as materialized (
+ select finding_id, tenant_id, scope_key, import_run_id, tool, 'l0' as level, 'tool-uid' strategy, 1 version_, {_digest('l0', 'tool', 'scope_key', 'tool_finding_id')} as value from g where tool_finding_id <> ''
  union all select finding_id, tenant_id, scope_key, import_run_id, tool, 'l1', 'identity', 1, {_digest('l1', 'scope_key', 'kind', 'vuln_source', 'vuln_id', 'purl', 'path')} from g where tool = 'trivy'
  union all select finding_id, tenant_id, scope_key, import_run_id, tool, 'l2', 'structural', 1, {_digest('l2', 'scope_key', 'rule_id', 'path', 'code')} from g where tool = 'semgrep')"""
-PAIRS = f"""{PRINTS}, ab as (
+PAIRS = f"""{PRINTS}, ab as materialized (
  select x.finding_id a, y.finding_id b, count(*) n_keys from p x join p y on x.scope_key = y.scope_key and x.tenant_id = y.tenant_id and x.level = y.level and x.value = y.value and x.finding_id < y.finding_id group by 1, 2)"""
 _SIGNALS = {
     "vuln": ("x.vuln_id = '' or y.vuln_id = ''", "x.vuln_source = y.vuln_source and x.vuln_id = y.vuln_id"), "component": ("x.purl is null or y.purl is null", "x.purl = y.purl"), "path": ("x.path = '' or y.path = ''", "x.path = y.path"),
@@ -95,7 +95,7 @@ _TENANTS = ", ".join(f"('{t}', {n})" for t, n in TENANTS)
 CHECKED = f"""with r as ({REQUESTS}), t(id, most) as (values {_TENANTS}),
 k as (select r.*, split_part(scope, '/', 1) product_id, case when contains(scope, '/') then substr(scope, strpos(scope, '/') + 1) else '' end context_id, strlen(body)::int size_bytes, most,
  sha256(tenant_id || '/' || split_part(scope, '/', 1) || '/' || case when contains(scope, '/') then substr(scope, strpos(scope, '/') + 1) else '' end) scope_key, sha256(body) sha256 from r left join t on id = tenant_id),
-c as (select *, case when most is null then 'unauthorized' when product_id = '' or not regexp_full_match(tool, '[a-z0-9][a-z0-9._-]{{0,63}}') or size_bytes = 0 then 'bad_request' when size_bytes > most then 'report_too_large' end reject_code from k),
+c as (select * replace (case when coalesce(scan_id, '') = '' then 'scan-' || substr(sha256(tenant_id || '/' || scope_key || '/' || tool || '/' || sha256 || '/' || arrival), 1, 32) else scan_id end as scan_id), case when most is null then 'unauthorized' when product_id = '' or not regexp_full_match(tool, '[a-z0-9][a-z0-9._-]{{0,63}}') or size_bytes = 0 then 'bad_request' when size_bytes > most then 'report_too_large' end reject_code from k),
 ok as (select * from c where reject_code is null)"""
 RUNS = """with runs as (select 't' || (o_custkey % 2) tenant_id, 'r' || o_orderkey import_run_id, o_orderkey n, o_orderdate::timestamp finished_at, case when o_orderkey % 7 = 0 then 'failed' when o_orderkey % 11 = 0 then 'running' else 'completed' end status, o_orderkey % 3 = 0 published from orders)"""
 _LE = lambda bounds, col, src: " union all ".join([*[f"select '{b}' le, count(*) n from {src} where {col} <= {b}" for b in bounds], f"select '+Inf', count(*) from {src}"])
@@ -103,12 +103,15 @@ SEEDS = f"{PRINTS}, sd as (select p.finding_id, min(p.finding_id) over (partitio
 
 SQL = {
     "intake_rejects": f"{CHECKED} select arrival, tenant_id, tool, product_id, context_id, size_bytes, reject_code from c",
-    "intake_keys": f"{CHECKED} select arrival, scope_key, sha256, tenant_id || '/' || scan_id || '/' || sha256 raw_key from ok where arrival % 5 <> 0",
+    "intake_keys": f"{CHECKED} select arrival, scope_key, sha256, tenant_id || '/' || scan_id || '/' || sha256 raw_key from ok",
     "intake_first_wins": f"{CHECKED} select tenant_id, scope_key, tool, sha256, min(arrival) arrival from ok group by 1, 2, 3, 4",
     "intake_accept": f"""{CHECKED}, old as (select tenant_id, scope_key, tool, sha256, arg_min(scan_id, arrival) scan_id from ok where arrival % 10 = 1 group by 1, 2, 3, 4),
  fst as (select tenant_id, scope_key, tool, sha256, arg_min(scan_id, arrival) scan_id, min(arrival) first_ from ok group by 1, 2, 3, 4)
- select arrival, ok.tenant_id, ok.tool, case when coalesce(old.scan_id, fst.scan_id) = '' then 'generated' else coalesce(old.scan_id, fst.scan_id) end scan_id, old.scan_id is null and arrival = first_ is_new
+ select arrival, ok.tenant_id, ok.tool, coalesce(old.scan_id, fst.scan_id) scan_id, old.scan_id is null and arrival = first_ is_new
  from ok join fst using (tenant_id, scope_key, tool, sha256) left join old using (tenant_id, scope_key, tool, sha256)""",
+    "intake_events": f"""{CHECKED}, old as (select distinct tenant_id, scope_key, tool, sha256 from ok where arrival % 10 = 1),
+ fst as (select tenant_id, scope_key, tool, sha256, arg_min(product_id, arrival) product_id, arg_min(context_id, arrival) context_id from ok group by 1, 2, 3, 4)
+ select fst.tenant_id, product_id, context_id, fst.tool, count(*) n from fst left join old using (tenant_id, scope_key, tool, sha256) where old.sha256 is null or substr(fst.sha256, 1, 1) not between '0' and '7' group by 1, 2, 3, 4""",
     "run_start": f"{RUNS} select n, 'trivy' tool, import_run_id run, 'running' status from runs where n % 2 = 0 and status <> 'completed' union all select n, 'semgrep', 'new', 'running' from runs where n % 3 = 0",
     "run_counts": f"{RUNS} select import_run_id, 'completed' status, count(l_orderkey)::bigint finding_count from runs left join (select l_orderkey from lineitem where l_suppkey % 3 = 0) on l_orderkey = n where status <> 'failed' group by 1",
     "run_failures": f"{RUNS} select case when n % 4 = 0 and status <> 'completed' then 'failed' else status end status, case when n % 4 = 0 and status <> 'completed' then 'report is not valid JSON' end reason, count(*) n_runs from runs group by 1, 2",
@@ -117,7 +120,7 @@ SQL = {
     "backlogs": f"""{RUNS}, a as (select * from runs where status = 'completed' and n % 5 <> 0 and finished_at >= timestamp '1998-08-05' - interval 90 days), b as (select * from runs where status = 'completed' and not published)
  select 'unprocessed' backlog, count(*) n, coalesce(date_diff('second', min(finished_at), timestamp '1998-08-05'), 0) age_seconds from a union all select 'unpublished', count(*), coalesce(date_diff('second', min(finished_at), timestamp '1998-08-05'), 0) from b""",
     "run_states": f"{RUNS} select status, count(*) n from runs group by 1",
-    "runs_to_publish": f"{RUNS} select import_run_id, false was_published from runs where status = 'completed' and not published",
+    "runs_to_publish": f"{RUNS} select import_run_id, published or status = 'completed' was_published, not published and status = 'completed' is_new from runs",
     "trivy_flatten": f"{BASE} select import_run_id, finding_id, vuln_id_raw || '|' || p_name || '|1.' || p_size || '|' || target tool_finding_id, kind, severity_raw, vuln_id_raw, purl_raw, '0.5' tool_version, target, cwe_raw cwes, 'redhat=' || {V2_VECTOR} cvss, case when starts_with(target, '/') then 'absolute_path' else '' end codes from f where tool = 'trivy'",
     "sarif_flatten": f"""{BASE} select import_run_id, finding_id, rule_id || '|' || uri || '|' || start_line || '|0' tool_finding_id, kind, 'Rule ' || rule_id title, case when l_linenumber % 4 = 1 then 'warning' else severity_raw end severity_raw, 7.5::double scanner_score, '1.2' tool_version, rule_id, uri, start_line, snippet, 'CWE-79' cwes,
  case when starts_with(uri, '/') then 'absolute_path' else '' end codes from f where tool = 'semgrep'""",
@@ -137,7 +140,7 @@ SQL = {
     "fingerprints": f"{PRINTS} select finding_id, level, strategy, version_ as version, value from p",
     "fingerprint_levels": f"{PRINTS} select import_run_id, level, count(*) n from p group by 1, 2",
     "fingerprint_formats": f"{PRINTS} select distinct level, strategy, version_ as version, true well_formed from p",
-    "skipped_levels": f"{BASE} select case when tool = 'custom-scanner' then 'other' else tool end tool, count(*) findings, 0::bigint skipped_l0, 0::bigint skipped_l1, 0::bigint skipped_l2, 0::bigint unfingerprinted from f group by 1",
+    "skipped_levels": f"{NORM} select case when tool = 'custom-scanner' then 'other' else tool end tool, count(*) findings, count(case when tool_finding_id = '' then 1 end) skipped_l0, 0::bigint skipped_l1, 0::bigint skipped_l2, count(case when tool_finding_id = '' then 1 end) unfingerprinted from g group by 1",
     "duplicate_groups": f"{PRINTS} select tenant_id, scope_key, level, value, count(*) findings, min(finding_id) first_finding from p group by 1, 2, 3, 4 having count(*) > 1",
     "candidate_pairs": f"{PAIRS} select a finding_id, b candidate_id, n_keys::int n_keys from ab union all select b, a, n_keys::int from ab",
     "candidate_counts": f"{COUNTS} select finding_id, n n_candidates from cnt",
@@ -146,8 +149,12 @@ SQL = {
  select case substr(y, 8, 1) when '7' then 'run' when '1' then 'member' when '3' then 'member' else 'unclustered' end place, count(*) n from o where substr(x, 8, 1) = '7' group by 1""",
     "pair_scores": f"{EDGES} select a, b, points, verdict, reasons from v",
     "verdict_counts": f"{EDGES} select verdict, count(*) pairs, sum(points)::bigint points from v group by 1",
+    "verdicts_by_tool": f"{EDGES} select case when tool = 'custom-scanner' then 'other' else tool end tool, count(case when verdict = 'merge' then 1 end) merge, count(case when verdict = 'review' then 1 end) review, count(case when verdict = 'separate' then 1 end) separate from v join g on finding_id = a group by 1",
+    "representative_pairs": f"""{PRINTS}, rec as (select finding_id, concat_ws(chr(1), kind, severity, rule_id, vuln_source, vuln_id, purl, array_to_string(cwe, ','), path, code, line, tool, tool_finding_id) || chr(1) || (purl is null) r from g),
+ rep as (select tenant_id, scope_key, level, value, r, min(p.finding_id) i from p join rec using (finding_id) group by 1, 2, 3, 4, 5)
+ select distinct least(x.i, y.i) a, greatest(x.i, y.i) b from rep x join rep y on x.tenant_id = y.tenant_id and x.scope_key = y.scope_key and x.level = y.level and x.value = y.value and x.i < y.i""",
     "clusters_sca": f"{SEEDS} select finding_id, seed, 1000 points from sd",
-    "run_findings": f"{NORM} select finding_id, import_run_id, severity, purl, array_to_string(list_sort(cwe), ',') cwes from g where l_partkey % 10 = 3",
+    "run_findings": f"{NORM} select finding_id, import_run_id, severity, purl, array_to_string(list_sort(cwe), ',') cwes from g",
     "worst_findings": f"{NORM} select tenant_id, scope_key, position::int as position, finding_id, severity from (select *, row_number() over (partition by tenant_id, scope_key order by {case('severity', SEVERITY_RANK)} desc, finding_id) as position from g) where position <= 5",
     "top_ratings": f"{RATINGS} select tenant_id, scheme, source, position::int as position, finding_id, version, score from (select *, row_number() over (partition by tenant_id, scheme, source order by score desc, finding_id, vector) as position from r) where position <= 10",
     "findings_by_cwe": f"{CWES} select tenant_id, cwe, count(*) findings from w group by 1, 2",

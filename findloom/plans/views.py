@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from findloom.operators.fingerprint import scope_key
 from findloom.operators.flatten import DIAGNOSTICS, LOCATION
 
-#: One raw finding for each lineitem; see FIXTURES.md section 2. The price makes finding_id unique at every scale.
+#: One raw finding for each lineitem; see FIXTURES.md section 2. The price makes finding_id unique at every scale. The custom scanner's findings share ids, with
+#: lines and code that agree, differ or are missing, so that merges, reviews and pairs that keep groups apart all occur; some have no id.
 FINDINGS = """
 select
  concat_ws('-', lpad(cast(l_orderkey as string),8,'0'), lpad(cast(l_linenumber as string),2,'0'), lpad(cast(l_partkey as string),6,'0'), lpad(cast(l_suppkey as string),5,'0'), cast(cast(round(l_extendedprice*100) as bigint) as string)) as finding_id,
@@ -31,10 +32,11 @@ select
    when 1 then case l_linenumber % 4 when 0 then 'error' when 1 then 'warning' when 2 then 'note' else 'none' end else '' end as severity_raw,
  case when l_suppkey % 3 = 1 and l_linenumber % 3 <> 0 then cast(l_partkey % 12 as double) end as scanner_score,
  case when l_suppkey % 3 = 1 then concat('rules.js-', cast(l_partkey % 50 as string)) else '' end as rule_id,
- case when l_suppkey % 3 = 1 then concat(case l_partkey % 4 when 0 then '/home/runner/work/repo/repo/src/f' when 1 then 'src/f' when 2 then './src/../lib//f' else '/opt/x/f' end, cast(l_partkey as string), '.js') else '' end as uri,
+ case when l_suppkey % 3 = 1 then concat(case l_partkey % 4 when 0 then '/home/runner/work/repo/repo/src/f' when 1 then 'src/f' when 2 then './src/../lib//f' else '/opt/x/f' end, cast(l_partkey as string), '.js') when l_suppkey % 3 = 2 then concat('svc/m', cast(cast(floor(l_partkey / 4.0) as bigint) as string), '.go') else '' end as uri,
  case when l_suppkey % 3 = 0 then case l_partkey % 2 when 0 then '/app/package-lock.json' else 'package-lock.json' end else '' end as target,
- case when l_suppkey % 3 = 1 then 10 + 5 * (l_linenumber % 2) else 0 end as start_line,
- case when l_suppkey % 3 = 1 then concat(case when l_linenumber % 2 = 0 then '  eval( ' else 'eval(' end, 'input', cast(l_partkey as string), ')') else '' end as snippet,
+ case when l_suppkey % 3 = 1 then 10 + 5 * (l_linenumber % 2) when l_suppkey % 3 = 2 then case l_linenumber % 4 when 0 then 0 when 1 then 10 else 15 end else 0 end as start_line,
+ case when l_suppkey % 3 = 1 then concat(case when l_linenumber % 2 = 0 then '  eval( ' else 'eval(' end, 'input', cast(l_partkey as string), ')') when l_suppkey % 3 = 2 then case l_linenumber % 4 when 1 then 'open(x)' when 2 then 'close(y)' else '' end else '' end as snippet,
+ case when l_partkey % 8 = 0 then '' else concat('c-', cast(cast(floor(l_partkey / 4.0) as bigint) as string)) end as custom_id,
  case l_suppkey % 3 when 0 then concat('CWE-', cast(l_partkey % 40 as string)) when 1 then concat('external/cwe/cwe-0', cast(l_partkey % 40 as string), ', CWE-79') else 'cwe-top25' end as cwe_raw,
  cast((l_partkey * 7919) % 2592 as int) as cvss3_code, p_name, p_size, l_partkey, l_orderkey, l_linenumber, o_orderdate
 from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join part on l_partkey = p_partkey
@@ -78,7 +80,7 @@ def raw_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = [x.split(":")[0] for x in LOCATION[7:-1].split(",")]
     location = F.struct(*[names.get(n, F.lit(None)).alias(n) for n in fields]).cast(LOCATION)
     cvss = F.when(F.col("tool") == "trivy", F.expr(f"array(named_struct('source', 'nvd', 'vector', {V3_VECTOR}), named_struct('source', 'redhat', 'vector', {V2_VECTOR}))"))
-    own_id = F.when(F.col("tool") == "trivy", F.concat_ws("|", "vuln_id_raw", "p_name", F.concat(F.lit("1."), F.col("p_size").cast("string")), "target")).when(F.col("tool") == "semgrep", F.concat_ws("|", "rule_id", "uri", F.col("start_line").cast("string"), F.lit("0"))).otherwise(F.col("finding_id"))
+    own_id = F.when(F.col("tool") == "trivy", F.concat_ws("|", "vuln_id_raw", "p_name", F.concat(F.lit("1."), F.col("p_size").cast("string")), "target")).when(F.col("tool") == "semgrep", F.concat_ws("|", "rule_id", "uri", F.col("start_line").cast("string"), F.lit("0"))).otherwise(F.col("custom_id"))
     adapter = F.when(F.col("tool").isin("trivy", "semgrep"), F.col("tool")).otherwise("generic")
     return f.withColumns({
         "location": location, "cvss_raw": F.coalesce(cvss, F.array().cast("array<struct<source:string,vector:string>>")), "tool_finding_id": own_id, "cwe_raw": F.array("cwe_raw"), "adapter": adapter, "run_tool": F.col("tool"),

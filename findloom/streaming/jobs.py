@@ -35,7 +35,8 @@ def intake_batch(requests: DataFrame, tables: Tables, tenants: DataFrame) -> Dat
 
 
 def normalize_batch(events: DataFrame, tables: Tables, clock, tools: dict[str, ToolSpec] | None = None, macro_scores=None) -> DataFrame:
-    """Reports of events (raw_key, tenant_id, product_id, context_id, tool, scan_id) to findings and their child tables. Returns the runs to publish."""
+    """Reports of events (raw_key, tenant_id, product_id, context_id, tool, scan_id) to findings and their child tables; jobs of completed runs are done.
+    Returns the runs whose event has to go out; published() says so once it has."""
     raw = tables.spark.read.parquet(tables.path("raw"))
     reports = events.dropDuplicates(["raw_key"]).join(raw.withColumn("raw_key", F.concat_ws("/", "tenant_id", "scan_id", "sha256")).select("raw_key", "sha256", "content"), "raw_key")
     reports = reports.withColumn("scope_key", fingerprint.scope_key())
@@ -52,9 +53,15 @@ def normalize_batch(events: DataFrame, tables: Tables, clock, tools: dict[str, T
     failed = runs.fail(blank, bad)
     done = runs.complete(failed.where("status = 'running'"), found, clock)
     tables.upsert("runs", checkpointed(done.unionByName(failed.where("status = 'failed'"))))
-    ready = checkpointed(runs.to_publish(tables.read("runs", RUNS)))
-    tables.upsert("runs", checkpointed(runs.published(tables.read("runs", RUNS), ready, clock)))
-    return ready
+    finished = tables.read("jobs", JOBS).where("state <> 'done'").join(done.select(*runs.KEY), runs.KEY, "left_semi").withColumn("state", F.lit("done"))
+    if tables.exists("jobs"):
+        tables.upsert("jobs", checkpointed(finished))
+    return checkpointed(runs.to_publish(tables.read("runs", RUNS)))
+
+
+def published(ready: DataFrame, tables: Tables, clock) -> None:
+    """Marks runs whose event is out. A crash before this sends an event again, never none: readers take each run once."""
+    tables.upsert("runs", checkpointed(runs.published(tables.read("runs", RUNS).join(ready.select("import_run_id"), "import_run_id", "left_semi"), ready, clock)))
 
 
 def cluster_batch(events: DataFrame, tables: Tables, tools: dict[str, ToolSpec] | None = None, config: ScoringConfig | None = None, joint: bool = False) -> None:
@@ -102,12 +109,15 @@ def intake_stream(requests: DataFrame, tables: Tables, tenants: DataFrame, event
     return _stream(requests, batch, checkpoint, once)
 
 
-def normalize_stream(events: DataFrame, tables: Tables, events_path: str, checkpoint: str, tools=None, once: bool = True) -> StreamingQuery:
+def normalize_stream(events: DataFrame, tables: Tables, events_path: str, checkpoint: str, tools=None, once: bool = True, macro_scores=None) -> StreamingQuery:
+    """Events are added to a folder of the batch before their runs are marked. macro_scores are CVSS 4's published scores (see functions.cvss4)."""
     def batch(df: DataFrame, number: int) -> None:
         fine = df.where("coalesce(tenant_id, '') <> '' and coalesce(raw_key, '') <> ''")
         dead = df.where("not (coalesce(tenant_id, '') <> '' and coalesce(raw_key, '') <> '')").withColumn("reason", F.when(F.coalesce("tenant_id", F.lit("")) == "", "no tenant").otherwise("no raw key"))
         tables.append("dead_letters", dead)
-        normalize_batch(fine, tables, F.current_timestamp(), tools).write.mode("overwrite").json(f"{events_path}/batch={number}")
+        ready = normalize_batch(fine, tables, F.current_timestamp(), tools, macro_scores)
+        ready.write.mode("append").json(f"{events_path}/batch={number}")
+        published(ready, tables, F.current_timestamp())
 
     return _stream(events, batch, checkpoint, once)
 
