@@ -17,9 +17,9 @@ CELL, FAN, NEAREST = 8192, 64, 2
 #: A cell's graph is built in shards of about SHARD vectors; a vector is in its OVERLAP nearest ones.
 SHARD, OVERLAP = 512, 3
 #: Candidates and random others that a vector's neighbours are pruned from, how many neighbours stay, and how much nearer one has to be to shadow another.
-CANDIDATES, OTHERS, DEGREE, ALPHA = 48, 8, 24, 1.2
+CANDIDATES, OTHERS, DEGREE, ALPHA = 32, 4, 12, 1.2
 #: Searches go on from the best BEAM vectors and from all within range less SLACK; so many queries at once, so many steps of each.
-BEAM, SLACK, QUERIES, STEPS = 24, 0.02, 128, 6
+BEAM, SLACK, QUERIES, STEPS = 16, 0.02, 256, 4
 #: The recall audit wants so many nodes with true links; those with more than HOT of them are judged apart, as are copies. Below LEAST_RECALL shards overlap twice
 #: as much. Bytes of an audit's queries.
 AUDIT, HOT, LEAST_RECALL, AUDIT_BYTES = 200, 16, 0.98, 32 << 20
@@ -120,34 +120,59 @@ def range_search(x: np.ndarray, graph: tuple[np.ndarray, np.ndarray, np.ndarray]
     hits = np.zeros((n, n), bool)
     for base in range(0, n, QUERIES):
         q = x[base : base + QUERIES]
-        k = np.arange(len(q))
-        sims = np.full((len(q), n), -2.0)
-        open_ = np.full((len(q), n), -2.0)  # seen and not yet expanded
-        sims[:, medoids] = open_[:, medoids] = q @ x[medoids].T
+        own = np.arange(base, base + len(q))
+        seen = np.zeros((len(q), n), bool)
+        seen[:, medoids] = True
+        # each query's pool, best first: vectors, cosines, and whether they have been expanded; -1 where there's none
+        pool, sims, done = np.full((len(q), 0), -1), np.zeros((len(q), 0)), np.zeros((len(q), 0), bool)
+        new, new_sims, size = np.tile(medoids, (len(q), 1)), q @ x[medoids].T, 2 * beam
         while True:
-            floor = np.minimum(np.partition(sims, n - beam, 1)[:, n - beam], least - SLACK) if n > beam else np.full(len(q), -1.5)
-            step = min(STEPS, n)
-            best = np.argpartition(-open_, step - 1, 1)[:, :step]
-            rows, cols = np.nonzero(np.take_along_axis(open_, best, 1) >= np.maximum(floor, -1.5)[:, None])
-            if not len(rows):
+            pool, sims, done = np.concatenate([pool, new], 1), np.concatenate([sims, new_sims], 1), np.concatenate([done, new < 0], 1)
+            while (sims >= least - SLACK).sum(1).max() > size // 2:
+                size *= 2  # nothing within range ever leaves a pool
+            row = np.arange(len(q))[:, None]
+            if sims.shape[1] > size:
+                order = np.argpartition(sims, -size, 1)[:, -size:]
+                pool, sims, done = pool[row, order], sims[row, order], done[row, order]
+            order = np.argsort(-sims, 1, kind="stable")
+            pool, sims, done = pool[row, order], sims[row, order], done[row, order]
+            ready = ~done & ((np.arange(pool.shape[1]) < beam) | (sims >= least - SLACK))
+            ready &= np.cumsum(ready, 1) <= max(STEPS, size // 16)
+            more = ready.any(1)
+            if not more.all():  # some searches have ended
+                i, j = np.nonzero((sims >= least) & ~more[:, None])
+                hits[own[i], pool[i, j]] = True
+                q, own, seen, pool, sims, done, ready = (v[more] for v in (q, own, seen, pool, sims, done, ready))
+            if not len(q):
                 break
-            node = best[rows, cols]
-            open_[rows, node] = -2.0
-            size = begin[node + 1] - begin[node]
-            who = np.repeat(rows, size)
-            to = near[np.arange(size.sum()) + np.repeat(begin[node] - (np.cumsum(size) - size), size)]
-            new = sims[who, to] == -2.0
-            pairs = np.unique(who[new] * n + to[new])
+            rows, cols = np.nonzero(ready)
+            done[rows, cols] = True
+            node = pool[rows, cols]
+            count = begin[node + 1] - begin[node]
+            who = np.repeat(rows, count)
+            to = near[np.arange(count.sum()) + np.repeat(begin[node] - (np.cumsum(count) - count), count)]
+            fresh = ~seen[who, to]
+            pairs = np.unique(who[fresh] * n + to[fresh])
             who, to = pairs // n, pairs % n
+            seen[who, to] = True
+            many = np.bincount(who, minlength=len(q))
+            place = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
+            new, new_sims = np.full((len(q), many.max(initial=0)), -1), np.full((len(q), many.max(initial=0)), -2.0)
+            new[who, place] = to
             for at in range(0, len(who), 1 << 16):
                 i, j = who[at : at + (1 << 16)], to[at : at + (1 << 16)]
-                sims[i, j] = open_[i, j] = np.einsum("ij,ij->i", q[i], x[j])
-        hits[base + k] = sims >= least
+                new_sims[i, place[at : at + (1 << 16)]] = np.einsum("ij,ij->i", q[i], x[j])
     hits |= hits.T
     np.fill_diagonal(hits, False)
     return hits
 
 
+def _weighed(hits: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The weights of each row's links, a few rows at a time."""
+    parts = [hits[at : at + 256].astype(np.float64) @ weight.astype(np.float64) for at in range(0, len(hits), 256)]
+    return np.concatenate(parts).astype(np.int64)
+
+
 def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """Runs of rows with one key of a sorted stream."""
     held, at = [], None
@@ -202,8 +227,7 @@ def _graph_search(nodes: DataFrame, least: float, overlap: int) -> tuple[DataFra
             for other, own in both.items():
                 if other < cell:
                     counted[np.ix_(own, own)] = False
-            n = counted.astype(np.float64) @ weight.astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n.astype(np.int64)), pa.array(counted.sum(1)), pa.array(node[roots(hits)])], schema=_FOUND)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(_weighed(counted, weight)), pa.array(counted.sum(1)), pa.array(node[roots(hits)])], schema=_FOUND)
 
     return _told(rows.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(search, "node long, links long, others long, root long"))
 
@@ -258,8 +282,7 @@ def _exact_search(nodes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]
                 hits[part] = close(x, part, least)
                 if i != j:
                     hits[part] &= block[part][:, None] != block[None, :]
-            n = hits.astype(np.float64) @ weight.astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n.astype(np.int64)), pa.array(hits.sum(1)), pa.array(node[roots(hits)])], schema=_FOUND)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(_weighed(hits, weight)), pa.array(hits.sum(1)), pa.array(node[roots(hits)])], schema=_FOUND)
 
     return _told(rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(search, "node long, links long, others long, root long"))
 
