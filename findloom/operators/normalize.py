@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from findloom.config import FALLBACK, ToolSpec, standard_tools
 from findloom.functions import normal
-from findloom.functions.cvss4 import score_v4
+from findloom.functions.cvss4 import configured, score_v4
 from findloom.functions.scores import score_vector
 from findloom.functions.text import or_empty, trimmed
 
@@ -18,7 +18,7 @@ COMPONENT = "struct<purl:string,type:string,namespace:string,name:string,version
 EMPTY = "array<struct<source:string,s:struct<version:string,vector:string,base_score:double>,vector:string>>"
 #: The warnings of each step, in its own order, with the columns that say where they hold.
 WARNINGS = {
-    "cvss": (("__bad_cvss", "invalid_cvss", "a CVSS vector is invalid"),),
+    "cvss": (("__bad_cvss", "invalid_cvss", "a CVSS vector is invalid"), ("__unscored", "unscored_cvss", "CVSS 4 scores aren't loaded")),
     "severity": (("__bad_score", "invalid_score", "scanner score is outside 0..10"), ("__unknown", "unknown_severity", "no source gives a severity")),
     "vulnid": (("__bad_id", "unknown_vuln_id_format", "id format isn't known"),),
     "component": (("__bad_purl", "invalid_purl", "package URL is invalid"),),
@@ -27,8 +27,8 @@ WARNINGS = {
 
 
 def score_cvss(findings: DataFrame, macro_scores: dict[str, float] | None = None, on: Column | None = None) -> DataFrame:
-    """findings with cvss, in the order of cvss_raw, and __bad_cvss: whether a vector is invalid (those are left out); only where `on` holds. Version 4 vectors need
-    macro_scores (see cvss4).
+    """findings with cvss, in the order of cvss_raw, __bad_cvss: whether a vector is invalid (those are left out), and __unscored: whether one is of version 4 and
+    macro_scores (see cvss4) aren't given; only where `on` holds.
 
     Versions 2 and 3 are expressions on the row. Version 4 is scored once for each distinct vector.
     """
@@ -41,9 +41,10 @@ def score_cvss(findings: DataFrame, macro_scores: dict[str, float] | None = None
         found = used.groupBy("finding_id").agg(F.map_from_entries(F.collect_set(F.struct("no", "s4"))).alias("__v4"))
         f = f.join(found, "finding_id", "left")
         f = f.withColumn("__scored", F.transform("__scored", lambda x, i: x.withField("s", F.coalesce(x["s"], F.element_at("__v4", i))))).drop("__v4")
+    four = lambda x: F.lit(False) if macro_scores else F.upper(F.coalesce(x["vector"], F.lit(""))).contains("CVSS:4.0/")
     good = F.filter("__scored", lambda x: x["s"].isNotNull())
     flat = F.transform(good, lambda x: F.struct(x["source"].alias("source"), x["s"]["version"].alias("version"), x["s"]["vector"].alias("vector"), x["s"]["base_score"].alias("base_score"))).cast(CVSS)
-    return f.withColumns({"cvss": flat, "__bad_cvss": F.exists("__scored", lambda x: x["s"].isNull())}).drop("__scored")
+    return f.withColumns({"cvss": flat, "__bad_cvss": F.exists("__scored", lambda x: x["s"].isNull() & ~four(x)), "__unscored": F.exists("__scored", lambda x: x["s"].isNull() & four(x))}).drop("__scored")
 
 
 def severity_of(tool: ToolSpec) -> tuple[Column, Column]:
@@ -61,8 +62,8 @@ def severity_of(tool: ToolSpec) -> tuple[Column, Column]:
 
 def normalize(findings: DataFrame, tools: dict[str, ToolSpec] | None = None, macro_scores: dict[str, float] | None = None) -> DataFrame:
     """Every finding through the steps of its adapter, all in one pass; fields of steps that a tool lacks stay empty. Warnings stand in the order of the tool's
-    steps, none twice; a second run changes nothing more."""
-    tools = tools or standard_tools()
+    steps, none twice; a second run changes nothing more. CVSS 4 scores come from macro_scores or from the file that the session names (cvss4.SETTING)."""
+    tools, macro_scores = tools or standard_tools(), macro_scores or configured(findings.sparkSession)
     adapter = F.when(F.col("adapter").isin(*[n for n in tools if n != FALLBACK]), F.col("adapter")).otherwise(FALLBACK)
     f = findings.withColumn("__tool", adapter)
 

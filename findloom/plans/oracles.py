@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from findloom.config import GENERAL_SCALE, SARIF_SCALE, SEVERITY_RANK
-from findloom.functions.scores import CHANGED_PR, V2, V3
 from findloom.plans.views import FINDINGS, REQUESTS, TENANTS, V2_DIGITS, V2_VECTOR, V3_DIGITS, V3_VECTOR, digit
 
 
+#: Fixed values, written here again, so that a wrong one in the library shows: severities by label, their order, and the weights of CVSS 2 and 3.
+GENERAL_SCALE = {"critical": "critical", "high": "high", "medium": "medium", "moderate": "medium", "low": "low", "info": "info", "informational": "info", "unknown": "unknown"}
+SARIF_SCALE = {"error": "high", "warning": "medium", "note": "low", "none": "info"}
+SEVERITY_RANK = {"info": 1, "unknown": 2, "low": 3, "medium": 4, "high": 5, "critical": 6}
+_EFFECT = {"N": 0.0, "P": 0.275, "C": 0.660}
+V2 = {"AV": {"L": 0.395, "A": 0.646, "N": 1.0}, "AC": {"H": 0.35, "M": 0.61, "L": 0.71}, "AU": {"M": 0.45, "S": 0.56, "N": 0.704}, "C": _EFFECT, "I": _EFFECT, "A": _EFFECT}
+_IMPACT = {"H": 0.56, "L": 0.22, "N": 0.0}
+V3 = {"AV": {"N": 0.85, "A": 0.62, "L": 0.55, "P": 0.2}, "AC": {"L": 0.77, "H": 0.44}, "PR": {"N": 0.85, "L": 0.62, "H": 0.27}, "UI": {"N": 0.85, "R": 0.62}, "S": {"U": 0.0, "C": 0.0}, "C": _IMPACT, "I": _IMPACT, "A": _IMPACT}
+CHANGED_PR = {"N": 0.85, "L": 0.68, "H": 0.5}
+
+
 def case(col: str, table: dict, kind: str = "") -> str:
     value = (lambda v: f"cast({v} as double)") if kind == "double" else (lambda v: f"'{v}'" if isinstance(v, str) else str(v))
     return f"case {col} {' '.join(f"when '{k}' then {value(v)}" for k, v in table.items())} end"

@@ -55,6 +55,36 @@ def test_cvss4_parts():
     assert cvss4.parse("CVSS:4.0/AV:N") is None and cvss4.parse("CVSS:4.0/AV:Q") is None
 
 
+def test_cvss4_in_the_chain(spark, tmp_path):
+    """Without the published scores a vector of version 4 is unscored, not invalid; with a file that the session names it decides the severity."""
+    import json
+
+    from findloom.operators import flatten, normalize
+
+    vector = "CVSS:4.0/AV:N/AC:L/AT:N/PR:N/UI:N/VC:H/VI:H/VA:H/SC:H/SI:H/SA:H"
+    vuln = {"VulnerabilityID": "CVE-2024-0001", "Severity": "LOW", "CVSS": {"nvd": {"V40Vector": vector, "V2Vector": "nonsense"}}}
+    d = spark.createDataFrame([("trivy", "r", "t", json.dumps({"SchemaVersion": 2, "Results": [{"Target": "x", "Vulnerabilities": [vuln]}]}))], "tool string, import_run_id string, tenant_id string, content string")
+    raw = flatten.stamped(flatten.route(d), "2020-01-01")
+    row = normalize.normalize(raw).first()
+    assert [x["code"] for x in row["diagnostics"]] == ["invalid_cvss", "unscored_cvss"] and row["severity"] == "low" and row["cvss"] == []
+    scores = {"000100": 10.0, "100100": 9.4, "010100": 9.5, "000101": 9.2, "001100": 9.4, "000200": 9.3, "000110": 9.6}
+    (tmp_path / "scores.json").write_text(json.dumps(scores))
+    spark.conf.set(cvss4.SETTING, f"{tmp_path}/scores.json")
+    row = normalize.normalize(raw).first()
+    spark.conf.unset(cvss4.SETTING)
+    assert [x["code"] for x in row["diagnostics"]] == ["invalid_cvss"] and row["severity"] == "critical" and [(x["version"], x["base_score"]) for x in row["cvss"]] == [("4.0", 10.0)]
+
+
+def test_plain_function_as_policy(spark):
+    from findloom.operators import normalize
+
+    tools = registry(ToolSpec("own", "generic", ("severity",), lambda: F.lit("high")), ToolSpec("generic", "generic", ()))
+    assert "severity@2" in tools["own"].lineage
+    f = spark.createDataFrame([("own", "x"), ("else", "y")], "adapter string, finding_id string").selectExpr("*", "'' severity_raw", "cast(null as double) scanner_score", "array() cvss_raw0", "'' vuln_id_raw", "'' purl_raw", "cast(array() as array<string>) cwe_raw")
+    f = f.selectExpr("*", "cast(array() as array<struct<source:string,vector:string>>) cvss_raw", "cast(array() as array<struct<level:string,code:string,message:string>>) diagnostics", "named_struct('uri', '', 'target', '') location")
+    assert {r["finding_id"]: r["severity"] for r in normalize.normalize(f, tools).collect()} == {"x": "high", "y": "unknown"}
+
+
 def test_config():
     assert standard_tools()["trivy"].lineage.endswith("cvss@1+severity@2(cvss>label;cvss=nvd,ghsa,redhat,bitnami)+vulnid@1+component@1+cwe@1+path@1")
     assert "sast" in KINDS and len(path_rules(["/a/", "/a/b/"])[0]) == 2
