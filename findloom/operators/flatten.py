@@ -57,9 +57,21 @@ def _ordinal(outer: str, inner: Column) -> Column:
     return (F.shiftleft(F.col(outer).cast("long"), 32) + inner).alias("ordinal")
 
 
-def _unknown_format(reports: DataFrame, keep: list[str]) -> DataFrame:
+def _unknown_format() -> list[Column]:
     d = _diagnostics(_diagnostic(F.lit(True), "unknown_format", "report format isn't known"))
-    return reports.select(*keep, F.lit(0).cast("long").alias("ordinal"), *_finding(tool_finding_id=F.lit(""), kind=F.lit("unknown"), title=F.lit("unparsed report"), raw=F.lit("{}"), diagnostics=d))
+    return _finding(tool_finding_id=F.lit(""), kind=F.lit("unknown"), title=F.lit("unparsed report"), raw=F.lit("{}"), diagnostics=d)
+
+
+def _by_case(*cases: tuple[Column, list[Column]]) -> list[Column]:
+    """The columns of the first case that holds; the last one's otherwise. So a report is parsed and exploded once, whatever is in it."""
+    names = [part.split(" ")[0] for part in RAW.replace(LOCATION, "L").replace(DIAGNOSTICS, "D").replace("array<struct<source:string,vector:string>>", "C").split(", ")]
+    out = []
+    for i, name in enumerate(names):
+        value = cases[-1][1][i]
+        for when, columns in reversed(cases[:-1]):
+            value = F.when(when, columns[i]).otherwise(value)
+        out.append(value.alias(name))
+    return out
 
 
 def sarif(reports: DataFrame, content: str = "content") -> DataFrame:
@@ -70,8 +82,9 @@ def sarif(reports: DataFrame, content: str = "content") -> DataFrame:
     """
     keep = [c for c in reports.columns if c != content]
     r = reports.withColumn("doc", F.from_json(F.col(content).cast("string"), SARIF))
-    bad = _unknown_format(r.where("coalesce(doc.version, '') = ''"), keep)
-    runs = r.where("coalesce(doc.version, '') <> ''").select(*keep, F.col("doc.version").alias("v"), F.posexplode("doc.runs").alias("run_no", "run"))
+    known = F.coalesce("doc.version", F.lit("")) != ""
+    nothing = F.array(F.get(F.col("doc.runs"), F.lit(-1)))
+    runs = r.select(*keep, known.alias("known"), F.col("doc.version").alias("v"), F.posexplode(F.when(known, F.col("doc.runs")).otherwise(nothing)).alias("run_no", "run"))
 
     def with_rule(x: Column) -> Column:
         rules = F.col("run.tool.driver.rules")
@@ -80,7 +93,8 @@ def sarif(reports: DataFrame, content: str = "content") -> DataFrame:
         by_id = F.get(F.filter(rules, lambda q: (q["id"] == _get(x, "ruleId")) & (q["id"] != "")), F.lit(0))
         return F.struct(x.alias("x"), F.coalesce(by_index, by_id).alias("rule"))
 
-    results = runs.select(*keep, "v", "run_no", F.col("run.tool.driver").getField("version").alias("dv"), F.col("run.tool.driver.semanticVersion").alias("sv"), F.posexplode(F.transform("run.results", with_rule)).alias("no", "r"))
+    results = F.transform(F.when(F.col("known"), F.col("run.results")).otherwise(F.array(F.lit(None).cast("variant"))), with_rule)
+    results = runs.select(*keep, "known", "v", "run_no", F.col("run.tool.driver").getField("version").alias("dv"), F.col("run.tool.driver.semanticVersion").alias("sv"), F.posexplode(results).alias("no", "r"))
     x, rule = F.col("r.x"), F.col("r.rule")
     fine = F.schema_of_variant(x).startswith("OBJECT") & _typed(x, "ruleId", "STRING") & _typed(x, "ruleIndex", "BIGINT") & _typed(x, "level", "STRING") & _typed(x, "message", "OBJECT") & _typed(x, "message.text", "STRING") & _typed(x, "locations", "ARRAY")
     place = "locations[0].physicalLocation"
@@ -102,20 +116,27 @@ def sarif(reports: DataFrame, content: str = "content") -> DataFrame:
     unparsed = _finding(tool_finding_id=F.lit(""), kind=F.lit("sast"), title=F.lit("unparsed result"), tool_version=text(F.col("dv"), F.col("sv")), raw=F.to_json(x), diagnostics=_diagnostics(version, _diagnostic(F.lit(True), "invalid_result", "result can't be read")))
     ordinal = _ordinal("run_no", F.col("no"))
     ok = results.withColumn("fine", F.coalesce(fine, F.lit(False)))
-    return ok.where("fine").select(*keep, ordinal, *good).unionByName(ok.where("not fine").select(*keep, ordinal, *unparsed)).unionByName(bad)
+    return ok.select(*keep, ordinal, *_by_case((~F.col("known"), _unknown_format()), (F.col("fine"), good), (F.lit(True), unparsed)))
 
 
 def trivy(reports: DataFrame, content: str = "content") -> DataFrame:
     """A row for each vulnerability of each target, and one with only a count for a target's misconfigurations or secrets; values of secrets aren't copied."""
     keep = [c for c in reports.columns if c != content]
     r = reports.withColumn("doc", F.from_json(F.col(content).cast("string"), TRIVY))
-    bad = _unknown_format(r.where("coalesce(doc.SchemaVersion, 0) = 0"), keep)
-    targets = r.where("coalesce(doc.SchemaVersion, 0) <> 0").select(*keep, F.col("doc.SchemaVersion").alias("v"), or_empty("doc.Trivy.Version").alias("tv"), F.posexplode("doc.Results").alias("t_no", "t"))
+    known = F.coalesce("doc.SchemaVersion", F.lit(0)) != 0
+    nothing = F.array(F.get(F.col("doc.Results"), F.lit(-1)))
+    targets = r.select(*keep, known.alias("known"), F.col("doc.SchemaVersion").alias("v"), or_empty("doc.Trivy.Version").alias("tv"), F.posexplode(F.when(known, F.col("doc.Results")).otherwise(nothing)).alias("t_no", "t"))
     targets = targets.withColumns({"target": or_empty("t.Target"), "type": or_empty("t.Type")})
     version = _diagnostic(F.col("v") != 2, "trivy_schema_version", "Trivy schema version isn't 2")
     absolute = _diagnostic(F.col("target").startswith("/"), "absolute_path", "target is absolute")
     x = F.col("x")
-    vulns = targets.select(*keep, "v", "tv", "t_no", "target", "type", F.posexplode("t.Vulnerabilities").alias("no", "x"))
+    none = F.lit(None).cast("variant")
+    item = lambda no, x, name, n: F.struct(no.cast("long").alias("no"), x.alias("x"), name.cast("string").alias("name"), n.cast("int").alias("n"))
+    items = F.transform(F.coalesce("t.Vulnerabilities", F.array().cast("array<variant>")), lambda x, i: item(i, x, F.lit(None), F.lit(None)))
+    sections = [item(F.lit((1 << 31) + k), none, F.lit(n), F.coalesce(F.size(f"t.{s}"), F.lit(0))) for k, (n, s) in enumerate((("misconfigurations", "Misconfigurations"), ("secrets", "Secrets")))]
+    items = F.concat(items, F.filter(F.array(*sections), lambda s: s["n"] > 0))
+    items = F.when(F.col("known"), items).otherwise(F.array(item(F.lit(0), none, F.lit(None), F.lit(None))))
+    vulns = targets.select(*keep, "known", "v", "tv", "t_no", "target", "type", F.inline(items))
     fine = F.schema_of_variant(x).startswith("OBJECT")
     for name in ("VulnerabilityID", "PkgName", "InstalledVersion", "FixedVersion", "Severity", "Title", "Description"):
         fine = fine & _typed(x, name, "STRING")
@@ -135,16 +156,11 @@ def trivy(reports: DataFrame, content: str = "content") -> DataFrame:
     unparsed = _finding(tool_finding_id=F.lit(""), kind=F.lit("sca"), title=F.lit("unparsed vulnerability"), tool_version=F.col("tv"), raw=F.to_json(x), diagnostics=_diagnostics(version, _diagnostic(F.lit(True), "invalid_vulnerability", "vulnerability can't be read")))
     ordinal = _ordinal("t_no", F.col("no"))
     ok = vulns.withColumn("fine", F.coalesce(fine, F.lit(False)))
-    sections = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("k"), F.coalesce(F.size(f"t.{s}"), F.lit(0)).alias("n")) for k, (n, s) in enumerate((("misconfigurations", "Misconfigurations"), ("secrets", "Secrets")))])
-    rest = targets.select(*keep, "v", "tv", "t_no", "target", F.inline(sections)).where("n > 0")
     summary = _finding(
         tool_finding_id=F.lit(""), kind=F.lit("unknown"), title=F.concat_ws(" ", F.lit("unsupported section:"), "name"), tool_version=F.col("tv"), location=_place(target=F.col("target")),
         raw=F.to_json(F.struct(F.col("name").alias("section"), F.col("n").alias("count"))), diagnostics=_diagnostics(version, _diagnostic(F.lit(True), "unsupported_section", "section isn't flattened")),
     )
-    return (
-        ok.where("fine").select(*keep, ordinal, *good).unionByName(ok.where("not fine").select(*keep, ordinal, *unparsed))
-        .unionByName(rest.select(*keep, _ordinal("t_no", F.lit(1 << 31) + F.col("k")), *summary)).unionByName(bad)
-    )
+    return ok.select(*keep, ordinal, *_by_case((~F.col("known"), _unknown_format()), (F.col("name").isNotNull(), summary), (F.col("fine"), good), (F.lit(True), unparsed)))
 
 
 def generic(reports: DataFrame, content: str = "content") -> DataFrame:
