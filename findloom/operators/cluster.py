@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findloom.operators.components import checkpointed, connected
+from findloom.operators.components import checkpointed, connected, written
 
 LINEAGE = "by-level@1+by-kind@3+constrained-union@1"
 
@@ -48,13 +48,63 @@ def _greedy(rows: list[tuple]) -> tuple[dict, list[tuple]]:
     return {n: find(n) for n in root}, refused
 
 
+#: Conflicted components of up to this many merge and separate edges go to the helper, whole; larger ones are merged in rounds.
+WHOLE = 50_000
+
+
+def _named(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """edges with the groups of their ends."""
+    for end in ("a", "b"):
+        edges = edges.join(groups.select(F.col("node").alias(f"node_{end}"), F.col("root").alias(f"root_{end}")), f"node_{end}")
+    return edges.where("root_a <> root_b")
+
+
+def _rounds(edges: DataFrame) -> DataFrame:
+    """(node, root) of merge and separate edges between nodes, equal to one merge after another by points, then a and b, as joins.
+
+    Points go level by level. At a level, components of its edges without a separate pair or a second anchor merge at once, as no order can matter in them. In the others an
+    edge that is the next one of both its groups is decided, all such edges together: nothing before it can still change either group. A refused pair stays
+    refused, since groups only grow.
+    """
+    merges = written(edges.where("verdict = 'merge'").select("points", "a", "b", "node_a", "node_b"))
+    apart = written(edges.where("verdict = 'separate' and node_a <> node_b").select("node_a", "node_b"))
+    nodes = edges.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct()
+    groups = written(nodes.withColumn("root", F.col("node")))
+    for (points,) in merges.select("points").distinct().orderBy(F.desc("points")).collect():  # thousandths: a thousand at most
+        left, whole = merges.where(F.col("points") == points), True
+        while not (e := written(_named(left, groups))).isEmpty():
+            pair = lambda d: d.select(F.least("root_a", "root_b").alias("x"), F.greatest("root_a", "root_b").alias("y")).distinct()
+            blocked = pair(_named(apart, groups)).withColumn("no", F.lit(True))
+            held = groups.where("node like 'c:%'").select("root").distinct()
+            if whole:
+                whole, parts = False, written(connected(e.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))))
+                of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+                inside = blocked.join(of("x"), "x").join(of("y"), "y").where("x_part = y_part").select(F.col("x_part").alias("component"))
+                many = parts.join(held, F.col("node") == F.col("root")).groupBy("component").count().where("count > 1").select("component")
+                to = parts.join(inside.union(many).distinct(), "component", "left_anti").select(F.col("node").alias("root"), F.col("component").alias("to"))
+                left = e.select(*merges.columns)
+            else:
+                order = F.struct((-F.col("points")).alias("p"), "a", "b")
+                best = e.select(F.explode(F.array("root_a", "root_b")).alias("root"), order.alias("key")).groupBy("root").agg(F.min("key").alias("key"))
+                first = lambda c: best.select(F.col("root").alias(c), F.col("key").alias(f"{c}_key"))
+                next_ = e.join(first("root_a"), "root_a").join(first("root_b"), "root_b").where((order == F.col("root_a_key")) & (order == F.col("root_b_key")))
+                next_ = next_.select(F.least("root_a", "root_b").alias("x"), F.greatest("root_a", "root_b").alias("y"))
+                anchor = lambda c: held.select(F.col("root").alias(c), F.lit(True).alias(f"{c}_held"))
+                next_ = written(next_.join(blocked, ["x", "y"], "left").join(anchor("x"), "x", "left").join(anchor("y"), "y", "left").withColumn("no", F.coalesce("no", F.col("x_held") & F.col("y_held"), F.lit(False))))
+                to = next_.where("not no").select(F.col("y").alias("root"), F.col("x").alias("to"))
+                dead = next_.where("no").select("x", "y")
+                left = e.withColumns({"x": F.least("root_a", "root_b"), "y": F.greatest("root_a", "root_b")}).join(dead, ["x", "y"], "left_anti").select(*merges.columns)
+            groups = written(groups.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+    return groups
+
+
 def cluster(findings: DataFrame, edges: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(assignments, review) for new findings (finding_id, tenant_id, scope_key), scored edges (a, b, points, verdict, reasons) and members (finding_id, cluster_id).
 
     Members of one existing cluster act as one node. assignments: finding_id, cluster_id, is_new, seed, points, reasons of the strongest merge edge whose ends
-    finished together (ties by a, then b; none: 1000 and no reasons). review: review pairs and merges whose ends finished apart. Only
-    components of merge edges that hold a separate pair or two anchors go, whole, to the greedy helper, one Arrow group each; clean ones, however
-    large, are joins. Nothing depends on the order of rows.
+    finished together (ties by a, then b; none: 1000 and no reasons). review: review pairs and merges whose ends finished apart.
+    Components of merge edges without a separate pair or two anchors, however large, are joins. Of the others those of up to WHOLE edges go to the greedy helper, one
+    Arrow group each, and larger ones are merged in rounds of joins with the same result. Nothing depends on the order of rows.
     """
     member = existing.select(F.col("finding_id").alias("m"), F.concat(F.lit("c:"), "cluster_id").alias("anchor"))
     def contracted(e: DataFrame) -> DataFrame:
@@ -91,9 +141,13 @@ def cluster(findings: DataFrame, edges: DataFrame, existing: DataFrame) -> tuple
             yield done()
 
     inside = with_part.where("part_a = part_b and verdict in ('merge', 'separate')").join(hard, F.col("part_a") == F.col("component"), "left_semi")
-    solved = inside.select("part_a", "a", "b", "node_a", "node_b", "points", "verdict").repartition("part_a").sortWithinPartitions("part_a").mapInArrow(helper, "node string, root string")
+    inside = checkpointed(inside.select("part_a", "a", "b", "node_a", "node_b", "points", "verdict"))
+    large = inside.groupBy("part_a").count().where(F.col("count") > WHOLE).select("part_a")
+    rounds = _rounds(checkpointed(inside.join(large, "part_a", "left_semi"))) if not large.isEmpty() else None
+    solved = inside.join(large, "part_a", "left_anti").repartition("part_a").sortWithinPartitions("part_a").mapInArrow(helper, "node string, root string")
     easy = part.join(hard, "component", "left_anti").select("node", F.col("component").alias("root"))
-    groups = checkpointed(easy.unionByName(solved))
+    groups = easy.unionByName(solved)
+    groups = checkpointed(groups if rounds is None else groups.unionByName(rounds))
 
     ref = groups.groupBy("root").agg(F.max(F.when(F.col("node").startswith("c:"), F.substring("node", 3, 1 << 20))).alias("anchor"), F.min(F.when(F.col("node").startswith("f:"), F.substring("node", 3, 1 << 20))).alias("seed"))
     placed = groups.join(ref, "root")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in spark.checkpoint.dir. For loops: unlike a checkpoint's, its size is known, where estimates of joins of joins would grow without end."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        checkpointed(spark.range(0))
+    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _with_least(edges: DataFrame, least: Column, hub: int) -> DataFrame:
     """edges (u, v) with m, an aggregate of u's rows; a hub's rows stay where they are."""
     least = edges.groupBy("u").agg(least.alias("m"), F.count("*").alias("n"))
@@ -44,7 +55,7 @@ def connected(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both, F.least(F.min("v"), F.first("u")), hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         small = _with_least(large, F.min("v"), hub).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        e = checkpointed(small)
+        e = written(small)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen or not now[0]:
             break

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from findloom.config import ScoringConfig
 from findloom.operators import candidates, cluster, scoring
 
@@ -49,10 +51,12 @@ def test_scenarios(spark):
     assert run(spark, "mn", [("m", "n", 900, "merge"), ("m", "x", 800, "merge"), ("n", "x", 0, "separate")], [("x", "C1")]) == ({"m": ("m", 900), "n": ("m", 900)}, {("m", "x")})
 
 
-def test_random_graphs(spark):
+@pytest.mark.parametrize("whole", [50_000, 0])
+def test_random_graphs(spark, whole, monkeypatch):
+    monkeypatch.setattr(cluster, "WHOLE", whole)
     r = random.Random(5)
     findings, edges, existing = [], [], []
-    for g in range(40):  # many small graphs in one run
+    for g in range(40 if whole else 15):  # many small graphs in one run
         own = [f"{g:02d}{c}" for c in "abcdef"]
         old = [(f"{g:02d}x{k}", f"K{g}{k // 2}") for k in range(r.randint(0, 3))]
         findings += own
@@ -62,7 +66,7 @@ def test_random_graphs(spark):
             for b in nodes[i + 1 :]:
                 if (a in own or b in own) and r.random() < 0.5:
                     v = r.choice(["merge", "merge", "review", "separate"])
-                    edges.append((a, b, {"merge": r.randint(800, 1000), "review": 600, "separate": 0}[v], v))
+                    edges.append((a, b, {"merge": r.choice([800, 850, 900, 1000]), "review": 600, "separate": 0}[v], v))
     assert run(spark, findings, edges, existing) == plain(findings, edges, existing)
 
 
