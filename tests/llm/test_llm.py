@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from findloom.llm import bpe, licenses, mixing, neardup, pii, quality, substrings, tokenfiles, tokens, urls, vectors
+from findloom.llm import bpe, graph, licenses, mixing, neardup, pii, quality, substrings, tokenfiles, tokens, urls, vectors
 
 tok = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, source string, kept string, copy string"
@@ -164,6 +164,17 @@ def brute_groups(texts):
     return [(d, len(sets[i]), name(i, d), d == name(i, d)) for i, (d, _) in enumerate(texts)]
 
 
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_components_with_hubs(spark, small, monkeypatch):
+    """A star whose centre isn't its smallest node, a chain, loops and nulls, with minima broadcast and with hubs apart."""
+    monkeypatch.setattr(graph, "SMALL", small)
+    monkeypatch.setattr(graph, "HUB", 5)
+    edges = [(100, 200 + i) for i in range(50)] + [(1, 207)] + [(500 + i, 501 + i) for i in range(30)] + [(9, 9), (None, 4)]
+    got = dict(graph.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {x: 1 for x in (1, 100, *range(200, 250))} | {x: 500 for x in range(500, 531)}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_collision_correction():
     a, b = neardup.shingles(b" ".join(b"%d" % i for i in range(3000)), 1), neardup.shingles(b" ".join(b"%d" % i for i in range(600, 3600)), 1)
     e = neardup.estimate(neardup.registers(a), neardup.registers(b)[None])[0]
