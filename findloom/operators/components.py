@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A node with more neighbours than this, and than a 100,000th of all edges, is a hub: there are at most 100,000, so their smallest neighbours are broadcast.
 HUB = 1000
+#: Of up to this many edges all smallest neighbours are broadcast, a row of two names for each node.
+SMALL = 50_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -38,6 +40,8 @@ def written(df: DataFrame) -> DataFrame:
 def _with_least(edges: DataFrame, least: Column, hub: int) -> DataFrame:
     """edges (u, v) with m, an aggregate of u's rows; a hub's rows stay where they are."""
     least = edges.groupBy("u").agg(least.alias("m"), F.count("*").alias("n"))
+    if not hub:
+        return edges.join(F.broadcast(least.drop("n")), "u")
     hubs, others = F.broadcast(least.where(F.col("n") > hub).drop("n")), least.where(F.col("n") <= hub).drop("n")
     return edges.join(hubs, "u").unionByName(edges.join(hubs, "u", "left_anti").join(others, "u"))
 
@@ -51,9 +55,9 @@ def connected(edges: DataFrame) -> DataFrame:
     e = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     seen, size = None, e.count()
     while True:
-        hub = max(HUB, 2 * size // 100_000)
+        hub = max(HUB, 2 * size // 100_000) if size > SMALL else 0
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, F.least(F.min("v"), F.first("u")), hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = _with_least(both, F.least(F.min("v"), F.first("u")), hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         small = _with_least(large, F.min("v"), hub).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         e = written(small)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

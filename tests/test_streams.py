@@ -89,6 +89,7 @@ def test_hubs(spark, monkeypatch):
     from findloom.operators import components
 
     monkeypatch.setattr(components, "HUB", 5)
+    monkeypatch.setattr(components, "SMALL", 0)
     edges = [("m", f"n{i:03d}") for i in range(50)] + [("a", "n007")] + [(f"x{i:02d}", f"x{i + 1:02d}") for i in range(30)] + [("lone", "lone")]
     got = dict(connected(spark.createDataFrame(edges, "a string, b string")).collect())
     assert {got[f"n{i:03d}"] for i in range(50)} | {got["m"], got["a"]} == {"a"} and {got[f"x{i:02d}"] for i in range(31)} == {"x00"} and got["lone"] == "lone"
