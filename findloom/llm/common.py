@@ -37,9 +37,11 @@ def without(df: DataFrame, *outputs: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); one of our own only where it's unset, as in local tests."""
+    """The folder that all executors share (spark.checkpoint.dir); one of our own only where it's unset and Spark is local, as in tests."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         place = f"file://{tempfile.mkdtemp(prefix='findloom-')}"
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")

@@ -25,14 +25,14 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOGIN = re.compile(r"[^\s/?#@:]+(?::[^\s/?#@]*)?@[A-Za-z0-9.-]+")
 SECRET = re.compile(r"[\"']?[\x20\t]*[:=][\x20\t]*[\"']?(?P<value>[A-Za-z0-9_./+=-]{8,})")
 ACCOUNT = re.compile(r"(?:[\x20]?(?i:no|nr|num|number)\b\.?)?[\x20\t]*[:#=]?[\x20\t]*(?P<value>[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{6,18})(?![A-Za-z0-9])")
-SECRET_CUES = ("password", "passwd", "token", "secret", "api_key", "api-key", "apikey")
+SECRET_CUES = ("password", "passwd", "passphrase", "pwd", "token", "secret", "api_key", "api-key", "apikey", "access_key", "access-key", "private_key", "private-key", "bearer")
 #: Characters of an IBAN by country.
 IBAN_LENGTHS = {c: n for n, codes in {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
     23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
     28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }.items() for c in codes.split()}
-ACCOUNT_CUES = ("iban", "account", "acct", "ssn", "konto", "compte", "cuenta")
+ACCOUNT_CUES = ("iban", "account", "acct", "ssn", "social security", "passport", "routing", "tax id", "konto", "kontonummer", "steuernummer", "compte", "cuenta")
 
 
 @cache
@@ -44,8 +44,7 @@ def _automaton():
         a.add_word(x, ("digit" if x.isdigit() else x, len(x)))
     for kind, cues in (("secret", SECRET_CUES), ("account", ACCOUNT_CUES)):
         for cue in cues:
-            for x in {cue, cue.title(), cue.capitalize(), cue.upper()}:
-                a.add_word(x, (kind, len(x)))
+            a.add_word(cue, (kind, len(cue)))
     a.make_automaton()
     return a
 
@@ -81,7 +80,8 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
     """All spans of a text, by kind as listed and then start; code points, end exclusive."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     done = dict.fromkeys((*KINDS, "chain"), 0)  # where the last match of a kind ended, dropped ones too
-    for last, (what, n) in _automaton().iter(text or ""):
+    small = (text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # A-Z alone, so places stay
+    for last, (what, n) in _automaton().iter(small):
         at = last - n + 1
         if what == "digit":
             if at >= done["chain"]:
@@ -162,7 +162,8 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with every span replaced by its kind in brackets; null texts stay null."""
+    """docs with every span replaced by its kind in brackets. Null texts stay null and empty ones empty; repeated rows are masked alike; an empty table gives an
+    empty result; all columns keep their names, whatever these are."""
     return docs.withColumn(text, F.arrow_udf(_masked, T.StringType())(F.col(f"`{text}`")))
 
 

@@ -304,10 +304,28 @@ def test_pii(spark):
     assert pii.mask_pii(docs(spark, TEXTS)).where("doc_id = 6").first()["text"].startswith("é日本 mail [EMAIL], [PHONE]")
 
 
+def test_clashing_names_and_empty_tables(spark):
+    """Input columns named as an operator's outputs are replaced; empty tables give empty ones with the same columns."""
+    d = docs(spark, TEXTS).withColumn("spans", F.lit("clash"))
+    rows = {x["doc_id"]: x["spans"] for x in pii.find_pii(d).collect()}
+    assert len(rows[6]) == 4 and rows[0] == [] and pii.find_pii(d.limit(0)).count() == pii.mask_pii(d.limit(0)).count() == 0
+    assert {x["doc_id"]: x["text"] for x in pii.mask_pii(d).collect()}[0] is None
+    p = spark.createDataFrame([("http://x.net/es/1", "clash", "clash", "clash", "clash"), (None, "h", "p", "r", "v")], "url string, host string, path string, rule string, verdict string")
+    got = urls.filter_urls(p, urls.rule_table(spark, urls.RULES))
+    assert sorted(got.columns) == ["host", "path", "rule", "url", "verdict"] and {(r["host"], r["rule"], r["verdict"]) for r in got.collect()} == {("x.net", "net/es/", "block"), ("", None, "allow")}
+    assert urls.filter_urls(p.limit(0), urls.rule_table(spark, urls.RULES)).count() == urls.filter_urls(p.limit(0), urls.rule_table(spark, [])).count() == 0
+    any_host = urls.rule_table(spark, [("", "block")])
+    assert {r["verdict"] for r in urls.filter_urls(p, any_host).collect()} == {"block"}
+    q = docs(spark, TEXTS).withColumn("n_words", F.lit("clash")).withColumn("clean_text", F.lit("clash"))
+    assert {r["doc_id"]: r["n_words"] for r in quality.quality(q).collect()}[3] == 1
+
+
 def test_pii_account_forms():
     """Qualifiers in any case, words in capitals after an IBAN, and dotted chains of very many zeros."""
     for cue in ("Account Number: ", "Account No. ", "ACCOUNT NUMBER: ", "account number: "):
         assert pii.spans_of(cue + "12345678") == [("account", len(cue), len(cue) + 8)]
+    for cue in ("pAsSwOrD = ", "Access_Key: ", "İ Kontonummer ", "SOCIAL SECURITY number: "):
+        assert [(k, b - a) for k, a, b in pii.spans_of(cue + "12345678")] == [("secret" if cue[0] in "pA" else "account", 8)]
     value = "DE89 3704 0044 0532 0130 00"
     for after in ("", " BIC: X", " BIC COBADEFFXXX", " or so", "."):
         assert pii.spans_of(f"IBAN: {value}{after}") == [("account", 6, 6 + len(value))]
