@@ -114,7 +114,7 @@ def run_states(spark, sf_dir):
 def runs_to_publish(spark, sf_dir):
     r = _runs(spark, sf_dir)
     at = F.col("event_published_at")
-    now = F.expr("timestamp '2000-01-01 00:00:00'")
+    now = F.expr("timestamp '2100-01-01 00:00:00'")
     return runs.published(r, runs.to_publish(r), now).select("import_run_id", at.isNotNull().alias("was_published"), F.coalesce(at == now, F.lit(False)).alias("is_new"))
 
 
