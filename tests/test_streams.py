@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from findloom.operators import candidates, flatten, intake, reports
+from findloom.operators import candidates, flatten, intake, reports, runs
 from findloom.operators.components import connected
 from findloom.sources.tables import Tables, read_events, read_reports
 from findloom.streaming import jobs
@@ -55,10 +55,11 @@ def test_dead_letters(spark, tmp_path):
 
 
 def test_half_reports_and_many_targets(spark):
-    """A report cut anywhere gives one unparsed row or what's whole; ordinals stay apart beyond 2,147 targets and with sections."""
+    """A report cut anywhere is told as undecodable, and flattening it harms no other; ordinals stay apart beyond 2,147 targets and with sections."""
     cuts = [(str(n), TRIVY[:n]) for n in range(0, len(TRIVY) + 1, 7)] + [("whole", TRIVY)]
-    rows = flatten.trivy(spark.createDataFrame(cuts, "import_run_id string, content string")).collect()
-    assert {r["import_run_id"] for r in rows} == {n for n, _ in cuts}
+    d = spark.createDataFrame(cuts, "import_run_id string, content string")
+    assert {r["import_run_id"] for r in runs.undecodable(d).collect()} == {n for n, x in cuts if x != TRIVY}
+    rows = flatten.trivy(d).collect()
     assert [r["title"] for r in rows if r["import_run_id"] == "whole"] == [f"CVE-2024-000{i}" for i in range(3)]
     target = lambda i: {"Target": f"t{i}", "Vulnerabilities": [{"VulnerabilityID": "CVE-1"}], "Secrets": [{}], "Misconfigurations": [{}]}
     doc = json.dumps({"SchemaVersion": 2, "Results": [target(i) for i in range(2200)]})
