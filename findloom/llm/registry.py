@@ -1,6 +1,6 @@
 """Queries of the training-data operators and their DuckDB counterparts."""
 
-from findloom.llm import bpe, licenses, mixing, neardup, pii, quality, substrings, tokenfiles, urls, vectors
+from findloom.llm import bpe, licenses, linededup, merkle, mixing, neardup, pii, quality, substrings, tokenfiles, urls, vectors
 
 QUERIES = {
     "op1_token_ids": tokenfiles.op1_token_ids,
@@ -13,9 +13,13 @@ QUERIES = {
     "op8_substrings": substrings.op8_substrings,
     "op9_pii": pii.op9_pii,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_line_dedup": linededup.op13_line_dedup,
 }
 ORACLES = {
     "op2_mixing_sources": mixing.ORACLE,
     "op3_url_filters": urls.ORACLE,
     "op10_quality_rules": quality.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
+    "op13_line_dedup": linededup.ORACLE,
 }
