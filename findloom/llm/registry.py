@@ -1,6 +1,6 @@
 """Queries of the training-data operators and their DuckDB counterparts."""
 
-from findloom.llm import bpe, licenses, linededup, merkle, mixing, neardup, pii, quality, substrings, tokenfiles, urls, vectors
+from findloom.llm import bpe, licenses, linededup, merkle, mixing, neardup, negatives, pii, quality, substrings, tokenfiles, urls, vectors
 
 QUERIES = {
     "op1_token_ids": tokenfiles.op1_token_ids,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_substrings": substrings.op8_substrings,
     "op9_pii": pii.op9_pii,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "op13_line_dedup": linededup.op13_line_dedup,
 }
@@ -20,6 +21,7 @@ ORACLES = {
     "op2_mixing_sources": mixing.ORACLE,
     "op3_url_filters": urls.ORACLE,
     "op10_quality_rules": quality.ORACLE,
+    "op11_hard_negatives": negatives.ORACLE,
     "op12_merkle_manifest": merkle.ORACLE,
     "op13_line_dedup": linededup.ORACLE,
 }
