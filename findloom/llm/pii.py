@@ -23,8 +23,9 @@ CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOGIN = re.compile(r"[^\s/?#@:]+(?::[^\s/?#@]*)?@[A-Za-z0-9.-]+")
-SECRET = re.compile(r"[\"']?[\x20\t]*[:=][\x20\t]*[\"']?(?P<value>[A-Za-z0-9_./+=-]{8,})")
-ACCOUNT = re.compile(r"(?:[\x20]?(?i:no|nr|num|number)\b\.?)?[\x20\t]*[:#=]?[\x20\t]*(?P<value>[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{6,18})(?![A-Za-z0-9])")
+MARK = re.compile(r"[\"']?[\x20\t]*[:=][\x20\t]*[\"']?")
+VALUE = re.compile(r"[A-Za-z0-9_./+=-]{8,}")
+ACCOUNT = re.compile(r"(?:[\x20]?(?i:no|nr|num|number)\b\.?)?[\x20\t]*(?:[:#=][\x20\t]*)?(?P<value>[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{6,18})(?![A-Za-z0-9])")
 SECRET_CUES = ("password", "passwd", "passphrase", "pwd", "token", "secret", "api_key", "api-key", "apikey", "access_key", "access-key", "private_key", "private-key", "bearer")
 #: Characters of an IBAN by country.
 IBAN_LENGTHS = {c: n for n, codes in {
@@ -80,6 +81,7 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
     """All spans of a text, by kind as listed and then start; code points, end exclusive."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     done = dict.fromkeys((*KINDS, "chain"), 0)  # where the last match of a kind ended, dropped ones too
+    dull = (0, 0)  # the last run of a secret's characters that has no digit
     small = (text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # A-Z alone, so places stay
     for last, (what, n) in _automaton().iter(small):
         at = last - n + 1
@@ -88,10 +90,13 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
                 m = CHAIN.match(text, at)
                 done["chain"] = m.end()
                 parts = m[0].split(".") if m.end() - at >= 7 else ()
+                start = at
                 for k in range(0, len(parts) - 3, 4):
-                    start = at + sum(len(p) + 1 for p in parts[:k]) if k else at
-                    if all(len(q := p.lstrip("0")) <= 3 and int(q or 0) <= 255 for p in parts[k : k + 4]):
-                        found["ip"].append((start, start + sum(len(p) + 1 for p in parts[k : k + 4]) - 1))
+                    four = parts[k : k + 4]
+                    width = sum(len(p) + 1 for p in four)
+                    if all(len(q := p.lstrip("0")) <= 3 and int(q or 0) <= 255 for p in four):
+                        found["ip"].append((start, start + width - 1))
+                    start += width
             if at >= done["card"]:
                 m = CARD.match(text, at)
                 done["card"] = m.end() if m else at + 1
@@ -119,12 +124,21 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
             if start < at and (m := LOGIN.match(text, last + 1)):
                 found["login"].append((start, m.end()))
                 done["login"] = m.end()
-        elif at >= done[what] and not (at and (text[at - 1].isalnum())) and (m := (SECRET if what == "secret" else ACCOUNT).match(text, last + 1)):
-            value = m["value"]
-            if any(c.isdigit() for c in value) and (n := len(value) if what == "secret" else account_end(value)):
-                start = m.start("value")
-                found[what].append((start, start + n))
-                done[what] = start + n
+        elif at >= done[what] and not (at and text[at - 1].isalnum()):
+            if what == "secret":
+                m = MARK.match(text, last + 1)
+                # a run without digits has no secret, wherever in it one would begin
+                m = None if m is None or dull[0] <= m.end() < dull[1] else VALUE.match(text, m.end())
+                span = m and m.span()
+                if m and not any(c.isdigit() for c in m[0]):
+                    dull, span = span, None
+            else:
+                m = ACCOUNT.match(text, last + 1)
+                n = m and any(c.isdigit() for c in m["value"]) and account_end(m["value"])
+                span = n and (m.start("value"), m.start("value") + n)
+            if span:
+                found[what].append(span)
+                done[what] = span[1]
     return [(k, *s) for k in KINDS for s in found[k]]
 
 

@@ -173,3 +173,16 @@ def test_bounds_hold(spark):
     true = negatives.scores(x, x)
     assert (least <= true).all() and (true <= most).all() and (true == (x @ x.T)).all()
     assert ((most - least)[:5] <= 5 + 2e-2 * norms[:5, None] * norms[None, :]).all()  # a reference's own scores are known
+
+
+def test_pii_in_linear_time():
+    import time
+
+    from findloom.llm import pii
+
+    began = time.time()
+    for text in ("account" + " " * 200_000, "token=" * 30_000, "token:" + " " * 200_000 + "x", "+1" + " " * 200_000, "a@" * 50_000, "a://" * 50_000, "1." * 100_000, "iban: " * 30_000, "password password=" * 20_000):
+        assert not [s for s in pii.spans_of(text) if s[0] in ("account", "secret", "phone", "email", "login")]
+    assert time.time() - began < 10
+    text = "password=my_secret_token: abcd1234efgh, account no. 12345678; account  :  87654321"
+    assert [text[a:b] for k, a, b in pii.spans_of(text) if k in ("account", "secret")] == ["12345678", "87654321", "abcd1234efgh"]
