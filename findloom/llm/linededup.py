@@ -62,7 +62,7 @@ def line_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     """
     if keep not in ("first", "none"):
         raise ValueError("keep is first or none")
-    lines, first = occurrences(docs, doc_id, text, min_chars), keep == "first"
+    lines, first = saved(occurrences(docs, doc_id, text, min_chars), "lines"), keep == "first"  # read three times, once to sample the ranges
     keys = saved(repeated_keys(lines, min_docs, first), "keys")
     n, total = keys.agg(F.count("*"), F.sum("n")).first()
     if n <= BROADCAST_ROWS:
