@@ -40,13 +40,15 @@ def unprocessed(events: DataFrame, processed: DataFrame) -> DataFrame:
 
 
 def split_events(events: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, dead letters with a reason): an event needs a tenant, a run id, and a completed run of that tenant."""
+    """(valid, dead letters with a reason): an event can be decoded, and needs a tenant, a run id, and a completed run of that tenant."""
+    if "undecodable" not in events.columns:
+        events = events.withColumn("undecodable", F.lit(None).cast("string"))
     r = runs.select(F.col("tenant_id").alias("r_tenant"), F.col("import_run_id").alias("r_id"), "status")
     j = events.join(r, (F.col("tenant_id") == F.col("r_tenant")) & (F.col("import_run_id") == F.col("r_id")), "left")
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    reason = F.when(blank("tenant_id"), "no tenant").when(blank("import_run_id"), "no run id").when(F.col("r_id").isNull(), "unknown run").when(F.col("status") != "completed", "run is not completed")
+    reason = F.when(F.col("undecodable").isNotNull(), "undecodable").when(blank("tenant_id"), "no tenant").when(blank("import_run_id"), "no run id").when(F.col("r_id").isNull(), "unknown run").when(F.col("status") != "completed", "run is not completed")
     j = j.withColumn("reason", reason).drop("r_tenant", "r_id", "status")
-    return j.where("reason is null").drop("reason"), j.where("reason is not null")
+    return j.where("reason is null").drop("reason", "undecodable"), j.where("reason is not null")
 
 
 def to_publish(runs: DataFrame) -> DataFrame:

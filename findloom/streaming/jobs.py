@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from findloom.config import ScoringConfig, ToolSpec, standard_tools
 from findloom.operators import candidates, cluster, dims, fingerprint, flatten, intake, normalize, runs, scoring
 from findloom.operators.components import checkpointed
-from findloom.sources.tables import Tables, write_raw
+from findloom.sources.tables import UNDECODABLE, Tables, read_parts, within, write_raw
 
 JOBS = "tenant_id string, scope_key string, tool string, sha256 string, scan_id string, raw_key string, product_id string, context_id string, state string"
 RUNS = "tenant_id string, scope_key string, tool string, sha256 string, scan_id string, product_id string, context_id string, import_run_id string, status string, finished_at timestamp, finding_count long, reason string, event_published_at timestamp"
@@ -25,43 +25,44 @@ def _stream(source: DataFrame, batch, checkpoint: str, once: bool = True) -> Str
 def intake_batch(requests: DataFrame, tables: Tables, tenants: DataFrame) -> DataFrame:
     """Accepts requests against all jobs so far: no watermark, as an old key still counts. Returns the events to send."""
     checked = checkpointed(intake.checked(requests, tenants))
-    new, answers, events = intake.accept(checked, tables.read("jobs", JOBS))
+    new, answers, events = intake.accept(checked, tables.read("jobs", JOBS, checked))
     new, events = checkpointed(new), checkpointed(events)
     won = answers.where("is_new").select("arrival", "tenant_id", F.col("scan_id").alias("won"))
     bodies = checked.join(won, ["arrival", "tenant_id"]).select("tenant_id", F.col("won").alias("scan_id"), "sha256", F.col("body").alias("content"), "size_bytes")
     write_raw(bodies, tables.path("raw"))
-    tables.append("jobs", new)
+    tables.log("jobs", new)
     return events
 
 
 def normalize_batch(events: DataFrame, tables: Tables, clock, tools: dict[str, ToolSpec] | None = None, macro_scores=None) -> DataFrame:
     """Reports of events (raw_key, tenant_id, product_id, context_id, tool, scan_id) to findings and their child tables; jobs of completed runs are done.
     Returns the runs whose event has to go out; published() says so once it has."""
-    raw = tables.spark.read.parquet(tables.path("raw"))
-    reports = events.dropDuplicates(["raw_key"]).join(raw.withColumn("raw_key", F.concat_ws("/", "tenant_id", "scan_id", "sha256")).select("raw_key", "sha256", "content"), "raw_key")
-    reports = reports.withColumn("scope_key", fingerprint.scope_key())
-    started = checkpointed(runs.start(reports.select("tenant_id", "scope_key", "tool", "sha256", "scan_id", "product_id", "context_id", "content"), tables.read("runs", RUNS)))
+    wanted = checkpointed(events.dropDuplicates(["raw_key"]).withColumns({"scope_key": fingerprint.scope_key(), "raw_tenant": F.substring_index("raw_key", "/", 1)}))
+    raw = within(read_parts(tables.spark, tables.path("raw")), wanted.select(F.col("raw_tenant").alias("tenant_id")))
+    reports = wanted.join(raw.select(F.concat_ws("/", "tenant_id", "scan_id", "sha256").alias("raw_key"), "sha256", "content"), "raw_key")
+    started = checkpointed(runs.start(reports.select("tenant_id", "scope_key", "tool", "sha256", "scan_id", "product_id", "context_id", "content"), tables.read("runs", RUNS, wanted)))
     bad = checkpointed(runs.undecodable(started))
     good = started.join(bad, "import_run_id", "left_anti")
     found = flatten.stamped(flatten.route(good.select("tenant_id", "scope_key", "product_id", "context_id", "tool", "scan_id", "import_run_id", "content"), tools), clock, tools)
     found = checkpointed(normalize.normalize(found, tools, macro_scores).withColumn("component_id", dims.component_id()))
     tables.append("components", dims.new_components(found))
     tables.append("findings", found)
-    tables.append("ratings", dims.ratings(found))
-    tables.append("cwes", dims.finding_cwes(found))
+    tables.append("ratings", dims.ratings(found, ("scope_key",)))
+    tables.append("cwes", dims.finding_cwes(found, ("scope_key",)))
     blank = started.drop("content").withColumns({"finished_at": F.lit(None).cast("timestamp"), "finding_count": F.lit(None).cast("long"), "reason": F.lit(None).cast("string"), "event_published_at": F.lit(None).cast("timestamp")})
     failed = runs.fail(blank, bad)
     done = runs.complete(failed.where("status = 'running'"), found, clock)
-    tables.upsert("runs", checkpointed(done.unionByName(failed.where("status = 'failed'"))))
-    finished = tables.read("jobs", JOBS).where("state <> 'done'").join(done.select(*runs.KEY), runs.KEY, "left_semi").withColumn("state", F.lit("done"))
-    if tables.exists("jobs"):
-        tables.upsert("jobs", checkpointed(finished))
-    return checkpointed(runs.to_publish(tables.read("runs", RUNS)))
+    tables.log("runs", done.unionByName(failed.where("status = 'failed'")))
+    # jobs that another batch accepts meanwhile are rows of their own: nothing is replaced
+    finished = tables.read("jobs", JOBS, wanted).where("state <> 'done'").join(done.select(*runs.KEY), runs.KEY, "left_semi")
+    tables.log("jobs", finished.withColumn("state", F.lit("done")))
+    return checkpointed(runs.to_publish(tables.read("runs", RUNS, wanted)))
 
 
 def published(ready: DataFrame, tables: Tables, clock) -> None:
     """Marks runs whose event is out. A crash before this sends an event again, never none: readers take each run once."""
-    tables.upsert("runs", checkpointed(runs.published(tables.read("runs", RUNS).join(ready.select("import_run_id"), "import_run_id", "left_semi"), ready, clock)))
+    own = tables.read("runs", RUNS, ready.withColumn("scope_key", fingerprint.scope_key())).join(ready.select("import_run_id"), "import_run_id", "left_semi")
+    tables.log("runs", runs.published(own, ready, clock))
 
 
 def cluster_batch(events: DataFrame, tables: Tables, tools: dict[str, ToolSpec] | None = None, config: ScoringConfig | None = None, joint: bool = False) -> None:
@@ -71,10 +72,10 @@ def cluster_batch(events: DataFrame, tables: Tables, tools: dict[str, ToolSpec]
     once, for backfills, and may merge groups that a replay keeps apart.
     """
     tools = tools or standard_tools()
-    all_runs = tables.read("runs", RUNS)
+    all_runs = tables.read("runs", RUNS, events)
     valid, dead = runs.split_events(events, all_runs)
     tables.append("dead_letters", dead)
-    todo = runs.unprocessed(valid, tables.read("processing_runs", "tenant_id string, import_run_id string")).select("tenant_id", "import_run_id")
+    todo = runs.unprocessed(valid, tables.read("processing_runs", "tenant_id string, import_run_id string", events)).select("tenant_id", "import_run_id")
     own = all_runs.join(todo, ["tenant_id", "import_run_id"], "left_semi").select("tenant_id", "import_run_id", "scope_key", F.col("tool").alias("run_tool"), "finished_at")
     wave = F.lit(1) if joint else F.row_number().over(W.partitionBy("tenant_id", "scope_key").orderBy("finished_at", "import_run_id"))
     own = checkpointed(own.withColumn("wave", wave))
@@ -83,11 +84,11 @@ def cluster_batch(events: DataFrame, tables: Tables, tools: dict[str, ToolSpec]
 
 
 def _wave(batch: DataFrame, tables: Tables, tools: dict[str, ToolSpec], config: ScoringConfig | None) -> None:
-    findings = tables.read("findings")
+    findings = tables.read("findings", of=batch)
     now = fingerprint.with_place(findings.join(batch.select("import_run_id", "run_tool"), "import_run_id"))
     prints = checkpointed(fingerprint.fingerprints(now, tools))
     tables.append("fingerprints", prints)
-    index, members = tables.read("fingerprints"), tables.read("members", MEMBERS)
+    index, members = tables.read("fingerprints", of=batch), tables.read("members", MEMBERS, batch)
     pairs = candidates.split_candidates(candidates.candidates(prints, index), prints, members)
     scored = candidates.unordered(pairs.where("place <> 'unclustered'"))
     ids = scored.select(F.explode(F.array("a", "b")).alias("finding_id")).distinct()
@@ -112,9 +113,11 @@ def intake_stream(requests: DataFrame, tables: Tables, tenants: DataFrame, event
 def normalize_stream(events: DataFrame, tables: Tables, events_path: str, checkpoint: str, tools=None, once: bool = True, macro_scores=None) -> StreamingQuery:
     """Events are added to a folder of the batch before their runs are marked. macro_scores are CVSS 4's published scores (see functions.cvss4)."""
     def batch(df: DataFrame, number: int) -> None:
-        fine = df.where("coalesce(tenant_id, '') <> '' and coalesce(raw_key, '') <> ''")
-        dead = df.where("not (coalesce(tenant_id, '') <> '' and coalesce(raw_key, '') <> '')").withColumn("reason", F.when(F.coalesce("tenant_id", F.lit("")) == "", "no tenant").otherwise("no raw key"))
-        tables.append("dead_letters", dead)
+        blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+        broken = F.col(UNDECODABLE).isNotNull() if UNDECODABLE in df.columns else F.lit(False)
+        told = df.withColumn("reason", F.when(broken, "undecodable").when(blank("tenant_id"), "no tenant").when(blank("raw_key"), "no raw key"))
+        tables.append("dead_letters", told.where("reason is not null"))
+        fine = told.where("reason is null").drop("reason", UNDECODABLE)
         ready = normalize_batch(fine, tables, F.current_timestamp(), tools, macro_scores)
         ready.write.mode("append").json(f"{events_path}/batch={number}")
         published(ready, tables, F.current_timestamp())

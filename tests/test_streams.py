@@ -50,7 +50,8 @@ def test_dead_letters(spark, tmp_path):
     lines = [json.dumps({"tenant_id": "t", "import_run_id": good}), json.dumps({"tenant_id": "", "import_run_id": good}), json.dumps({"tenant_id": "t", "import_run_id": "lost"}), json.dumps({"tenant_id": "t"}), "not json"]
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{tmp_path}/events")
     jobs.cluster_stream(read_events(spark, f"{tmp_path}/events"), t, f"{tmp_path}/c").awaitTermination()
-    assert sorted(r["reason"] for r in t.read("dead_letters").collect()) == ["no run id", "no tenant", "no tenant", "unknown run"]
+    assert sorted(r["reason"] for r in t.read("dead_letters").collect()) == ["no run id", "no tenant", "undecodable", "unknown run"]
+    assert t.read("dead_letters").where("reason = 'undecodable'").first()["undecodable"] == "not json"
     assert t.read("members").count() == 3 and t.read("processing_runs").count() == 1
 
 
@@ -100,3 +101,64 @@ def test_blocks_of_100_000(spark):
     """300,000 ordered candidates in blocks of four on two levels."""
     p = spark.range(100_000).select(F.lit("t").alias("tenant_id"), F.lit("s").alias("scope_key"), F.col("id").cast("string").alias("finding_id"), F.explode(F.array(F.struct(F.lit("l0").alias("level"), (F.col("id") / 4).cast("long").cast("string").alias("value")), F.struct(F.lit("l1").alias("level"), ((F.col("id") / 4).cast("long") + 7).cast("string").alias("value")))).alias("x")).select("*", "x.*")
     assert candidates.candidate_counts(p, p).agg(F.sum("n_candidates")).first()[0] == 300_000 and candidates.pairs(p).count() == 150_000
+
+
+def test_interleaved_batches_lose_nothing(spark, tmp_path, monkeypatch):
+    """While a batch is normalised, another one is accepted, and a third marks runs as published; the tables keep what all of them have written."""
+    t, tenants = _place(spark, tmp_path, [(1, "007", "trivy", "p/c", "scan-1", TRIVY)])
+    tenants = spark.createDataFrame([("007", 10_000)], "id string, max_report_bytes long")
+    accept = lambda k: jobs.intake_batch(spark.createDataFrame([(k, "007", "trivy", "p/c", f"scan-{k}", f'{{"SchemaVersion":2,"k":{k}}}')], REQUEST), t, tenants)
+    events = jobs.intake_batch(spark.read.schema(REQUEST).json(f"{tmp_path}/in"), t, tenants)
+    write, log = t._write, []
+
+    def busy(name, rows):
+        if name in ("runs", "jobs") and not log:
+            log.append(name)
+            accept(2)
+        write(name, rows)
+        if name == "jobs" and log == ["runs"]:
+            log.append(name)
+            accept(3)
+
+    monkeypatch.setattr(t, "_write", busy)
+    ready = jobs.normalize_batch(events, t, F.current_timestamp())
+    monkeypatch.setattr(t, "_write", write)
+    assert log == ["runs", "jobs"]
+    assert {(r["tenant_id"], r["scan_id"], r["state"]) for r in t.read("jobs").collect()} == {("007", "scan-1", "done"), ("007", "scan-2", "pending"), ("007", "scan-3", "pending")}
+    jobs.published(ready, t, F.current_timestamp())
+    jobs.published(ready, t, F.current_timestamp())
+    (run,) = t.read("runs").collect()
+    assert run["status"] == "completed" and run["finding_count"] == 3 and run["event_published_at"] is not None
+    checked = intake.checked(spark.createDataFrame([(9, "007", "trivy", "p/c", "again", TRIVY)], REQUEST), tenants)
+    assert [r["scan_id"] for r in intake.accept(checked, t.read("jobs"))[1].collect()] == ["scan-1"]
+
+
+def test_states_by_rank(spark, tmp_path):
+    """A late `failed` doesn't undo a completed run, the first writer's scan stands, and flags stay."""
+    t = Tables(spark, f"{tmp_path}/tables")
+    row = lambda scan, state: spark.createDataFrame([("t", "s", "trivy", "x", scan, "k", "p", "c", state)], jobs.JOBS)
+    for scan, state in (("first", "pending"), ("second", "pending"), ("third", "done"), ("fourth", "pending")):
+        t.log("jobs", row(scan, state))
+    assert [(r["scan_id"], r["state"]) for r in t.read("jobs").collect()] == [("first", "done")]
+    run = lambda status, at: spark.createDataFrame([("t", "s", "trivy", "x", "scan", "p", "c", "r", status, None, 1, None, None)], jobs.RUNS).withColumn("event_published_at", F.lit(at).cast("timestamp"))
+    for status, at in (("failed", None), ("completed", None), ("completed", "2024-01-01"), ("completed", None), ("failed", None)):
+        t.log("runs", run(status, at))
+    assert [(r["status"], str(r["event_published_at"])[:4]) for r in t.read("runs").collect()] == [("completed", "2024")]
+
+
+def test_pruned_reads(spark, tmp_path):
+    """A batch on one scope reads its own partitions, and no more of them when other tenants grow."""
+    t = Tables(spark, f"{tmp_path}/tables")
+    rows = lambda tenants, scopes: spark.createDataFrame([(x, f"s{i}", f"{x}-{i}", "l0", "v") for x in tenants for i in range(scopes)], "tenant_id string, scope_key string, finding_id string, level string, value string")
+    t.append("fingerprints", rows(["a", "b"], 40))
+    batch = spark.createDataFrame([("a", "s7")], "tenant_id string, scope_key string")
+    read = lambda: t.read("fingerprints", of=batch)
+    files = lambda d: {r[0] for r in d.select(F.input_file_name()).distinct().collect()}
+    before = files(read())
+    plan = read()._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "tenant_id" in plan.split("PartitionFilters: [")[1].split("]")[0] and "scope_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert read().where("scope_key = 's7'").count() == 1 and 0 < len(before) < len(files(t.read("fingerprints"))) / 20
+    t.append("fingerprints", rows(["c", "d"], 40))
+    assert files(read()) == before and t.read("fingerprints").count() == 160
+    t.append("fingerprints", rows(["a"], 40))
+    assert t.read("fingerprints").count() == 160
