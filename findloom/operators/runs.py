@@ -29,11 +29,6 @@ def fail(runs: DataFrame, reasons: DataFrame) -> DataFrame:
     return out.withColumns({"status": F.when(failed, "failed").otherwise(F.col("status")), "reason": F.when(failed, F.col("why"))}).drop("why")
 
 
-def undecodable(reports: DataFrame, content: str = "content") -> DataFrame:
-    """(import_run_id, reason) of reports whose text isn't JSON; none of their findings are kept."""
-    return reports.where(F.try_parse_json(F.col(content).cast("string")).isNull()).select("import_run_id", F.lit("report is not valid JSON").alias("reason"))
-
-
 def unprocessed(events: DataFrame, processed: DataFrame) -> DataFrame:
     """Events of runs that haven't been processed, each once."""
     return events.dropDuplicates(["tenant_id", "import_run_id"]).join(processed, ["tenant_id", "import_run_id"], "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from findloom.plans import views
 from findloom.plans.views import FINDINGS, REQUESTS, TENANTS, V2_DIGITS, V2_VECTOR, V3_DIGITS, V3_VECTOR, digit
 
 
@@ -123,7 +124,9 @@ SQL = {
  select fst.tenant_id, product_id, context_id, fst.tool, count(*) n from fst left join old using (tenant_id, scope_key, tool, sha256) where old.sha256 is null or substr(fst.sha256, 1, 1) not between '0' and '7' group by 1, 2, 3, 4""",
     "run_start": f"{RUNS} select n, 'trivy' tool, import_run_id run, 'running' status from runs where n % 2 = 0 and status <> 'completed' union all select n, 'semgrep', 'new', 'running' from runs where n % 3 = 0",
     "run_counts": f"{RUNS} select import_run_id, 'completed' status, count(l_orderkey)::bigint finding_count from runs left join (select l_orderkey from lineitem where l_suppkey % 3 = 0) on l_orderkey = n where status <> 'failed' group by 1",
-    "run_failures": f"{RUNS} select case when n % 4 = 0 and status <> 'completed' then 'failed' else status end status, case when n % 4 = 0 and status <> 'completed' then 'report is not valid JSON' end reason, count(*) n_runs from runs group by 1, 2",
+    "run_failures": f"""{RUNS}, t as (select n, status, case n % 3 when 0 then 'trivy' when 1 then 'semgrep' else 'homegrown' end tool from runs),
+ w as (select tool, status, {views.by_tool(views.REPORTS, 1)} why from t)
+ select tool, case when why is not null and status <> 'completed' then 'failed' else status end status, case when status <> 'completed' then why end reason, count(*) n_runs from w group by 1, 2, 3""",
     "run_events": f"""{RUNS}, e as (select case when n % 13 = 0 then 'no tenant' when n % 17 = 0 then 'unknown run' when status <> 'completed' then 'run is not completed' when n % 5 = 0 then 'processed' else 'to process' end reason from runs)
  select reason, count(*) n_events from e where reason <> 'processed' group by 1""",
     "backlogs": f"""{RUNS}, a as (select * from runs where status = 'completed' and n % 5 <> 0 and finished_at >= timestamp '1998-08-05' - interval 90 days), b as (select * from runs where status = 'completed' and not published)
@@ -133,7 +136,14 @@ SQL = {
     "trivy_flatten": f"{BASE} select import_run_id, finding_id, vuln_id_raw || '|' || p_name || '|1.' || p_size || '|' || target tool_finding_id, kind, severity_raw, vuln_id_raw, purl_raw, '0.5' tool_version, target, cwe_raw cwes, 'redhat=' || {V2_VECTOR} cvss, case when starts_with(target, '/') then 'absolute_path' else '' end codes from f where tool = 'trivy'",
     "sarif_flatten": f"""{BASE} select import_run_id, finding_id, rule_id || '|' || uri || '|' || start_line || '|0' tool_finding_id, kind, 'Rule ' || rule_id title, case when l_linenumber % 4 = 1 then 'warning' else severity_raw end severity_raw, 7.5::double scanner_score, '1.2' tool_version, rule_id, uri, start_line, snippet, 'CWE-79' cwes,
  case when starts_with(uri, '/') then 'absolute_path' else '' end codes from f where tool = 'semgrep'""",
-    "generic_flatten": "select o_orderkey, 'unknown' kind, 'unparsed report' title, case when o_orderkey % 3 = 0 then '{\"bytes\":8}' else '{\"id\":' || o_orderkey || '}' end raw, 'unknown_tool' codes, 'generic' adapter from orders",
+    "generic_flatten": "select o_orderkey, 'unknown' kind, 'unparsed report' title, case when o_orderkey % 3 = 0 then '{\"bytes\":8}' else '{\"id\":' || o_orderkey || '}' end raw, 'unknown_format,unknown_tool' codes, 'generic' adapter from orders",
+    "unparsed_elements": f"""with o as (select o_orderkey n, case o_orderkey % 2 when 0 then 'trivy' else 'semgrep' end tool from orders),
+ e as (select n, tool, {views.by_tool(views.ELEMENTS, 0)} raw, {views.by_tool(views.ELEMENTS, 1)} title, case when n % 5 = 0 then '/t' else 't' end target from o),
+ c as (select *, case when title is null then tool = 'trivy' end bad_vulnerability, case when title is null then tool = 'semgrep' end bad_result from e)
+ select n, tool, case tool when 'trivy' then 'sca' else 'sast' end kind, coalesce(title, case tool when 'trivy' then 'unparsed vulnerability' else 'unparsed result' end) title, raw,
+ concat_ws(',', case when bad_vulnerability then 'invalid_vulnerability' when bad_result then 'invalid_result' end, case when tool = 'trivy' and target = '/t' then 'absolute_path' end, case when n % 7 = 0 then case tool when 'trivy' then 'trivy_schema_version' else 'sarif_version' end end) codes,
+ case when tool = 'trivy' and title is not null then target end target from c
+ union all select n, tool, 'unknown', 'unsupported trivy section: secrets', '{{"count":2,"section":"secrets","target":"' || target || '"}}', concat_ws(',', 'unsupported_section', case when n % 7 = 0 then 'trivy_schema_version' end), null from c where tool = 'trivy' and n % 6 = 0""",
     "severities": f"{NORM} select finding_id, severity, {case('severity', SEVERITY_RANK)} severity_rank, case when tool = 'custom-scanner' then 'unknown_severity' when tool = 'semgrep' and scanner_score > 10 then 'invalid_score' else '' end codes from g",
     "severity_labels": f"{BASE} select distinct severity_raw, {GENERAL} as general, {SARIF} as sarif, coalesce({GENERAL}, {SARIF}) as both from f",
     "score_bands": f"select score, case when score between 0 and 10 then {band('score')} end v3, case when score between 0 and 10 then {band('score', False)} end v2, not score between 0 and 10 bad from (select distinct l_quantity / 4.0 - 1 score from lineitem)",

@@ -88,9 +88,22 @@ def run_counts(spark, sf_dir):
 
 
 def run_failures(spark, sf_dir):
-    r = _runs(spark, sf_dir)
-    content = F.when(F.col("n") % 4 == 0, F.lit('{"half":')).otherwise(F.lit('{"whole": 1}'))
-    return runs.fail(r, runs.undecodable(r.withColumn("content", content))).groupBy("status", "reason").agg(F.count("*").alias("n_runs"))
+    """Reports of three tools, some that aren't JSON and some with values of wrong types at some depth; only the tools that are registered can fail."""
+    r = _runs(spark, sf_dir).withColumn("tool", F.expr("case n % 3 when 0 then 'trivy' when 1 then 'semgrep' else 'homegrown' end"))
+    bad = flatten.undecodable(r.withColumn("content", F.expr(views.by_tool(views.REPORTS, 0))))
+    return runs.fail(r, bad).groupBy("tool", "status", "reason").agg(F.count("*").alias("n_runs"))
+
+
+def unparsed_elements(spark, sf_dir):
+    """A report of one element for each order, good ones and ones with a value of a wrong type at some depth, and some secrets."""
+    o = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n"), F.expr("case o_orderkey % 2 when 0 then 'trivy' else 'semgrep' end").alias("tool"))
+    element = F.expr(views.by_tool(views.ELEMENTS, 0))
+    target = F.expr("case when n % 5 = 0 then '/t' else 't' end")
+    secrets = F.expr("""case when n % 6 = 0 then ',"Secrets":[{"Match":"hunter2"},{}]' else '' end""")
+    trivy = F.concat(F.lit('{"SchemaVersion":'), F.expr("case when n % 7 = 0 then '3' else '2' end"), F.lit(',"Results":[{"Target":"'), target, F.lit('","Vulnerabilities":['), element, F.lit("]"), secrets, F.lit("}]}"))
+    sarif = F.concat(F.lit('{"version":"'), F.expr("case when n % 7 = 0 then '2.0.0' else '2.1.0' end"), F.lit('","runs":[{"results":['), element, F.lit("]}]}"))
+    f = flatten.route(o.withColumn("content", F.when(F.col("tool") == "trivy", trivy).otherwise(sarif)))
+    return f.select("n", "tool", "kind", "title", "raw", views.joined(F.col("diagnostics.code")).alias("codes"), F.col("location.target").alias("target"))
 
 
 def run_events(spark, sf_dir):

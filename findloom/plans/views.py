@@ -112,3 +112,40 @@ def tenants(spark: SparkSession) -> DataFrame:
 def joined(a: Column) -> Column:
     """An array as text, for flat results."""
     return F.array_join(a, ",")
+
+
+#: Reports by tool as (JSON, whether its run fails and why), and elements of reports as (JSON, title of the finding); `#` stands for the order's key. Keys are sorted, as in
+#: the JSON that comes out.
+NOT_JSON, WRONG = "report is not valid JSON", "report has a value of a wrong type"
+REPORTS = {
+    "trivy": (
+        ('{"half":', NOT_JSON), ('{"Results":{"a":1},"SchemaVersion":2}', WRONG), ('{"SchemaVersion":"2"}', WRONG), ('{"Results":[{"Target":7}],"SchemaVersion":2}', WRONG), ('{"SchemaVersion":2,"Trivy":{"Version":5}}', WRONG), ('{"SchemaVersion":2.0}', WRONG),
+        ('{"Other":[1],"Results":[null,{"Target":null,"Vulnerabilities":null}],"SchemaVersion":2}', None), ('{"Results":[{"Vulnerabilities":{"a":1}}],"SchemaVersion":2}', WRONG), ("null", None), ("[]", WRONG), ('{"whole":1}', None), ('{"Results":[{"Secrets":"x"}],"SchemaVersion":2}', WRONG),
+    ),
+    "semgrep": (
+        ("plain", NOT_JSON), ('{"version":2.1}', WRONG), ('{"runs":[{"tool":{"driver":{"rules":[{"id":5}]}}}],"version":"2.1.0"}', WRONG), ('{"runs":[{"results":[5,null]}],"version":"2.1.0"}', None), ('{"runs":[{"tool":{"driver":{"rules":[{"properties":{"security-severity":7,"tags":null}},null]}}}],"version":"2.1.0"}', None),
+        ('{"runs":[{"tool":{"driver":{"rules":[{"properties":{"tags":[7]}}]}}}],"version":"2.1.0"}', WRONG), ('{"runs":{},"version":"2.1.0"}', WRONG), ('"text"', WRONG),
+    ),
+    "homegrown": (("plain text", None), ('{"half":', None), ('{"whole":1}', None)),
+}
+ELEMENTS = {
+    "trivy": (
+        ('{"CweIDs":["CWE-7"],"VulnerabilityID":"V#"}', "V#"), ('{"CweIDs":[79]}', None), ('{"PkgIdentifier":{"PURL":5}}', None), ('{"CVSS":{"nvd":{"V3Vector":5}}}', None), ('{"CVSS":{"nvd":"x"}}', None), ('{"CVSS":{"nvd":null},"CweIDs":[null,"x"],"Severity":null}', "unnamed vulnerability"),
+        ("null", "unnamed vulnerability"), ('"no"', None), ("[]", None), ("7", None), ('{"Severity":true,"Title":"T"}', None), ('{"Extra":{"a":[1]},"Title":"T#"}', "T#"),
+    ),
+    "semgrep": (
+        ('{"ruleId":"r#"}', "r#"), ('{"locations":[5]}', None), ('{"locations":[{"physicalLocation":{"region":{"startLine":"12"}}}]}', None), ('{"locations":[{"physicalLocation":{"region":{"startLine":1.5}}}]}', None), ('{"locations":[{"physicalLocation":{"region":{"snippet":"x"}}}]}', None), ('{"ruleIndex":true}', None),
+        ('{"message":"m"}', None), ("null", "unnamed finding"), ('{"locations":null,"message":null}', "unnamed finding"), ('{"locations":[null,{"physicalLocation":{"region":{"startLine":12}}}]}', "unnamed finding"), ("true", None),
+    ),
+}
+
+
+def choice(values, key: str = "n") -> str:
+    """SQL for one of the texts (or nulls) by a key."""
+    text = lambda v: "null" if v is None else "replace('" + v.replace("'", "''") + f"', '#', cast({key} as string))"
+    return f"case {key} % {len(values)} " + " ".join(f"when {i} then {text(v)}" for i, v in enumerate(values)) + " end"
+
+
+def by_tool(choices: dict, part: int, key: str = "n") -> str:
+    """SQL for a report or element (part 0), or what becomes of it (part 1), by the column tool."""
+    return "case tool " + " ".join(f"when '{t}' then {choice([c[part] for c in cs], key)}" for t, cs in choices.items()) + " end"

@@ -41,7 +41,7 @@ def normalize_batch(events: DataFrame, tables: Tables, clock, tools: dict[str, T
     raw = within(read_parts(tables.spark, tables.path("raw")), wanted.select(F.col("raw_tenant").alias("tenant_id")))
     reports = wanted.join(raw.select(F.concat_ws("/", "tenant_id", "scan_id", "sha256").alias("raw_key"), "sha256", "content"), "raw_key")
     started = checkpointed(runs.start(reports.select("tenant_id", "scope_key", "tool", "sha256", "scan_id", "product_id", "context_id", "content"), tables.read("runs", RUNS, wanted)))
-    bad = checkpointed(runs.undecodable(started))
+    bad = checkpointed(flatten.undecodable(started, tools))
     good = started.join(bad, "import_run_id", "left_anti")
     found = flatten.stamped(flatten.route(good.select("tenant_id", "scope_key", "product_id", "context_id", "tool", "scan_id", "import_run_id", "content"), tools), clock, tools)
     found = checkpointed(normalize.normalize(found, tools, macro_scores).withColumn("component_id", dims.component_id()))

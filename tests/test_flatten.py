@@ -23,9 +23,9 @@ def test_trivy(spark):
     rows = flatten.trivy(reports(spark, doc, {"x": 1}, {"SchemaVersion": 3, "Results": [{"Vulnerabilities": [{}]}]})).orderBy("import_run_id", "ordinal").collect()
     first = rows[0]
     assert first["tool_finding_id"] == "CVE-2024-0001|a|1|/app/x" and first["title"] == "CVE-2024-0001" and codes(first) == ["absolute_path"] and first["cwe_raw"] == ["CWE-79"]
-    assert [(c["source"], c["vector"]) for c in first["cvss_raw"]] == [("nvd", "v4"), ("redhat", "v3"), ("redhat", "v2")]
-    assert [r["title"] for r in rows[1:3]] == ["unparsed vulnerability"] * 2 and codes(rows[1]) == ["invalid_vulnerability"]
-    assert json.loads(rows[3]["raw"]) == {"section": "secrets", "count": 1} and "hunter2" not in str(rows[3])
+    assert [(c["source"], c["vector"]) for c in first["cvss_raw"]] == [("nvd", " "), ("nvd", "v4"), ("redhat", "v3"), ("redhat", "v2")]
+    assert [r["title"] for r in rows[1:3]] == ["unparsed vulnerability"] * 2 and codes(rows[1]) == ["invalid_vulnerability", "absolute_path"]
+    assert json.loads(rows[3]["raw"]) == {"section": "secrets", "count": 1, "target": "/app/x"} and rows[3]["title"] == "unsupported trivy section: secrets" and rows[3]["location"] is None and "hunter2" not in str(rows[3])
     assert codes(rows[4]) == ["unknown_format"] and rows[4]["raw"] == "{}"
     assert rows[5]["title"] == "unnamed vulnerability" and codes(rows[5]) == ["trivy_schema_version"]
 
@@ -37,7 +37,7 @@ def test_sarif(spark):
     doc = {"version": "2.0.0", "runs": [{"tool": {"driver": {"semanticVersion": "9", "rules": [rule]}}, "results": results}]}
     rows = flatten.sarif(reports(spark, doc, {}, tool="semgrep")).orderBy("import_run_id", "ordinal").collect()
     assert rows[0]["tool_finding_id"] == "|/a/b.js|3|0" and rows[0]["rule_id"] == "r1" and rows[0]["severity_raw"] == "error" and rows[0]["scanner_score"] == 8.5 and rows[0]["title"] == "N"
-    assert codes(rows[0]) == ["sarif_version", "absolute_path"] and rows[0]["cwe_raw"] == ["CWE-79: y"] and rows[0]["tool_version"] == "9"
+    assert codes(rows[0]) == ["absolute_path", "sarif_version"] and rows[0]["cwe_raw"] == ["CWE-79: y"] and rows[0]["tool_version"] == "9"
     assert rows[1]["severity_raw"] == "note" and rows[1]["location"] is None
     assert rows[2]["title"] == "zz" and rows[2]["severity_raw"] == "warning"
     assert [r["title"] for r in rows[3:5]] == ["unparsed result"] * 2 and codes(rows[5]) == ["unknown_format"]
@@ -45,7 +45,7 @@ def test_sarif(spark):
 
 def test_generic_and_route(spark):
     rows = flatten.route(reports(spark, "{", '{"a": 1.10}', tool="own")).orderBy("import_run_id").collect()
-    assert [r["raw"] for r in rows][0] == '{"bytes":1}' and [codes(r) for r in rows] == [["unknown_tool"]] * 2 and rows[0]["adapter"] == "generic"
+    assert [r["raw"] for r in rows][0] == '{"bytes":1}' and [codes(r) for r in rows] == [["unknown_format", "unknown_tool"]] * 2 and rows[0]["adapter"] == "generic"
 
 
 def test_chain_twice_is_the_same(spark):

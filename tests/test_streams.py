@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from findloom.operators import candidates, flatten, intake, reports, runs
+from findloom.operators import candidates, flatten, intake, reports
 from findloom.operators.components import connected
 from findloom.sources.tables import Tables, read_events, read_reports
 from findloom.streaming import jobs
@@ -58,8 +58,8 @@ def test_dead_letters(spark, tmp_path):
 def test_half_reports_and_many_targets(spark):
     """A report cut anywhere is told as undecodable, and flattening it harms no other; ordinals stay apart beyond 2,147 targets and with sections."""
     cuts = [(str(n), TRIVY[:n]) for n in range(0, len(TRIVY) + 1, 7)] + [("whole", TRIVY)]
-    d = spark.createDataFrame(cuts, "import_run_id string, content string")
-    assert {r["import_run_id"] for r in runs.undecodable(d).collect()} == {n for n, x in cuts if x != TRIVY}
+    d = spark.createDataFrame(cuts, "import_run_id string, content string").withColumn("tool", F.lit("trivy"))
+    assert {r["import_run_id"] for r in flatten.undecodable(d).collect()} == {n for n, x in cuts if x != TRIVY}
     rows = flatten.trivy(d).collect()
     assert [r["title"] for r in rows if r["import_run_id"] == "whole"] == [f"CVE-2024-000{i}" for i in range(3)]
     target = lambda i: {"Target": f"t{i}", "Vulnerabilities": [{"VulnerabilityID": "CVE-1"}], "Secrets": [{}], "Misconfigurations": [{}]}
@@ -162,3 +162,16 @@ def test_pruned_reads(spark, tmp_path):
     assert files(read()) == before and t.read("fingerprints").count() == 160
     t.append("fingerprints", rows(["a"], 40))
     assert t.read("fingerprints").count() == 160
+
+
+def test_reports_that_fail_their_run(spark, tmp_path):
+    """Only a registered tool's report fails, for its syntax or a value of a wrong type; text of other tools is a finding."""
+    bodies = {"trivy": ['{"SchemaVersion":2,"Results":{"a":1}}', '{"SchemaVersion":2,"Results":[]}'], "semgrep": ['{"version":2}'], "homegrown": ["plain text", '{"half":']}
+    rows = [(10 * i + k, "t", tool, "p/c", f"scan-{tool}-{k}", b) for i, (tool, bs) in enumerate(bodies.items()) for k, b in enumerate(bs)]
+    t, tenants = _place(spark, tmp_path, rows)
+    jobs.normalize_batch(jobs.intake_batch(spark.read.schema(REQUEST).json(f"{tmp_path}/in"), t, tenants), t, F.current_timestamp())
+    got = {r["scan_id"]: (r["status"], r["finding_count"], r["reason"]) for r in t.read("runs").collect()}
+    wrong = ("failed", None, "report has a value of a wrong type")
+    assert got == {"scan-trivy-0": wrong, "scan-trivy-1": ("completed", 0, None), "scan-semgrep-0": wrong, "scan-homegrown-0": ("completed", 1, None), "scan-homegrown-1": ("completed", 1, None)}
+    found = {r["scan_id"]: (r["title"], r["raw"], [d["code"] for d in r["diagnostics"]][:2]) for r in t.read("findings").collect()}
+    assert found == {"scan-homegrown-0": ("unparsed report", '{"bytes":10}', ["unknown_format", "unknown_tool"]), "scan-homegrown-1": ("unparsed report", '{"bytes":8}', ["unknown_format", "unknown_tool"])}
