@@ -101,7 +101,7 @@ def _rounds(edges: DataFrame) -> DataFrame:
 def cluster(findings: DataFrame, edges: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(assignments, review) for new findings (finding_id, tenant_id, scope_key), scored edges (a, b, points, verdict, reasons) and members (finding_id, cluster_id).
 
-    Members of one existing cluster act as one node. assignments: finding_id, cluster_id, is_new, seed, points, reasons of the strongest merge edge whose ends
+    Members of one existing cluster act as one node. assignments: finding_id, cluster_id, is_new, seed, points, reasons and other end (partner) of the strongest merge edge whose ends
     finished together (ties by a, then b; none: 1000 and no reasons). review: review pairs and merges whose ends finished apart.
     Components of merge edges without a separate pair or two anchors, however large, are joins. Of the others those of up to WHOLE edges go to the greedy helper, one
     Arrow group each, and larger ones are merged in rounds of joins with the same result. Nothing depends on the order of rows.
@@ -161,6 +161,7 @@ def cluster(findings: DataFrame, edges: DataFrame, existing: DataFrame) -> tuple
     assignments = out.select(
         "finding_id", "tenant_id", "scope_key", F.coalesce("anchor", new_id).alias("cluster_id"), F.col("anchor").isNull().alias("is_new"), F.when(F.col("anchor").isNull(), F.col("seed")).alias("seed"),
         F.coalesce("s.points", F.lit(1000)).alias("points"), F.coalesce("s.reasons", F.array().cast("array<struct<feature:string,signal:string,points:int>>")).alias("reasons"),
+        F.when(F.col("s.a") == F.col("finding_id"), F.col("s.b")).otherwise(F.col("s.a")).alias("partner"),
     )
     review = ends.where("verdict in ('merge', 'review') and root_a <> root_b").select("a", "b", "points", "verdict")
     return assignments, review
@@ -174,6 +175,7 @@ def new_tables(assignments: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def stats(assignments: DataFrame, review: DataFrame) -> DataFrame:
-    """One row: clusters created, findings that joined existing ones, review pairs."""
+    """One row: clusters created, findings that joined existing ones, review pairs (the sum of `pairs` where rows stand for several)."""
+    n = F.coalesce(F.sum("pairs"), F.lit(0)) if "pairs" in review.columns else F.count("*")
     a = assignments.agg(F.count_distinct(F.when(F.col("is_new"), F.col("cluster_id"))).alias("created"), F.count_if(~F.col("is_new")).alias("joined"))
-    return a.withColumn("k", F.lit(1)).join(review.agg(F.count("*").alias("review")).withColumn("k", F.lit(1)), "k").drop("k")
+    return a.withColumn("k", F.lit(1)).join(review.agg(n.alias("review")).withColumn("k", F.lit(1)), "k").drop("k")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from findloom.config import standard_tools
 from findloom.functions import normal
 from findloom.functions.scores import score_vector
-from findloom.operators import candidates, cluster, dims, fingerprint, flatten, intake, normalize, reports, runs, scoring
+from findloom.operators import candidates, classes, cluster, dims, fingerprint, flatten, intake, normalize, reports, runs, scoring
 from findloom.operators.components import checkpointed
 from findloom.plans import views
 
@@ -282,10 +282,18 @@ def candidate_places(spark, sf_dir):
     return candidates.split_candidates(candidates.candidates(late, p), late, members).groupBy("place").agg(F.count("*").alias("n"))
 
 
-def _edges(spark, sf_dir):
+def _classes(spark, sf_dir):
+    """(findings, prints, membership, class table, scored pairs of classes)."""
     f = checkpointed(placed(spark, sf_dir))
-    pairs = candidates.pairs(p := checkpointed(fingerprint.fingerprints(f)))
-    return f, p, scoring.score_pairs(pairs, scoring.records(f))
+    p, r = checkpointed(fingerprint.fingerprints(f)), checkpointed(scoring.records(f))
+    membership, table = classes.classes(p, r)
+    return f, p, membership, table, classes.scored_classes(p, r, table)
+
+
+def _edges(spark, sf_dir):
+    """Findings, prints and all scored pairs of findings."""
+    f, p, membership, _, e = _classes(spark, sf_dir)
+    return f, p, classes.expand_pairs(e, membership)
 
 
 def pair_scores(spark, sf_dir):
@@ -294,8 +302,8 @@ def pair_scores(spark, sf_dir):
 
 
 def verdict_counts(spark, sf_dir):
-    _, _, e = _edges(spark, sf_dir)
-    return e.groupBy("verdict").agg(F.count("*").alias("pairs"), F.sum("points").alias("points"))
+    *_, e = _classes(spark, sf_dir)
+    return e.groupBy("verdict").agg(F.sum("pairs").alias("pairs"), F.sum(F.col("points") * F.col("pairs")).alias("points"))
 
 
 def verdicts_by_tool(spark, sf_dir):
@@ -304,7 +312,7 @@ def verdicts_by_tool(spark, sf_dir):
 
 
 def clusters_by_tool(spark, sf_dir):
-    f, a, r = _clusters(spark, sf_dir)
+    f, a, r = _reviewed(spark, sf_dir)
     return reports.clusters_by_tool(a, r, f)
 
 
@@ -317,12 +325,19 @@ def representative_pairs(spark, sf_dir):
 
 
 def _clusters(spark, sf_dir):
-    f, p, e = _edges(spark, sf_dir)
-    none = spark.createDataFrame([], "finding_id string, cluster_id string")
-    assigned, review = cluster.cluster(p.select("finding_id", "tenant_id", "scope_key").distinct(), e, none)
+    """(findings, assignments, review pairs of classes)."""
+    f, _, membership, table, e = _classes(spark, sf_dir)
+    assigned, review = classes.cluster_classes(membership, table, e)
     return f, checkpointed(assigned), review
 
 
+def _reviewed(spark, sf_dir):
+    """(findings, assignments, review pairs of findings)."""
+    f, _, membership, table, e = _classes(spark, sf_dir)
+    assigned, review = classes.cluster_classes(membership, table, e)
+    return f, checkpointed(assigned), classes.expand_pairs(review, membership)
+
+
 def clusters_sca(spark, sf_dir):
     """Trivy findings of one identity merge, so a cluster is an L1 value."""
     f, a, _ = _clusters(spark, sf_dir)
@@ -335,7 +350,7 @@ def clusters_constrained(spark, sf_dir):
 
 
 def review_queue(spark, sf_dir):
-    return _clusters(spark, sf_dir)[2]
+    return _reviewed(spark, sf_dir)[2]
 
 
 def cluster_stats(spark, sf_dir):
@@ -350,12 +365,13 @@ def confidence_histogram(spark, sf_dir):
 
 def joined_clusters(spark, sf_dir):
     """Late findings against the clusters of all others: how many joined and how many began new ones."""
-    f, p, e = _edges(spark, sf_dir)
-    early = cluster.cluster(p.where("substring(finding_id, 8, 1) <> '7'").select("finding_id", "tenant_id", "scope_key").distinct(), e.where("substring(a, 8, 1) <> '7' and substring(b, 8, 1) <> '7'"), spark.createDataFrame([], "finding_id string, cluster_id string"))[0]
-    members = checkpointed(early.select("finding_id", "cluster_id"))
-    late = _late(p).select("finding_id", "tenant_id", "scope_key").distinct()
-    own = e.where("substring(a, 8, 1) = '7' or substring(b, 8, 1) = '7'")
-    assigned, _ = cluster.cluster(late, own, members)
+    f = checkpointed(placed(spark, sf_dir))
+    p, r = checkpointed(fingerprint.fingerprints(f)), checkpointed(scoring.records(f))
+    early = p.where("substring(finding_id, 8, 1) <> '7'")
+    membership, table = classes.classes(early, r)
+    known, _ = classes.cluster_classes(membership, table, classes.scored_classes(early, r, table))
+    membership, table = classes.classes(p, r, checkpointed(known.select("finding_id", "cluster_id")))
+    assigned, _ = classes.cluster_classes(membership, table, classes.scored_classes(p, r, table))
     return assigned.select("finding_id", "is_new", "points")
 
 

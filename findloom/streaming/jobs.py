@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from findloom.config import ScoringConfig, ToolSpec, standard_tools
-from findloom.operators import candidates, cluster, dims, fingerprint, flatten, intake, normalize, runs, scoring
+from findloom.operators import candidates, classes, cluster, dims, fingerprint, flatten, intake, normalize, runs, scoring
 from findloom.operators.components import checkpointed
 from findloom.sources.tables import UNDECODABLE, Tables, read_parts, within, write_raw
 
@@ -65,11 +65,11 @@ def published(ready: DataFrame, tables: Tables, clock) -> None:
     tables.log("runs", runs.published(own, ready, clock))
 
 
-def cluster_batch(events: DataFrame, tables: Tables, tools: dict[str, ToolSpec] | None = None, config: ScoringConfig | None = None, joint: bool = False) -> None:
+def cluster_batch(events: DataFrame, tables: Tables, tools: dict[str, ToolSpec] | None = None, config: ScoringConfig | None = None, joint: bool = False, scorer=None, clusterer=None) -> None:
     """Completed runs to fingerprints and clusters; bad events go to dead_letters.
 
     Runs of one scope are replayed one after another (wave w takes the w-th run of each scope), as their order decides what joins what; joint=True takes all at
-    once, for backfills, and may merge groups that a replay keeps apart.
+    once, for backfills, and may merge groups that a replay keeps apart. Copies are classes with counts, never pairs. scorer and clusterer replace score_pairs and cluster().
     """
     tools = tools or standard_tools()
     all_runs = tables.read("runs", RUNS, events)
@@ -80,21 +80,26 @@ def cluster_batch(events: DataFrame, tables: Tables, tools: dict[str, ToolSpec]
     wave = F.lit(1) if joint else F.row_number().over(W.partitionBy("tenant_id", "scope_key").orderBy("finished_at", "import_run_id"))
     own = checkpointed(own.withColumn("wave", wave))
     for k in range(1, (own.agg(F.max("wave")).first()[0] or 0) + 1):
-        _wave(own.where(F.col("wave") == k), tables, tools, config)
+        _wave(own.where(F.col("wave") == k), tables, tools, config, scorer, clusterer)
 
 
-def _wave(batch: DataFrame, tables: Tables, tools: dict[str, ToolSpec], config: ScoringConfig | None) -> None:
+def _wave(batch: DataFrame, tables: Tables, tools: dict[str, ToolSpec], config: ScoringConfig | None, scorer=None, clusterer=None) -> None:
     findings = tables.read("findings", of=batch)
     now = fingerprint.with_place(findings.join(batch.select("import_run_id", "run_tool"), "import_run_id"))
     prints = checkpointed(fingerprint.fingerprints(now, tools))
     tables.append("fingerprints", prints)
     index, members = tables.read("fingerprints", of=batch), tables.read("members", MEMBERS, batch)
-    pairs = candidates.split_candidates(candidates.candidates(prints, index), prints, members)
-    scored = candidates.unordered(pairs.where("place <> 'unclustered'"))
-    ids = scored.select(F.explode(F.array("a", "b")).alias("finding_id")).distinct()
-    recs = scoring.records(fingerprint.with_place(findings.join(ids, "finding_id", "left_semi")))
-    edges = scoring.score_pairs(scored, recs, config)
-    assigned, _ = cluster.cluster(prints.select("finding_id", "tenant_id", "scope_key").distinct(), edges, members.select("finding_id", "cluster_id"))
+    # of earlier findings only those that share a fingerprint with the batch, in its own scopes, and only such fingerprints
+    now_keys = prints.select(*candidates.KEY).distinct()
+    own = prints.select("finding_id")
+    shared = checkpointed(index.join(now_keys, candidates.KEY, "left_semi").join(own, "finding_id", "left_anti").select("finding_id", *candidates.KEY))
+    ids = shared.select("finding_id").distinct()
+    clustered = members.select("finding_id", "cluster_id").join(ids.union(own), "finding_id", "left_semi")
+    recs = scoring.records(fingerprint.with_place(findings.join(clustered.select("finding_id").union(own).distinct(), "finding_id", "left_semi")))
+    recs, all_prints = checkpointed(recs), checkpointed(shared.unionByName(prints.select("finding_id", *candidates.KEY)))
+    membership, table = classes.classes(all_prints, recs, clustered, ids.join(clustered, "finding_id", "left_anti"))
+    edges = classes.scored_classes(all_prints, recs, table, config, scorer)
+    assigned, review = classes.cluster_classes(membership, table, edges, clusterer)
     assigned = checkpointed(assigned)
     clusters, rows = cluster.new_tables(assigned)
     tables.append("clusters", clusters)

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from findloom.config import ScoringConfig
-from findloom.operators import candidates, cluster, scoring
+from findloom.operators import candidates, classes, cluster, scoring
 
 EDGE = "a string, b string, points int, verdict string, reasons array<struct<feature:string,signal:string,points:int>>"
 
@@ -89,3 +89,57 @@ def test_candidate_counts_need_no_pairs(spark):
     pairs = candidates.candidates(p, p).groupBy("finding_id").count().collect()
     counts = {x["finding_id"]: x["n_candidates"] for x in candidates.candidate_counts(p, p).collect()}
     assert {k: v for k, v in counts.items() if v} == {x["finding_id"]: x["count"] for x in pairs}
+
+
+RECORD = "finding_id string, kind string, severity string, rule string, vuln string, component string, cwe array<string>, path string, code string, line int, tool_uid string"
+PRINT = "finding_id string, tenant_id string, scope_key string, level string, value string"
+
+
+def _random_findings(seed, n, scopes, few):
+    """Findings whose records repeat, with the keys that their fields give; some have no id of their own, so that copies don't merge."""
+    r = random.Random(seed)
+    recs, prints, members = [], [], []
+    for k in range(n):
+        f, scope, kind = f"{r.randrange(10**6):06d}-{k}", f"s{r.randrange(scopes)}", r.choice(["sca", "sast", "unknown"])
+        vuln, path, code = r.choice(["", "cve:1", "cve:2"][:few]), r.choice(["", "p", "q"][:few]), r.choice(["", "x", "y"][:few])
+        rule, uid, line = r.choice(["", "r"]), r.choice(["", "", "t|1", "t|2"]), r.choice([0, 1, 2])
+        recs.append((f, kind, r.choice(["high", "unknown"]), rule, vuln, r.choice(["", "pkg"]), r.choice([[], ["CWE-1"]]), path, code, line, uid))
+        prints += [(f, "t", scope, level, v) for level, v, there in (("l0", uid, uid), ("l1", f"{kind}{vuln}{path}", vuln), ("l2", f"{rule}{path}{code}", rule and path and code)) if there]
+        if r.random() < 0.25:
+            members.append((f, f"K{scope}{r.randrange(3)}"))
+    return recs, prints, members
+
+
+@pytest.mark.parametrize("hubs", [10_000, 3])
+def test_classes_give_what_pairs_give(spark, hubs, monkeypatch):
+    monkeypatch.setattr(classes, "HUBS", hubs)
+    recs, prints, members = _random_findings(7, 260, 6, 2 if hubs == 3 else 3)
+    known = {f for f, *_ in prints}
+    recs, p = spark.createDataFrame(recs, RECORD), spark.createDataFrame(prints, PRINT)
+    old = spark.createDataFrame([m for m in members if m[0] in known], "finding_id string, cluster_id string")
+    every = candidates.pairs(p)
+    fresh = old.select("finding_id")
+    new = every.join(fresh.withColumnRenamed("finding_id", "a"), "a", "left_anti").unionByName(every.join(fresh.withColumnRenamed("finding_id", "b"), "b", "left_anti")).distinct()
+    edges = scoring.score_pairs(new.select("a", "b"), recs)
+    subjects = p.select("finding_id", "tenant_id", "scope_key").distinct().join(fresh, "finding_id", "left_anti")
+    want, queue = cluster.cluster(subjects, edges, old)
+    membership, table = classes.classes(p, recs, old)
+    scored = classes.scored_classes(p, recs, table)
+    got, review = classes.cluster_classes(membership, table, scored)
+    rows = lambda d: {r["finding_id"]: (r["cluster_id"], r["is_new"], r["seed"], r["points"], str(r["reasons"]), r["partner"]) for r in d.collect()}
+    assert rows(got) == rows(want) and len({v[0] for v in rows(got).values()}) < len(rows(got))
+    pairs = lambda d: sorted((r["a"], r["b"], r["points"], r["verdict"]) for r in d.collect())
+    assert pairs(classes.expand_pairs(review, membership)) == pairs(queue) and pairs(classes.expand_pairs(scored, membership)) == pairs(edges)
+    assert cluster.stats(got, review).first() == cluster.stats(want, queue).first()
+    assert table.count() < membership.count()
+
+
+def test_a_block_of_100_000_copies(spark):
+    """Two records in one block: three pairs of classes, whatever their copies."""
+    f = spark.range(100_000).selectExpr("lpad(cast(id as string), 6, '0') finding_id", "'sca' kind", "'high' severity", "'' rule", "'cve:1' vuln", "case when id % 2 = 0 then 'pkg' else '' end component", "array('CWE-1') cwe", "'p' path", "'' code", "0 line", "'t|1' tool_uid")
+    p = f.selectExpr("finding_id", "'t' tenant_id", "'s' scope_key", "'l0' level", "'v' value")
+    membership, table = classes.classes(p, f)
+    edges = classes.scored_classes(p, f, table)
+    assert {(r["a"], r["b"], r["pairs"]) for r in edges.collect()} == {("000000", "000001", 50_000**2), ("000000", "000000", 50_000 * 49_999 // 2), ("000001", "000001", 50_000 * 49_999 // 2)}
+    assigned, review = classes.cluster_classes(membership, table, edges)
+    assert tuple(assigned.selectExpr("count(*)", "count(distinct cluster_id)", "min(seed)").first()) == (100_000, 1, "000000") and review.isEmpty()
