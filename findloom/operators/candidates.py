@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from findloom.operators.components import written
+
+#: A finding's keys at most; a subset of keys that more findings than HOT_SUBSET share is broadcast where there are up to MOST_HUBS of these.
+MOST_KEYS, HOT_SUBSET, MOST_HUBS = 10, 10_000, 100_000
 KEY = ["tenant_id", "scope_key", "level", "value"]
 
 
@@ -32,17 +36,26 @@ def pairs(prints: DataFrame) -> DataFrame:
 
 
 def candidate_counts(subjects: DataFrame, index: DataFrame) -> DataFrame:
-    """(finding_id, n_candidates) with zeros, without pairs: by inclusion and exclusion over the two levels a finding may have."""
-    i = block_keys(index)
-    both = lambda d: d.groupBy("finding_id", "tenant_id", "scope_key").agg(F.max(F.when(F.col("level") == "l0", F.col("value"))).alias("v0"), F.max(F.when(F.col("level") != "l0", F.concat_ws("=", "level", "value"))).alias("v1"))
-    s, w = both(block_keys(subjects)), both(i)
-    out = s
-    for name, cols in (("n0", ["v0"]), ("n1", ["v1"]), ("n01", ["v0", "v1"])):
-        key = ["tenant_id", "scope_key", *cols]
-        out = out.join(w.na.drop(subset=cols).groupBy(*key).agg(F.count("*").alias(name)), key, "left")
-    n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    own = out.join(i.select("finding_id").distinct().withColumn("indexed", F.lit(1)), "finding_id", "left")
-    return own.select("finding_id", (n("n0") + n("n1") - n("n01") - n("indexed")).alias("n_candidates"))
+    """(finding_id, n_candidates) with zeros, without pairs, whatever levels there are: by inclusion and exclusion over the subsets of a finding's keys.
+
+    A finding with k keys gives 2^k - 1 rows, so this is for few levels (up to MOST_KEYS, else an error). Subsets that very many findings share are broadcast with their
+    counts and don't move.
+    """
+    def subsets(prints: DataFrame) -> DataFrame:
+        keys = block_keys(prints).groupBy("finding_id", "tenant_id", "scope_key").agg(F.sort_array(F.collect_set(F.struct("level", "value"))).alias("keys"))
+        size = F.when(F.size("keys") <= MOST_KEYS, F.size("keys")).otherwise(F.raise_error(F.lit(f"a finding has more than {MOST_KEYS} fingerprints")).cast("int"))
+        masks = keys.withColumn("size", size).selectExpr("finding_id", "tenant_id", "scope_key", "keys", "explode(sequence(1, shiftleft(1, size) - 1)) mask")
+        rows, part = masks, F.expr("filter(keys, (x, i) -> (shiftright(mask, i) & 1) = 1)")
+        name = F.sha2(F.to_json(F.struct("tenant_id", "scope_key", part.alias("part"))), 256)
+        return rows.select("finding_id", name.alias("subset"), F.when(F.bit_count("mask") % 2 == 1, 1).otherwise(-1).alias("sign"))
+
+    groups = written(subsets(index).groupBy("subset").agg(F.count("*").alias("n")))
+    hubs = groups.where(F.col("n") > F.lit(HOT_SUBSET))
+    mine = subsets(subjects)
+    hot = mine.join(F.broadcast(hubs), "subset") if hubs.limit(MOST_HUBS + 1).count() <= MOST_HUBS else mine.join(hubs, "subset")
+    found = hot.unionByName(mine.join(groups.where(F.col("n") <= F.lit(HOT_SUBSET)), "subset")).groupBy("finding_id").agg(F.sum(F.col("sign") * F.col("n")).alias("all"))
+    own = block_keys(subjects).select("finding_id").distinct().join(index.select("finding_id").distinct().withColumn("indexed", F.lit(1)), "finding_id", "left").join(found, "finding_id", "left")
+    return own.select("finding_id", (F.coalesce("all", F.lit(0)) - F.coalesce("indexed", F.lit(0))).cast("long").alias("n_candidates"))
 
 
 def split_candidates(pairs: DataFrame, run: DataFrame, members: DataFrame) -> DataFrame:

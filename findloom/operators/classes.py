@@ -64,10 +64,10 @@ def class_pairs(prints: DataFrame, table: DataFrame) -> DataFrame:
     return both.unionByName(table.where("n > 1 and place = 'run'").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"), "place", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs")))
 
 
-def scored_classes(prints: DataFrame, recs: DataFrame, table: DataFrame, config: ScoringConfig | None = None, scorer=None) -> DataFrame:
-    """class_pairs that are scored, with points, verdict and reasons. scorer(pairs, records, config) is score_pairs unless given; it may look at nothing but the
+def scored_classes(prints: DataFrame, recs: DataFrame, table: DataFrame, config: ScoringConfig | None = None, scorer=None, pairs: DataFrame | None = None) -> DataFrame:
+    """class_pairs (given or not) that are scored, with points, verdict and reasons. scorer(pairs, records, config) is score_pairs unless given; it may look at nothing but the
     records, and a record's score with itself has to be its highest."""
-    pairs = written(class_pairs(prints, table).where("place <> 'unclustered'"))
+    pairs = written((class_pairs(prints, table) if pairs is None else pairs).where("place <> 'unclustered'"))
     ends = recs.join(table.select(F.col("class_id").alias("finding_id")), "finding_id", "left_semi")
     edges = (scorer or scoring.score_pairs)(pairs.select("a", "b"), ends, config)
     return checkpointed(edges.join(pairs.select("a", "b", "pairs"), ["a", "b"]))

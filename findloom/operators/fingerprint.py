@@ -40,23 +40,24 @@ def _value(s: Strategy) -> Column:
 
 def fingerprints(placed: DataFrame, tools: dict[str, ToolSpec] | None = None, tool: str = "run_tool") -> DataFrame:
     """A row for each finding and level that has a value; the tool of the run names the levels. placed comes from with_place."""
-    return _levels(placed, tools, tool).where("value is not null").select("tenant_id", "scope_key", "finding_id", "import_run_id", "level", "strategy", "version", "value")
+    return levels(placed, tools, tool).where("value is not null").select("tenant_id", "scope_key", "finding_id", "import_run_id", "level", "strategy", "version", "value")
 
 
-def _levels(placed: DataFrame, tools: dict[str, ToolSpec] | None, tool: str) -> DataFrame:
+def levels(placed: DataFrame, tools: dict[str, ToolSpec] | None = None, tool: str = "run_tool") -> DataFrame:
+    """A row for each finding and level of its run's tool, with a null value where a required field is missing."""
     tools = tools or standard_tools()
     of = lambda t: F.array(*[F.struct(F.lit(s.level).alias("level"), F.lit(s.name).alias("strategy"), F.lit(s.version).alias("version"), _value(s).alias("value")) for s in t.strategies])
-    levels = of(tools[FALLBACK])
+    own = of(tools[FALLBACK])
     for name, t in tools.items():
         if name != FALLBACK:
-            levels = F.when(F.col(tool) == name, of(t)).otherwise(levels)
-    return placed.select("tenant_id", "scope_key", "finding_id", "import_run_id", F.col(tool).alias("run_tool"), F.inline(levels))
+            own = F.when(F.col(tool) == name, of(t)).otherwise(own)
+    return placed.select("tenant_id", "scope_key", "finding_id", "import_run_id", F.col(tool).alias("run_tool"), F.inline(own))
 
 
 def skipped_levels(placed: DataFrame, tools: dict[str, ToolSpec] | None = None, tool: str = "run_tool") -> DataFrame:
     """By run and tool: findings, skipped values by level, and findings without any fingerprint."""
     return (
-        _levels(placed, tools, tool).groupBy("import_run_id", "run_tool", "finding_id")
+        levels(placed, tools, tool).groupBy("import_run_id", "run_tool", "finding_id")
         .agg(*[F.max(F.when((F.col("level") == x) & F.col("value").isNull(), 1).otherwise(0)).alias(f"skipped_{x}") for x in ("l0", "l1", "l2")], F.count("value").alias("values"))
         .groupBy("import_run_id", "run_tool")
         .agg(F.count("*").alias("findings"), *[F.sum(f"skipped_{x}").alias(f"skipped_{x}") for x in ("l0", "l1", "l2")], F.count_if(F.col("values") == 0).alias("unfingerprinted"))
@@ -64,8 +65,8 @@ def skipped_levels(placed: DataFrame, tools: dict[str, ToolSpec] | None = None,
 
 
 def diagnostics(placed: DataFrame, tools: dict[str, ToolSpec] | None = None, tool: str = "run_tool") -> DataFrame:
-    """(finding_id, level, code): info fingerprint_level_skipped for each level without a value, warn no_fingerprint for findings without any."""
-    rows = _levels(placed, tools, tool)
-    skipped = rows.where("value is null").select("finding_id", F.lit("info").alias("level"), F.lit("fingerprint_level_skipped").alias("code"))
-    none = rows.groupBy("finding_id").agg(F.count("value").alias("n")).where("n = 0").select("finding_id", F.lit("warn").alias("level"), F.lit("no_fingerprint").alias("code"))
-    return skipped.unionByName(none)
+    """(tenant_id, scope_key, finding_id, level, code), each once: info fingerprint_level_skipped for each level without a value, warn no_fingerprint for findings without any."""
+    rows = levels(placed, tools, tool)
+    skipped = rows.where("value is null").select("tenant_id", "scope_key", "finding_id", F.lit("info").alias("level"), F.lit("fingerprint_level_skipped").alias("code"))
+    none = rows.groupBy("tenant_id", "scope_key", "finding_id").agg(F.count("value").alias("n")).where("n = 0").select("tenant_id", "scope_key", "finding_id", F.lit("warn").alias("level"), F.lit("no_fingerprint").alias("code"))
+    return skipped.distinct().unionByName(none)

@@ -15,7 +15,7 @@ RAW_KEY = ["tenant_id", "scan_id", "sha256"]
 KEYS = {
     "findings": ["tenant_id", "finding_id"], "components": ["tenant_id", "component_id"], "ratings": ["tenant_id", "finding_id", "source", "scheme", "version", "vector"],
     "cwes": ["tenant_id", "finding_id", "cwe"], "fingerprints": ["tenant_id", "finding_id", "level"], "clusters": ["tenant_id", "cluster_id"], "members": ["tenant_id", "finding_id"],
-    "processing_runs": ["tenant_id", "import_run_id"], "dead_letters": [], "run_counters": ["tenant_id", "import_run_id"],
+    "processing_runs": ["tenant_id", "import_run_id"], "dead_letters": [], "run_counters": ["tenant_id", "import_run_id", "counter", "label"], "finding_diagnostics": ["tenant_id", "finding_id", "code", "level"],
 }
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from findloom.config import ScoringConfig, ToolSpec, standard_tools
-from findloom.operators import candidates, classes, cluster, dims, fingerprint, flatten, intake, normalize, runs, scoring
+from findloom.operators import candidates, classes, cluster, counters, dims, fingerprint, flatten, intake, normalize, runs, scoring
 from findloom.operators.components import checkpointed
 from findloom.sources.tables import UNDECODABLE, Tables, read_parts, within, write_raw
 
@@ -43,7 +43,7 @@ def normalize_batch(events: DataFrame, tables: Tables, clock, tools: dict[str, T
     started = checkpointed(runs.start(reports.select("tenant_id", "scope_key", "tool", "sha256", "scan_id", "product_id", "context_id", "content"), tables.read("runs", RUNS, wanted)))
     bad = checkpointed(flatten.undecodable(started, tools))
     good = started.join(bad, "import_run_id", "left_anti")
-    found = flatten.stamped(flatten.route(good.select("tenant_id", "scope_key", "product_id", "context_id", "tool", "scan_id", "import_run_id", "content"), tools), clock, tools)
+    found = flatten.stamped(flatten.route(by_size(good.select("tenant_id", "scope_key", "product_id", "context_id", "tool", "scan_id", "import_run_id", "content")), tools), clock, tools).repartition("finding_id")  # a large report's findings leave its task
     found = checkpointed(normalize.normalize(found, tools, macro_scores).withColumn("component_id", dims.component_id()))
     tables.append("components", dims.new_components(found))
     tables.append("findings", found)
@@ -59,17 +59,27 @@ def normalize_batch(events: DataFrame, tables: Tables, clock, tools: dict[str, T
     return checkpointed(runs.to_publish(tables.read("runs", RUNS, wanted)))
 
 
+def by_size(reports: DataFrame, content: str = "content", target: int = 32 << 20) -> DataFrame:
+    """reports dealt to tasks of about `target` bytes: one that is larger than a quarter of that has a task of its own, others share by hash."""
+    size = F.coalesce(F.octet_length(content), F.lit(0))
+    total, large = reports.agg(F.coalesce(F.sum(size), F.lit(0)), F.count_if(4 * size > target)).first()
+    bins = max(1, -(-total // target))
+    place = F.when(4 * size > target, F.concat(F.lit("large"), F.col("import_run_id"))).otherwise(F.pmod(F.xxhash64("import_run_id"), F.lit(bins)).cast("string"))
+    return reports.withColumn("__place", place).repartition(int(bins + 2 * large), "__place").drop("__place")
+
+
 def published(ready: DataFrame, tables: Tables, clock) -> None:
     """Marks runs whose event is out. A crash before this sends an event again, never none: readers take each run once."""
     own = tables.read("runs", RUNS, ready.withColumn("scope_key", fingerprint.scope_key())).join(ready.select("import_run_id"), "import_run_id", "left_semi")
     tables.log("runs", runs.published(own, ready, clock))
 
 
-def cluster_batch(events: DataFrame, tables: Tables, tools: dict[str, ToolSpec] | None = None, config: ScoringConfig | None = None, joint: bool = False, scorer=None, clusterer=None) -> None:
-    """Completed runs to fingerprints and clusters; bad events go to dead_letters.
+def cluster_batch(events: DataFrame, tables: Tables, tools: dict[str, ToolSpec] | None = None, config: ScoringConfig | None = None, joint: bool = False, scorer=None, clusterer=None) -> int:
+    """Completed runs to fingerprints and clusters, with counters and diagnostics; bad events go to dead_letters. Returns how many waves it took.
 
-    Runs of one scope are replayed one after another (wave w takes the w-th run of each scope), as their order decides what joins what; joint=True takes all at
-    once, for backfills, and may merge groups that a replay keeps apart. Copies are classes with counts, never pairs. scorer and clusterer replace score_pairs and cluster().
+    Runs of one scope are replayed in the order in which they finished, as that decides what joins what. Only runs that share a fingerprint can meet in a score, so a wave takes every run
+    whose earlier runs with a common fingerprint are done: the rest of a backfill goes at once, with the result of one run after another. joint=True takes all runs at
+    once and may merge groups that a replay keeps apart. Copies are classes with counts, never pairs. scorer and clusterer replace score_pairs and cluster().
     """
     tools = tools or standard_tools()
     all_runs = tables.read("runs", RUNS, events)
@@ -77,17 +87,34 @@ def cluster_batch(events: DataFrame, tables: Tables, tools: dict[str, ToolSpec]
     tables.append("dead_letters", dead)
     todo = runs.unprocessed(valid, tables.read("processing_runs", "tenant_id string, import_run_id string", events)).select("tenant_id", "import_run_id")
     own = all_runs.join(todo, ["tenant_id", "import_run_id"], "left_semi").select("tenant_id", "import_run_id", "scope_key", F.col("tool").alias("run_tool"), "finished_at")
-    wave = F.lit(1) if joint else F.row_number().over(W.partitionBy("tenant_id", "scope_key").orderBy("finished_at", "import_run_id"))
-    own = checkpointed(own.withColumn("wave", wave))
-    for k in range(1, (own.agg(F.max("wave")).first()[0] or 0) + 1):
-        _wave(own.where(F.col("wave") == k), tables, tools, config, scorer, clusterer)
-
-
-def _wave(batch: DataFrame, tables: Tables, tools: dict[str, ToolSpec], config: ScoringConfig | None, scorer=None, clusterer=None) -> None:
-    findings = tables.read("findings", of=batch)
-    now = fingerprint.with_place(findings.join(batch.select("import_run_id", "run_tool"), "import_run_id"))
+    own = checkpointed(own)
+    if own.isEmpty():
+        return 0
+    findings = tables.read("findings", of=own).drop("description", "raw")
+    now = checkpointed(fingerprint.with_place(findings.join(own.select("import_run_id", "run_tool"), "import_run_id")))
     prints = checkpointed(fingerprint.fingerprints(now, tools))
+    after = checkpointed(run_order(own, prints.limit(0) if joint else prints))
+    waves = 0
+    while not own.isEmpty():
+        waiting = after.join(own.select(F.col("import_run_id").alias("earlier")), "earlier", "left_semi").select("import_run_id").distinct()
+        ready = checkpointed(own.join(waiting, "import_run_id", "left_anti"))
+        mine = ready.select("import_run_id")
+        _wave(ready, now.join(mine, "import_run_id", "left_semi"), prints.join(mine, "import_run_id", "left_semi"), tables, tools, config, scorer, clusterer)
+        own, waves = checkpointed(own.join(mine, "import_run_id", "left_anti")), waves + 1
+    return waves
+
+
+def run_order(batch: DataFrame, prints: DataFrame) -> DataFrame:
+    """(earlier, import_run_id): runs of a scope that have to be clustered one after the other, as they share a fingerprint; of each fingerprint's runs only neighbours in the order."""
+    order = F.struct("finished_at", "import_run_id")
+    runs_of = prints.select(*candidates.KEY, "import_run_id").distinct().join(batch.select("import_run_id", "finished_at"), "import_run_id")
+    earlier = F.lag("import_run_id").over(W.partitionBy(*candidates.KEY).orderBy(order))
+    return runs_of.select(earlier.alias("earlier"), "import_run_id").where("earlier is not null").distinct()
+
+
+def _wave(batch: DataFrame, now: DataFrame, prints: DataFrame, tables: Tables, tools: dict[str, ToolSpec], config: ScoringConfig | None, scorer, clusterer) -> None:
     tables.append("fingerprints", prints)
+    findings = tables.read("findings", of=batch)
     index, members = tables.read("fingerprints", of=batch), tables.read("members", MEMBERS, batch)
     # of earlier findings only those that share a fingerprint with the batch, in its own scopes, and only such fingerprints
     now_keys = prints.select(*candidates.KEY).distinct()
@@ -98,12 +125,16 @@ def _wave(batch: DataFrame, tables: Tables, tools: dict[str, ToolSpec], config:
     recs = scoring.records(fingerprint.with_place(findings.join(clustered.select("finding_id").union(own).distinct(), "finding_id", "left_semi")))
     recs, all_prints = checkpointed(recs), checkpointed(shared.unionByName(prints.select("finding_id", *candidates.KEY)))
     membership, table = classes.classes(all_prints, recs, clustered, ids.join(clustered, "finding_id", "left_anti"))
-    edges = classes.scored_classes(all_prints, recs, table, config, scorer)
+    pairs = checkpointed(classes.class_pairs(all_prints, table))
+    edges = classes.scored_classes(all_prints, recs, table, config, scorer, pairs)
     assigned, review = classes.cluster_classes(membership, table, edges, clusterer)
     assigned = checkpointed(assigned)
     clusters, rows = cluster.new_tables(assigned)
     tables.append("clusters", clusters)
     tables.append("members", rows.join(assigned.select("finding_id", "scope_key"), "finding_id"))
+    counts = candidates.candidate_counts(prints, all_prints)
+    tables.append("run_counters", counters.run_counters(now, pairs, edges, assigned, review, counts, tools))
+    tables.append("finding_diagnostics", fingerprint.diagnostics(now, tools))
     tables.append("processing_runs", batch.select("tenant_id", "import_run_id"))
 
 

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from findloom.operators import candidates, flatten, intake, reports
+from findloom.operators import candidates, counters, flatten, intake, reports
 from findloom.operators.components import connected
 from findloom.sources.tables import Tables, read_events, read_reports
 from findloom.streaming import jobs
@@ -175,3 +175,52 @@ def test_reports_that_fail_their_run(spark, tmp_path):
     assert got == {"scan-trivy-0": wrong, "scan-trivy-1": ("completed", 0, None), "scan-semgrep-0": wrong, "scan-homegrown-0": ("completed", 1, None), "scan-homegrown-1": ("completed", 1, None)}
     found = {r["scan_id"]: (r["title"], r["raw"], [d["code"] for d in r["diagnostics"]][:2]) for r in t.read("findings").collect()}
     assert found == {"scan-homegrown-0": ("unparsed report", '{"bytes":10}', ["unknown_format", "unknown_tool"]), "scan-homegrown-1": ("unparsed report", '{"bytes":8}', ["unknown_format", "unknown_tool"])}
+
+
+def _vulnerable(names):
+    return json.dumps({"SchemaVersion": 2, "Results": [{"Target": "package-lock.json", "Vulnerabilities": [{"VulnerabilityID": f"CVE-2024-{n}", "PkgName": "lib", "InstalledVersion": "1", "Severity": "HIGH", "PkgIdentifier": {"PURL": "pkg:npm/lib@1"}} for n in names]}]})
+
+
+def test_waves_and_counters(spark, tmp_path):
+    """Runs that share no finding go in one wave; clusters are those of one run after another. The counters are what the queries give."""
+    runs_ = [["0001", "0001"], ["0003"], ["0001", "0003"]]
+    t, tenants = _place(spark, tmp_path, [(k, "t", "trivy", "p/c", f"scan-{k}", _vulnerable(x)) for k, x in enumerate(runs_)] + [(9, "t", "homegrown", "p/c", "scan-9", "plain text")])
+    ready = jobs.normalize_batch(jobs.intake_batch(spark.read.schema(REQUEST).json(f"{tmp_path}/in"), t, tenants), t, F.current_timestamp())
+    scans = {r["scan_id"]: r["import_run_id"] for r in ready.collect()}
+    t.log("runs", t.read("runs").withColumn("finished_at", F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, cast(substring(scan_id, 6, 1) as int), 0)")))
+    other = Tables(spark, f"{tmp_path}/replay")
+    for name in ("runs", "findings"):
+        (other.log if name == "runs" else other.append)(name, t.read(name))
+    events = spark.createDataFrame([("t", r) for r in scans.values()], "tenant_id string, import_run_id string")
+    assert jobs.cluster_batch(events, t) == 2 and jobs.cluster_batch(events, t) == 0
+    for k in (0, 1, 2):
+        assert jobs.cluster_batch(events.where(F.col("import_run_id") == scans[f"scan-{k}"]), other) == 1
+    rows = lambda x: sorted((r["finding_id"], r["cluster_id"], str(r["confidence"]), r["reasons"]) for r in x.read("members").collect())
+    assert rows(t) == rows(other) and len(rows(t)) == 5 and t.read("clusters").count() == other.read("clusters").count() == 2
+    totals = lambda x: {(r["counter"], r["label"]): r["n"] for r in counters.counters_by_tool(x.read("run_counters")).groupBy("counter", "label").agg(F.sum("n").alias("n")).collect()}
+    n = totals(t)
+    old = totals(other)
+    assert {k: n[k] - (k in (("findings", ""), ("skipped", "l0"), ("unfingerprinted", ""))) for k in n if k[0] != "unfingerprinted"} == old and n["findings", ""] == 6 and n["unfingerprinted", ""] == 1 and n["skipped", "l0"] == 1 and n["created", ""] == 2
+    members = t.read("members")
+    for r in reports.histogram(members.select(F.col("confidence").cast("double").alias("c")), "c", reports.CONFIDENCE_BOUNDS).collect():
+        assert n.get(("confidence_le", r["le"]), 0) == r["n"]
+    assert n["confidence_le", "+Inf"] == n["candidates_le", "+Inf"] == members.count() == n["joined", ""] + 3
+    assert {(r["level"], r["code"]) for r in t.read("finding_diagnostics").collect()} == {("info", "fingerprint_level_skipped"), ("warn", "no_fingerprint")}
+    p = t.read("fingerprints")
+    mine = p.where(F.col("import_run_id") == scans["scan-2"])
+    assert sorted(r["n_candidates"] for r in candidates.candidate_counts(mine, p).collect()) == [1, 2]
+
+
+def test_large_reports_leave_their_task(spark, tmp_path):
+    """One report of 20,000 findings among small ones: parsed in a task of its own, its findings dealt to all."""
+    large, small = _vulnerable([f"{i:04d}" for i in range(20_000)]), _vulnerable(["0001"])
+    d = spark.createDataFrame([("big", "trivy", large)] + [(f"r{i}", "trivy", small) for i in range(40)], "import_run_id string, tool string, content string")
+    dealt = jobs.by_size(d, target=len(large))
+    where = {r["import_run_id"]: r["p"] for r in dealt.select("import_run_id", F.spark_partition_id().alias("p")).collect()}
+    assert len(where) == 41 and sum(p == where["big"] for p in where.values()) <= 20
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
+    flatten.stamped(flatten.route(dealt), F.current_timestamp()).repartition("finding_id").withColumn("p", F.spark_partition_id()).write.parquet(f"{tmp_path}/found")
+    sizes = sorted(r["count"] for r in spark.read.parquet(f"{tmp_path}/found").groupBy("p").count().collect())
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert sum(sizes) == 20_040 and len(sizes) > 1 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
