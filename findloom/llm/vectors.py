@@ -20,11 +20,11 @@ SHARD, OVERLAP = 512, 3
 CANDIDATES, OTHERS, DEGREE, ALPHA = 32, 4, 12, 1.2
 #: Searches go on from the best BEAM vectors and from all within range less SLACK; so many queries at once, so many steps of each.
 BEAM, SLACK, QUERIES, STEPS = 16, 0.02, 256, 4
-#: The recall audit wants so many nodes with true links; those with more than HOT of them are judged apart, as are copies. Below LEAST_RECALL shards overlap twice
-#: as much. Bytes of an audit's queries.
-AUDIT, HOT, LEAST_RECALL, AUDIT_BYTES = 200, 16, 0.98, 32 << 20
-#: Blocks of the exact comparison.
-EXACT = 2048
+#: The recall audit compares ANY nodes taken by hash, and LINKED of those with links, with all nodes; those with more than HOT true links are judged apart, as are copies. Below LEAST_RECALL
+#: shards overlap twice as much, at most WIDER times. Bytes of an audit's queries.
+ANY, LINKED, HOT, LEAST_RECALL, WIDER, AUDIT_BYTES = 1024, 256, 16, 0.98, 2, 16 << 20
+#: Blocks of the exact comparison, and levels of cells. A cell that keeps more than STUCK of its parent's vectors isn't split again.
+EXACT, LEVELS, STUCK = 2048, 12, 0.9
 
 
 def close(x: np.ndarray, rows: np.ndarray, least: float) -> np.ndarray:
@@ -206,7 +206,8 @@ def _graph_search(nodes: DataFrame, least: float, overlap: int) -> tuple[DataFra
     rows = _cells(nodes)
     cells = rows.groupBy("node").agg(F.sort_array(F.collect_list("cell")).alias("cells"))
     key = ["label", "dim", "cell"]
-    rows = rows.join(cells, "node").select(*key, "node", "weight", "cells", "vector")
+    rows = rows.join(cells, "node").select(*key, "node", "weight", "cells", "vector", "stuck")
+    stuck, rows = rows.where("stuck").drop("stuck"), rows.where("not stuck").drop("stuck")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, _, cell), t in _groups(batches, key):
@@ -229,20 +230,24 @@ def _graph_search(nodes: DataFrame, least: float, overlap: int) -> tuple[DataFra
                     counted[np.ix_(own, own)] = False
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(_weighed(counted, weight)), pa.array(counted.sum(1)), pa.array(node[roots(hits)])], schema=_FOUND)
 
-    return _told(rows.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(search, "node long, links long, others long, root long"))
+    found = rows.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(search, "node long, links long, others long, root long")
+    return _told(found if stuck.isEmpty() else found.unionByName(_block_search(stuck, least)))
 
 
 def _cells(nodes: DataFrame) -> DataFrame:
-    """nodes with `cell`, once for each of theirs: a label of up to CELL vectors is one. A larger cell gets FAN pivots, a hash sample of its vectors, and each vector
-    goes to the NEAREST of them, level by level until none is too large or a split no longer helps."""
-    shape = "node long, label long, dim int, vector array<double>, weight long, cell string"
-    rows, key, before = nodes.select("node", "label", "dim", "vector", "weight").withColumn("cell", F.lit("")), ["label", "dim", "cell"], None
-    for level in range(12):
-        sizes = rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > CELL)
-        now = sizes.agg(F.max("n")).first()[0]
-        if now is None or now == before:
+    """nodes with `cell`, once for each of theirs, and `stuck`: a label of up to CELL vectors is one cell. A larger cell gets FAN pivots, a hash sample of its vectors, and
+    each vector goes to the NEAREST of them, level by level. Where pivots tell a cell's vectors apart no longer it's stuck: its vectors are compared in exact blocks."""
+    shape = "node long, label long, dim int, vector array<double>, weight long, cell string, parent long, stuck boolean"
+    rows, key = nodes.select("node", "label", "dim", "vector", "weight").withColumns({"cell": F.lit(""), "parent": F.lit(None).cast("long"), "stuck": F.lit(False)}), ["label", "dim", "cell"]
+    names = [c.split(" ")[0] for c in shape.split(", ")]
+    for level in range(LEVELS):
+        sizes = rows.where("not stuck").groupBy(*key).agg(F.count("*").alias("n"), F.max("parent").alias("above")).where(F.col("n") > CELL)
+        sizes = saved(sizes.withColumn("ends", F.coalesce(F.col("n") > STUCK * F.col("above"), F.lit(False)) | F.lit(level == LEVELS - 1)), "sizes")
+        if sizes.isEmpty():
             break
-        before = now
+        ended = sizes.where("ends").select(*key, F.lit(True).alias("ended"))
+        rows = rows.join(F.broadcast(ended) if ended.count() <= 10_000 else ended, key, "left").withColumn("stuck", F.col("stuck") | F.coalesce("ended", F.lit(False))).drop("ended")
+        sizes = sizes.where("not ends").select(*key, "n")
         large = rows.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, key)
         spot = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 30))
         few = large.where(spot < F.lit(4.0 * FAN * (1 << 30)) / F.col("n")).withColumn("spot", spot)
@@ -255,25 +260,31 @@ def _cells(nodes: DataFrame) -> DataFrame:
                 x = _unit(t.column("vector").combine_chunks())
                 near = np.sort(np.argsort(-(x @ p.T), 1, kind="stable")[:, :NEAREST], 1)
                 cells, own = [f"{c}/{k:02d}" for c, ks in zip(t.column("cell").to_pylist(), near.tolist()) for k in ks], np.repeat(np.arange(len(x)), near.shape[1])
-                yield from t.drop_columns(["pivots", "cell"]).take(pa.array(own)).append_column("cell", pa.array(cells)).combine_chunks().to_batches()
+                yield from t.drop_columns(["pivots", "cell"]).take(pa.array(own)).append_column("cell", pa.array(cells)).select(names).combine_chunks().to_batches()
 
-        split = large.drop("n").join(pivots, key).sortWithinPartitions(*key).select("node", "label", "dim", "vector", "weight", "cell", "pivots").mapInArrow(assign, shape)
-        rest = rows.join(sizes.drop("n"), key, "left_anti").select(*[c.split(" ")[0] for c in shape.split(", ")])
+        split = large.withColumn("parent", F.col("n")).join(pivots, key).sortWithinPartitions(*key).select(*names, "pivots").mapInArrow(assign, shape)
+        rest = rows.join(sizes.drop("n"), key, "left_anti").select(*names)
         rows = saved(split.unionByName(rest).dropDuplicates(["node", "label", "dim", "cell"]), "cells")
     return rows
 
 
 def _exact_search(nodes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """All links there are, by pairs of blocks of each label."""
-    sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = sizes.select("label", "dim", F.when(F.col("n") <= 2 * EXACT, 1).otherwise(F.ceil(F.col("n") / EXACT)).cast("int").alias("blocks"))
-    rows = nodes.select("node", "label", "dim", "vector", "weight").join(blocks, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    return _told(_block_search(nodes.select("node", "label", "dim", "vector", "weight", F.lit("").alias("cell"), F.array(F.lit("")).alias("cells")), least))
+
+
+def _block_search(rows: DataFrame, least: float) -> DataFrame:
+    """The links inside each cell, by pairs of blocks; a pair counts in the first cell that it shares."""
+    cell = ["label", "dim", "cell"]
+    sizes = rows.groupBy(*cell).agg(F.count("*").alias("n")).where("n > 1")
+    blocks = sizes.select(*cell, F.when(F.col("n") <= 2 * EXACT, 1).otherwise(F.ceil(F.col("n") / EXACT)).cast("int").alias("blocks"))
+    rows = rows.join(blocks, cell).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    key = ["label", "dim", "i", "j"]
-    rows = rows.select("label", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "weight", "vector")
+    key = [*cell, "i", "j"]
+    rows = rows.select(*cell, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "weight", "cells", "vector")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _, i, j), t in _groups(batches, key):
+        for (_, _, own, i, j), t in _groups(batches, key):
             node, weight, block = (t.column(c).to_numpy() for c in ("node", "weight", "block"))
             x = _unit(t.column("vector").combine_chunks())
             hits = np.zeros((len(x), len(x)), bool)
@@ -282,9 +293,18 @@ def _exact_search(nodes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]
                 hits[part] = close(x, part, least)
                 if i != j:
                     hits[part] &= block[part][:, None] != block[None, :]
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(_weighed(hits, weight)), pa.array(hits.sum(1)), pa.array(node[roots(hits)])], schema=_FOUND)
+            counted, both = hits, {}
+            for k, names in enumerate(t.column("cells").to_pylist()):
+                for name in names:
+                    if name < own:
+                        both.setdefault(name, []).append(k)
+            if both:
+                counted = hits.copy()
+                for shared in both.values():
+                    counted[np.ix_(shared, shared)] = False
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(_weighed(counted, weight)), pa.array(counted.sum(1)), pa.array(node[roots(hits)])], schema=_FOUND)
 
-    return _told(rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(search, "node long, links long, others long, root long"))
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(search, "node long, links long, others long, root long")
 
 
 def _truth(nodes: DataFrame, queries: DataFrame, least: float) -> DataFrame:
@@ -313,60 +333,64 @@ def _truth(nodes: DataFrame, queries: DataFrame, least: float) -> DataFrame:
     return saved(found.groupBy("node").agg(F.first("weight").alias("weight"), F.sum("truth").alias("truth")), "truth")
 
 
-def audited(nodes: DataFrame, least: float) -> DataFrame | None:
-    """The true links of nodes taken by hash, at least AUDIT of which are single vectors with 1 to HOT links; None if that takes a quarter of
-    all nodes, when comparing everything costs little more. Queries go in growing blocks of about AUDIT_BYTES at most."""
-    total, dim = nodes.agg(F.count("*"), F.max("dim")).first()
-    spot, most = F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(1 << 30)), max(AUDIT, AUDIT_BYTES // (8 * (dim or 1)))
-    truth, seen, size = None, 0, AUDIT
-    while 4 * (seen + size) <= total:
-        queries = nodes.where((spot >= (seen << 30) // total) & (spot < (seen + size << 30) // total))
-        new = _truth(nodes, queries, least)
-        truth, seen = new if truth is None else truth.unionByName(new), seen + size
-        if truth.where((F.col("truth") <= HOT) & (F.col("weight") == 1)).count() >= AUDIT:
-            return truth
-        size = min(2 * size, most)
-    return None
+def _sample(nodes: DataFrame, most: int, dim: int) -> DataFrame:
+    """Up to `most` nodes by hash, fewer where their vectors would take more than AUDIT_BYTES."""
+    return nodes.orderBy(F.xxhash64(F.lit("audit"), "node"), "node").limit(max(1, min(most, AUDIT_BYTES // (8 * max(1, dim)))))
 
 
 def audit(truth: DataFrame, links: DataFrame) -> float:
-    """The least recall among groups of audited nodes: single vectors with few links, with many, and copies; each node counts once."""
+    """The least recall among groups of audited nodes: single vectors with few links, with many, and copies; each node counts once. 1 where none has a link."""
     share = F.least(F.lit(1.0), F.coalesce("others", F.lit(0)) / F.col("truth"))
     kinds = truth.join(links, "node", "left").groupBy(F.col("truth") > HOT, F.col("weight") > 1).agg(F.avg(share).alias("recall"))
-    return kinds.agg(F.min("recall")).first()[0]
+    return kinds.agg(F.min("recall")).first()[0] or (0.0 if not truth.isEmpty() else 1.0)
 
 
 def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93) -> DataFrame:
-    """A row for each row of vectors: vec_id, n_links, component_id, kept.
+    """A row for each row of vectors: vec_id, n_links, component_id, kept, and the audited recall in every row.
 
-    Equal vectors of a label are one node with a weight, so a common vector costs one row. Each cell of a label gets a graph: overlapping shards, robust pruning in each,
+    Vectors of a label with one direction are one node with a weight, so a common vector costs one row. Each cell of a label gets a graph: overlapping shards, robust pruning in each,
     the lists united. Every vector searches it from the medoids and onwards within range; pairs found are links by their cosine in doubles. No task
-    holds more than about CELL vectors. Recall is audited against brute force, and shards overlap and beams widen twice as much until it is LEAST_RECALL for nodes with
-    few links, for nodes with many and for copies; where it isn't in the end, or an audit takes too many nodes, blocks of each label are compared exactly.
+    holds more than about CELL vectors. Recall is then audited: a fixed number of nodes, and of nodes with links, are compared with all others, whatever the
+    table's size. Where nodes with few links, with many or copies fall below LEAST_RECALL, shards overlap and beams widen twice as much, and in the end blocks of each
+    label are compared exactly (recall 1).
     Null labels, and vectors that are null, empty, zero or hold null, NaN or infinite components, have no links; vectors of different lengths aren't
     compared. component_id is the smallest vec_id connected; repeated rows count as other vectors, and rows that share the smallest
     vec_id are all kept. Other columns are ignored; an empty table gives an empty result.
     """
     v = vectors.select(F.col(f"`{vec_id}`").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("vector"), F.col(f"`{label}`").alias("label"))
     fine = F.col("label").isNotNull() & _valid(F.col("vector"))
-    same = F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.array_join(F.col("vector").cast("array<string>"), ",")), 256)
-    v = v.withColumn("same", F.when(fine, same))
+    flat = lambda w: _let(F.array_max(F.transform(w, lambda y: F.abs(y))), lambda m: F.transform(w, lambda x: x / m))
+    one = lambda w: _let(F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, y: s + y * y)), lambda n: F.transform(w, lambda x: x / n + F.lit(0.0)))
+    v = v.withColumn("vector", F.when(fine, _let(_let(F.col("vector"), flat), one)))
+    v = v.withColumn("same", F.when(F.col("vector").isNotNull(), F.sha2(F.to_json(F.struct("label", "vector")), 256)))
     # numbers that the written table keeps: unlike hashes no two nodes, and no two labels, can share one
     nodes = v.where("same is not null").groupBy("same").agg(F.first("label").alias("own"), F.first("vector").alias("vector"), F.count("*").alias("weight"), F.min("vec_id").alias("least"))
     nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("vector")), "vectors")
     labels = saved(nodes.select("own").distinct().withColumn("label", F.monotonically_increasing_id()), "labels")
     nodes = saved(nodes.join(labels, "own").drop("own"), "nodes")
-    overlap, truth = OVERLAP, audited(nodes, least)
-    while True:
-        links, edges = _exact_search(nodes, least) if truth is None else _graph_search(nodes, least, overlap)
-        if truth is None or audit(truth, links) >= LEAST_RECALL:
+    dim = nodes.agg(F.max("dim")).first()[0] or 1
+    truth, overlap = _truth(nodes, _sample(nodes, ANY, dim), least), OVERLAP
+    for attempt in range(WIDER + 1):
+        links, edges = _graph_search(nodes, least, overlap << attempt)
+        if not attempt:
+            linked = _sample(nodes.join(links.where("others > 0").select("node"), "node", "left_semi"), LINKED, dim)
+            truth = saved(truth.unionByName(_truth(nodes, linked, least)).dropDuplicates(["node"]), "truth")
+        recall = audit(truth, links)
+        if recall >= LEAST_RECALL:
             break
-        overlap, truth = 2 * overlap, truth if overlap < 8 * OVERLAP else None
+    else:
+        (links, edges), recall = _exact_search(nodes, least), 1.0
     named = nodes.select("node", "same", "weight", "least").join(components(edges), "node", "left").join(links, "node", "left")
     named = named.select("same", "least", F.coalesce("component", "node").alias("component"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n"))
     named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("same", "n", "component_id")
     own = F.when(F.col("same").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return v.select("vec_id", "same").join(named, "same", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))
+    out = v.select("vec_id", "same").join(named, "same", "left")
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"), F.lit(float(recall)).alias("audited_recall"))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

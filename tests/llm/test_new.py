@@ -186,3 +186,45 @@ def test_pii_in_linear_time():
     assert time.time() - began < 10
     text = "password=my_secret_token: abcd1234efgh, account no. 12345678; account  :  87654321"
     assert [text[a:b] for k, a, b in pii.spans_of(text) if k in ("account", "secret")] == ["12345678", "87654321", "abcd1234efgh"]
+
+
+def test_sparse_links_of_50_000_vectors(spark, monkeypatch, tmp_path):
+    """Few links in random directions, in cells that overlap: the graph's searches find them, the exact blocks are never used."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from findloom.llm import vectors
+
+    def refused(*_):
+        raise AssertionError("the graph wasn't enough")
+
+    monkeypatch.setattr(vectors, "_exact_search", refused)
+    r = np.random.default_rng(5)
+    x = r.normal(size=(50_000, 32)).astype(np.float32)
+    x[49_000:] = x[:1000] + r.normal(size=(1000, 32)).astype(np.float32) * 0.25
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), 32).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": np.arange(50_000), "embedding": lists, "label": np.zeros(50_000, np.int32)}), f"{tmp_path}/v.parquet")
+    got = vectors.near_vectors(spark.read.parquet(f"{tmp_path}/v.parquet")).toPandas().sort_values("vec_id")
+    x = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    truth = np.concatenate([(x[at : at + 1000] @ x.T >= 0.93).sum(1) - 1 for at in range(0, 50_000, 1000)])
+    links = got["n_links"].to_numpy()
+    assert truth.sum() > 1500 and (links <= truth).all() and links.sum() >= 0.9 * truth.sum() and got["audited_recall"].min() >= 0.98
+
+
+def test_scaled_copies_and_labels_with_commas(spark, monkeypatch):
+    """Vectors of one direction don't split a cell, whatever their lengths; a comma in a label or a number beside it joins nothing."""
+    import numpy as np
+
+    from findloom.llm import vectors
+
+    monkeypatch.setattr(vectors, "CELL", 300)
+    monkeypatch.setattr(vectors, "EXACT", 256)
+    r = np.random.default_rng(2)
+    x = np.concatenate([r.normal(size=(1, 8)) * r.uniform(0.1, 9, size=(1500, 1)), r.normal(size=(200, 8))])
+    rows = [(i, v.tolist(), "a") for i, v in enumerate(x)] + [(5000, [2.0], "a,1.0"), (5001, [1.0, 2.0], "a"), (5002, [1.0, 2.0], "a,1.0"), (5003, [4.0], "a,1.0")]
+    got = {g["vec_id"]: (g["n_links"], g["component_id"]) for g in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    truth = (x @ x.T >= 0.93).sum(1) - 1
+    assert [got[i][0] for i in range(1500)] == truth[:1500].tolist() and {got[i][1] for i in range(1500)} == {0}
+    assert got[5000] == (1, 5000) and got[5003] == (1, 5000) and got[5001] == (0, 5001) and got[5002] == (0, 5002)
