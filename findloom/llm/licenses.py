@@ -88,6 +88,24 @@ TEMPLATES = {
         "3. This notice may not be removed or altered from any source distribution.",
     ),
 }
+#: Names by which licences are referred to, beside their SPDX identifiers (GNU ones with a suffix too).
+NAMES = {
+    "AGPL-3.0": ("GNU Affero General Public License v3.0", "GNU AGPLv3", "AGPL v3"), "Apache-2.0": ("Apache License 2.0", "Apache 2.0 license", "Apache-2.0 license"), "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "New BSD License", "Modified BSD License"), "BSL-1.0": ("Boost Software License 1.0",), "CC-BY-4.0": ("CC BY 4.0 license",), "CC-BY-NC-4.0": ("CC BY-NC 4.0 license",), "CC-BY-SA-4.0": ("CC BY-SA 4.0 license",),
+    "CC0-1.0": ("CC0 1.0 Universal license",), "GPL-2.0": ("GNU General Public License v2.0", "GNU GPLv2", "GPL v2"), "GPL-3.0": ("GNU General Public License v3.0", "GNU GPLv3", "GPL v3"), "ISC": ("ISC License",),
+    "LGPL-2.1": ("GNU Lesser General Public License v2.1", "LGPL v2.1"), "LGPL-3.0": ("GNU Lesser General Public License v3.0", "LGPL v3"), "MIT": ("MIT License", "MIT licence"), "MPL-2.0": ("Mozilla Public License 2.0", "MPL 2.0"),
+    "Unlicense": ("The Unlicense",), "Zlib": ("zlib License",),
+}
+
+
+def _references(name: str) -> tuple[str, ...]:
+    """One-line notices of a licence: its SPDX line and sentences with its names; GNU licences may apply alone or with any later version."""
+    later = ("", " or later", " or any later version") if "GPL" in name else ("",)
+    ids = [name + x for x in (("", "-only", "-or-later") if "GPL" in name else ("",))]
+    said = [f"{verb} under the {n}{x}" for n in NAMES.get(name, ()) for x in later for verb in ("Licensed", "Released", "Distributed")]
+    return (*[f"SPDX-License-Identifier: {i}" for i in ids], *said)
+
+
 #: A notice has a word with one of these near it; each template has one.
 CUES = re.compile(r"licen[cs]e|copyright|rights[\W_]+reserved|redistribut|permi[ts]|granted|binary|warrant|public[\W_]+domain|creative[\W_]+commons|cc0|cc[\W_]+by", re.IGNORECASE)
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
@@ -100,16 +118,17 @@ _STEP = 1 << 32
 
 @cache
 def _compressors():
-    """Templates with their words, a compressor for each and their own compressed size; and a plain compressor."""
+    """Templates with their words, a compressor for each, their own compressed size and whether no word may differ; and a plain compressor."""
     import zstandard as z
 
     out, plain = [], z.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
     for name, texts in TEMPLATES.items():
-        for text in texts:
-            words = tuple(w.lower() for w in WORD.findall(text))
+        short = _references(name) if name in NAMES else ()
+        split = {tuple(w.lower() for w in WORD.findall(text)): text in short for text in (*short, *texts)}
+        for words, exact in split.items():
             raw = " ".join(words).encode()
             press = z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
-            out.append((name, words, press, len(plain.compress(raw))))
+            out.append((name, words, press, len(plain.compress(raw)), exact or len(words) <= 10))
     return out, plain
 
 
@@ -138,10 +157,11 @@ def license_spans(text: str | None, slack: float = 0.1) -> list[tuple[str, int,
     """(license, start, end, reduction, differences) of each notice, by start; code points, end exclusive.
 
     For each template the words near cues, as many before and after as the template has, form blocks; long ones are cut into overlapping blocks of about four
-    times its length, so neither line breaks nor comment signs matter. A block is compressed with the template as its dictionary; where that saves at least FLOOR of what
-    the template takes itself, the template is confirmed where at most `slack` of its words differ, none in a template of ten words or fewer. All templates
-    above the floor are tried, best reduction first. Of overlapping spans the one of more words stays, then of fewer differences, then of the better reduction, then the
-    first by name. A notice none of whose cue words is left isn't found. Work is linear in the text.
+    times its length, so neither line breaks nor comment signs matter. A block is compressed with the template as its dictionary; pairs that save at least FLOOR of what
+    the template takes itself are ranked by the bytes that they save, and confirmed in this order where at most `slack` of the template's words differ, none in a template of ten words
+    or fewer or a one-line reference. A pair that can't win on any cue of its block, as longer notices or one as long without a difference have been confirmed there, is passed over; so are templates that
+    lack more words in the whole text than may differ. Of overlapping spans the one of more words stays, then of fewer differences, then of the better reduction, then the
+    first by name. A notice none of whose cue words is left isn't found. Work is linear in the text for each template.
     """
     text = text or ""
     cues = [m.start() for m in CUES.finditer(text)]
@@ -155,20 +175,29 @@ def license_spans(text: str | None, slack: float = 0.1) -> list[tuple[str, int,
     templates, plain = _compressors()
     numbers: dict[str, int] = {}
     coded = np.array([numbers.setdefault(w, len(numbers)) for w, _, _ in words])
-    found: dict[tuple[int, int], tuple] = {}
-    for name, t, press, own in templates:
-        m = len(t)
-        most = 0 if m <= 10 else int(slack * m)
-        reach = m + most
-        for a, b in _blocks(near, reach, len(words)):
+    ranked: list[tuple] = []
+    for k, (name, t, press, own, exact) in enumerate(templates):
+        most = 0 if exact else int(slack * len(t))
+        if sum(w not in numbers for w in t) > most:
+            continue
+        for a, b in _blocks(near, len(t) + most, len(words)):
             block = " ".join([w for w, _, _ in words[a:b]]).encode()
             saved = len(plain.compress(block)) - len(press.compress(block))
-            if saved < FLOOR * own:
-                continue
-            for n, i, j in laid(np.array([numbers.get(w, -1) for w in t]), coded[a:b], most):
-                s = (-m, n, -saved / own, name, words[a + i][1], words[a + j - 1][2])
-                found[s[4:]] = min(found.get(s[4:], s), s)
-    out: list = []
+            if saved >= FLOOR * own:
+                ranked.append((-saved, -len(t), name, a, b, k, most))
+    found: dict[tuple[int, int], tuple] = {}
+    held = np.zeros((2, len(near)), np.int64)  # for each cue the words and differences of the longest notice confirmed around it
+    for saved, _, name, a, b, k, most in sorted(ranked):
+        mine, m = slice(*np.searchsorted(near, (a, b))), len(templates[k][1])
+        if ((held[0, mine] > m) | ((held[0, mine] == m) & (held[1, mine] == 0))).all():
+            continue  # can't win on any of the block's cues
+        for n, i, j in laid(np.array([numbers.get(w, -1) for w in templates[k][1]]), coded[a:b], most):
+            s = (-m, n, saved / templates[k][3], name, words[a + i][1], words[a + j - 1][2])
+            found[s[4:]] = min(found.get(s[4:], s), s)
+            inside = slice(*np.searchsorted(near, (a + i, a + j)))
+            better = (m > held[0, inside]) | ((m == held[0, inside]) & (n < held[1, inside]))
+            held[0, inside], held[1, inside] = np.where(better, m, held[0, inside]), np.where(better, n, held[1, inside])
+    out: list[tuple] = []
     for s in sorted(found.values()):
         if all(s[5] <= o[4] or s[4] >= o[5] for o in out):
             out.append(s)

@@ -228,3 +228,21 @@ def test_scaled_copies_and_labels_with_commas(spark, monkeypatch):
     truth = (x @ x.T >= 0.93).sum(1) - 1
     assert [got[i][0] for i in range(1500)] == truth[:1500].tolist() and {got[i][1] for i in range(1500)} == {0}
     assert got[5000] == (1, 5000) and got[5003] == (1, 5000) and got[5001] == (0, 5001) and got[5002] == (0, 5002)
+
+
+def test_licenses_are_ranked():
+    """Two notices in one text, each whole; one-line references; of notices that overlap the one that saves most."""
+    from findloom.llm import licenses
+
+    mit, zlib_, apache = licenses.TEMPLATES["MIT"][-1], licenses.TEMPLATES["Zlib"][-1], licenses.TEMPLATES["Apache-2.0"]
+    two = f"Copyright a\n{mit}\n\nParts are by others:\n{zlib_}\nend"
+    got = licenses.license_spans(two)
+    assert [(g[0], g[4]) for g in got] == [("MIT", 0), ("Zlib", 0)] and two[got[0][1] : got[0][2]] == mit.rstrip(".") and got[1][2] <= len(two)
+    whole = licenses.license_spans(f"x {apache[-1]} y\n{apache[0]}")
+    assert [g[0] for g in whole] == ["Apache-2.0"] * 2 and whole[0][2] - whole[0][1] > len(apache[1])
+    for text, want in (
+        ("// SPDX-License-Identifier: Apache-2.0", ["Apache-2.0"]), ("# SPDX-License-Identifier: GPL-3.0-or-later", ["GPL-3.0"]), ("licensed under the GNU General Public License v3.0 or later", ["GPL-3.0"]), ("Released under the MIT licence.", ["MIT"]),
+        ("MIT License\nCopyright (c) 2020 A\n" + mit, ["MIT"]), ("a licence to kill", []), ("", []), (None, []),
+    ):
+        assert [g[0] for g in licenses.license_spans(text)] == want, text
+    assert len(licenses.license_spans("SPDX-License-Identifier: MIT\n" * 300)) == 300
