@@ -111,6 +111,37 @@ RUNS = """with runs as (select 't' || (o_custkey % 2) tenant_id, 'r' || o_orderk
 _LE = lambda bounds, col, src: " union all ".join([*[f"select '{b}' le, count(*) n from {src} where {col} <= {b}" for b in bounds], f"select '+Inf', count(*) from {src}"])
 SEEDS = f"{PRINTS}, sd as (select p.finding_id, min(p.finding_id) over (partition by p.tenant_id, p.scope_key, p.value) seed, count(*) over (partition by p.tenant_id, p.scope_key, p.value) m from p where level = 'l1')"
 
+#: One merge after another, by points, then a and b, with the groups (node n, root r) of each stretch of findings that can share a fingerprint as a list. A pair is refused that links two
+#: older clusters (roots `c:`) or two groups with a separate pair between them.
+_ROOT = "list_filter(st, lambda z: z.n = {0})[1].r"
+
+
+def _replay(name: str, nodes: str, merges: str, apart: str) -> str:
+    """CTE `name`(n, r): the groups after all merges. nodes(gid, n, r), merges(gid, a, b, points), apart(gid, a, b)."""
+    between = f"len(list_filter(coalesce(ps, []), lambda x: ({_ROOT.format('x.a')} = ra and {_ROOT.format('x.b')} = rb) or ({_ROOT.format('x.a')} = rb and {_ROOT.format('x.b')} = ra))) > 0"
+    return f"""{name}_m as materialized (select *, row_number() over (partition by gid order by points desc, a, b) k from ({merges})),
+{name}_p as materialized (select gid, list({{'a': a, 'b': b}}) ps from ({apart}) group by gid),
+{name}_s as (select gid, 0::bigint k, list({{'n': n, 'r': r}}) st from ({nodes}) group by gid union all
+ select gid, k, case when ra = rb or (starts_with(ra, 'c:') and starts_with(rb, 'c:')) or {between} then st else list_transform(st, lambda y: {{'n': y.n, 'r': case when y.r in (ra, rb) then least(ra, rb) else y.r end}}) end
+ from (select s.gid, m.k, st, ps, {_ROOT.format('m.a')} ra, {_ROOT.format('m.b')} rb from {name}_s s join {name}_m m on m.gid = s.gid and m.k = s.k + 1 left join {name}_p q on q.gid = s.gid)),
+{name} as materialized (select u.x.n n, u.x.r r from (select unnest(arg_max(st, k)) x from {name}_s group by gid) u)"""
+
+
+_GID = "concat_ws('|', tenant_id, scope_key, tool, floor(l_partkey / 4))"
+_V = EDGES.replace("with f as", "with recursive f as", 1) + f""", w as materialized (select v.*, {_GID} gid from v join g on finding_id = a), subject as materialized (select finding_id, {_GID} gid from g where finding_id in (select finding_id from p))"""
+_ENDS = "(select {0} from w where {1})"
+CLUSTERS = f"""{_V},
+{_replay('grp', "select gid, finding_id n, finding_id r from subject", "select gid, a, b, points from w where verdict = 'merge'", "select gid, a, b from w where verdict = 'separate'")},
+best as (select finding_id, max(points) points from (select a finding_id, points, a x, b y from w where verdict = 'merge' union all select b, points, a, b from w where verdict = 'merge') join grp ga on ga.n = x join grp gb on gb.n = y where ga.r = gb.r group by 1),
+asg as materialized (select g.finding_id, tenant_id, scope_key, tool, import_run_id, r seed, sha256(tenant_id || '/' || scope_key || '/' || r) cluster_id, coalesce(points, 1000)::int points from grp join g on g.finding_id = n left join best on best.finding_id = n),
+rev as (select a, b, points, verdict from w join grp ga on ga.n = a join grp gb on gb.n = b where verdict <> 'separate' and ga.r <> gb.r)"""
+_LATE = "substr({0}, 8, 1) = '7'"
+JOINED = f"""{_V},
+{_replay('old', f"select gid, finding_id n, finding_id r from subject where not {_LATE.format('finding_id')}", f"select gid, a, b, points from w where verdict = 'merge' and not {_LATE.format('a')} and not {_LATE.format('b')}", f"select gid, a, b from w where verdict = 'separate' and not {_LATE.format('a')} and not {_LATE.format('b')}")},
+mine as materialized (select * from w where {_LATE.format('a')} or {_LATE.format('b')}),
+{_replay('grp', "select gid, finding_id n, coalesce('c:' || r, 'f:' || finding_id) r from subject left join old on n = finding_id", "select gid, a, b, points from mine where verdict = 'merge'", "select gid, a, b from mine where verdict = 'separate'")},
+best as (select finding_id, max(points) points from (select a finding_id, points, a x, b y from mine where verdict = 'merge' union all select b, points, a, b from mine where verdict = 'merge') join grp ga on ga.n = x join grp gb on gb.n = y where ga.r = gb.r group by 1)"""
+
 SQL = {
     "intake_rejects": f"{CHECKED} select arrival, tenant_id, tool, product_id, context_id, size_bytes, reject_code from c",
     "intake_keys": f"{CHECKED} select arrival, scope_key, sha256, tenant_id || '/' || scan_id || '/' || sha256 raw_key from ok",
@@ -173,6 +204,14 @@ SQL = {
  rep as (select tenant_id, scope_key, level, value, r, min(p.finding_id) i from p join rec using (finding_id) group by 1, 2, 3, 4, 5)
  select distinct least(x.i, y.i) a, greatest(x.i, y.i) b from rep x join rep y on x.tenant_id = y.tenant_id and x.scope_key = y.scope_key and x.level = y.level and x.value = y.value and x.i < y.i""",
     "clusters_sca": f"{SEEDS} select finding_id, seed, 1000 points from sd",
+    "clusters_constrained": f"{CLUSTERS} select finding_id, cluster_id, seed, true is_new, points from asg",
+    "review_queue": f"{CLUSTERS} select * from rev",
+    "cluster_stats": f"{CLUSTERS} select (select count(distinct cluster_id) from asg) created, 0::bigint joined, (select count(*) from rev) review",
+    "confidence_histogram": f"{CLUSTERS}, cf as (select points / 1000 confidence from asg) select le, n, round((select sum(confidence) from cf), 3)::double as sum, (select count(*) from cf) as count from ({_LE([i / 10 for i in range(1, 11)], 'confidence', 'cf')})",
+    "joined_clusters": f"{JOINED} select n finding_id, starts_with(r, 'f:') is_new, coalesce(points, 1000)::int points from grp left join best on finding_id = n where {_LATE.format('n')}",
+    "clusters_by_tool": f"""{CLUSTERS} select case tool when 'custom-scanner' then 'other' else tool end tool, sum(fs)::bigint findings, sum(cr)::bigint created, 0::bigint joined, sum(rv)::bigint review, 0::bigint unclustered
+ from (select tool, 1 fs, (finding_id = seed)::int cr, 0 rv from asg union all select tool, 0, 0, 1 from rev join g on finding_id = a) group by 1""",
+    "shared_clusters": f"""{CLUSTERS}, sh as (select cluster_id, min(import_run_id) < max(import_run_id) several from asg group by 1) select import_run_id, count(*) members, count(case when several then 1 end) shared from asg join sh using (cluster_id) group by 1""",
     "run_findings": f"{NORM} select finding_id, import_run_id, severity, purl, array_to_string(list_sort(cwe), ',') cwes from g",
     "worst_findings": f"{NORM} select tenant_id, scope_key, position::int as position, finding_id, severity from (select *, row_number() over (partition by tenant_id, scope_key order by {case('severity', SEVERITY_RANK)} desc, finding_id) as position from g) where position <= 5",
     "top_ratings": f"{RATINGS} select tenant_id, scheme, source, position::int as position, finding_id, version, score from (select *, row_number() over (partition by tenant_id, scheme, source order by score desc, finding_id, vector) as position from r) where position <= 10",
