@@ -262,7 +262,7 @@ def candidate_pairs(spark, sf_dir):
 
 
 def candidate_counts(spark, sf_dir):
-    p = prints(spark, sf_dir)
+    p = checkpointed(prints(spark, sf_dir).select("finding_id", *candidates.KEY))  # several parts read it
     return candidates.candidate_counts(p, p)
 
 
