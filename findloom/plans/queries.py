@@ -67,7 +67,7 @@ def intake_events(spark, sf_dir):
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run for each order, in one of four states."""
-    o = views.table(spark, sf_dir, "orders")
+    o = views.facts(spark, sf_dir, "orders")
     state = F.when(F.col("o_orderkey") % 7 == 0, "failed").when(F.col("o_orderkey") % 11 == 0, "running").otherwise("completed")
     return o.select(F.concat(F.lit("t"), (F.col("o_custkey") % 2).cast("string")).alias("tenant_id"), F.sha2((F.col("o_custkey") % 5).cast("string"), 256).alias("scope_key"), F.lit("trivy").alias("tool"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("sha256"),
                     F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("import_run_id"), state.alias("status"), F.col("o_orderdate").cast("timestamp").alias("finished_at"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate").cast("timestamp")).alias("event_published_at"),
@@ -83,7 +83,7 @@ def run_start(spark, sf_dir):
 
 def run_counts(spark, sf_dir):
     r = _runs(spark, sf_dir).where("status <> 'failed'")
-    lines = views.table(spark, sf_dir, "lineitem").where("l_suppkey % 3 = 0").select(F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("import_run_id"))
+    lines = views.facts(spark, sf_dir, "lineitem").where("l_suppkey % 3 = 0").select(F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("import_run_id"))
     return runs.complete(r, lines, None).select("import_run_id", "status", F.col("finding_count").cast("long").alias("finding_count"))
 
 
@@ -96,7 +96,7 @@ def run_failures(spark, sf_dir):
 
 def unparsed_elements(spark, sf_dir):
     """A report of one element for each order, good ones and ones with a value of a wrong type at some depth, and some secrets."""
-    o = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n"), F.expr("case o_orderkey % 2 when 0 then 'trivy' else 'semgrep' end").alias("tool"))
+    o = views.facts(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n"), F.expr("case o_orderkey % 2 when 0 then 'trivy' else 'semgrep' end").alias("tool"))
     element = F.expr(views.by_tool(views.ELEMENTS, 0))
     target = F.expr("case when n % 5 = 0 then '/t' else 't' end")
     secrets = F.expr("""case when n % 6 = 0 then ',"Secrets":[{"Match":"hunter2"},{}]' else '' end""")
@@ -164,7 +164,7 @@ def sarif_flatten(spark, sf_dir):
 
 
 def generic_flatten(spark, sf_dir):
-    o = views.table(spark, sf_dir, "orders").select("o_orderkey", F.lit("homegrown").alias("tool"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("not json")).otherwise(F.concat(F.lit('{"id": '), F.col("o_orderkey").cast("string"), F.lit("}"))).alias("content"))
+    o = views.facts(spark, sf_dir, "orders").select("o_orderkey", F.lit("homegrown").alias("tool"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("not json")).otherwise(F.concat(F.lit('{"id": '), F.col("o_orderkey").cast("string"), F.lit("}"))).alias("content"))
     return flatten.route(o).select("o_orderkey", "kind", "title", "raw", views.joined(F.col("diagnostics.code")).alias("codes"), "adapter")
 
 
@@ -182,7 +182,7 @@ def severity_labels(spark, sf_dir):
 
 
 def score_bands(spark, sf_dir):
-    s = views.table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / F.lit(4.0) - 1).cast("double").alias("score")).distinct()
+    s = views.facts(spark, sf_dir, "lineitem").select((F.col("l_quantity") / F.lit(4.0) - 1).cast("double").alias("score")).distinct()
     return s.select("score", normal.score_severity(F.col("score")).alias("v3"), F.when((F.col("score") >= 0) & (F.col("score") <= 10), normal.band(F.lit("2.0"), F.col("score"))).alias("v2"), normal.score_is_bad(F.col("score")).alias("bad"))
 
 

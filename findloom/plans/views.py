@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from findloom.operators.fingerprint import scope_key
 from findloom.operators.flatten import DIAGNOSTICS, LOCATION
+from findloom.sources.tables import spread
 
 #: One raw finding for each lineitem; see FIXTURES.md section 2. The price makes finding_id unique at every scale. The custom scanner's findings share ids, with
 #: lines and code that agree, differ or are missing, so that merges, reviews and pairs that keep groups apart all occur; some have no id.
@@ -60,16 +61,25 @@ def vector(digits, head: str = "", code: str = "cvss3_code") -> str:
 V3_VECTOR, V2_VECTOR = vector(V3_DIGITS, "CVSS:3.1/"), vector(V2_DIGITS, code="(cvss3_code % 729)")
 
 
+#: Keys of the tables that findings and requests come from; the others are looked up in.
+FACTS = {"lineitem": ("l_orderkey", "l_linenumber"), "orders": ("o_orderkey",)}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def facts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """table(), its rows over all cores."""
+    return spread(table(spark, sf_dir, name), *FACTS[name])
+
+
 def derived(spark: SparkSession, sf_dir: str, sql: str = FINDINGS) -> DataFrame:
     names = [n for n in ("lineitem", "orders", "customer", "part") if f" {n} " in sql or f" {n}\n" in sql]
     sql = sql.replace("{", "{{").replace("}", "}}")
     for n in names:
         sql = sql.replace(f" {n} ", f" {{{n}}} ").replace(f" {n}\n", f" {{{n}}}\n")
-    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
+    return spark.sql(sql, **{n: (facts if n == names[0] else table)(spark, sf_dir, n) for n in names})
 
 
 def raw_findings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,3 +158,10 @@ def read_events(spark: SparkSession, path: str, schema: str = EVENT, fmt: str =
     if fmt == "json":
         s, schema = s.option("columnNameOfCorruptRecord", UNDECODABLE), f"{schema}, {UNDECODABLE} string"
     return s.schema(schema).load(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt to all cores by its keys where its scan has few splits, such as one file with one row group: the chain behind it would run in one task. Large
+    tables have several splits for each core and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < 4 * cores else df

@@ -225,3 +225,17 @@ def test_large_reports_leave_their_task(spark, tmp_path):
     sizes = sorted(r["count"] for r in spark.read.parquet(f"{tmp_path}/found").groupBy("p").count().collect())
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
     assert sum(sizes) == 20_040 and len(sizes) > 1 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+
+
+def test_spread(spark, tmp_path):
+    """One row group is dealt to all cores, whatever the keys hold; a table of many splits isn't moved."""
+    from findloom.sources.tables import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(10_000).selectExpr("nullif(id, 7) id", "id % 3 x").coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    dealt = spread(one, "id")
+    assert dealt.rdd.getNumPartitions() == cores and sorted(dealt.collect(), key=str) == sorted(one.collect(), key=str)
+    assert spread(one.limit(0), "id").count() == 0
+    wide = spark.range(0, 100, 1, 4 * cores)
+    assert spread(wide, "id") is wide
