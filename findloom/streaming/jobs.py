@@ -74,12 +74,13 @@ def published(ready: DataFrame, tables: Tables, clock) -> None:
     tables.log("runs", runs.published(own, ready, clock))
 
 
-def cluster_batch(events: DataFrame, tables: Tables, tools: dict[str, ToolSpec] | None = None, config: ScoringConfig | None = None, joint: bool = False, scorer=None, clusterer=None) -> int:
+def cluster_batch(events: DataFrame, tables: Tables, tools: dict[str, ToolSpec] | None = None, config: ScoringConfig | None = None, joint: bool = False, scorer=None, clusterer=None, blocker=None) -> int:
     """Completed runs to fingerprints and clusters, with counters and diagnostics; bad events go to dead_letters. Returns how many waves it took.
 
     Runs of one scope are replayed in the order in which they finished, as that decides what joins what. Only runs that share a fingerprint can meet in a score, so a wave takes every run
     whose earlier runs with a common fingerprint are done: the rest of a backfill goes at once, with the result of one run after another. joint=True takes all runs at
-    once and may merge groups that a replay keeps apart. Copies are classes with counts, never pairs. scorer and clusterer replace score_pairs and cluster().
+    once and may merge groups that a replay keeps apart. Copies are classes with counts, never pairs. scorer, clusterer and blocker replace score_pairs, cluster() and class_pairs();
+    a blocker may keep pairs of classes apart that share a fingerprint, but bring none together that don't, as waves rely on that.
     """
     tools = tools or standard_tools()
     all_runs = tables.read("runs", RUNS, events)
@@ -99,7 +100,7 @@ def cluster_batch(events: DataFrame, tables: Tables, tools: dict[str, ToolSpec]
         waiting = after.join(own.select(F.col("import_run_id").alias("earlier")), "earlier", "left_semi").select("import_run_id").distinct()
         ready = checkpointed(own.join(waiting, "import_run_id", "left_anti"))
         mine = ready.select("import_run_id")
-        _wave(ready, now.join(mine, "import_run_id", "left_semi"), prints.join(mine, "import_run_id", "left_semi"), tables, tools, config, scorer, clusterer)
+        _wave(ready, now.join(mine, "import_run_id", "left_semi"), prints.join(mine, "import_run_id", "left_semi"), tables, tools, config, scorer, clusterer, blocker)
         own, waves = checkpointed(own.join(mine, "import_run_id", "left_anti")), waves + 1
     return waves
 
@@ -112,7 +113,7 @@ def run_order(batch: DataFrame, prints: DataFrame) -> DataFrame:
     return runs_of.select(earlier.alias("earlier"), "import_run_id").where("earlier is not null").distinct()
 
 
-def _wave(batch: DataFrame, now: DataFrame, prints: DataFrame, tables: Tables, tools: dict[str, ToolSpec], config: ScoringConfig | None, scorer, clusterer) -> None:
+def _wave(batch: DataFrame, now: DataFrame, prints: DataFrame, tables: Tables, tools: dict[str, ToolSpec], config: ScoringConfig | None, scorer, clusterer, blocker) -> None:
     tables.append("fingerprints", prints)
     findings = tables.read("findings", of=batch)
     index, members = tables.read("fingerprints", of=batch), tables.read("members", MEMBERS, batch)
@@ -125,7 +126,7 @@ def _wave(batch: DataFrame, now: DataFrame, prints: DataFrame, tables: Tables, t
     recs = scoring.records(fingerprint.with_place(findings.join(clustered.select("finding_id").union(own).distinct(), "finding_id", "left_semi")))
     recs, all_prints = checkpointed(recs), checkpointed(shared.unionByName(prints.select("finding_id", *candidates.KEY)))
     membership, table = classes.classes(all_prints, recs, clustered, ids.join(clustered, "finding_id", "left_anti"))
-    pairs = checkpointed(classes.class_pairs(all_prints, table))
+    pairs = checkpointed((blocker or classes.class_pairs)(all_prints, table))
     edges = classes.scored_classes(all_prints, recs, table, config, scorer, pairs)
     assigned, review = classes.cluster_classes(membership, table, edges, clusterer)
     assigned = checkpointed(assigned)

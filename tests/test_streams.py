@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from findloom.operators import candidates, counters, flatten, intake, reports
+from findloom.operators import candidates, classes, cluster, counters, flatten, intake, reports, scoring
 from findloom.operators.components import connected
 from findloom.sources.tables import Tables, read_events, read_reports
 from findloom.streaming import jobs
@@ -239,3 +239,27 @@ def test_spread(spark, tmp_path):
     assert spread(one.limit(0), "id").count() == 0
     wide = spark.range(0, 100, 1, 4 * cores)
     assert spread(wide, "id") is wide
+
+
+def test_blocker_scorer_and_clusterer_of_ones_own(spark, tmp_path):
+    """Two reports of one scope name the same vulnerability; the stream uses a blocker without pairs of two classes, a scorer that is told of copies alone and a
+    clusterer of one group. (Copies whose own pairs don't merge would stay single, whatever the clusterer says: see classes.)"""
+    t, tenants = _place(spark, tmp_path, [(k, "t", "trivy", "p/c", f"scan-{k}", _vulnerable(x)) for k, x in enumerate((["0001"], ["0001", "0003"]))])
+    ready = jobs.normalize_batch(jobs.intake_batch(spark.read.schema(REQUEST).json(f"{tmp_path}/in"), t, tenants), t, F.current_timestamp())
+    events = spark.createDataFrame([tuple(r) for r in ready.select("tenant_id", "import_run_id").collect()], "tenant_id string, import_run_id string")
+    seen = []
+
+    def inside(prints, table):
+        return classes.class_pairs(prints, table).where("a = b")
+
+    def told(pairs, recs, config=None):
+        seen.append((pairs.count(), pairs.where("a <> b").count()))
+        return scoring.score_pairs(pairs, recs, config)
+
+    def one_group(findings, edges, existing):
+        seen.append(edges.count())
+        assigned, review = cluster.cluster(findings, edges, existing)
+        return assigned.withColumn("cluster_id", F.lit("all")), review
+
+    jobs.cluster_batch(events, t, joint=True, blocker=inside, scorer=told, clusterer=one_group)
+    assert seen == [(1, 0), 0] and {r["cluster_id"] for r in t.read("members").collect()} == {"all"}
