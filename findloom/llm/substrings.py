@@ -59,7 +59,8 @@ def _marks(h: np.ndarray, at: np.ndarray, half: int) -> np.ndarray:
 
 def stretches(text: bytes, least: int, second: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(gram, marks or second gram, first start, number of starts) of the runs of starts whose `least` bytes have their least gram, and with
-    `second` their least one by another order too, in one place. A gram is 48 bits of its hash.
+    `second` their least one by another order too, in one place. A gram is 47 bits of its hash, so
+    that 16 bits of marks beside it leave the sign alone.
 
     Equal strings have their least gram in the same place inside, so they meet under one gram.
     """
@@ -76,7 +77,7 @@ def stretches(text: bytes, least: int, second: bool = False) -> Iterator[tuple[n
             new |= other[1:] != other[:-1]
         first = np.concatenate([[0], np.flatnonzero(new) + 1])
         extra = h[other[first]] if second else _marks(h, at[first], (least - GRAM + 1) // 2)
-        yield (h[at[first]] >> np.uint64(16)).astype(np.int64), extra.astype(np.int64), first + base, np.diff(np.append(first, len(at)))
+        yield (h[at[first]] >> np.uint64(17)).astype(np.int64), extra.astype(np.int64), first + base, np.diff(np.append(first, len(at)))
 
 
 def transform(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -280,6 +280,14 @@ def test_substrings_of_nothing(spark):
     assert found[0].tolist() == [7] * 5 + [3] * (len(text) - 54) and set(found[1].tolist()) == {3}
 
 
+def test_substrings_of_one_letter(spark):
+    """Runs of one byte or of two, whose gram may be any hash, also one with its highest bit set."""
+    units = [chr(c) for c in range(1, 128)] + ["ab", "=-", "é", " \n"]
+    texts = [(i + k * 1000, f"{k}{u * 60}{i}"[: 60 + 20 * k]) for i, u in enumerate(units) for k in (0, 1)]
+    got = [(x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], hashlib.sha256(bytes(x["kept"])).hexdigest()) for x in substrings.remove_repeats(docs(spark, texts)).collect()]
+    assert sorted(got, key=str) == brute_repeats(texts)
+
+
 BASE = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
 
