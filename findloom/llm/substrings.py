@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import collections
 import uuid
 from collections.abc import Iterator
 
@@ -15,10 +14,12 @@ from findloom.llm.common import saved, shared_dir, table
 
 #: Bytes of the grams whose least hash, in every stretch of the minimum length, names the shard of the stretch.
 GRAM = 16
-#: Bytes of text that are worked on at once in a document, and in a shard's transform.
-SEGMENT, BLOCK = 8 << 20, 1 << 20
+#: Bytes of text that are worked on at once in a document, in short documents together, and of stretches in a transform of whole shards.
+SEGMENT, PIECE, BLOCK = 8 << 20, 1 << 16, 1 << 20
 #: A gram in more rows than this is hot: its stretches are split by a second gram, and equal ones are one before they meet.
 HOT = 10_000
+#: Starts in a stretch of one repeated gram, at most.
+LONG = 1 << 10
 #: Symbols that the first sort of a transform compares: seven of nine bits each.
 FIRST = 7
 _rng = np.random.default_rng(50)
@@ -48,36 +49,67 @@ def _least(h: np.ndarray, span: int) -> np.ndarray:
     return (low & _PLACE).astype(np.int64)
 
 
-def _marks(h: np.ndarray, at: np.ndarray, half: int) -> np.ndarray:
-    """Two bytes for grams: what stands on the `half` bytes before each one, and on those after it; 0 where the text is too short for that."""
-    left, right = at >= half, at + half < len(h)
+def _marks(h: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, half: int) -> np.ndarray:
+    """Two bytes for grams of texts that go from begin to end: what stands on the `half` bytes before each one, and on those after it; 0 where the text is too short for that."""
+    left, right = at >= begin + half, at + half + GRAM <= end
     far = np.clip(np.stack([at - half, at + half]), 0, len(h) - 1)
     near = np.clip(np.stack([at - half // 2, at + half // 2]), 0, len(h) - 1)
     m = ((h[far] * _STEP[0] + h[near]) * _STEP[1] >> np.uint64(40)) % np.uint64(255) + np.uint64(1)
     return np.where(left, m[0], 0) << np.uint64(8) | np.where(right, m[1], 0)
 
 
-def stretches(text: bytes, least: int, second: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(gram, marks or second gram, first start, number of starts) of the runs of starts whose `least` bytes have their least gram, and with
-    `second` their least one by another order too, in one place. A gram is 47 bits of its hash, so
-    that 16 bits of marks beside it leave the sign alone.
+def _binary(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a binary array without nulls."""
+    wide = pa.types.is_large_binary(a.type)
+    offsets = np.frombuffer(a.buffers()[1], np.int64 if wide else np.int32)[a.offset : a.offset + len(a) + 1].astype(np.int64) if len(a) else np.zeros(1, np.int64)
+    data = a.buffers()[2] if len(a) else None
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and data.size else np.empty(0, np.uint8), offsets - offsets[0]
 
-    Equal strings have their least gram in the same place inside, so they meet under one gram.
+
+def _spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... for each begin, so many as its size."""
+    return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about PIECE bytes, one row at least."""
+    i = 0
+    while i < len(offsets) - 1:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE, "right")) - 1)
+        yield i, j
+        i = j
+
+
+def stretches(texts: pa.Array, least: int, second: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, gram, marks or second gram, first start, number of starts) of the runs of starts whose `least` bytes have their least gram, and with
+    `second` their least one by another order too, in one place. A gram is 47 bits of its hash, so that 16 bits of marks beside it leave the sign alone.
+
+    Equal strings have their least gram in the same place inside, so they meet under one gram. Short texts are hashed together, long ones by segments.
     """
     span = least - GRAM + 1
-    for base in range(0, max(1, len(text) - least + 1), SEGMENT):
-        b = np.frombuffer(text, np.uint8)[base : base + SEGMENT + least - 1]
-        if len(b) < least:
-            return
-        h = _grams(b)
-        at = _least(h, span)
-        new = at[1:] != at[:-1]
-        if second:
-            other = _least(h * _STEP[5], span)
-            new |= other[1:] != other[:-1]
-        first = np.concatenate([[0], np.flatnonzero(new) + 1])
-        extra = h[other[first]] if second else _marks(h, at[first], (least - GRAM + 1) // 2)
-        yield (h[at[first]] >> np.uint64(17)).astype(np.int64), extra.astype(np.int64), first + base, np.diff(np.append(first, len(at)))
+    data, offsets = _binary(texts)
+    for i, j in _pieces(offsets):
+        size = int(offsets[j] - offsets[i])
+        for base in range(0, max(1, size - least + 1), SEGMENT) if j == i + 1 else (0,):
+            low = offsets[i] + base
+            b = data[low : min(low + SEGMENT + least - 1, offsets[j]) if j == i + 1 else offsets[j]]
+            if len(b) < least:
+                continue
+            edges = np.minimum(offsets[i : j + 1] - offsets[i], len(b)) if base == 0 else np.array([0, len(b)])
+            h = _grams(b)
+            at = _least(h, span)
+            sizes = np.maximum(np.diff(edges) - least + 1, 0)
+            start = _spread(edges[:-1], sizes)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            at = at[start]
+            new = at[1:] != at[:-1]
+            if second:
+                other = _least(h * _STEP[5], span)[start]
+                new |= other[1:] != other[:-1]
+            first = np.concatenate([[0], np.flatnonzero(new) + 1]) if len(at) else np.empty(0, np.int64)
+            who, place = row[first], at[first]
+            extra = h[other[first]] if second else _marks(h, place, edges[who], edges[who + 1], (least - GRAM + 1) // 2)
+            yield who + i, (h[place] >> np.uint64(17)).astype(np.int64), extra.astype(np.int64), start[first] - edges[who] + base, np.diff(np.append(first, len(at)))
 
 
 def transform(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,15 +118,24 @@ def transform(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.
     key = padded[: len(text)].copy()
     for k in range(1, FIRST):
         key = key << 9 | padded[k : k + len(text)]
-    _, rank = np.unique(key, return_inverse=True)
-    size = FIRST
+    order = np.argsort(key)
+    differ = np.concatenate([[True], np.diff(key[order]) != 0])
+    rank = np.empty(len(text), np.int64)
+    rank[order] = np.cumsum(differ) - 1
+    bits, size = max(1, int(len(text)).bit_length()), FIRST
     while size < least:
         after = np.zeros_like(rank)
         after[:-size] = rank[size:] + 1
-        _, rank = np.unique(rank * (int(rank.max()) + 2) + after, return_inverse=True)
+        after += rank * (int(rank.max()) + 2)
+        if 3 * bits < 63:  # ranks and places in one number sort fastest
+            after = np.sort(after << bits | np.arange(len(text)))
+            order, after = after & (1 << bits) - 1, after >> bits
+        else:
+            order = np.argsort(after, kind="stable")
+            after = after[order]
+        rank[order] = np.cumsum(np.concatenate([[False], after[1:] != after[:-1]]))
         size *= 2
-    order = np.argsort(rank, kind="stable")
-    return order, text[order - 1], np.concatenate([[True], np.diff(key[order]) != 0])
+    return order, text[order - 1], differ
 
 
 def common_prefixes(text: np.ndarray, bwt: np.ndarray, differ: np.ndarray, least: int) -> np.ndarray:
@@ -132,23 +173,29 @@ def common_prefixes(text: np.ndarray, bwt: np.ndarray, differ: np.ndarray, least
     return shared[:n]
 
 
-def first_holders(contexts: list[bytes], holders: np.ndarray, least: int) -> list[np.ndarray]:
-    """For each context, by start: the least holder of any context that has the same `least` bytes."""
-    sizes = np.array([len(c) for c in contexts])
+def _holders(data: np.ndarray, sizes: np.ndarray, holders: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For contexts of so many bytes each: the number of their starts, and for each start the least holder of any context that has the same `least` bytes."""
     starts = np.cumsum(sizes + 1) - sizes - 1
-    text = np.frombuffer(b"\0".join(contexts) + b"\0\0", np.uint8).astype(np.uint16) + 2
-    text[starts + sizes] = 1
+    text = np.ones(len(data) + len(sizes) + 1, np.uint16)
+    text[_spread(starts, sizes)] = data
+    text[_spread(starts, sizes)] += 2
     text[-1] = 0
     order, bwt, differ = transform(text, least)
     group = np.cumsum(common_prefixes(text, bwt, differ, least) >= 0) - 1
     n = sizes - least + 1
-    begins = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    begins = _spread(starts, n)
     holder = np.full(len(text), _NEVER)
     holder[begins] = np.repeat(holders, n)
     least_of = np.minimum.reduceat(holder[order], np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1]))
     out = np.empty(len(text), np.int64)
     out[order] = least_of[group]
-    return np.split(out[begins], np.cumsum(n)[:-1])
+    return n, out[begins]
+
+
+def first_holders(contexts: list[bytes], holders: np.ndarray, least: int) -> list[np.ndarray]:
+    """For each context, by start: the least holder of any context that has the same `least` bytes."""
+    n, found = _holders(np.frombuffer(b"".join(contexts), np.uint8), np.array([len(c) for c in contexts]), holders, least)
+    return np.split(found, np.cumsum(n)[:-1])
 
 
 def _shared_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,42 +249,63 @@ def _judge(least: int, every: bool = False):
     """Rows (shard, who, rank, first, context), sorted by shard, to the runs of starts whose strings a smaller rank has in the shard (all runs with
     `every`): who, rank, first start, starts, the least rank. Equal contexts are one; those that stand alone in their shard need no transform."""
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        size, last, seen, kind = 0, None, set(), None
-
-        def done() -> pa.RecordBatch:
-            holder: dict[tuple, int] = {}
-            for s, _, rank, _, c in rows:
-                holder[s, c] = min(rank, holder.get((s, c), rank))
-            number = collections.Counter(s for s, _ in holder)
-            several = [k for k in holder if number[k[0]] > 1]
-            found = dict(zip(several, first_holders([c for _, c in several], np.array([holder[k] for k in several]), least))) if several else {}
-            out: list[tuple] = []
-            for s, who, rank, first, c in rows:
-                h = found.get((s, c))
-                if h is None:
-                    h = np.array([holder[s, c]])
-                    cut = [0, len(c) - least + 1]
-                else:
-                    cut = [0, *(np.flatnonzero(np.diff(h)) + 1).tolist(), len(h)]
-                out += [(who, rank, first + i, j - i, int(h[i])) for i, j in zip(cut, cut[1:]) if every or h[i] < rank]
-            cols = list(zip(*out)) or [[], [], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (kind, *[pa.int64()] * 4))], ["who", "rank", "first", "n", "holder"])
+    def done(rows: pa.Table) -> pa.RecordBatch:
+        shard, rank, first = (rows.column(i).to_numpy() for i in (0, 2, 3))
+        coded = rows.column(4).combine_chunks().dictionary_encode()
+        code = coded.indices.to_numpy()
+        sizes = np.diff(_binary(coded.dictionary)[1])
+        holder = np.full(len(sizes), _NEVER)
+        np.minimum.at(holder, code, rank)
+        shard_of = np.empty(len(sizes), np.int64)
+        shard_of[code] = shard  # a context has its grams, so equal ones are in one shard
+        _, number, count = np.unique(shard_of, return_inverse=True, return_counts=True)
+        several = np.flatnonzero(count[number] > 1)
+        # Runs of starts with one holder: the context's code, the first start, the holder.
+        alone = np.flatnonzero(count[number] == 1)
+        run = [alone, np.zeros(len(alone), np.int64), holder[alone]]
+        if len(several):
+            n, h = _holders(_binary(coded.dictionary.take(pa.array(several)))[0], sizes[several], holder[several], least)
+            begins = np.cumsum(n) - n
+            cut = np.concatenate([[True], h[1:] != h[:-1]])
+            cut[begins] = True
+            cut = np.flatnonzero(cut)
+            at = np.searchsorted(begins, cut, "right") - 1
+            run = [np.concatenate(x) for x in zip(run, (several[at], cut - begins[at], h[cut]))]
+        order = np.lexsort((run[1], run[0]))
+        owner, begin, h = (x[order] for x in run)
+        end = np.append(begin[1:], 0)
+        ends = np.append(owner[1:] != owner[:-1], True)
+        end[ends] = sizes[owner[ends]] - least + 1
+        number = np.bincount(owner, minlength=len(sizes))
+        of = np.repeat(np.arange(len(code)), number[code])
+        at = _spread((np.cumsum(number) - number)[code], number[code])
+        if not every:
+            held = h[at] < rank[of]
+            of, at = of[held], at[held]
+        who = rows.column(1).combine_chunks().take(pa.array(of))
+        return pa.RecordBatch.from_arrays([who, *map(pa.array, (rank[of], first[of] + begin[at], end[at] - begin[at], h[at]))], ["who", "rank", "first", "n", "holder"])
 
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            kind = batch.column(1).type
-            for r in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if r[0] != last:
-                    if size >= BLOCK:
-                        yield done()
-                        rows, size = [], 0
-                    last, seen = r[0], set()
-                rows.append(r)
-                size += 16 if r[4] in seen else len(r[4]) + 1
-                seen.add(r[4])
-        if rows:
-            yield done()
+            if not batch.num_rows:
+                continue
+            shard, (_, offsets) = batch.column(0).to_numpy(), _binary(batch.column(4))
+            began = 0
+            while began < batch.num_rows:  # whole shards, with BLOCK bytes or more of contexts
+                whole = np.flatnonzero(offsets[began:] - offsets[began] >= BLOCK - size)
+                i = min(began + int(whole[0]), batch.num_rows) if len(whole) else batch.num_rows
+                last = shard[i - 1] if i else held[-1].column(0)[-1].as_py()
+                j = int(np.searchsorted(shard, last, "right")) if len(whole) else i
+                held.append(batch.slice(began, j - began))
+                size += int(offsets[j] - offsets[began])
+                if j < batch.num_rows:
+                    yield done(pa.Table.from_batches(held))
+                    held, size = [], 0
+                began = j
+        if held:
+            yield done(pa.Table.from_batches(held))
 
     return judge
 
@@ -275,25 +343,38 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, rows = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for g, marks, _, _ in stretches(t, least):
-                    keys.append(np.unique(g << 16 | marks))
-                    rows.append(np.full(len(keys[-1]), r))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(rows))], ["key", "row"])
+            names = batch.column(0).to_numpy()
+            for who, g, marks, _, _ in stretches(batch.column(1), least):
+                key = g << 16 | marks
+                order = np.lexsort((key, who))
+                who, key = who[order], key[order]
+                new = np.concatenate([[True], (key[1:] != key[:-1]) | (who[1:] != who[:-1])])[: len(key)]
+                yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(names[who[new]])], ["key", "row"])
 
     def cutter(hot: bool):
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                cols: list[list] = [[], [], [], [], []]
-                for r, k, t, tags in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    for g, extra, first, n in stretches(t, least, hot):
-                        at = np.flatnonzero(np.isin(g, tags))
-                        shard = (g[at] * 31 ^ extra[at]) if hot else g[at]
-                        a, b = first[at].tolist(), (first[at] + n[at] + least - 1).tolist()
-                        for c, x in zip(cols, (shard.tolist(), [r] * len(at), [k] * len(at), a, [t[i:j] for i, j in zip(a, b)])):
-                            c += x
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (*[pa.int64()] * 4, pa.binary()))], ["shard", "row", "rank", "first", "context"])
+                names, ranks = (batch.column(i).to_numpy() for i in (0, 1))
+                offsets = _binary(batch.column(2))[1]
+                text = memoryview(_binary(batch.column(2))[0])
+                tags, listed = batch.column(3).flatten().to_numpy(), batch.column(3).value_lengths().to_numpy()
+                ends = np.cumsum(listed)
+                tags = tags ^ np.repeat(np.arange(len(listed)), listed) << 47  # a row's own; more than the tagged ones would do no harm
+                for who, g, extra, first, n in stretches(batch.column(2), least, hot):
+                    if not len(who):
+                        continue
+                    at = np.flatnonzero(np.isin(g ^ who << 47, tags[ends[who[0]] - listed[who[0]] : ends[who[-1]]]))
+                    who, first, last = who[at], first[at], first[at] + n[at]
+                    shard = (g[at] * 31 ^ extra[at]) if hot else g[at]
+                    # Neighbours under one gram, as in text of a short period, are one stretch.
+                    new = np.concatenate([[True], (shard[1:] != shard[:-1]) | (who[1:] != who[:-1]) | (first[1:] != last[:-1])])[: len(at)]
+                    new = np.flatnonzero(new | np.concatenate([[True], np.diff((first - first[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]) // LONG) != 0])[: len(at)])
+                    if not len(new):
+                        continue
+                    who, shard, first, last = who[new], shard[new], first[new], last[np.append(new[1:], len(at)) - 1]
+                    a = offsets[who] + first
+                    contexts = [bytes(text[i:j]) for i, j in zip(a.tolist(), (a + last - first + least - 1).tolist())]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, (shard, names[who], ranks[who], first)), pa.array(contexts, pa.binary())], ["shard", "row", "rank", "first", "context"])
 
         tagged = searched.join(tags.where(F.col("tag") % 2 == int(hot)).groupBy("row").agg(F.collect_set(F.shiftright("tag", 1)).alias("tags")), "row")
         return tagged.select("row", "rank", "text", "tags").mapInArrow(cut, "shard long, row long, rank long, first long, context binary")
@@ -312,19 +393,33 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for rank, t, spans in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                step = np.zeros(len(t) + 1, np.int64)
-                for s in spans or ():
-                    end = (len(t) if s["n"] < 0 else s["first"] + s["n"] + least - 1) if s["rank"] == rank else 0
-                    if least <= end <= len(t):
-                        step[s["first"]] += 1
-                        step[end] -= 1
-                gone = np.cumsum(step[:-1]) > 0
-                n = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and gone[0]))
-                rows.append((len(t), int(gone.sum()), n, np.frombuffer(t, np.uint8)[~gone].tobytes()))
-            cols = list(zip(*rows)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            ranks, (data, offsets) = batch.column(1).to_numpy(), _binary(batch.column(2))
+            sizes, spans = np.diff(offsets), batch.column(3)
+            listed = spans.value_lengths().fill_null(0).to_numpy()
+            rank, first, n = (x.to_numpy() for x in spans.flatten().flatten())
+            who = np.repeat(np.arange(len(sizes)), listed)
+            end = np.where(n < 0, sizes[who], first + n + least - 1)
+            good = (rank == ranks[who]) & (least <= end) & (end <= sizes[who])
+            who, first, end = who[good], first[good], end[good]
+            cols: list[list] = [[], [], []]
+            for i, j in _pieces(offsets):
+                edges = offsets[i : j + 1] - offsets[i] + np.arange(j - i + 1)  # one place more for each text, where a span may end
+                mine = slice(*np.searchsorted(who, (i, j)))
+                at = edges[who[mine] - i]
+                step = np.zeros(edges[-1], np.int32)
+                np.add.at(step, at + first[mine], 1)
+                np.subtract.at(step, at + end[mine], 1)
+                gone = np.cumsum(step, dtype=np.int32) > 0
+                begins = gone & ~np.concatenate([[False], gone[:-1]])
+                for c, x in zip(cols, (gone, begins)):
+                    c.append(np.add.reduceat(x, edges[:-1], dtype=np.int64))
+                inside = np.ones(len(gone), bool)
+                inside[edges[1:] - 1] = False
+                cols[2].append(data[offsets[i] : offsets[j]][~gone[inside]])
+            removed, found, kept = (np.concatenate(c) if c else np.empty(0, np.int64) for c in cols)
+            ends = np.concatenate([[0], np.cumsum(sizes - removed)]).astype(np.int32)
+            texts = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(kept.astype(np.uint8).tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(removed), pa.array(found), texts], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return d.join(spans, "row", "left").select("doc_id", "rank", "text", "spans").mapInArrow(strip, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 

@@ -1,5 +1,6 @@
 """Training-data operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import cProfile
 import collections
 import hashlib
 import math
@@ -288,6 +289,43 @@ def test_substrings_of_one_letter(spark):
     assert sorted(got, key=str) == brute_repeats(texts)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_substrings_in_pieces(spark, seed, monkeypatch):
+    """Texts of short periods and shared passages with pieces, segments, blocks and long stretches of a few bytes."""
+    r = random.Random(seed)
+    for name, few in (("SEGMENT", 64), ("PIECE", 300), ("BLOCK", 100), ("LONG", 7), ("HOT", 3 if seed else 10_000)):
+        monkeypatch.setattr(substrings, name, few)
+    unit = lambda: "".join(r.choice("aé b") for _ in range(r.choice([1, 2, 5, 17, 40])))
+    passages = ["".join(r.choice("aé b") for _ in range(200)) for _ in range(3)] + [unit() * 90 for _ in range(3)]
+    texts = [(1, None), (2, "")]
+    for k in range(100):
+        a = r.randint(0, 100)
+        texts.append((r.choice([k, k, 5, None, -k]), "".join(r.choice([r.choice(passages)[a : a + r.randint(10, 150)], unit() * r.randint(1, 60), str(r.random())]) for _ in range(r.randint(0, 6)))))
+    got = [(x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], hashlib.sha256(bytes(x["kept"])).hexdigest()) for x in substrings.remove_repeats(docs(spark, texts)).collect()]
+    assert sorted(got, key=str) == brute_repeats(texts)
+
+
+def test_substrings_are_judged_in_blocks():
+    """Work on a shard's stretches is by columns: few Python calls for each row, whether stretches are equal, alone or neither."""
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefgh") for _ in range(84)) for _ in range(500)]
+    rows = sorted((s, 10_000 + i, i, 7, words[s][(a := r.choice([0, 0, 9, r.randint(0, 20)])) : a + 64].encode()) for i in range(20_000) for s in [r.randrange(500)])
+    schema = pa.schema([("shard", pa.int64()), ("who", pa.int64()), ("rank", pa.int64()), ("first", pa.int64()), ("context", pa.binary())])
+    batches = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema).to_batches(max_chunksize=3000)
+    calls = cProfile.Profile()
+    out = calls.runcall(lambda: list(substrings._judge(50)(iter(batches))))
+    assert sum(x.callcount for x in calls.getstats()) < len(rows)
+    least, want, got = {}, set(), set()
+    for _, _, rank, _, c in rows:
+        for j in range(15):
+            least[c[j : j + 50]] = min(rank, least.get(c[j : j + 50], rank))
+    for _, who, rank, first, c in rows:
+        want |= {(who, first + j, least[c[j : j + 50]]) for j in range(15) if least[c[j : j + 50]] < rank}
+    for b in out:
+        got |= {(x["who"], x["first"] + j, x["holder"]) for x in b.to_pylist() for j in range(x["n"])}
+    assert got == want
+
+
 BASE = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
 
