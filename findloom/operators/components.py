@@ -33,7 +33,7 @@ def written(df: DataFrame) -> DataFrame:
     if not spark.conf.get("spark.checkpoint.dir", None):
         checkpointed(spark.range(0))
     path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,7 +52,7 @@ def connected(edges: DataFrame) -> DataFrame:
     Each round links larger neighbours, then smaller ones, to a node's smallest neighbour, until nothing changes; long chains take a logarithmic number.
     """
     loops = edges.where("a = b").select(F.col("a").alias("node"))
-    e = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     seen, size = None, e.count()
     while True:
         hub = max(HUB, 2 * size // 100_000) if size > SMALL else 0
